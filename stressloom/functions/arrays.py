@@ -50,3 +50,10 @@ def ljung_box(e: Column, lags: int) -> Column:
     g0 = autocov_sum(e, F.lit(0))
     q = F.aggregate(F.sequence(F.lit(1), F.lit(lags)), F.lit(0.0), lambda s, k: s + F.pow(autocov_sum(e, k) / g0, F.lit(2.0)) / (n - k))
     return F.when(n > lags + 1, n * (n + 2) * q)
+
+
+def quantile_of_sorted(s: Column, q: float) -> Column:
+    """Linear-interpolated quantile of an ascending array; sort it once in an earlier step."""
+    h = (F.size(s) - 1) * F.lit(q)
+    lo = F.floor(h).cast("int")
+    return F.try_element_at(s, lo + 1) * (1 - (h - lo)) + F.coalesce(F.try_element_at(s, lo + 2), F.lit(0.0)) * (h - lo)

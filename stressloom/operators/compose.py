@@ -204,12 +204,12 @@ def fixed_scale(x: str, keys=("series_id",)) -> Column:
 
 
 def tail_days(panel: DataFrame, q: float = 0.90, least: int = 30) -> DataFrame:
-    """Any channel above its own expanding quantile, current row included. Exact: the partition is bounded by the
-    calendar; `tail_days_sketch` is the mergeable variant."""
-    w = Window.partitionBy("series_id").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(w)
-    flags = [F.coalesce(F.col(c) > F.percentile(c, q).over(w), F.lit(False)) for c in S.CHANNELS]
-    return panel.withColumn("tail", (n >= least) & reduce(lambda a, b: a | b, flags))
+    """Any channel above its own expanding quantile, current row included."""
+    from stressloom.operators.rolling import expanding_quantiles
+
+    d = expanding_quantiles(panel, S.CHANNELS, q)
+    over = reduce(lambda a, b: a | b, [F.col(c) > F.col("q_" + c) for c in S.CHANNELS])
+    return d.select(*panel.columns, ((F.col("n") >= least) & over).alias("tail"))
 
 
 def tail_boost(panel: DataFrame, lam_col: str, q: float = 0.90, boost: float = 1.5) -> DataFrame:

@@ -14,6 +14,7 @@ from stressloom import schema as S
 from stressloom.functions import arrays as A
 from stressloom.functions import scoring as fn
 from stressloom.operators import eventjoin as ev
+from stressloom.operators.rolling import expanding_quantiles
 from stressloom.operators.windows import day_range, epoch_day
 
 
@@ -163,11 +164,11 @@ def backtest(series: DataFrame, events: DataFrame, before: int, after: int) -> D
 def walk_forward(series: DataFrame, events: DataFrame, q: float = 0.9, gap: int = 90, window: int = 30, least: int = 60) -> DataFrame:
     """Threshold = quantile of all history before event - gap; detection and lead in [event - window, event).
 
-    History sets are nested, so the quantile of each is read from an expanding window at its last row instead of
-    copying the history once per event.
+    History sets are nested, so the quantile of each is read from the expanding one at its last row instead of copying
+    the history once per event.
     """
-    w = Window.partitionBy("series_id").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    hist = series.select("series_id", "ds", F.percentile("idx", q).over(w).alias("thr"), F.count("idx").over(w).alias("n_train"))
+    hist = expanding_quantiles(series.select("series_id", "ds", "idx"), ["idx"], q)
+    hist = hist.select("series_id", "ds", F.col("q_idx").alias("thr"), F.col("n").alias("n_train"))
     e = events.select("event", "event_date")
     # the last history row before the cut lies within a year of it
     cut = ev.unfold(e, gap + 366, -(gap + 1)).select("event", "event_date", "ds")

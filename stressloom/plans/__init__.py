@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["scalars", "aggregations"]
+MODULES = ["basics", "scalars", "aggregations", "windowing", "joins"]
 
 
 def load_catalogue():
