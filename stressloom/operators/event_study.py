@@ -30,8 +30,8 @@ def every_date_arrays(series: DataFrame, before: int, after: int) -> DataFrame:
     day = epoch_day()
     pts = F.collect_list(F.struct(day.alias("day"), F.col("idx").alias("x"))).over(day_range(-before, after))
     d = series.select("series_id", F.col("ds").alias("event_date"), pts.alias("_p"), day.alias("_d"))
-    return d.select("series_id", "event_date",
-                    F.transform("_p", lambda p: F.struct((p["day"] - F.col("_d")).alias("rel"), p["x"].alias("x"))).alias("pts"))
+    rel = A.let(F.col("_d"), lambda c: F.transform("_p", lambda p: F.struct((p["day"] - c).alias("rel"), p["x"].alias("x"))))
+    return d.select("series_id", "event_date", rel.alias("pts"))
 
 
 def part(lo: int, hi: int, pts: str = "pts") -> Column:
@@ -44,7 +44,7 @@ def abnormal(arrays: DataFrame, est, evt, least_est: int = 20, least_evt: int =
     d = arrays.withColumn("_e", part(*est)).withColumn("_v", part(*evt))
     d = d.filter((F.size("_e") >= least_est) & (F.size("_v") >= least_evt))
     d = d.withColumn("mu", A.amean(F.col("_e"))).withColumn("sd", A.astd(F.col("_e")))
-    d = d.withColumn("ab", F.transform("_v", lambda x: x - F.col("mu"))).withColumn("n", F.size("_v"))
+    d = d.withColumn("ab", A.minus(F.col("_v"), F.col("mu"))).withColumn("n", F.size("_v"))
     d = d.withColumn("cas", A.asum(F.col("ab")))
     se = F.col("sd") * F.sqrt(F.col("n"))
     return d.withColumn("t_stat", F.when(se > 0, F.col("cas") / se).otherwise(0.0))
@@ -58,7 +58,7 @@ def _first_rel(pts: Column, cond) -> Column:
 
 def lead_sigma(lookback: int, sigma: float = S.LEAD_SIGMA) -> Column:
     thr = F.col("mu") + F.lit(sigma) * F.col("sd")
-    return _first_rel(F.col("pts"), lambda p: (p["rel"] >= -lookback) & (p["rel"] <= 0) & (p["x"] > thr))
+    return A.let(thr, lambda t: _first_rel(F.col("pts"), lambda p: (p["rel"] >= -lookback) & (p["rel"] <= 0) & (p["x"] > t)))
 
 
 def lead_level(lookback: int, level: float = S.LEAD_LEVEL) -> Column:
@@ -68,11 +68,12 @@ def lead_level(lookback: int, level: float = S.LEAD_LEVEL) -> Column:
 def lead_sustained(lookback: int, level: float = S.LEAD_LEVEL) -> Column:
     """Last up-crossing after which the value stays at or above the level through the event day: the point right
     after the last value below the level, if there is one."""
-    look = F.filter(F.col("pts"), lambda p: (p["rel"] >= -lookback) & (p["rel"] <= 0))
-    lows = F.filter(look, lambda p: p["x"] < level)
-    last_low = F.try_element_at(lows, F.lit(-1))["rel"]
-    after = F.filter(look, lambda p: p["rel"] > last_low)
-    return F.coalesce(-F.try_element_at(after, F.lit(1))["rel"], F.lit(0))
+
+    def body(look: Column) -> Column:
+        last_low = F.try_element_at(F.filter(look, lambda p: p["x"] < level), F.lit(-1))["rel"]
+        return A.let(last_low, lambda low: F.coalesce(-F.try_element_at(F.filter(look, lambda p: p["rel"] > low), F.lit(1))["rel"], F.lit(0)))
+
+    return A.let(F.filter("pts", lambda p: (p["rel"] >= -lookback) & (p["rel"] <= 0)), body)
 
 
 def lead_by(method: str, lookback: int) -> Column:
@@ -94,21 +95,24 @@ def lead_times(series: DataFrame, events: DataFrame, lookback: int = 60) -> Data
                     lead_sustained(lookback).alias("sustained"))
 
 
-def hac_columns(e: Column, n: Column, lags: int) -> tuple[Column, Column]:
-    """Standard error and t of the mean with Bartlett weights; `e` holds the values themselves."""
-    dev = A.adev(e)
-    se = F.sqrt(A.long_run_sum(dev, lags)) / n
-    return se, A.amean(e) / F.nullif(se, F.lit(0.0))
+def hac_columns(e: Column, lags: int) -> Column:
+    """(se_mean, t_hac) of the mean of an array with Bartlett weights, bound so that each step runs once per row."""
+
+    def body(v: Column) -> Column:
+        m = A.amean(v)
+        se = A.let(A.minus(v, m), lambda dev: F.sqrt(A.long_run_sum(dev, lags)) / F.size(dev))
+        return A.let(se, lambda s: F.struct(s.alias("se_mean"), (A.amean(v) / F.nullif(s, F.lit(0.0))).alias("t_hac")))
+
+    return A.let(e, body)
 
 
 def hac(series: DataFrame, events: DataFrame, lags=tuple(S.HAC_LAGS)) -> DataFrame:
     d = abnormal(window_arrays(series, events, 90, 10), (-90, -31), (-30, 10))
     cells = []
     for k in lags:
-        se, t = hac_columns(F.col("ab"), F.col("n"), k)
-        ok = F.col("n") > k
-        cells.append(F.struct(F.lit(k).alias("lag"), F.when(ok, se).alias("se_mean"), F.when(ok, t).alias("t_hac")))
+        cells.append(F.struct(F.lit(k).alias("lag"), F.when(F.col("n") > k, hac_columns(F.col("ab"), k)).alias("_h")))
     out = d.select("series_id", "event", "n", "cas", "t_stat", F.inline(F.array(*cells)))
+    out = out.select("series_id", "event", "n", "cas", "t_stat", "lag", "_h.se_mean", "_h.t_hac")
     return out.withColumn("beyond_fixed_b", F.abs("t_hac") > S.FIXED_B_CRITICAL)
 
 
@@ -125,7 +129,7 @@ def placebo_table(series: DataFrame, events: DataFrame, gap: int = 90) -> DataFr
     ok = ev.eligible_dates(series.select("series_id", "ds"), events, gap, 90).withColumnRenamed("ds", "event_date")
     d = abnormal(arrays.join(ok, ["series_id", "event_date"]), (-90, -31), (-30, 10))
     d = d.filter(F.col("n") > S.HAC_PRIMARY_LAG + 1)
-    _, t = hac_columns(F.col("ab"), F.col("n"), S.HAC_PRIMARY_LAG)
+    t = hac_columns(F.col("ab"), S.HAC_PRIMARY_LAG)["t_hac"]
     return d.select("series_id", "event_date", "n", "cas", F.col("t_stat").alias("t_naive"), t.alias("t_hac"))
 
 

@@ -20,16 +20,24 @@ def delta_covar(paired: DataFrame, width: int = 90, alpha: float = 0.05) -> Data
     an array of fixed length, so rows are not multiplied."""
     w = by_day().rowsBetween(-width, -1)
     d = spread(paired, "series_id").select("series_id", "ds", F.collect_list(F.struct("asset", "system")).over(w).alias("_w")).filter(F.size("_w") == width)
-    # the pairs sorted by asset make every conditioning set a slice or a suffix test of one ordered array
-    d = d.withColumn("_w", F.array_sort("_w")).withColumn("_a", F.transform("_w", lambda p: p["asset"]))
-    for q, n in ((alpha, "_q0"), (0.10, "_q1"), (0.40, "_q4"), (0.60, "_q6")):
-        d = d.withColumn(n, A.quantile_of_sorted(F.col("_a"), q))
-    system = lambda cond: F.array_sort(F.transform(F.filter("_w", cond), lambda p: p["system"]))
-    d = d.withColumn("_n0", F.size(F.filter("_a", lambda x: x <= F.col("_q0"))))
-    cut = F.when(F.col("_n0") < 10, F.col("_q1")).otherwise(F.col("_q0"))
-    d = d.withColumn("_cut", cut).withColumn("_d", system(lambda p: p["asset"] <= F.col("_cut")))
-    d = d.withColumn("_m", system(lambda p: (p["asset"] >= F.col("_q4")) & (p["asset"] <= F.col("_q6"))))
-    return d.select("series_id", "ds", (A.quantile_of_sorted(F.col("_d"), alpha) - A.quantile_of_sorted(F.col("_m"), alpha)).alias("delta_covar"))
+    asset = lambda w: F.transform(w, lambda p: p["asset"])
+    system = lambda w, cond: F.array_sort(F.transform(F.filter(w, cond), lambda p: p["system"]))
+    q = A.quantile_of_sorted
+
+    def conditional(w):  # pairs sorted by asset
+        cuts = A.let(asset(w), lambda a: F.struct(
+            q(a, alpha).alias("lo"), q(a, 0.10).alias("lo2"), q(a, 0.40).alias("m0"), q(a, 0.60).alias("m1")))
+
+        def with_cuts(c):
+            few = F.size(F.filter(w, lambda p: p["asset"] <= c["lo"])) < 10
+            cut = F.when(few, c["lo2"]).otherwise(c["lo"])
+            low = A.let(cut, lambda t: A.let(system(w, lambda p: p["asset"] <= t), lambda s: q(s, alpha)))
+            mid = A.let(system(w, lambda p: (p["asset"] >= c["m0"]) & (p["asset"] <= c["m1"])), lambda s: q(s, alpha))
+            return low - mid
+
+        return A.let(cuts, with_cuts)
+
+    return d.select("series_id", "ds", A.let(F.array_sort("_w"), conditional).alias("delta_covar"))
 
 
 def lead_scan(pairs: DataFrame, max_lag: int = 30) -> DataFrame:

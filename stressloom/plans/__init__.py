@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "scalars", "aggregations", "windowing", "joins"]
+MODULES = ["basics", "scalars", "aggregations", "windowing", "joins", "evaluation"]
 
 
 def load_catalogue():
