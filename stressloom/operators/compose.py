@@ -281,7 +281,8 @@ def normalise_scales(long: DataFrame, how: str, reference: str | None = None) ->
         sd = F.stddev_samp("value").over(w)
         return long.withColumn("scaled", F.when(sd > 0, (F.col("value") - F.avg("value").over(w)) / sd).otherwise(0.0))
     if how == "quantile":
-        return long.withColumn("scaled", 100.0 * ag.average_rank("value", keys) / F.count("value").over(w))
+        d = long.withColumn("_r", F.round("value", 9))  # equal up to the order of summation counts as a tie
+        return d.withColumn("scaled", 100.0 * ag.average_rank("_r", keys) / F.count("value").over(w)).drop("_r")
     ref = long.filter(F.col("method") == reference).groupBy("series_id").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
     z = (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_samp("value").over(w), F.lit(0.0))
     return long.withColumn("_z", z).join(ref, "series_id").withColumn("scaled", F.coalesce("_z", F.lit(0.0)) * F.col("_s") + F.col("_m")).drop("_z", "_m", "_s")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "scalars", "aggregations", "windowing", "joins", "evaluation"]
+MODULES = ["basics", "scalars", "aggregations", "windowing", "joins", "evaluation", "composition"]
 
 
 def load_catalogue():
