@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -107,22 +108,22 @@ def _masked(f, *series: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _norm_p(z: pd.Series) -> pd.Series:
     return _masked(lambda v: 2.0 * norm_sf(np.abs(v)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _masked(f_sf, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _masked(chi2_sf, x, df)
 

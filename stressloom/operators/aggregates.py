@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 
 
@@ -18,7 +19,7 @@ def unpivot(df: DataFrame, keys: list[str], cols: list[str], name="channel", val
 
 def returns(df: DataFrame, value: str = "idx", keys=("series_id",)) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("ds")
-    return df.withColumn("ret", F.col(value) / F.lag(value).over(w) - 1).filter(F.col("ret").isNotNull())
+    return df.withColumn("ret", F.try_divide(F.col(value), F.lag(value).over(w)) - 1).filter(F.col("ret").isNotNull())
 
 
 def describe(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -96,8 +97,8 @@ def correlations(df: DataFrame, keys: list[str], method: str) -> DataFrame:
     if method == "spearman":
         d = d.select(*keys, average_rank("x", keys).alias("x"), average_rank("y", keys).alias("y"))
     r = F.col("r")
-    t = r * F.sqrt((F.col("n") - 2) / (1.0 - r * r))
-    return d.groupBy(*keys).agg(F.count("x").alias("n"), F.corr("x", "y").alias("r")).withColumn("t", t)
+    t = r * F.sqrt(F.try_divide(F.col("n") - 2, 1.0 - r * r))
+    return d.groupBy(*keys).agg(F.count("x").alias("n"), corr("x", "y").alias("r")).withColumn("t", t)
 
 
 def pair_with(df: DataFrame, system: str, value: str = "ret") -> DataFrame:

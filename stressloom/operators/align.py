@@ -34,9 +34,9 @@ def tail_aligned_correlation(series: DataFrame, other: str, value: str) -> DataF
     """Correlation of simple returns after aligning both price lists at their ends."""
     p = positional(series, other, value, from_end=True)
     w = Window.partitionBy("series_id").orderBy("ds")
-    r = p.select("series_id", (F.col("x") / F.lag("x").over(w) - 1).alias("rx"), (F.col("y") / F.lag("y").over(w) - 1).alias("ry"))
+    r = p.select("series_id", (F.try_divide(F.col("x"), F.lag("x").over(w)) - 1).alias("rx"), (F.try_divide(F.col("y"), F.lag("y").over(w)) - 1).alias("ry"))
     r = finite_pairs(r, "rx", "ry")
-    return r.groupBy("series_id").agg(F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(F.corr("rx", "ry")).alias("r"))
+    return r.groupBy("series_id").agg(F.when(F.count(F.lit(1)) < 2, F.lit(0.0)).otherwise(corr("rx", "ry")).alias("r"))
 
 
 def finite_pairs(df: DataFrame, *cols: str) -> DataFrame:

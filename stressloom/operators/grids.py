@@ -3,6 +3,7 @@ planned; what follows is one partial aggregation keyed by the grid fields."""
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 from stressloom import schema as S
 
 
-def _lit(v) -> Column:
+def _type(v) -> str:
     if isinstance(v, (list, tuple)):
-        return F.array(*[_lit(x) for x in v])
-    if v is None or isinstance(v, float):
-        return F.lit(v).cast("double")
-    return F.lit(v)
+        return f"array<{_type(v[0])}>"
+    if isinstance(v, bool):
+        return "boolean"
+    if isinstance(v, int):
+        return "int"
+    return "string" if isinstance(v, str) else "double"
+
+
+def literal(rows: list[dict]) -> Column:
+    """The grid as one constant: a JSON literal, which keeps the plan small whatever the number of points."""
+    fields = ", ".join(f"`{k}`: {_type(v)}" for k, v in rows[0].items())
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
 
 
 def explode_grid(df: DataFrame, grid: list[dict]) -> DataFrame:
     """One copy of each row per grid point, grid fields as columns."""
-    cells = [F.struct(*[_lit(v).alias(k) for k, v in g.items()]) for g in grid]
-    out = df.withColumn("_g", F.explode(F.array(*cells)))
-    return out.select(*df.columns, *[F.col(f"_g.{k}").alias(k) for k in grid[0]])
+    return df.select(*df.columns, F.inline(literal(grid)))
 
 
 def grid_index(weights: str = "w", channels=None) -> Column:

@@ -157,9 +157,13 @@ def _estep(panel: DataFrame, models: dict[int, Model]) -> DataFrame:
 def _summed(stats: DataFrame) -> DataFrame:
     """Element-wise sums of the arrays per model: exploded to (model, field, position), so the sum is map-side."""
     fields = ["pi", "xi", "gamma", "gx", "gxx"]
+
+    def tagged(c):
+        return F.transform(c, lambda v, i: F.struct(F.lit(c).alias("f"), i.alias("i"), v.alias("v")))
+
     long = stats.select("model", F.inline(F.flatten(F.array(
         F.array(F.struct(F.lit("loglik").alias("f"), F.lit(0).alias("i"), F.col("loglik").alias("v")), F.struct(F.lit("n").alias("f"), F.lit(0).alias("i"), F.col("n").cast("double").alias("v"))),
-        *[F.transform(c, lambda v, i, c=c: F.struct(F.lit(c).alias("f"), i.alias("i"), v.alias("v"))) for c in fields]))))
+        *[tagged(c) for c in fields]))))
     return long.groupBy("model", "f", "i").agg(F.sum("v").alias("v"))
 
 
@@ -289,8 +293,7 @@ def calibrate(df: DataFrame, events: DataFrame, objective: str = "detection_rate
         r = F.col("detection_rate")
         g = g.withColumn("f1", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
     best = g.groupBy("series_id").agg(F.max_by("trial", F.struct(objective, -F.col("trial"))).alias("trial"), F.max(objective).alias("score"))
-    table = F.array(*[F.array(*[F.array(*[F.lit(x) for x in row]) for row in c["w"]]) for c in grid])
-    return best.withColumn("weights", table[F.col("trial")])
+    return best.withColumn("weights", grids.literal(grid)[F.col("trial")]["w"])
 
 
 def selection(panel: DataFrame, ks=(2, 3, 4), restarts: int = 2, iterations: int = 15) -> list[dict]:

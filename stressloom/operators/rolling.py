@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom.functions import arrays as A
 from stressloom.operators import aggregates as ag
 from stressloom.operators.windows import by_day
@@ -48,7 +49,7 @@ def lead_scan(pairs: DataFrame, max_lag: int = 30) -> DataFrame:
     d = d.select("series_id", "ds", "x", F.posexplode("_y").alias("lag", "y"))
     keys = ["series_id", "lag"]
     r = d.select(*keys, ag.average_rank("x", keys).alias("rx"), ag.average_rank("y", keys).alias("ry"))
-    c = r.groupBy(*keys).agg(F.abs(F.corr("rx", "ry")).alias("strength"))
+    c = r.groupBy(*keys).agg(F.abs(corr("rx", "ry")).alias("strength"))
     best = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.round("strength", 12)), "lag"))
     return c.withColumn("_rn", best).filter("_rn = 1").drop("_rn")
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import aggregates as ag
@@ -175,7 +176,7 @@ def fit_scores(df: DataFrame, keys: list[str], pred: str = "pred", target: str =
 
 def rank_correlation(df: DataFrame, keys: list[str], x: str = "pred", y: str = "target") -> DataFrame:
     r = df.select(*keys, ag.average_rank(x, keys).alias("_x"), ag.average_rank(y, keys).alias("_y"))
-    return r.groupBy(*keys).agg(F.corr("_x", "_y").alias("spearman"))
+    return r.groupBy(*keys).agg(corr("_x", "_y").alias("spearman"))
 
 
 def walk_forward(df: DataFrame, n_splits: int = 5, purge: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["basics", "scalars", "aggregations", "windowing", "joins", "evaluation", "composition"]
+MODULES = ["basics", "scalars", "aggregations", "windowing", "joins", "evaluation", "composition", "models", "streams"]
 
 
 def load_catalogue():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import aggregates as ag
@@ -339,7 +340,7 @@ def agg_correlation_by_regime(spark, d):
     wide = compose.methods_wide(tb.panel(spark, d).withColumn("regime", _regime()), ["linear", "max", "geometric"], keep=["regime"])
     pairs = ag.channel_pairs(wide, ["series_id", "regime"], ["linear", "max", "geometric"])
     return (pairs.groupBy("series_id", "regime", F.col("ch_a").alias("m_a"), F.col("ch_b").alias("m_b"))
-            .agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10))
+            .agg(corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10))
 
 
 @query("agg_backtest_summary", "first peak last channel_at_peak", W(PANEL, EVENTS_DIM, q=f"""

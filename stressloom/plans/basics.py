@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import align, channels as ch, eventjoin as ev, quality
@@ -266,7 +267,7 @@ def filter_finite_returns(spark, d):
     ratio = lambda c: F.try_divide(F.col(c), F.lag(c).over(w)) - 1
     r = tb.panel(spark, d).select("series_id", ratio("arbitrage_opacity").alias("x"), ratio("contagion_risk").alias("y"))
     r = align.finite_pairs(r, "x", "y")
-    return r.groupBy("series_id").agg(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.corr("x", "y")).alias("r"), F.count(F.lit(1)).alias("n"))
+    return r.groupBy("series_id").agg(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(corr("x", "y")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 @query("guard_min_obs", "", W(PANEL, EVENTS_DIM, q="""

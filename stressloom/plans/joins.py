@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import aggregates as ag
@@ -167,4 +168,4 @@ def join_self_lag(spark, d):
   ('stablecoin_risk','arbitrage_opacity'),('defi_liquidity_risk','contagion_risk'),('defi_liquidity_risk','arbitrage_opacity'),('contagion_risk','arbitrage_opacity')) GROUP BY 1, 2, 3"""))
 def join_pairwise_series(spark, d):
     pairs = ag.channel_pairs(tb.panel(spark, d), ["series_id"])
-    return pairs.groupBy("series_id", "ch_a", "ch_b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("series_id", "ch_a", "ch_b").agg(corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import channels as ch
@@ -80,7 +81,7 @@ def fn_yield_curve_linkage(spark, d):
   SELECT series_id, {n100('abs(c)',0,1)} AS risk FROM (
     SELECT series_id, corr(stablecoin_risk, contagion_risk) AS c FROM panel GROUP BY 1)"""))
 def fn_correlation_risk(spark, d):
-    c = tb.panel(spark, d).groupBy("series_id").agg(F.corr("stablecoin_risk", "contagion_risk").alias("c"))
+    c = tb.panel(spark, d).groupBy("series_id").agg(corr("stablecoin_risk", "contagion_risk").alias("c"))
     return c.select("series_id", fn.correlation_risk("c").alias("risk"))
 
 
