@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stressloom.functions.stats import corr
 from stressloom import schema as S
+from stressloom.session import spread
 
 
 def unpivot(df: DataFrame, keys: list[str], cols: list[str], name="channel", value="value") -> DataFrame:
@@ -58,7 +59,7 @@ def kendall(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataF
     Sort by (x, y); a discordant pair is an earlier row with a strictly larger y-rank. Two ranks first differ at one
     bit: for each bit level, among rows with the same higher bits, count earlier ones at each zero.
     """
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = spread(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), *keys)
     on = lambda *c: Window.partitionBy(*keys, *c)
     d = d.select(
         *keys,

@@ -43,9 +43,14 @@ def top_k(df: DataFrame, keys: list[str], value: str, k: int, tie: str, salts: i
     )
 
 
-def one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pair two single-row aggregates."""
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Single-row aggregates side by side: stacked with nulls and folded, not joined."""
+    cols = [(c, t, i) for i, p in enumerate(parts) for c, t in p.dtypes]
+    stacked = [p.select(*[F.col(c) if i == k else F.lit(None).cast(t).alias(c) for c, t, i in cols]) for k, p in enumerate(parts)]
+    u = stacked[0]
+    for p in stacked[1:]:
+        u = u.unionByName(p)
+    return u.groupBy().agg(*[F.first(c, ignorenulls=True).alias(c) for c, _, _ in cols])
 
 
 def coin_risk(coins: DataFrame, keys: list[str], backing: DataFrame | None = None) -> DataFrame:
@@ -134,7 +139,7 @@ def liquidity_inputs(protocols: DataFrame, history: DataFrame, rows: int = 30) -
         fn.scale_100(mean_abs_change(), 0, 20).alias("flash_loan_proxy"),
         fn.scale_100(category_share("Lending", 10.0), 0, 30).alias("leverage_change"),
     )
-    return one_row(one_row(top, vol), rest)
+    return one_row(top, vol, rest)
 
 
 def contagion_inputs(protocols: DataFrame, treasury: Column, vix: Column, spread: Column, corr: Column) -> DataFrame:
@@ -162,7 +167,7 @@ def opacity_inputs(coins: DataFrame, protocols: DataFrame, sentiment: float = 50
     )
     audit = positive_tvl(protocols).groupBy().agg((audit_ratio() * 100.0).alias("transparency_score"))
     share = fn.safe_ratio("_top2", "_total") * 100.0
-    return one_row(one_row(base, top2), audit).select(
+    return one_row(base, top2, audit).select(
         F.lit(35.0).alias("unregulated_exposure"),
         "multi_issuer_risk",
         fn.scale_100(share, 50, 100).alias("custody_concentration"),

@@ -82,13 +82,24 @@ def at_thresholds(c: DataFrame) -> DataFrame:
     return confusion_ratios(d)
 
 
+BEST = ("tp", "fp", "tn", "fn", "precision", "recall", "specificity", "f1", "youden", "balanced", "mcc")
+
+
+def _best_row(criterion: str) -> Column:
+    """Row with the best criterion; the lowest threshold on ties."""
+    return F.max_by(F.struct("score", *BEST), F.struct(F.round(criterion, 12), -F.col("score")))
+
+
 def optimal(c: DataFrame, keys: list[str], criterion: str = "f1") -> DataFrame:
-    """Threshold with the best criterion; the lowest one on ties."""
-    d = at_thresholds(c)
-    order = F.struct(F.round(criterion, 12), -F.col("score"))
-    row = F.struct("score", "tp", "fp", "tn", "fn", "precision", "recall", "specificity", "f1", "youden", "balanced", "mcc")
-    return d.groupBy(*keys).agg(F.max_by(row, order).alias("_r")).select(*keys, F.col("_r.score").alias("threshold"), *[f"_r.{x}" for x in
-        ("tp", "fp", "tn", "fn", "precision", "recall", "specificity", "f1", "youden", "balanced", "mcc")])
+    g = at_thresholds(c).groupBy(*keys).agg(_best_row(criterion).alias("_r"))
+    return g.select(*keys, F.col("_r.score").alias("threshold"), *[f"_r.{x}" for x in BEST])
+
+
+def optimal_all(c: DataFrame, keys: list[str], criteria=("f1", "youden", "balanced")) -> DataFrame:
+    """The best threshold by each criterion, from one aggregation."""
+    g = at_thresholds(c).groupBy(*keys).agg(*[_best_row(k).alias(k) for k in criteria])
+    cells = [F.struct(F.lit(k).alias("criterion"), F.col(k)["score"].alias("threshold"), F.col(k)[k].alias("value")) for k in criteria]
+    return g.select(*keys, F.inline(F.array(*cells)))
 
 
 def oriented(a: DataFrame) -> DataFrame:
@@ -96,4 +107,7 @@ def oriented(a: DataFrame) -> DataFrame:
 
 
 def metrics(c: DataFrame, keys: list[str]) -> DataFrame:
-    return areas(c, keys).drop("n_pos", "n_neg").join(optimal(c, keys), keys)
+    """Areas and the best-F1 row in one aggregation over the curve."""
+    t, ap = auprc()
+    g = at_thresholds(c).groupBy(*keys).agg(auroc().alias("auroc"), t.alias("auprc"), ap.alias("average_precision"), _best_row("f1").alias("_r"))
+    return g.select(*keys, "auroc", "auprc", "average_precision", F.col("_r.score").alias("threshold"), *[f"_r.{x}" for x in BEST])

@@ -157,15 +157,13 @@ def ewma_products(panel: DataFrame, lam: float = 0.94, warmup: int = 30) -> Data
     run = run.select("*", *[(seed(n) * F.pow(F.lit(lam), -F.col("_off"))).alias(f"s{n}") for n in names])
     wb = Window.partitionBy("series_id", "_blk").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
     run = run.select("*", *[F.sum(f"s{n}").over(wb).alias(f"p{n}") for n in names])
-    ends = run.groupBy("series_id", "_blk").agg(*[(F.sum(f"s{n}") * lam ** (BLOCK - 1)).alias(f"e{n}") for n in names])
     back, k = [], 0
     while lam ** (BLOCK * k) > 1e-18:
-        back.append(lam ** (BLOCK * k))
+        back.append(lam ** (BLOCK * k + BLOCK - 1))
         k += 1
-    we = Window.partitionBy("series_id").orderBy("_blk")
-    carry = ends.select("series_id", "_blk", *[
-        _add(F.coalesce(F.lag(f"e{n}", i + 1).over(we), F.lit(0.0)) * f for i, f in enumerate(back)).alias(f"b{n}") for n in names])
-    out = run.join(carry, ["series_id", "_blk"])
+    # the total of the block i+1 back is a range frame over block numbers, so nothing is joined
+    block = [Window.partitionBy("series_id").orderBy("_blk").rangeBetween(-i - 1, -i - 1) for i in range(len(back))]
+    out = run.select("*", *[_add(F.coalesce(F.sum(f"s{n}").over(w), F.lit(0.0)) * f for w, f in zip(block, back)).alias(f"b{n}") for n in names])
     dec = lambda n: (F.col(f"p{n}") * F.pow(F.lit(lam), F.col("_off")) + F.col(f"b{n}") * F.pow(F.lit(lam), F.col("_off") + 1)) * (1 - lam)
     return out.select("series_id", "ds", *S.CHANNELS, *[
         F.when(F.col("_t") < 0, F.lit(None)).when(F.col("_t") <= last, F.col(f"m{n}")).otherwise(dec(n)).alias(f"c{n}") for n in names])

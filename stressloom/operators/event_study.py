@@ -16,6 +16,7 @@ from stressloom.functions import scoring as fn
 from stressloom.operators import eventjoin as ev
 from stressloom.operators.rolling import expanding_quantiles
 from stressloom.operators.windows import day_range, epoch_day
+from stressloom.session import spread
 
 
 def window_arrays(series: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
@@ -29,7 +30,10 @@ def every_date_arrays(series: DataFrame, before: int, after: int) -> DataFrame:
     """The same arrays with every date of a series as its own event."""
     day = epoch_day()
     pts = F.collect_list(F.struct(day.alias("day"), F.col("idx").alias("x"))).over(day_range(-before, after))
-    d = series.select("series_id", F.col("ds").alias("event_date"), pts.alias("_p"), day.alias("_d"))
+    keep = [c for c in ("eligible",) if c in series.columns]
+    d = series.select("series_id", F.col("ds").alias("event_date"), pts.alias("_p"), day.alias("_d"), *keep)
+    if keep:
+        d = d.filter("eligible")
     rel = A.let(F.col("_d"), lambda c: F.transform("_p", lambda p: F.struct((p["day"] - c).alias("rel"), p["x"].alias("x"))))
     return d.select("series_id", "event_date", rel.alias("pts"))
 
@@ -124,10 +128,11 @@ def serial_correlation(series: DataFrame, events: DataFrame, lags=(5, 10, 20)) -
 
 
 def placebo_table(series: DataFrame, events: DataFrame, gap: int = 90) -> DataFrame:
-    """Robust and naive t at every eligible date. Arrays are built once per date from the calendar frame."""
-    arrays = every_date_arrays(series, 90, 10)
-    ok = ev.eligible_dates(series.select("series_id", "ds"), events, gap, 90).withColumnRenamed("ds", "event_date")
-    d = abnormal(arrays.join(ok, ["series_id", "event_date"]), (-90, -31), (-30, 10))
+    """Robust and naive t at every eligible date. Dates are marked before the frames are built, so the arrays never
+    cross a shuffle."""
+    ok = ev.eligible_dates(series.select("series_id", "ds"), events, gap, 90).withColumn("eligible", F.lit(True))
+    marked = series.select("series_id", "ds", "idx").join(ok, ["series_id", "ds"], "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    d = abnormal(every_date_arrays(spread(marked, "series_id"), 90, 10), (-90, -31), (-30, 10))
     d = d.filter(F.col("n") > S.HAC_PRIMARY_LAG + 1)
     t = hac_columns(F.col("ab"), S.HAC_PRIMARY_LAG)["t_hac"]
     return d.select("series_id", "event_date", "n", "cas", F.col("t_stat").alias("t_naive"), t.alias("t_hac"))

@@ -323,12 +323,13 @@ def placebo_shuffle(df: DataFrame, events: DataFrame, reps: int = 200, seed: int
     n = sizes(df, None).select("series_id", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_ev - 1))))
     fake = n.select("series_id", "rep", "j", (draw(seed, F.col("rep"), F.col("j")) % F.col("n")).cast("int").alias("pos")).join(v.select("series_id", "pos", "ds"), ["series_id", "pos"])
     fake = fake.select("series_id", "rep", F.col("j").cast("string").alias("event"), F.col("ds").alias("event_date"))
-    true = df.select("series_id").distinct().withColumn("_k", F.lit(1)).join(events.select("event", "event_date").withColumn("_k", F.lit(1)), "_k")
-    dates = fake.unionByName(true.select("series_id", F.lit(-1).alias("rep"), "event", "event_date"))
     alerts = df.filter(F.col("idx") > threshold).select("series_id", "ds")
     total = alerts.groupBy("series_id").agg(F.count(F.lit(1)).alias("_alerts"))
-    hit = ev.unfold(dates, days, -1).join(alerts, ["series_id", "ds"]).groupBy("series_id", "rep").agg(F.countDistinct("ds").alias("_tp"), F.countDistinct("event").alias("_found"))
-    every = dates.select("series_id", "rep").distinct().join(total, "series_id").join(hit, ["series_id", "rep"], "left")
+    score = [F.countDistinct("ds").alias("_tp"), F.countDistinct("event").alias("_found")]
+    hit = ev.unfold(fake, days, -1).join(alerts, ["series_id", "ds"]).groupBy("series_id", "rep").agg(*score)
+    true = ev.unfold(events.select("event", "event_date"), days, -1).join(alerts, "ds").groupBy("series_id").agg(*score)
+    reps_of = total.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
+    every = reps_of.join(hit.unionByName(true.withColumn("rep", F.lit(-1))), ["series_id", "rep"], "left")
     p, r = F.coalesce("_tp", F.lit(0)) / F.col("_alerts"), F.coalesce("_found", F.lit(0)) / F.lit(n_ev)
     f1 = every.select("series_id", "rep", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
     act = f1.filter("rep = -1").select("series_id", F.col("f1").alias("actual"))

@@ -20,16 +20,15 @@ def threshold_table(series: DataFrame, events: DataFrame, thresholds: list[float
     when any alert precedes it that closely. One pass marks each date, one aggregation counts all thresholds."""
     ahead = ev.unfold(events.select("event", "event_date"), days, -1)
     marks = ahead.groupBy("ds").agg(F.collect_set("event").alias("_ev"))
-    n_events = events.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
+    n_events = events.count()  # a parameter table
     d = series.select("series_id", "ds", "idx").join(marks, "ds", "left")
     g = grids.explode_grid(d, [dict(threshold=t) for t in thresholds])
     on, pre = F.col("idx") > F.col("threshold"), F.col("_ev").isNotNull()
     a = g.groupBy("series_id", "threshold").agg(
         F.count_if(on).alias("alerts"), F.count_if(on & pre).alias("true_alerts"), F.count_if(~on).alias("quiet"),
         F.count_if(~on & ~pre).alias("true_quiet"), F.array_distinct(F.flatten(F.collect_set(F.when(on, F.col("_ev"))))).alias("_hit"))
-    a = a.withColumn("_k", F.lit(1)).join(n_events, "_k")
     div = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
-    p, r = div(F.col("true_alerts"), F.col("alerts")), div(F.size("_hit"), F.col("_n"))
+    p, r = div(F.col("true_alerts"), F.col("alerts")), div(F.size("_hit"), F.lit(n_events))
     a = a.withColumn("precision", p).withColumn("recall", r)
     pr = F.col("precision") + F.col("recall")
     f1 = F.coalesce(2.0 * F.col("precision") * F.col("recall") / F.nullif(pr, F.lit(0.0)), F.lit(0.0))

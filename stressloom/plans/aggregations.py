@@ -29,7 +29,7 @@ SYS = """paired AS (SELECT a.series_id, a.ds, a.ret AS asset, s.ret AS system FR
 
 
 def pair_returns(spark, d):
-    return ag.pair_with(ag.returns(tb.panel(spark, d)), "MACHINERY")
+    return ag.pair_with(ag.returns(tb.stored_panel(spark, d)), "MACHINERY")
 
 
 @query("agg_hhi", "hhi", W(REVENUE, q="SELECT month, 10000*sum(cents*cents)/(sum(cents)*sum(cents)) AS hhi FROM revenue GROUP BY month"))
@@ -172,7 +172,7 @@ def agg_correlation_p(spark, d):
 
 
 def _corr_all(spark, d):
-    pairs = ag.channel_pairs(tb.panel(spark, d), ["series_id", "ds"])
+    pairs = ag.channel_pairs(tb.stored_panel(spark, d), ["series_id", "ds"])
     keys = ["series_id", "ch_a", "ch_b"]
     parts = [ag.correlations(pairs, keys, m).withColumn("method", F.lit(m)) for m in ("pearson", "spearman", "kendall")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -320,7 +320,7 @@ CRISIS = """crisis AS (SELECT series_id, event, method, CAST(nb > 0 AS INT) AS d
 
 def method_frame(spark, d):
     from stressloom.operators import compose
-    return compose.load_methods(tb.panel(spark, d), ["linear", "max", "geometric"])
+    return compose.load_methods(tb.stored_panel(spark, d), ["linear", "max", "geometric"])
 
 
 @query("agg_method_summary", "detected lead t peak", W(PANEL, EVENTS_DIM, METH, CRISIS, q="""

@@ -32,7 +32,7 @@ def src_series_parquet(spark, d):
     return pl.series_from(stored)
 
 
-@query("src_series_csv", "price")
+@query("src_series_csv", "price", W(PEG_POINTS, q="SELECT CAST(ts AS DATE) AS ds, symbol, median(price) AS price FROM peg_points GROUP BY 1, 2"))
 def src_series_csv(spark, d):
     from stressloom.operators.bars import daily_median
     bars = daily_median(tb.peg_points(spark, d))
@@ -225,9 +225,9 @@ def proj_canonical_columns(spark, d):
 @query("filter_date_range", "tvl", W(DAILY_ORDERS, q="SELECT ds, tvl, count(*) OVER () AS n FROM daily_orders WHERE ds BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'"), digits=2)
 def filter_date_range(spark, d):
     o = tb.read(spark, d, "orders").filter(F.col("o_orderdate").between(F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("1997-12-31").cast("timestamp_ntz")))
-    g = o.groupBy(F.col("o_orderdate").cast("date").alias("ds")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100.0).alias("tvl"))
-    n = g.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    return ch.one_row(g, n).select("ds", "tvl", "n").orderBy("ds")
+    g = o.groupBy(F.col("o_orderdate").cast("date").alias("ds")).agg((F.sum(tb.whole("o_totalprice", 100)) / 100.0).alias("tvl"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit("orders")))  # one daily series: bounded by the calendar
+    return g.withColumn("n", n).select("ds", "tvl", "n").orderBy("ds")
 
 
 @query("filter_range_preset", "idx", W(PANEL, q="""

@@ -21,6 +21,11 @@ def pe(spark, d):
     return tb.panel(spark, d), tb.events_dim(spark)
 
 
+def stored_pe(spark, d):
+    """For plans that use the panel in several branches."""
+    return tb.stored_panel(spark, d), tb.events_dim(spark)
+
+
 CASB = """cas AS (SELECT *, n*(ma-mu) AS cas, n*(ma-mu)/(sd*sqrt(n)) AS t_stat FROM base)"""
 STUDY = "n expected expected_sd cas t_stat peak"
 
@@ -44,7 +49,7 @@ def ts_lead_time(spark, d):
     UNION ALL SELECT 'counterfactual_60d', c.series_id, n*(ma-mu), n*(ma-mu)/(sd*sqrt(n)), u FROM base60 c JOIN sust USING (series_id, event))""", q="""
   SELECT series_id, profile, count(*) AS n_events, count(*) FILTER (WHERE abs(t_stat) > 2.0211) AS n_significant, avg(lead) AS mean_lead, avg(t_stat) AS mean_t, avg(cas) AS mean_cas FROM prof GROUP BY 1, 2"""))
 def ts_profile_compare(spark, d):
-    p, e = pe(spark, d)
+    p, e = stored_pe(spark, d)
     out = None
     for name in S.EVENT_PROFILES:
         s = es.study(p, e, name)
@@ -90,14 +95,14 @@ PLAC = """elig AS (SELECT series_id, ds AS event_date FROM panel p JOIN (SELECT
   SELECT series_id, count(*) AS n_dates, avg(abs(t_hac)) AS mean_abs_t, max(abs(t_hac)) AS max_abs_t, median(abs(t_hac)) AS median_abs_t, quantile_cont(abs(t_hac),0.95) AS q95_abs_t,
    count(*) FILTER (WHERE abs(t_hac) > 3.52) AS n_beyond, avg(CAST(abs(t_hac) > 3.52 AS INT)) AS share_beyond FROM plac GROUP BY 1"""))
 def ts_placebo_all(spark, d):
-    return es.placebo_summary(es.placebo_table(*pe(spark, d)))
+    return es.placebo_summary(es.placebo_table(*stored_pe(spark, d)))
 
 
 @query("ts_placebo_p", "p_one_sided p_two_sided", W(PANEL, EVENTS_DIM, WIN, CASB, HACS, PLAC, q="""
   SELECT p.series_id, o.event, avg(CAST(t_hac >= o.m/o.se AS INT)) AS p_one_sided, avg(CAST(abs(t_hac) >= abs(o.m/o.se) AS INT)) AS p_two_sided
   FROM plac p JOIN hac o ON p.series_id=o.series_id AND o.lag=20 GROUP BY 1, 2"""))
 def ts_placebo_p(spark, d):
-    p, e = pe(spark, d)
+    p, e = stored_pe(spark, d)
     seen = es.hac(p, e, (S.HAC_PRIMARY_LAG,)).select("series_id", "event", "t_hac")
     return es.placebo_p(es.placebo_table(p, e), seen)
 
@@ -210,9 +215,7 @@ OPT = f"""met AS (SELECT *, recall+specificity-1 AS youden, (recall+specificity)
   SELECT series_id, criterion, score AS threshold, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY series_id, criterion ORDER BY round(v,12) DESC, score) rn FROM (
    SELECT series_id, score, 'f1' AS criterion, f1 AS v FROM met UNION ALL SELECT series_id, score, 'youden', youden FROM met UNION ALL SELECT series_id, score, 'balanced', balanced FROM met)) WHERE rn = 1"""))
 def ts_optimal_threshold(spark, d):
-    c = scored_curve(spark, d)
-    parts = [classify.optimal(c, ["series_id"], k).select("series_id", F.lit(k).alias("criterion"), "threshold", F.col(k).alias("value")) for k in ("f1", "youden", "balanced")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return classify.optimal_all(scored_curve(spark, d), ["series_id"])
 
 
 @query("topk_argbest", "threshold f1", W(*SC, OPT, q="""
@@ -238,7 +241,7 @@ DET = """det AS (SELECT series_id, event, max(idx) AS peak30, coalesce(max(event
   SELECT series_id, event, peak, peak30 >= 40 AS at_40, peak30 >= 50 AS at_50, peak30 >= 60 AS at_60, peak30 >= 70 AS at_70, t_stat, abs(t_stat) > 2.7045 AS significant, threshold AS wf_threshold, peak30 >= threshold AS wf_detected
   FROM cas JOIN det USING (series_id, event) JOIN wf USING (series_id, event)"""))
 def ts_detection_matrix(spark, d):
-    p, e = pe(spark, d)
+    p, e = stored_pe(spark, d)
     s = es.study(p, e).select("series_id", "event", "peak", "t_stat", (F.abs("t_stat") > 2.7045).alias("significant"))
     w = es.walk_forward(p, e).select("series_id", "event", F.col("threshold").alias("wf_threshold"), F.col("detected").alias("wf_detected"), *[(F.col("peak") >= t).alias(f"at_{t}") for t in (40, 50, 60, 70)])
     return s.join(w, ["series_id", "event"])
@@ -248,7 +251,7 @@ def ts_detection_matrix(spark, d):
   SELECT series_id, event, threshold, n_train, max(idx) AS peak, max(idx) >= threshold AS detected, coalesce(max(event_date - ds) FILTER (WHERE idx >= threshold), 0) AS lead
   FROM panel JOIN events_dim ON ds BETWEEN event_date - 30 AND event_date - 1 JOIN wf USING (series_id, event) GROUP BY 1, 2, 3, 4"""))
 def ts_walk_forward_threshold(spark, d):
-    return es.walk_forward(*pe(spark, d))
+    return es.walk_forward(*stored_pe(spark, d))
 
 
 THR = """thr AS (SELECT series_id, threshold, alerts, CASE WHEN alerts > 0 THEN ta*1.0/alerts ELSE 0 END AS precision, coalesce(hit, 0)/4.0 AS recall, CASE WHEN quiet > 0 THEN tq*1.0/quiet ELSE 0 END AS specificity FROM (
@@ -283,7 +286,7 @@ LBS = FWD.split(",\n")[0] + ",\n" + ",\n".join(_fwd_sql(k) for k in WIDTHS) + ",
 
 @query("ts_window_sens", "auc f1 lead", W(PANEL, RETS, LBS, q="SELECT a.series_id, a.width, auc, f1, coalesce(lead, 0) AS lead FROM wauc a LEFT JOIN wlead l USING (series_id, width)"))
 def ts_window_sens(spark, d):
-    r = ag.returns(tb.panel(spark, d)).select("series_id", "ds", "idx", "ret")
+    r = ag.returns(tb.stored_panel(spark, d)).select("series_id", "ds", "idx", "ret")
     return sn.window_table(r, "ret", "idx", WIDTHS, drawdown=-0.6)
 
 
@@ -307,7 +310,7 @@ def ts_weight_sens(spark, d):
   UNION ALL SELECT series_id, 'threshold', threshold FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(CASE WHEN precision+recall>0 THEN 2*precision*recall/(precision+recall) ELSE 0 END,12) DESC, threshold) rn FROM thr) WHERE rn=1
   UNION ALL SELECT series_id, 'window', width FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(auc,12) DESC, width) rn FROM wauc) WHERE rn=1"""))
 def ts_full_sens(spark, d):
-    p, e = pe(spark, d)
+    p, e = stored_pe(spark, d)
     r = ag.returns(p).select("series_id", "ds", "idx", "ret")
     w = sn.weight_summary(sn.weight_table(p, e)).select("series_id", F.concat(F.lit("weight:"), "channel").alias("study"), F.col("range").alias("value"))
     t = sn.best_by(sn.threshold_table(p, e, THRS), ["series_id"], "f1", "threshold").select("series_id", F.lit("threshold").alias("study"), F.col("threshold").alias("value"))
@@ -372,7 +375,7 @@ TARGET = """tgt AS (SELECT * FROM (SELECT series_id, ds, idx AS pred, lead(idx,
 
 
 def forward_frame(spark, d):
-    p = tb.panel(spark, d).select("series_id", "ds", F.col("idx").alias("pred"), F.lead("idx", 30).over(win.by_day()).alias("target"))
+    p = tb.stored_panel(spark, d).select("series_id", "ds", F.col("idx").alias("pred"), F.lead("idx", 30).over(win.by_day()).alias("target"))
     return p.filter(F.col("target").isNotNull())
 
 
@@ -390,7 +393,7 @@ def ts_walk_forward(spark, d):
   SELECT a.series_id, a.n AS train_n, a.r2 AS train_r2, a.mse AS train_mse, a.rho AS train_spearman, b.n AS test_n, b.r2 AS test_r2, b.mse AS test_mse, b.rho AS test_spearman, a.r2-b.r2 AS degradation FROM hs a JOIN hs b ON a.series_id=b.series_id AND a.part='train' AND b.part='test'"""), digits=4)
 def ts_oos_holdout(spark, d):
     cut = "1999-12-31"
-    p = tb.panel(spark, d).withColumn("_train", F.col("ds") <= F.lit(cut).cast("date"))
+    p = tb.stored_panel(spark, d).withColumn("_train", F.col("ds") <= F.lit(cut).cast("date"))
     w = Window.partitionBy("series_id", "_train").orderBy("ds")
     t = p.select("series_id", "ds", F.col("idx").alias("pred"), (-(F.lead("idx", 30).over(w) / F.col("idx") - 1)).alias("target"))
     return sn.holdout(t.filter(F.col("target").isNotNull()), cut)
@@ -423,7 +426,7 @@ def ts_naive_benchmarks(spark, d):
     FROM (SELECT l.*, event, ds-on_ AS rel FROM long l JOIN ons o ON l.series_id=o.series_id AND ds BETWEEN on_-30 AND on_+7) l GROUP BY 1,2,3)""", q="""
   SELECT series_id, channel, avg((a-mu)/sd) AS pre_z, avg((b-mu)/sd) AS post_z, count(*) AS n_events, CASE WHEN avg((a-mu)/sd) >= avg((b-mu)/sd) THEN 'leading' ELSE 'confirming' END AS role FROM zs WHERE n >= 3 AND sd > 0 GROUP BY 1,2"""))
 def ts_lead_confirm(spark, d):
-    return sn.lead_confirm(*pe(spark, d))
+    return sn.lead_confirm(*stored_pe(spark, d))
 
 
 @query("ts_anomaly_probe", "missing_percent est_std std_ratio peak peak_z channel_peak", W(PANEL, EVENTS_DIM, """

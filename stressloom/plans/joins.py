@@ -110,10 +110,8 @@ def join_range_label(spark, d):
 def join_range_alerts_events(spark, d):
     e = tb.events_dim(spark)
     h = ev.alert_event_hits(tb.panel(spark, d), e, 70.0)
-    n = e.groupBy(F.lit(1).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    h = h.withColumn("_k", F.lit(1)).join(n, "_k")
-    zero = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return h.select("series_id", zero("tp", "alerts").alias("precision"), zero("detected", "_n").alias("recall"))
+    zero = lambda a, b: F.coalesce(F.col(a) / F.nullif(b, F.lit(0)), F.lit(0.0))
+    return h.select("series_id", zero("tp", F.col("alerts")).alias("precision"), zero("detected", F.lit(e.count())).alias("recall"))
 
 
 @query("join_anti_exclusion", "", W(PANEL, EVENTS_DIM, q="""

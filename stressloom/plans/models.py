@@ -35,7 +35,7 @@ def draw_sql(seed: int, rep: str, num: str) -> str:
 
 def forward_panel(spark, d):
     """Channels with the index 30 rows ahead as the target."""
-    p = tb.panel(spark, d).withColumn("target", F.lead("idx", 30).over(win.by_day()))
+    p = tb.stored_panel(spark, d).withColumn("target", F.lead("idx", 30).over(win.by_day()))
     return p.filter(F.col("target").isNotNull())
 
 
@@ -194,7 +194,7 @@ def ts_onset_hazard(spark, d):
 
 @query("ts_proxy", "pearson spearman r2 rmse")
 def ts_proxy(spark, d):
-    p = align.against(tb.panel(spark, d), "MACHINERY", "idx")
+    p = align.against(tb.stored_panel(spark, d), "MACHINERY", "idx")
     fit = p.groupBy("series_id").agg(corr("x", "y").alias("pearson"), F.regr_r2("y", "x").alias("r2"),
                                      F.sqrt((F.regr_syy("y", "x") - F.pow(F.regr_sxy("y", "x"), F.lit(2.0)) / F.regr_sxx("y", "x")) / F.count("x")).alias("rmse"))
     rho = sn.rank_correlation(p, ["series_id"], "x", "y")
@@ -218,7 +218,7 @@ def plan_sql(reps, block, seed=42, name="plan", src="panel"):
   bs AS (SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1)""", q="""
   SELECT b.*, e AS estimate, 2*e-hi AS basic_lo, 2*e-lo AS basic_hi FROM bs b JOIN (SELECT series_id, avg(idx) AS e FROM panel GROUP BY 1) USING (series_id)"""))
 def ts_bootstrap_mbb(spark, d):
-    return rs.block_bootstrap_mean(tb.panel(spark, d), "idx", reps=200)
+    return rs.block_bootstrap_mean(tb.stored_panel(spark, d), "idx", reps=200)
 
 
 @query("ts_bootstrap_stationary", "boot_mean se lo hi", W(PANEL, f"""
@@ -228,16 +228,16 @@ def ts_bootstrap_mbb(spark, d):
   rm AS (SELECT w.series_id, rep, avg(idx) AS m FROM wk w JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM panel) v ON w.series_id=v.series_id AND w.pos=v.pos GROUP BY 1,2)""", q="""
   SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1"""))
 def ts_bootstrap_stationary(spark, d):
-    return rs.stationary_mean(tb.panel(spark, d), "idx", reps=100)
+    return rs.stationary_mean(tb.stored_panel(spark, d), "idx", reps=100)
 
 
 @query("ts_bootstrap_bca", "estimate bias acceleration lo hi")
 def ts_bootstrap_bca(spark, d):
-    return rs.bca(tb.panel(spark, d), "idx", reps=200)
+    return rs.bca(tb.stored_panel(spark, d), "idx", reps=200)
 
 
 def labelled(spark, d):
-    return ev.lead_label(tb.panel(spark, d), tb.events_dim(spark)).withColumn("idx", F.round("idx", 6))
+    return ev.lead_label(tb.stored_panel(spark, d), tb.events_dim(spark)).withColumn("idx", F.round("idx", 6))
 
 
 AUCW = """rw AS (SELECT p.series_id, rep, v.pos, count(*) AS w FROM {plan} p JOIN posn v ON p.series_id=v.series_id AND {on} GROUP BY 1,2,3),
@@ -271,7 +271,7 @@ def ts_bootstrap_paired(spark, d):
   UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.95, quantile_cont(v, 0.025), quantile_cont(v, 0.975) FROM ls JOIN pt USING (series_id) GROUP BY series_id
   UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.99, quantile_cont(v, 0.005), quantile_cont(v, 0.995) FROM ls JOIN pt USING (series_id) GROUP BY series_id"""))
 def ts_index_distribution(spark, d):
-    return rs.index_distribution(tb.panel(spark, d))
+    return rs.index_distribution(tb.stored_panel(spark, d))
 
 
 @query("win_rolling_bands", "point lo hi se", W(PANEL, f"""
@@ -286,7 +286,7 @@ def win_rolling_bands(spark, d):
   sq AS (SELECT p.series_id, rep, b*20 + (v.pos - start) AS at, v.idx FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1)""", q="""
   SELECT s.series_id, any_value(q.ds) AS ds, avg(s.idx) AS mean, quantile_cont(s.idx, 0.025) AS lo, quantile_cont(s.idx, 0.975) AS hi FROM sq s JOIN posn q ON s.series_id=q.series_id AND s.at=q.pos GROUP BY s.series_id, s.at"""))
 def idx_bootstrap_bands(spark, d):
-    return rs.row_bands(tb.panel(spark, d), "idx", reps=40)
+    return rs.row_bands(tb.stored_panel(spark, d), "idx", reps=40)
 
 
 @query("idx_bootstrap_detection", "rate lo hi mean_lead", W(PANEL, EVENTS_DIM, """
@@ -297,7 +297,7 @@ def idx_bootstrap_bands(spark, d):
   sm AS (SELECT series_id, event, count(*) n, count(lead)*1.0/count(*) AS p, avg(lead) AS mean_lead, CAST(1.959963984540054 AS DOUBLE) AS z FROM ld GROUP BY 1,2)""", q="""
   SELECT series_id, event, p AS rate, (p+z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS lo, (p+z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS hi, mean_lead FROM sm"""))
 def idx_bootstrap_detection(spark, d):
-    return rs.detection(tb.panel(spark, d), tb.events_dim(spark))
+    return rs.detection(tb.stored_panel(spark, d), tb.events_dim(spark))
 
 
 @query("ts_placebo_shuffle", "actual placebo_mean p z", W(PANEL, EVENTS_DIM, f"""
@@ -310,7 +310,7 @@ def idx_bootstrap_detection(spark, d):
   ff AS (SELECT d.series_id, d.rep, coalesce(2*(tp*1.0/alerts)*(fd/4.0)/nullif(tp*1.0/alerts+fd/4.0, 0), 0) AS f1 FROM (SELECT DISTINCT series_id, rep FROM fk) d JOIN ta USING (series_id) LEFT JOIN ht h ON d.series_id=h.series_id AND d.rep=h.rep)""", q="""
   SELECT f.series_id, a.f1 AS actual, avg(f.f1) AS placebo_mean, avg(CAST(f.f1 >= a.f1 AS INT)) AS p, (a.f1-avg(f.f1))/nullif(stddev_pop(f.f1),0) AS z FROM ff f JOIN ff a ON f.series_id=a.series_id AND a.rep=-1 WHERE f.rep >= 0 GROUP BY f.series_id, a.f1"""))
 def ts_placebo_shuffle(spark, d):
-    return rs.placebo_shuffle(tb.panel(spark, d), tb.events_dim(spark))
+    return rs.placebo_shuffle(tb.stored_panel(spark, d), tb.events_dim(spark))
 
 
 @query("ts_placebo_features", "actual placebo_mean placebo_sd p", W(PANEL, f"""
@@ -342,7 +342,7 @@ def udf_metrics(spark, d):
 
 @query("udf_objective", "score")
 def udf_objective(spark, d):
-    p = regimes.static_probabilities(tb.panel(spark, d), fixed_model())
+    p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
     parts = [regimes.calibrate(p, tb.events_dim(spark), o, trials=20).select("series_id", F.lit(o).alias("objective"), "trial", "score") for o in ("detection_rate", "lead_time", "f1")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -366,7 +366,7 @@ def udtf_windows(spark, d):
 
 # ----------------------------------------------------------------- regimes
 def fitted(spark, d, k=3, iterations=6):
-    return regimes.fit(tb.panel(spark, d), (k,), iterations=iterations)[k]
+    return regimes.fit(tb.stored_panel(spark, d), (k,), iterations=iterations)[k]
 
 
 @query("rg_hmm_fit", "v", digits=4)
@@ -448,7 +448,7 @@ def rg_save_load(spark, d):
 
 @query("idx_calibrate_regime", "score")
 def idx_calibrate_regime(spark, d):
-    p = regimes.static_probabilities(tb.panel(spark, d), fixed_model())
+    p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
     c = regimes.calibrate(p, tb.events_dim(spark), trials=40)
     return c.select("series_id", "trial", "score", F.to_json("weights").alias("weights"))
 
@@ -456,7 +456,7 @@ def idx_calibrate_regime(spark, d):
 @query("idx_regime_full", "frequency level mean_idx persistence distance")
 def idx_regime_full(spark, d):
     from stressloom.operators.regime_stats import regime_profile
-    p, m = tb.panel(spark, d), fixed_model()
+    p, m = tb.stored_panel(spark, d), fixed_model()
     f = regimes.regime_index(regimes.filtered(p, m).join(p, ["series_id", "ds"]))
     j = f.join(regimes.decode(p, m), ["series_id", "ds"]).select("series_id", "ds", "regime", *S.CHANNELS, F.col("idx").alias("_base"), F.col("value").alias("idx"))
     gap = j.groupBy("series_id").agg(F.avg(F.abs(F.col("idx") - F.col("_base"))).alias("distance"))
@@ -465,7 +465,7 @@ def idx_regime_full(spark, d):
 
 @query("idx_method_validators", "peak train_mean train_std test_mean test_std")
 def idx_method_validators(spark, d):
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     split = "1999-06-30"
     train = p.filter(F.col("ds") <= F.lit(split).cast("date"))
     lam = compose.fit_families(train, ("clayton",)).select("series_id", F.col("lambda_l").alias("lam"))
@@ -483,7 +483,7 @@ def idx_method_validators(spark, d):
 # -------------------------------------------------------------- composites
 def model_frame(spark, d):
     """Long (series_id, ds, label, model, score) on the dates common to all models."""
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     lab = ev.lead_label(p, tb.events_dim(spark)).select("series_id", "ds", "label")
     wide = p.select("series_id", "ds", F.col("idx").alias("composite"), *S.CHANNELS, (-(F.col("idx") / F.lag("idx", 30).over(win.by_day()) - 1)).alias("fall_30"))
     wide = wide.join(gram.pca_scores(p, "vector").withColumnRenamed("score", "first_component"), ["series_id", "ds"])
@@ -503,7 +503,7 @@ def ts_fair_baselines(spark, d):
 
 @query("ts_labelled_sample", "composite connectedness")
 def ts_labelled_sample(spark, d):
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     s = p.select("series_id", "ds", F.col("idx").alias("composite")).join(gram.rolling_connectedness(p), ["series_id", "ds"])
     s = s.filter(F.col("ds").between(F.lit("1996-01-01").cast("date"), F.lit("2000-12-31").cast("date")))
     return ev.lead_label(s, tb.events_dim(spark)).select("series_id", "ds", "label", "composite", "connectedness")
@@ -512,7 +512,7 @@ def ts_labelled_sample(spark, d):
 @query("ts_benchmark", "auroc auprc abs_spearman")
 def ts_benchmark(spark, d):
     """Index and naive benchmarks against the forward fall label: areas, rank correlation, lag-1 causality, rank."""
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     w = win.by_day()
     e = Window.partitionBy("series_id")
     r = p.withColumn("target", -(F.lead("idx", 30).over(w) / F.col("idx") - 1)).withColumn("label", (F.col("target") > 0.2).cast("int")).filter(F.col("target").isNotNull())
@@ -546,7 +546,7 @@ def ts_walk_forward_opt(spark, d):
 def ts_validation_run(spark, d):
     """The suite as one tidy table, with a pass flag per series: at least three significant events, positive
     out-of-sample R2 of the refitted index, at least two robust channels."""
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     e = tb.events_dim(spark)
     tidy = lambda df, study, value: df.select("series_id", F.lit(study).alias("study"), value.cast("double").alias("value"))
     events = es.study(p, e).groupBy("series_id").agg(F.count_if(F.abs("t_stat") > 2.0211).alias("v"))

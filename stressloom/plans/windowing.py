@@ -203,7 +203,13 @@ def win_islands(spark, d):
     return paths.runs(tb.panel(spark, d).select("series_id", "ds", (F.col("idx") >= 50).alias("y")), "y").select("series_id", "ds", "run")
 
 
-@query("win_spaced_breaks")
+BREAKS = "WITH RECURSIVE " + PANEL + ",\n" + CUSUM + """,
+ b AS (SELECT series_id, ds, pos FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS pos FROM cus) WHERE abs(cusum) > 1.36),
+ rec(series_id, pos) AS (SELECT series_id, min(pos) FROM b GROUP BY 1 UNION ALL SELECT r.series_id, (SELECT min(pos) FROM b WHERE b.series_id = r.series_id AND b.pos > r.pos + 30) FROM rec r WHERE r.pos IS NOT NULL)
+SELECT series_id, ds AS break_date FROM rec JOIN b USING (series_id, pos)"""
+
+
+@query("win_spaced_breaks", "", BREAKS)
 def win_spaced_breaks(spark, d):
     return paths.spaced_breaks(paths.cusum(tb.panel(spark, d), "idx"))
 

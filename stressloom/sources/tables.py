@@ -10,17 +10,23 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stressloom.functions import scoring as fn
+from stressloom.session import scratch_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(c: str, scale: int = 1) -> Column:
+    """Nearest integer of a non-negative column as bigint. Plain arithmetic: the built-in round goes through decimals."""
+    return F.floor(F.col(c) * F.lit(float(scale)) + F.lit(0.5))
+
+
 def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("l_shipdate").cast("date").alias("ds")
@@ -33,9 +39,9 @@ def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("c_mktsegment").alias("series_id"), "ds")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(F.round("l_quantity").cast("bigint")).alias("q"),
-            F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("d"),
-            F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("t"),
+            F.sum(whole("l_quantity")).alias("q"),
+            F.sum(whole("l_discount", 100)).alias("d"),
+            F.sum(whole("l_tax", 100)).alias("t"),
             F.count_if(F.col("l_returnflag") == "R").alias("r"),
         )
     )
@@ -59,6 +65,15 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels_from_sums(daily_sums(spark, sf_dir))
 
 
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written once to the shared folder and read back, for plans that use it in several branches: the raw
+    tables are then scanned and joined once, and a lost executor does not repeat that work."""
+    p = panel(spark, sf_dir)
+    path = scratch_path(spark, "panel")
+    p.write.parquet(path)
+    return spark.read.schema(p.schema).parquet(path)
+
+
 def panel_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The all-segments series, re-aggregated from the segment sums."""
     total = (
@@ -108,7 +123,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coins(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    cents = whole("p_retailprice", 100)
     return (
         p.groupBy(F.col("p_brand").alias("symbol"))
         .agg(
@@ -146,7 +161,7 @@ def supplier_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read(spark, sf_dir, "lineitem")
     return (
         li.groupBy(F.col("l_suppkey").alias("supplier"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month"))
-        .agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+        .agg(F.sum(whole("l_extendedprice", 100)).alias("cents"))
     )
 
 
@@ -155,7 +170,7 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     return (
         o.groupBy(F.col("o_orderdate").cast("date").alias("ds"))
-        .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(whole("o_totalprice", 100)).alias("cents"), F.count(F.lit(1)).alias("n"))
         .select("ds", (F.col("cents") / 100.0).alias("tvl"), "n")
     )
 
