@@ -1,8 +1,6 @@
 """Channel inputs from coin and protocol snapshots.
 
-Snapshots reduce by partial aggregation to one row per snapshot key; the top-k parts use a bounded
-`collect`-free route: order-preserving top-k (`orderBy().limit()` plans as TakeOrderedAndProject) or, per key,
-array slices of a per-partition pre-trimmed set.
+Snapshots reduce by partial aggregation. Global top-k uses an ordered limit; top-k per key ranks inside salts first.
 """
 
 from __future__ import annotations

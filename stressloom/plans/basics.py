@@ -12,7 +12,6 @@ from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import align, channels as ch, eventjoin as ev, quality
 from stressloom.operators import windows as win
-from stressloom.plans.aggregations import RETS
 from stressloom.plans.registry import query
 from stressloom.plans.scalars import BAND4, PLAIN_TERMS, _hits
 from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, HEADLINES, OBSERVATIONS, PANEL, PEG_POINTS, PROTOCOLS, COINS, W

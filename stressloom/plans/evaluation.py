@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from stressloom import schema as S
 from stressloom.operators import aggregates as ag
-from stressloom.operators import breaks, classify, compose, eventjoin as ev, grids, paths, sensitivity as sn
+from stressloom.operators import breaks, classify, eventjoin as ev, paths, sensitivity as sn
 from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
 from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, RATIOS, RETS
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, OBSERVATIONS, PANEL, W
-from stressloom.plans.windowing import BREACH, BY, CUSUM, FWD, SUST, WIN
+from stressloom.plans.windowing import BREACH, CUSUM, FWD, SUST, WIN
 from stressloom.sources import tables as tb
 
 

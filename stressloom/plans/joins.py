@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import scoring as fn
 from stressloom.operators import aggregates as ag
-from stressloom.operators import align, asof, calendar, compose, eventjoin as ev, grids, snapshot
-from stressloom.plans.aggregations import CHS, CRISIS, LABELLED, LONG, METH, method_frame
+from stressloom.operators import align, asof, calendar, eventjoin as ev, grids, snapshot
+from stressloom.plans.aggregations import CHS, LABELLED, LONG
 from stressloom.plans.registry import query
 from stressloom.plans.scalars import PLAIN_TERMS
-from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, HEADLINES, OBSERVATIONS, PANEL, PEG_POINTS, W
+from stressloom.plans.sqltext import EVENTS_DIM, HEADLINES, OBSERVATIONS, PANEL, W
 from stressloom.sources import tables as tb
 
 

@@ -17,7 +17,7 @@ from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
 from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, _corr_all, pair_returns
 from stressloom.plans.composition import fixed_model
-from stressloom.plans.evaluation import TARGET, forward_frame, pe
+from stressloom.plans.evaluation import forward_frame, pe
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import EVENTS_DIM, PANEL, W
 from stressloom.session import scratch_path

@@ -38,6 +38,7 @@ def query(name: str, doubles: str = "", sql: str | None = None, digits: int = 6)
 
 
 def run(q: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # the landed times are UTC
     df = q.build(spark, sf_dir)
     names = set(q.doubles)
     return df.select(

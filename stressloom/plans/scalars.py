@@ -12,7 +12,7 @@ from stressloom.operators import channels as ch
 from stressloom.operators import windows as win
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import (
-    COINS, DAILY_ORDERS, HEADLINES, OBSERVATIONS, PANEL, PROTOCOLS, REVENUE, W,
+    COINS, DAILY_ORDERS, HEADLINES, PANEL, PROTOCOLS, REVENUE, W,
 )
 from stressloom.sources import tables as tb
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stressloom import schema as S
 from stressloom.operators import aggregates as ag
-from stressloom.operators import align, bars, compose, eventjoin as ev, paths, rolling
+from stressloom.operators import align, bars, compose, paths, rolling
 from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
-from stressloom.plans.aggregations import AVGRANK, LABELLED, RETS, SYS, pair_returns
+from stressloom.plans.aggregations import AVGRANK, RETS, SYS, pair_returns
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, PANEL, PEG_POINTS, W
 from stressloom.sources import tables as tb

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import days, panel, series
-from stressloom import schema as S
 from stressloom.functions import arrays as A
 from stressloom.functions import special as sp
 from stressloom.operators import aggregates as ag
