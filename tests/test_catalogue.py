@@ -45,3 +45,14 @@ def test_no_cross_join_in_grid_plans(spark, sf):
     for name in ("ts_weight_sens", "ts_ablation", "idx_fit_ces_rho", "join_cross_grid"):
         plan = entry.queries()[name](spark, sf)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_date_filter_and_columns_reach_the_scan(spark, sf):
+    plan = entry.queries()["filter_date_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThanOrEqual(o_orde" in plan  # the text is cut there
+    assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
+
+
+def test_stored_panel_is_scanned_once(spark, sf):
+    plan = entry.queries()["ts_bootstrap_mbb"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan

@@ -86,3 +86,14 @@ def test_refresh_is_idempotent(spark, tmp_path):
     jobs.refresh(spark, land, t, audit, ck, new.schema)
     assert spark.read.parquet(t).count() == 30
     assert spark.read.parquet(audit).agg(F.sum("appended")).first()[0] == 10
+
+
+def test_shared_folder_comes_from_the_session(spark, tmp_path):
+    from stressloom.session import scratch_path, shared_folder
+
+    before = shared_folder(spark)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert scratch_path(spark, "x").startswith(str(tmp_path))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
