@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from stressloom.session import scratch_path
 
@@ -15,6 +15,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of so many rows, which bounds what a worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def partition_number() -> int:
     """Of the running task. A retried task reads the same rows under the same number, so numbers made from it are stable."""
     return TaskContext.get().partitionId()

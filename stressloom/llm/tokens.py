@@ -15,18 +15,19 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import partition_number, store
+from stressloom.llm.staging import partition_number, small_batches, store
 
 #: Entries of the broadcast table: about 10 MB, whatever the corpus.
 FREQUENT = 1 << 18
 #: Distinct units that a task holds before it passes its counts on.
-HELD = 1 << 19
+HELD = 1 << 17
 
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -64,18 +65,25 @@ class Splitter:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
 
+def slices(names: list[str], *columns: pa.Array) -> Iterator[pa.RecordBatch]:
+    """In batches that the JVM side holds at ease."""
+    whole = pa.RecordBatch.from_arrays(list(columns), names)
+    for i in range(0, len(whole), 1 << 14):
+        yield whole.slice(i, 1 << 14)
+
+
 def distinct_units(texts: DataFrame, path: str) -> DataFrame:
     """(unit, times) over all texts."""
 
     def count(batches):
         cut, seen = Splitter(path), Counter()
         for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(cut.units(t)[1])
-            if len(seen) > HELD:
-                yield pa.RecordBatch.from_pydict({"unit": list(seen), "times": list(seen.values())})
-                seen = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "times"])
+            for t in b.column("text"):
+                seen.update(cut.units(t.as_py())[1])
+                if len(seen) > HELD:
+                    yield from slices(["unit", "times"], pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()))
+                    seen.clear()
+        yield from slices(["unit", "times"], pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()))
 
     return texts.select("text").mapInArrow(count, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
 
@@ -86,25 +94,42 @@ def piece_table(units: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         cut = Splitter(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("times"), pa.array(cut.pieces(b.column("unit").to_pylist()), pa.int32())], ["unit", "times", "pieces"])
+            pieces = [n for i in range(0, len(b), 1024) for n in cut.pieces(b.column("unit").slice(i, 1024).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("times"), pa.array(pieces, pa.int32())], ["unit", "times", "pieces"])
 
     return units.mapInArrow(encode, "unit string, times bigint, pieces int")
 
 
+def commonest(table: DataFrame, most: int) -> dict[str, int]:
+    """unit -> pieces of all units that occur at least t times, for the least t of a fixed scale that leaves `most` of them or fewer."""
+    step = F.floor(F.log2("times") * 8)
+    least, total = None, 0
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    found = table.where(step >= least).select("unit", "pieces").toArrow()
+    return dict(zip(found.column("unit").to_pylist(), found.column("pieces").to_pylist()))
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = store(piece_table(distinct_units(texts, path), path), "pieces")
-    common = {r["unit"]: r["pieces"] for r in table.orderBy(F.desc("times"), "unit").limit(frequent).collect()}
+    common = commonest(table, frequent)
     known = spark.sparkContext.broadcast(common)
 
     def take(batches):
         cut, at, common = Splitter(path), partition_number() << 33, known.value
         for b in batches:
-            texts, sure, rare, times = b.column("text").to_pylist(), [], [], []
-            for t in texts:
-                total, units = cut.units(t)
+            sure, rare, times = [], [], []
+            for t in b.column("text"):
+                total, units = cut.units(t.as_py())
                 left = []
                 for u, n in Counter(units).items():
                     p = common.get(u)
@@ -116,10 +141,10 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 rare.append([u for u, _ in left])
                 times.append([n for _, n in left])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(at, at + len(texts)), pa.int64()), b.column("doc_id"), pc.binary_length(b.column("text")).cast(pa.int64()), pa.array(sure, pa.int64()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
+                [pa.array(range(at, at + len(b)), pa.int64()), b.column("doc_id"), pc.binary_length(b.column("text")).cast(pa.int64()), pa.array(sure, pa.int64()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
                 ["row", "doc_id", "n_bytes", "sure", "rare", "times"],
             )
-            at += len(texts)
+            at += len(b)
 
     rows = store(texts.mapInArrow(take, "row bigint, doc_id bigint, n_bytes bigint, sure bigint, rare array<string>, times array<int>"), "units")
     rest = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("u")).select("row", F.col("u.rare").alias("unit"), F.col("u.times").alias("n"))
