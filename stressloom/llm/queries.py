@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from stressloom.llm import pii, tokens
+from stressloom.llm import near_dups, pii, quality, tokens, toxicity
 
 QUERIES = {
+    "op5_quality": quality.query,
+    "op6_toxicity": toxicity.query,
     "op7_token_counts": tokens.query,
+    "op9_near_duplicates": near_dups.query,
     "op10_pii": pii.query,
 }
 

@@ -13,8 +13,11 @@ Null texts are empty and have no tokens; repeated rows give repeated results; a
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections import Counter
+from functools import cached_property
 from typing import Iterator
 
 import pyarrow as pa
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from stressloom.llm.staging import partition_number, small_batches, store
 
-#: Entries of the broadcast table: about 10 MB, whatever the corpus.
-FREQUENT = 1 << 18
+#: Entries of the broadcast table: about 5 MB, whatever the corpus.
+FREQUENT = 1 << 17
 #: Distinct units that a task holds before it passes its counts on.
 HELD = 1 << 17
 
@@ -37,14 +40,9 @@ class Splitter:
     """Units of texts for one tokenizer file; made once in each task."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        import json
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        made = json.load(open(path))
+        self.path = path
+        with open(path) as f:
+            made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
         if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or made.get("normalizer"):
             raise ValueError("units need a byte-level tokenizer without a prefix blank and without a normalizer")
@@ -61,6 +59,16 @@ class Splitter:
         parts = self.added.split(text)
         return len(parts) - 1, [u for p in parts for u in UNIT.findall(p)]
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def pieces(self, units: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
