@@ -56,7 +56,7 @@ def sequence_keys(w) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k0, k1, s0..s6) of every row; the signature of an empty set is not used."""
+    """(doc_id, form, n_shingles, k0, k1, s0..s6) of every row; the signature of an empty set is not used."""
 
     def read(batches):
         for b in batches:
@@ -74,12 +74,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     least = np.minimum.reduceat(mix_lane(g, k), first[some])
                     sign[k // LANES, some] |= (mix(least) & np.uint64(0xFFFF)) << np.uint64(BITS * (k % LANES))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(rows.start, n), pa.array(size), *map(pa.array, sequence_keys(w)), *[pa.array(s.view(np.int64)) for s in sign]],
-                    ["doc_id", "n_shingles", "k0", "k1", *_SIGNATURE],
+                    [b.column("doc_id").slice(rows.start, n), b.column("form").slice(rows.start, n), pa.array(size), *map(pa.array, sequence_keys(w)), *[pa.array(s.view(np.int64)) for s in sign]],
+                    ["doc_id", "form", "n_shingles", "k0", "k1", *_SIGNATURE],
                 )
 
-    kind = ", ".join(f"{c} bigint" for c in ["doc_id", "n_shingles", "k0", "k1", *_SIGNATURE])
-    return docs.select("doc_id", "text").mapInArrow(read, kind)
+    kind = ", ".join(f"{c} bigint" for c in ["doc_id", "form", "n_shingles", "k0", "k1", *_SIGNATURE])
+    return docs.select("doc_id", F.xxhash64("text").alias("form"), "text").mapInArrow(read, kind)
 
 
 def mix_lane(g: np.ndarray, k: int) -> np.ndarray:
@@ -151,7 +151,7 @@ def shingles(row: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    """One row per input row: doc_id, n_shingles, component_id, form (a hash of the text), kept."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = store(signatures(texts), "signatures")
@@ -182,11 +182,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = store(components(links.union(more), "a", "b"), "components")
 
     final = classes.select("k0", "k1", F.col("doc_id").alias("node")).join(of, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component"))
-    named = rows.where("n_shingles > 0").join(final, ["k0", "k1"], "left").select("doc_id", "n_shingles", "component")
-    return named.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id")).select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")
+    named = rows.where("n_shingles > 0").join(final, ["k0", "k1"], "left").select("doc_id", "n_shingles", "component", "form")
+    return named.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id", "form")).select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "form"
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, rows repeated with id and text once, and the rows without an id."""
+    go = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("go"), F.col("form").alias("go_form")).distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull())
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    stay = with_id.withColumn(free, F.xxhash64("text")).join(go.toDF(free + "i", free + "f"), (F.col("doc_id").cast("bigint") == F.col(free + "i")) & (F.col(free) == F.col(free + "f")), "left_anti")
+    return stay.dropDuplicates(["doc_id", free]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stressloom.llm.staging import small_batches
+
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
@@ -113,6 +115,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     kind = "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>"
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
+    small_batches(docs.sparkSession)
+
     def scan(batches):
         for b in batches:
             found = [[dict(zip(("kind", "start", "end", "score"), s)) for s in spans(t or "", least)] for t in b.column("text").to_pylist()]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from stressloom.llm import near_dups, pii, quality, tokens, toxicity
+from stressloom.llm import decontaminate, line_dedup, mixing, near_dups, pii, quality, tokens, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontaminate.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
     "op6_toxicity": toxicity.query,
     "op7_token_counts": tokens.query,
+    "op8_mixing": mixing.query,
     "op9_near_duplicates": near_dups.query,
     "op10_pii": pii.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": mixing.sql()}

@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_STEPS[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             steps = np.full(n, base, np.uint64)
@@ -75,7 +75,7 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     while i < len(starts):  # pieces bound the memory of very long texts
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
         lo, hi = starts[i], ends[j - 1]
-        up, down = _powers(max(1 << 20, int(hi - lo)))
+        up, down = powers(max(1 << 20, int(hi - lo)))
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTES[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         hashes[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]

@@ -9,6 +9,8 @@ repeated results; a null id is passed through, not held out. Lang, source, id an
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stressloom.llm.rounds import labelled_sample, train
-from stressloom.llm.staging import store
+from stressloom.llm.staging import small_batches, store
 from stressloom.llm.text import chunks, held, mix, row_of, words
 
 FAMILIES = (1 << 16, 1 << 16, 1 << 16)  # words, pairs, pairs that skip one word
 SIZE = sum(FAMILIES)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 ROUNDS = 8
+THRESHOLD = 0.5
 #: Gradient factor of toxic examples, which are about a tenth of all.
 WEIGHT = 4.0
 
@@ -84,16 +87,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int =
     return at, w[at]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(doc_id, score) for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def toxic_probability(model: tuple[np.ndarray, np.ndarray] | None, spark: SparkSession):
+    """A function of a text column. The weights are few, and they are broadcast."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def read(batches):
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = np.zeros(SIZE + 1)
         if sent.value is not None:
             dense[sent.value[0]] = sent.value[1]
-        for b in batches:
-            for rows, data, bounds in chunks(b, "text"):
+        for part in parts:
+            out = [np.empty(0)]
+            for rows, data, bounds in chunks(pa.RecordBatch.from_arrays([part], ["text"]), "text"):
                 n = rows.stop - rows.start
                 hit = []
                 for r, i in buckets(words(data, bounds)):
@@ -101,19 +106,29 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataF
                     hit.append(r[on] * SIZE + i[on])
                 found = np.unique(np.concatenate(hit))
                 total = dense[SIZE] + np.bincount(found // SIZE, dense[found % SIZE], n)[:n]
-                p = np.zeros(n) if sent.value is None else 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(rows.start, n), pa.array(p)], ["doc_id", "score"])
+                out.append(np.zeros(n) if sent.value is None else 1 / (1 + np.exp(-np.clip(total, -500, 500))))
+            yield pa.array(np.concatenate(out))
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, score double")
+    return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return score(texts, fit(texts, labels)).select(
-        "doc_id", held(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    score = toxic_probability(fit(texts, labels), docs.sparkSession)
+    return texts.select("doc_id", held(F.col("doc_id"), 5, 0).alias("held_out"), score(F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int")
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold, whole rows, judged where they lie."""
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    model = fit(texts, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(toxic_probability(model, spark)(F.col("text")) < THRESHOLD)
