@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stressloom.llm import decontaminate, line_dedup, mixing, near_dups, pii, quality, tokens, toxicity
+from stressloom.llm import decontaminate, line_dedup, mixing, near_dups, pii, quality, tokens, topk, toxicity
 
 QUERIES = {
+    "op1_topk_search": topk.query,
     "op2_decontamination": decontaminate.query,
     "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 
-SQL: dict[str, str] = {"op8_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op1_topk_search": topk.sql(), "op8_mixing": mixing.sql()}

@@ -23,11 +23,11 @@ from stressloom.llm.text import chunks, held, mix, row_of, words
 
 FAMILIES = (1 << 16, 1 << 16, 1 << 16)  # words, pairs, pairs that skip one word
 SIZE = sum(FAMILIES)
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+ALPHA, BETA, L1, PAIR_L1, L2 = 1.0, 1.0, 6.0, 24.0, 0.1
 ROUNDS = 8
 THRESHOLD = 0.5
 #: Gradient factor of toxic examples, which are about a tenth of all.
-WEIGHT = 4.0
+WEIGHT = 3.0
 
 
 def buckets(w) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -41,10 +41,14 @@ def buckets(w) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def hold(at: np.ndarray) -> np.ndarray:
+    """The L1 term of buckets: pairs need more evidence than words, and the intercept is not held down."""
+    return np.where(at < FAMILIES[0], L1, np.where(at < SIZE, PAIR_L1, 0.0))
+
+
 def weights(state: np.ndarray) -> np.ndarray:
     z, n = state[: SIZE + 1].astype(np.float64), state[SIZE + 1 :].astype(np.float64)
-    l1 = np.full(SIZE + 1, L1)
-    l1[SIZE] = 0  # the intercept is not held down
+    l1 = hold(np.arange(SIZE + 1))
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(np.maximum(n, 0))) / ALPHA + L2))
 
 
@@ -53,8 +57,7 @@ def update(state: np.ndarray, pdf: pd.DataFrame) -> None:
     for idx, y in zip(pdf["idx"], pdf["y"]):
         at = np.append(idx, SIZE)
         zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
-        l1 = np.full(len(at), L1)
-        l1[-1] = 0
+        l1 = hold(at)
         w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
         g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y) * (WEIGHT if y else 1.0)
         z[at] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
