@@ -10,14 +10,15 @@ give repeated results; a null id is passed through, not held out. Lang, source,
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.rounds import labelled_sample, train
-from stressloom.llm.staging import small_batches, store
+from stressloom.llm.rounds import labelled_sample, packed, train
+from stressloom.llm.staging import small_batches
 from stressloom.llm.text import chunks, held, row_of, words
 
 BUCKETS, BINS, RANK = 1 << 15, 12, 8
@@ -77,10 +78,10 @@ def parts(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat[:1], flat[1 : 1 + SIZE], flat[1 + SIZE : 1 + SIZE + SIZE * RANK].reshape(SIZE, RANK)
 
 
-def update(state: np.ndarray, pdf: pd.DataFrame) -> None:
+def update(state: np.ndarray, examples: Iterator) -> None:
     half = len(state) // 2
     (w0, w, v), (a0, a, b) = parts(state[:half]), parts(state[half:])
-    for i, x, y in zip(pdf["idx"], pdf["val"], pdf["y"]):
+    for i, x, y in examples:
         x = x[:, None]
         vi = v[i]
         s = (vi * x).sum(0)
@@ -114,7 +115,7 @@ def examples(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> np.ndarray | None:
     """The flat model, or None without labelled rows."""
-    kept = store(examples(labelled_sample(docs, labels, label)), "quality")
+    kept = packed(examples(labelled_sample(docs, labels, label)))
     if kept.isEmpty():
         return None
     state = train(kept, start(), update, rounds)

@@ -7,13 +7,15 @@ state, whose size is that of the model.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stressloom.llm.staging import store
 from stressloom.llm.text import held
 
 #: Labelled rows that a classifier is fitted on at most, taken by the order of a hash of the id.
@@ -35,18 +37,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int
     return docs.join(F.broadcast(picked), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(SHARDS)).cast("int"))
 
 
-def train(examples: DataFrame, state: np.ndarray, update: Callable[[np.ndarray, pd.DataFrame], None], rounds: int) -> np.ndarray:
-    """`update` changes a float32 state in place over the examples of one shard."""
-    sc = examples.sparkSession.sparkContext
+def packed(examples: DataFrame) -> DataFrame:
+    """The examples (doc_id, shard, y, idx, and val if there is one) of each shard in one row, in the order of ids, written once: rounds
+    then read them without a shuffle. A shard holds about SAMPLE / SHARDS rows."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "y"], kind="stable")
+        cut = np.cumsum([0, *map(len, pdf["idx"])])
+        join = lambda c, t: np.concatenate([np.asarray(x, t) for x in pdf[c]]).tobytes() if c in pdf else b""
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "y": [pdf["y"].to_numpy(np.float64).tobytes()], "cut": [cut.tobytes()], "idx": [join("idx", np.int32)], "val": [join("val", np.float32)]})
+
+    return store(examples.groupBy("shard").applyInPandas(pack, "shard int, y binary, cut binary, idx binary, val binary"), "examples")
+
+
+def train(packs: DataFrame, state: np.ndarray, update: Callable[[np.ndarray, Iterator], None], rounds: int) -> np.ndarray:
+    """`update` changes a float32 state in place over the examples (idx, val, y) of one shard."""
+    sc = packs.sparkSession.sparkContext
     for r in range(rounds):
-        sent, shuffled = sc.broadcast(state), np.random.RandomState(r)
+        sent = sc.broadcast(state)
 
-        def local(pdf: pd.DataFrame) -> pd.DataFrame:
-            now = sent.value.copy()
-            pdf = pdf.sort_values("doc_id", kind="stable")
-            update(now, pdf.iloc[shuffled.permutation(len(pdf))])
-            change = now - sent.value
-            return pd.DataFrame([(i, change[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(-(-len(change) // BLOCK))], columns=["block", "part"])
+        def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    now = sent.value.copy()
+                    y, cut, idx, val = (np.frombuffer(row[c], t) for c, t in (("y", np.float64), ("cut", np.int64), ("idx", np.int32), ("val", np.float32)))
+                    order = np.random.RandomState(r).permutation(len(y))
+                    update(now, ((idx[cut[i] : cut[i + 1]], val[cut[i] : cut[i + 1]], y[i]) for i in order))
+                    change = now - sent.value
+                    parts = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
 
         def mean(pdf: pd.DataFrame) -> pd.DataFrame:
             parts = np.stack([np.frombuffer(p, np.float32) for p in pdf["part"]]).astype(np.float64)
@@ -54,8 +73,7 @@ def train(examples: DataFrame, state: np.ndarray, update: Callable[[np.ndarray,
             return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [(parts.sum(0) / np.maximum(1, (parts != 0).sum(0))).astype(np.float32).tobytes()]})
 
         kind = "block int, part binary"
-        blocks = examples.groupBy("shard").applyInPandas(local, kind).groupBy("block").applyInPandas(mean, kind).collect()
+        blocks = packs.mapInArrow(local, kind).groupBy("block").applyInPandas(mean, kind).collect()
         if blocks:
             state = state + np.concatenate([np.frombuffer(b["part"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])
     return state
-

@@ -12,13 +12,12 @@ from __future__ import annotations
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.rounds import labelled_sample, train
-from stressloom.llm.staging import small_batches, store
+from stressloom.llm.rounds import labelled_sample, packed, train
+from stressloom.llm.staging import small_batches
 from stressloom.llm.text import chunks, held, mix, row_of, words
 
 FAMILIES = (1 << 16, 1 << 16, 1 << 16)  # words, pairs, pairs that skip one word
@@ -52,9 +51,9 @@ def weights(state: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(np.maximum(n, 0))) / ALPHA + L2))
 
 
-def update(state: np.ndarray, pdf: pd.DataFrame) -> None:
+def update(state: np.ndarray, examples: Iterator) -> None:
     z, n = state[: SIZE + 1], state[SIZE + 1 :]
-    for idx, y in zip(pdf["idx"], pdf["y"]):
+    for idx, _, y in examples:
         at = np.append(idx, SIZE)
         zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
         l1 = hold(at)
@@ -82,7 +81,7 @@ def examples(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
     """The weights that are not 0, as (bucket, weight), the intercept under bucket SIZE; None without labelled rows."""
-    kept = store(examples(labelled_sample(docs, labels, label)), "toxicity")
+    kept = packed(examples(labelled_sample(docs, labels, label)))
     if kept.isEmpty():
         return None
     w = weights(train(kept, np.zeros(2 * (SIZE + 1), np.float32), update, rounds))
