@@ -9,11 +9,13 @@ fewer words the whole sequence is the one shingle; without words the set is empt
    DISTANCE = 2 * CHUNKS - 1 = 13 lanes have, by pigeonhole, a chunk with one differing lane or none. So a class has one key per chunk
    and lane, with that lane blanked, and every such pair shares a key. At the least similarity asked for (0.85) the number of
    differing lanes is binomial (28, 0.15): a pair lies beyond 13 with probability 1.2e-5, and any closer pair more rarely.
-3. Every key sends its members to its smallest one (the centre). Pairs that pass the signature distance are confirmed on the texts.
-   Links so found give components; what is left are pairs of a key that lie in different components. Members outside the
-   component of the centre are compared with all members of other components; again only pairs within the signature
-   distance go on. So a key whose members are one group of copies costs as many pairs as it has members, not their square.
-4. Links of both rounds give the components.
+3. In each of TURNS turns every key draws one of its members by a hash as its centre. Members in another component than the centre
+   meet it; pairs that pass the signature distance are confirmed on the texts, and the links found so far give new
+   components. A key costs no more pairs than it has members.
+4. Pairs of a key that still lie in different components are all compared: members outside the largest component of the key meet all
+   members of other components, and pairs within the signature distance are confirmed. So no link between different
+   components is lost, and a group of copies that the turns have joined costs no further pair.
+5. All links give the components.
 
 Null texts are empty. A row without an id has no component and is kept. Repeated ids count as one document for each text they have.
 """
@@ -32,6 +34,7 @@ from stressloom.llm.text import chunks, grams, mix, words
 WORDS, LEAST = 5, 85
 CHUNKS, LANES, BITS = 7, 4, 16
 DISTANCE = 2 * CHUNKS - 1
+TURNS = 3
 #: Members of one centre whose texts are compared in one group of rows.
 SALT = 64
 
@@ -129,27 +132,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     one = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     other = salted.select("a", "b", "salt").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
 
+    def sets(b, column):
+        for rows, data, bounds in chunks(b, column):
+            g, first = grams(words(data, bounds), WORDS)
+            for i in range(rows.stop - rows.start):
+                yield g[first[i] : first[i + 1]]
+
     def read(batches):
         held, of = None, None
         for b in batches:
             out, ids = np.zeros(len(b), bool), b.column("a").to_numpy()
-            for i in range(len(b)):
+            for i, (x, y) in enumerate(zip(sets(b, "a_text"), sets(b, "b_text"))):
                 if of != ids[i]:
-                    of, held = ids[i], shingles(b.slice(i, 1), "a_text")
-                x = shingles(b.slice(i, 1), "b_text")
-                common = len(np.intersect1d(held, x, assume_unique=True))
-                out[i] = 0 < 100 * common >= LEAST * (len(held) + len(x) - common)
+                    of, held = ids[i], np.unique(x)
+                y = np.unique(y)
+                common = len(np.intersect1d(held, y, assume_unique=True))
+                out[i] = 0 < 100 * common >= LEAST * (len(held) + len(y) - common)
             yield b.select(["a", "b"]).filter(pa.array(out))
 
     joined = one.join(other, ["a", "salt"]).select("a", "b", "a_text", "b_text")
     return joined.mapInArrow(read, "a bigint, b bigint")
 
 
-def shingles(row: pa.RecordBatch, column: str) -> np.ndarray:
-    (_, data, bounds), = chunks(row, column)
-    return np.unique(grams(words(data, bounds), WORDS)[0])
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, form (a hash of the text), kept."""
     small_batches(docs.sparkSession)
@@ -160,25 +164,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sign = classes.groupBy("doc_id").agg(F.min(F.struct("n_shingles", *_SIGNATURE)).alias("r")).select("doc_id", "r.*")
 
     keyed = classes.select(keys().alias("key"), "doc_id")
-    centres = keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = store(keyed.join(centres, "key"), "members")
-
-    first = members.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    close = first.join(signed(sign, "a"), "a").join(signed(sign, "b"), "b").where(near("a", "b")).select("a", "b")
-    links = store(confirmed(store(close, "pairs"), texts), "links")
-    of = components(links, "a", "b")
-    label = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    placed = members.join(label("doc_id"), "doc_id", "left").join(label("centre"), "centre", "left").select(
-        "key", "doc_id", F.coalesce("doc_id_component", "doc_id").alias("c"), F.coalesce("centre_component", "centre").alias("cc")
-    )
-    mixed = placed.groupBy("key").agg(F.max(F.col("c") != F.col("cc")).alias("mixed")).where("mixed").select("key")
-    placed = store(placed.join(mixed, "key", "left_semi"), "placed")
-    apart = placed.where("c != cc").select("key", F.col("doc_id").alias("x"), F.col("c").alias("xc")).join(signed(sign, "x"), "x")
-    others = placed.select("key", F.col("doc_id").alias("y"), F.col("c").alias("yc"), "cc").join(signed(sign, "y"), "y")
-    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("cc")) | (F.col("x") < F.col("y"))) & near("x", "y")
-    rest = apart.join(others.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & fits)
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = store(confirmed(store(rest, "pairs"), texts), "links")
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    placed = store(keyed.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("c")), "members")
+    links = None
+    for turn in range(TURNS):
+        centre = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "c")).alias("m"))
+        pairs = placed.join(centre, "key").where(F.col("c") != F.col("m.c")).select(F.col("m.doc_id").alias("x"), F.col("doc_id").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        close = pairs.join(signed(sign, "a"), "a").join(signed(sign, "b"), "b").where(near("a", "b")).select("a", "b")
+        found = store(confirmed(store(close, "pairs"), texts), "links")
+        links = found if links is None else links.union(found)
+        of = components(links, "a", "b")
+        placed = placed.drop("c").join(of.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+        placed = store(placed.join(mixed, "key"), "members")
+    main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("main"))
+    rest = placed.join(main, "key")
+    apart = rest.where("c != main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("xc")).join(signed(sign, "x"), "x")
+    others = rest.select(F.col("key").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main").join(signed(sign, "y"), "y")
+    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near("x", "y")
+    pairs = apart.join(others, (F.col("key") == F.col("of")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = store(confirmed(store(pairs, "pairs"), texts), "links")
     of = store(components(links.union(more), "a", "b"), "components")
 
     final = classes.select("k0", "k1", F.col("doc_id").alias("node")).join(of, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component"))
