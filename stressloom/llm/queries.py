@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from stressloom.llm import decontaminate, line_dedup, mixing, near_dups, pii, quality, tokens, topk, toxicity
+from stressloom.llm import decontaminate, language_model, line_dedup, mixing, near_dups, pii, quality, tokens, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.query,
     "op2_decontamination": decontaminate.query,
+    "op3_lm_scoring": language_model.query,
     "op4_line_dedup": line_dedup.query,
     "op5_quality": quality.query,
     "op6_toxicity": toxicity.query,

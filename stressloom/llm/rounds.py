@@ -67,13 +67,19 @@ def train(packs: DataFrame, state: np.ndarray, update: Callable[[np.ndarray, Ite
                     parts = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
 
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            parts = np.stack([np.frombuffer(p, np.float32) for p in pdf["part"]]).astype(np.float64)
-            parts.sort(axis=0)  # the sum then has one order
-            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [(parts.sum(0) / np.maximum(1, (parts != 0).sum(0))).astype(np.float32).tobytes()]})
-
-        kind = "block int, part binary"
-        blocks = packs.mapInArrow(local, kind).groupBy("block").applyInPandas(mean, kind).collect()
-        if blocks:
-            state = state + np.concatenate([np.frombuffer(b["part"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])
+        state = averaged(packs.mapInArrow(local, "block int, part binary"), state)
     return state
+
+
+def averaged(changes: DataFrame, state: np.ndarray) -> np.ndarray:
+    """The state after the mean of the changes (block, part), per coordinate over those that changed it."""
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = np.stack([np.frombuffer(p, np.float32) for p in pdf["part"]]).astype(np.float64)
+        parts.sort(axis=0)  # the sum then has one order
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [(parts.sum(0) / np.maximum(1, (parts != 0).sum(0))).astype(np.float32).tobytes()]})
+
+    blocks = changes.groupBy("block").applyInPandas(mean, "block int, part binary").collect()
+    if not blocks:
+        return state
+    return state + np.concatenate([np.frombuffer(b["part"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])

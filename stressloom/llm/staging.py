@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stressloom.session import scratch_path
 
@@ -23,3 +25,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def partition_number() -> int:
     """Of the running task. A retried task reads the same rows under the same number, so numbers made from it are stable."""
     return TaskContext.get().partitionId()
+
+
+def commonest(table: DataFrame, most: int, *columns: str) -> pa.Table:
+    """The given columns and `times` of all rows with times >= t, for the least t of a fixed scale that leaves `most` rows or fewer."""
+    step = F.floor(F.log2("times") * 8)
+    least, total = None, 0
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
+        total += r["count"]
+        if total > most:
+            break
+        least = r["step"]
+    found = table.where(step >= least) if least is not None else table.limit(0)
+    return found.select(*columns, "times").toArrow()

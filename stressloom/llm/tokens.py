@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import partition_number, small_batches, store
+from stressloom.llm.staging import commonest, partition_number, small_batches, store
 
 #: Entries of the broadcast table: about 5 MB, whatever the corpus.
 FREQUENT = 1 << 17
@@ -108,28 +108,14 @@ def piece_table(units: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(encode, "unit string, times bigint, pieces int")
 
 
-def commonest(table: DataFrame, most: int) -> dict[str, int]:
-    """unit -> pieces of all units that occur at least t times, for the least t of a fixed scale that leaves `most` of them or fewer."""
-    step = F.floor(F.log2("times") * 8)
-    least, total = None, 0
-    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # at most 512 rows
-        total += r["count"]
-        if total > most:
-            break
-        least = r["step"]
-    if least is None:
-        return {}
-    found = table.where(step >= least).select("unit", "pieces").toArrow()
-    return dict(zip(found.column("unit").to_pylist(), found.column("pieces").to_pylist()))
-
-
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = store(piece_table(distinct_units(texts, path), path), "pieces")
-    common = commonest(table, frequent)
+    top = commonest(table, frequent, "unit", "pieces")
+    common = dict(zip(top.column("unit").to_pylist(), top.column("pieces").to_pylist()))
     known = spark.sparkContext.broadcast(common)
 
     def take(batches):
