@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stressloom.llm.staging import small_batches, store
+from stressloom.llm.staging import by_slot, small_batches, store
 from stressloom.llm.text import chunks, mix, powers, words
 
 RUN, GRAM = 30, 15
@@ -115,10 +115,11 @@ def fingerprints(docs: DataFrame, run: int, gram: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """(doc_id, form, cuts array<struct<line, end>>) of documents that hold later occurrences; form is a hash of the text."""
     marks = store(fingerprints(docs, run, gram), "fingerprints")
-    shared = marks.groupBy("gram").count().where("count > 1").select("gram")
+    # stored, so that the joins are plain ones between two exchanges, whose hot keys Spark can split
+    shared = store(marks.groupBy("gram").count().where("count > 1").select("gram"), "shared")
     around = marks.join(shared, "gram").select("doc_id", "form", "line", F.posexplode(F.arrays_zip("runs", "ends")).alias("at", "r"))
     around = store(around.select(F.col("r.runs").alias("run"), F.struct("doc_id", "form", (F.col("line") + F.col("at")).alias("line")).alias("place"), F.col("r.ends").alias("end")), "runs")
-    first = around.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = store(around.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = around.join(first, "run").where("place != first")
     return later.groupBy("place.doc_id", "place.form").agg(F.collect_list(F.struct("place.line", "end")).alias("cuts"))
 
@@ -157,14 +158,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = repeated_runs(texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), run, gram)
     # names of the joined side that no column of the documents has
     free = "_" * (1 + max(len(c) for c in docs.columns))
-    cuts = cuts.select(F.col("doc_id").alias(free + "i"), F.col("form").alias(free + "f"), F.col("cuts").alias(free + "c"))
-    joined = docs.join(cuts, (F.col(id_col).cast("bigint") == F.col(free + "i")) & (form == F.col(free + "f")), "left")
+    cuts = store(cuts.select(F.col("doc_id").alias(free + "i"), F.col("form").alias(free + "f"), F.col("cuts").alias(free + "c")), "cuts")
+    joined = by_slot(docs, id_col, cuts, free + "i", "left_semi").join(cuts, (F.col(id_col).cast("bigint") == F.col(free + "i")) & (form == F.col(free + "f")), "left")
     touched = F.col(free + "c").isNotNull()
     joined = joined.withColumn(free + "r", _without(F.when(touched, F.col(text_col)), F.col(free + "c")))
-    return joined.select(
+    clean = by_slot(docs, id_col, cuts, free + "i", "left_anti")
+    clean = clean.select(*[c for c in docs.columns if c != "lines_removed"], F.lit(0).alias("lines_removed"))
+    return clean.union(joined.select(
         *[F.when(touched, F.col(free + "r")["text"]).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"],
         F.coalesce(F.col(free + "r")["removed"], F.lit(0)).alias("lines_removed"),
-    )
+    ))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
