@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import small_batches, store
+from stressloom.llm.staging import by_slot, small_batches, store
 from stressloom.llm.text import Words, chunks, grams, words
 
 MATCH = 5
@@ -208,4 +208,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     hits = coverage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("bigint") == hits["hit"], "left_anti")
+    hits = store(hits, "hits")
+    near = by_slot(docs, "doc_id", hits, "hit", "left_semi")
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    return by_slot(docs, "doc_id", hits, "hit", "left_anti").union(near.join(hits.toDF(free), F.col("doc_id").cast("bigint") == F.col(free), "left_anti"))

@@ -12,9 +12,11 @@ fewer words the whole sequence is the one shingle; without words the set is empt
 3. In each of TURNS turns every key draws one of its members by a hash as its centre. Members in another component than the centre
    meet it; pairs that pass the signature distance are confirmed on the texts, and the links found so far give new
    components. A key costs no more pairs than it has members.
-4. Pairs of a key that still lie in different components are all compared: members outside the largest component of the key meet all
-   members of other components, and pairs within the signature distance are confirmed. So no link between different
-   components is lost, and a group of copies that the turns have joined costs no further pair.
+4. What is left are documents of keys whose members still lie in different components, and links between those components. Two sets that
+   link share a shingle among the rarest 15 percent of each (see rare_parts), so these documents join on them: members outside
+   the largest component of a shingle meet all members of other components, pairs within the signature distance are
+   confirmed. No link between different components is lost. A group of copies that the turns have joined costs no further pair, and
+   copies that differ too much have rare shingles of their own and do not meet.
 5. All links give the components.
 
 Null texts are empty. A row without an id has no component and is kept. Repeated ids count as one document for each text they have.
@@ -24,17 +26,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stressloom.llm.components import components
-from stressloom.llm.staging import small_batches, store
+from stressloom.llm.staging import by_slot, small_batches, store
 from stressloom.llm.text import chunks, grams, mix, words
 
 WORDS, LEAST = 5, 85
 CHUNKS, LANES, BITS = 7, 4, 16
 DISTANCE = 2 * CHUNKS - 1
-TURNS = 3
+TURNS = 2
 #: Members of one centre whose texts are compared in one group of rows.
 SALT = 64
 
@@ -126,8 +128,7 @@ def near(a: str, b: str) -> Column:
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the least similarity. Texts of b travel once per pair, those of a once per SALT pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = store(docs.join(ids, "doc_id", "left_semi"), "texts")
+    texts = by_slot(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi")
     salted = pairs.join(pairs.groupBy("a").count(), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT)))
     one = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     other = salted.select("a", "b", "salt").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
@@ -154,6 +155,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(read, "a bigint, b bigint")
 
 
+def rare_parts(texts: DataFrame) -> DataFrame:
+    """(shingle, doc_id): of each set the n - ceil(n * LEAST / 100) + 1 shingles that the fewest of these documents hold. Two sets that
+    link share one of them, since both lists follow one order and the rest is smaller than the common part. Shingles of one
+    document take up their places and meet nothing."""
+
+    def read(batches):
+        for b in batches:
+            for rows, data, bounds in chunks(b, "text"):
+                g, first = grams(words(data, bounds), WORDS)
+                for i in range(rows.stop - rows.start):
+                    s = np.unique(g[first[i] : first[i + 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column("doc_id")[rows.start + i].as_py())), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s)))], ["doc_id", "shingle", "n"])
+
+    rows = store(texts.mapInArrow(read, "doc_id bigint, shingle bigint, n bigint"), "shingles")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    mine = Window.partitionBy("doc_id")
+    ranked = rows.join(held, "shingle").select("doc_id", "shingle", "n", F.row_number().over(mine.orderBy("docs", "shingle")).alias("rank"), F.count(F.lit(1)).over(mine).alias("common"))
+    places = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - (F.col("n") - F.col("common"))
+    return ranked.where(F.col("rank") <= places).select("shingle", "doc_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, form (a hash of the text), kept."""
     small_batches(docs.sparkSession)
@@ -164,8 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sign = classes.groupBy("doc_id").agg(F.min(F.struct("n_shingles", *_SIGNATURE)).alias("r")).select("doc_id", "r.*")
 
     keyed = classes.select(keys().alias("key"), "doc_id")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
+    # stored, so that the join is a plain one between two exchanges, whose hot keys Spark can split
+    shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
     placed = store(keyed.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("c")), "members")
+    ids = placed.select("doc_id").distinct()
+    texts = store(by_slot(texts, "doc_id", ids, "doc_id", "left_semi").join(ids, "doc_id", "left_semi"), "texts")
     links = None
     for turn in range(TURNS):
         centre = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "c")).alias("m"))
@@ -178,12 +203,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = placed.drop("c").join(of.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
         placed = store(placed.join(mixed, "key"), "members")
-    main = placed.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("main"))
-    rest = placed.join(main, "key")
-    apart = rest.where("c != main").select("key", F.col("doc_id").alias("x"), F.col("c").alias("xc")).join(signed(sign, "x"), "x")
-    others = rest.select(F.col("key").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main").join(signed(sign, "y"), "y")
+    left = store(placed.select("doc_id", "c").distinct(), "left")
+    rare = store(rare_parts(by_slot(texts, "doc_id", left, "doc_id", "left_semi").join(left, "doc_id", "left_semi")).join(left, "doc_id"), "rare")
+    main = rare.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("n"))
+    rest = rare.join(main.where("n > 1").drop("n"), "shingle")
+    apart = rest.where("c != main").select("shingle", F.col("doc_id").alias("x"), F.col("c").alias("xc")).join(signed(sign, "x"), "x")
+    others = rest.select(F.col("shingle").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main").join(signed(sign, "y"), "y")
     fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near("x", "y")
-    pairs = apart.join(others, (F.col("key") == F.col("of")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = apart.join(others, (F.col("shingle") == F.col("of")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = store(confirmed(store(pairs, "pairs"), texts), "links")
     of = store(components(links.union(more), "a", "b"), "components")
 
@@ -201,7 +228,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, rows repeated with id and text once, and the rows without an id."""
     go = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("go"), F.col("form").alias("go_form")).distinct()
+    go = store(go, "go")
     with_id = docs.where(F.col("doc_id").isNotNull())
     free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
-    stay = with_id.withColumn(free, F.xxhash64("text")).join(go.toDF(free + "i", free + "f"), (F.col("doc_id").cast("bigint") == F.col(free + "i")) & (F.col(free) == F.col(free + "f")), "left_anti")
-    return stay.dropDuplicates(["doc_id", free]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    hit = by_slot(with_id, "doc_id", repeats(with_id, go), "id", "left_semi").withColumn(free, F.xxhash64("text"))
+    stay = hit.join(go.toDF(free + "i", free + "f"), (F.col("doc_id").cast("bigint") == F.col(free + "i")) & (F.col(free) == F.col(free + "f")), "left_anti")
+    miss = by_slot(with_id, "doc_id", repeats(with_id, go), "id", "left_anti")
+    return miss.union(stay.dropDuplicates(["doc_id", free]).select(*docs.columns)).union(docs.where(F.col("doc_id").isNull()))
+
+
+def repeats(docs: DataFrame, go: DataFrame) -> DataFrame:
+    """Ids that are looked at one by one: those of documents that go, and those of several rows."""
+    several = docs.groupBy(F.col("doc_id").cast("bigint").alias("id")).count().where("count > 1").select("id")
+    return go.select(F.col("go").alias("id")).union(several)
