@@ -61,7 +61,7 @@ observations AS (SELECT 'treasury_10y' AS indicator, ds,
 PEG_POINTS = """peg_points AS (SELECT 'K' || CAST(user_id % 10 AS VARCHAR) AS symbol, ts,
   1.0 + (round(value*100) % 100 - 50)/1000.0 AS price FROM events WHERE value IS NOT NULL)"""
 
-HEADLINES = """headlines AS (SELECT doc_id, substr(text, 1, 80) AS title, source, lang,
+HEADLINES = """headlines AS (SELECT doc_id, text AS title, source, lang,
   (doc_id * 37 % 201 - 100)/100.0 AS sentiment FROM documents)"""
 
 

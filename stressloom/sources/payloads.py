@@ -64,12 +64,12 @@ def parse_chart_prices(df: DataFrame, payload: str) -> DataFrame:
 
 
 def first_titles(df: DataFrame, order: str, limit: int | None = None) -> DataFrame:
-    """First row of each exact non-empty title by `order`. The minimum is taken map-side, so a title that is repeated
-    very often is one row per task before the shuffle."""
-    rest = [c for c in df.columns if c != "title"]
-    d = df.filter(F.length("title") > 0).groupBy("title").agg(F.min(F.struct(order, *[c for c in rest if c != order])).alias("_r"))
-    d = d.select("title", "_r.*")
-    return d if limit is None else d.orderBy(order).limit(limit)
+    """First row of each exact non-empty title by `order`, which is unique. Titles may be whole texts, so they are grouped by a
+    digest: the minimum of each is taken map-side, and a title that is repeated very often is one narrow row per task before the
+    shuffle. The rows are then fetched by `order`."""
+    first = df.filter(F.length("title") > 0).groupBy(F.sha2("title", 256).alias("_digest")).agg(F.min(order).alias(order))
+    first = first if limit is None else first.orderBy(order).limit(limit)
+    return df.join(first.select(order), order, "left_semi")
 
 
 def published_at(text: str, fallback: Column) -> Column:
