@@ -42,8 +42,8 @@ def targets_of(cells: DataFrame, dimension: str, given: dict[str, float] | None)
     else:
         known = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
         raw = sums.select("value", F.coalesce(known[F.col("value")].cast("double"), F.lit(0.0)).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("total"))
-    return store(raw.join(total, F.col("raw") <= F.col("total")).select("value", (F.col("raw") / F.col("total")).alias("target")), f"target-{dimension}")
+    total = raw.agg(F.sum("raw")).first()[0] or 1.0
+    return store(raw.select("value", (F.col("raw") / F.lit(float(total))).alias("target")), f"target-{dimension}")
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, steps: int = STEPS) -> DataFrame:
