@@ -206,6 +206,10 @@ def ts_proxy(spark, d):
 
 
 # -------------------------------------------------------------- resampling
+# Draws of the tests, of bands and detection, of paired metrics, and candidates of the weight search.
+REPLICATES, BANDS, PAIRED, TRIALS = 1000, 500, 2000, 100
+
+
 def plan_sql(reps, block, seed=42, name="plan", src="panel"):
     blk = str(block) if block else "CAST(floor(pow(count(*), 1.0/3) + 1e-9) AS INT)"
     return f"""nn AS (SELECT series_id, CAST(count(*) AS INT) AS n, {blk} AS block FROM {src} GROUP BY 1),
@@ -213,27 +217,27 @@ def plan_sql(reps, block, seed=42, name="plan", src="panel"):
  posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM {src})"""
 
 
-@query("ts_bootstrap_mbb", "boot_mean se lo hi estimate basic_lo basic_hi", W(PANEL, plan_sql(200, None), """
+@query("ts_bootstrap_mbb", "boot_mean se lo hi estimate basic_lo basic_hi", W(PANEL, plan_sql(REPLICATES, None), """
   rm AS (SELECT p.series_id, rep, avg(idx) AS m FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1 GROUP BY 1,2),
   bs AS (SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1)""", q="""
   SELECT b.*, e AS estimate, 2*e-hi AS basic_lo, 2*e-lo AS basic_hi FROM bs b JOIN (SELECT series_id, avg(idx) AS e FROM panel GROUP BY 1) USING (series_id)"""))
 def ts_bootstrap_mbb(spark, d):
-    return rs.block_bootstrap_mean(tb.stored_panel(spark, d), "idx", reps=200)
+    return rs.block_bootstrap_mean(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
 
 
 @query("ts_bootstrap_stationary", "boot_mean se lo hi", W(PANEL, f"""
   nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM panel GROUP BY 1),
-  st AS (SELECT series_id, rep, t, n, t = 0 OR {draw_sql(43, 'rep', 't')}/2147483647.0 < 0.05 AS fresh, {draw_sql(42, 'rep', 't')} % n AS spot FROM nn CROSS JOIN range(100) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n),
+  st AS (SELECT series_id, rep, t, n, t = 0 OR {draw_sql(43, 'rep', 't')}/2147483647.0 < 0.05 AS fresh, {draw_sql(42, 'rep', 't')} % n AS spot FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n),
   wk AS (SELECT series_id, rep, (last_value(CASE WHEN fresh THEN spot - t END IGNORE NULLS) OVER (PARTITION BY series_id, rep ORDER BY t ROWS UNBOUNDED PRECEDING) + t + 4*n) % n AS pos FROM st),
   rm AS (SELECT w.series_id, rep, avg(idx) AS m FROM wk w JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM panel) v ON w.series_id=v.series_id AND w.pos=v.pos GROUP BY 1,2)""", q="""
   SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1"""))
 def ts_bootstrap_stationary(spark, d):
-    return rs.stationary_mean(tb.stored_panel(spark, d), "idx", reps=100)
+    return rs.stationary_mean(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
 
 
 @query("ts_bootstrap_bca", "estimate bias acceleration lo hi")
 def ts_bootstrap_bca(spark, d):
-    return rs.bca(tb.stored_panel(spark, d), "idx", reps=200)
+    return rs.bca(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
 
 
 def labelled(spark, d):
@@ -243,74 +247,74 @@ def labelled(spark, d):
 AUCW = """rw AS (SELECT p.series_id, rep, v.pos, count(*) AS w FROM {plan} p JOIN posn v ON p.series_id=v.series_id AND {on} GROUP BY 1,2,3),
  md AS (SELECT series_id, pos, label, unnest(['idx','contagion_risk']) AS model, round(unnest([idx, contagion_risk]), 6) AS score FROM posn),
  cn AS (SELECT r.series_id, rep, model, score, sum(w*label) AS pos_, sum(w*(1-label)) AS neg FROM rw r JOIN md m ON r.series_id=m.series_id AND r.pos=m.pos GROUP BY 1,2,3,4),
- ar AS (SELECT series_id, rep, model, sum(neg*(tp - pos_/2.0))/(CAST(sum(pos_) AS DOUBLE)*sum(neg)) AS auc FROM (SELECT *, sum(pos_) OVER (PARTITION BY series_id, rep, model ORDER BY score DESC) AS tp FROM cn) GROUP BY 1,2,3)"""
-IIDP = f"nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM labelled GROUP BY 1), iidp AS (SELECT series_id, rep, t, {draw_sql(42, 'rep', 't')} % n AS start FROM nn CROSS JOIN range(40) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n), posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM labelled)"
+ ar AS (SELECT series_id, rep, model, CASE WHEN sum(pos_) > 0 AND sum(neg) > 0 THEN sum(neg*(tp - pos_/2.0))/(CAST(sum(pos_) AS DOUBLE)*sum(neg)) ELSE 0.5 END AS auc FROM (SELECT *, sum(pos_) OVER (PARTITION BY series_id, rep, model ORDER BY score DESC) AS tp FROM cn) GROUP BY 1,2,3)"""
+IIDP = f"nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM labelled GROUP BY 1), iidp AS (SELECT series_id, rep, t, {draw_sql(42, 'rep', 't')} % n AS start FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n), posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM labelled)"
 
 
 @query("ts_bootstrap_iid", "boot_mean se lo hi", W(PANEL, EVENTS_DIM, LABELLED, IIDP, AUCW.format(plan="iidp", on="v.pos = start"), q="""
   SELECT series_id, model, count(*) AS reps, avg(auc) AS boot_mean, stddev_samp(auc) AS se, quantile_cont(auc,0.025) AS lo, quantile_cont(auc,0.975) AS hi FROM ar GROUP BY 1,2"""))
 def ts_bootstrap_iid(spark, d):
     p = labelled(spark, d).withColumn("contagion_risk", F.round("contagion_risk", 6))
-    r = rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=40, iid=True, chunk=10)
+    r = rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=REPLICATES, iid=True)
     return rs.interval(r, ["series_id", "model"], "value")
 
 
-@query("ts_bootstrap_paired", "boot_mean se lo hi p", W(PANEL, EVENTS_DIM, LABELLED, plan_sql(60, 25, src="labelled"), AUCW.format(plan="plan", on="v.pos BETWEEN start AND start+len-1"), """
+@query("ts_bootstrap_paired", "boot_mean se lo hi p", W(PANEL, EVENTS_DIM, LABELLED, plan_sql(PAIRED, 25, src="labelled"), AUCW.format(plan="plan", on="v.pos BETWEEN start AND start+len-1"), """
   df AS (SELECT a.series_id, a.rep, b.model, a.auc-b.auc AS diff FROM ar a JOIN ar b ON a.series_id=b.series_id AND a.rep=b.rep AND a.model='idx' AND b.model<>'idx')""", q="""
   SELECT series_id, model, 'auroc' AS metric, count(*) AS reps, avg(diff) AS boot_mean, stddev_samp(diff) AS se, quantile_cont(diff,0.025) AS lo, quantile_cont(diff,0.975) AS hi,
    least(1.0, 2*least(avg(CAST(diff<=0 AS INT)), avg(CAST(diff>=0 AS INT)))) AS p FROM df GROUP BY 1,2"""))
 def ts_bootstrap_paired(spark, d):
     p = labelled(spark, d).withColumn("contagion_risk", F.round("contagion_risk", 6))
-    return rs.paired_difference(rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=60, block=25, chunk=10), "idx")
+    return rs.paired_difference(rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=PAIRED, block=25), "idx")
 
 
-@query("ts_index_distribution", "point se bias level lo hi", W(PANEL, plan_sql(500, None), """
+@query("ts_index_distribution", "point se bias level lo hi", W(PANEL, plan_sql(REPLICATES, None), """
   ls AS (SELECT p.series_id, rep, idx AS v FROM plan p JOIN posn q ON p.series_id=q.series_id AND q.pos = p.start + p.n - 1 - p.b*p.block WHERE p.b = ceil(p.n*1.0/p.block) - 1),
   pt AS (SELECT series_id, arg_max(idx, ds) AS point FROM panel GROUP BY 1)""", q="""
   SELECT series_id, any_value(point) AS point, stddev_samp(v) AS se, avg(v)-any_value(point) AS bias, level, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM ls JOIN pt USING (series_id) CROSS JOIN (VALUES (0.90)) l(level) GROUP BY series_id, level
   UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.95, quantile_cont(v, 0.025), quantile_cont(v, 0.975) FROM ls JOIN pt USING (series_id) GROUP BY series_id
   UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.99, quantile_cont(v, 0.005), quantile_cont(v, 0.995) FROM ls JOIN pt USING (series_id) GROUP BY series_id"""))
 def ts_index_distribution(spark, d):
-    return rs.index_distribution(tb.stored_panel(spark, d))
+    return rs.index_distribution(tb.stored_panel(spark, d), reps=REPLICATES)
 
 
 @query("win_rolling_bands", "point lo hi se", W(PANEL, f"""
-  offs AS (SELECT rep, {draw_sql(42, 'rep', '22')} % 87 + 89 - 22*4 AS o FROM range(200) r(rep)),
+  offs AS (SELECT rep, {draw_sql(42, 'rep', '22')} % 87 + 89 - 22*4 AS o FROM range({BANDS}) r(rep)),
   posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM panel),
   rb AS (SELECT a.series_id, a.ds, any_value(a.idx) AS point, quantile_cont(b.idx, 0.025) AS lo, quantile_cont(b.idx, 0.975) AS hi, stddev_samp(b.idx) AS se FROM posn a JOIN offs ON true JOIN posn b ON a.series_id=b.series_id AND b.pos = a.pos - 89 + o WHERE a.pos >= 89 GROUP BY 1,2)""", q="SELECT * FROM rb"))
 def win_rolling_bands(spark, d):
-    return rs.rolling_bands(tb.panel(spark, d))
+    return rs.rolling_bands(tb.panel(spark, d), reps=BANDS)
 
 
-@query("idx_bootstrap_bands", "mean lo hi", W(PANEL, plan_sql(40, 20), """
+@query("idx_bootstrap_bands", "mean lo hi", W(PANEL, plan_sql(BANDS, 20), """
   sq AS (SELECT p.series_id, rep, b*20 + (v.pos - start) AS at, v.idx FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1)""", q="""
   SELECT s.series_id, any_value(q.ds) AS ds, avg(s.idx) AS mean, quantile_cont(s.idx, 0.025) AS lo, quantile_cont(s.idx, 0.975) AS hi FROM sq s JOIN posn q ON s.series_id=q.series_id AND s.at=q.pos GROUP BY s.series_id, s.at"""))
 def idx_bootstrap_bands(spark, d):
-    return rs.row_bands(tb.stored_panel(spark, d), "idx", reps=40)
+    return rs.row_bands(tb.stored_panel(spark, d), "idx", reps=BANDS)
 
 
 @query("idx_bootstrap_detection", "rate lo hi mean_lead", W(PANEL, EVENTS_DIM, """
   ew AS (SELECT series_id || '|' || event AS series_id, series_id AS s0, event, ds, idx, ds - event_date AS rel FROM panel JOIN events_dim ON ds BETWEEN event_date - 90 AND event_date - 1),
-  es AS (SELECT series_id, ds, idx FROM ew WHERE rel < -30)""", plan_sql(200, 10, src="es"), """
+  es AS (SELECT series_id, ds, idx FROM ew WHERE rel < -30)""", plan_sql(BANDS, 10, src="es"), """
   cu AS (SELECT p.series_id, rep, least(50.0, avg(idx)+2*stddev_samp(idx)) AS cut FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1 GROUP BY 1,2),
   ld AS (SELECT e.s0 AS series_id, e.event, rep, -min(rel) FILTER (WHERE idx >= cut) AS lead FROM ew e JOIN cu c ON e.series_id=c.series_id WHERE rel >= -30 GROUP BY 1,2,3),
   sm AS (SELECT series_id, event, count(*) n, count(lead)*1.0/count(*) AS p, avg(lead) AS mean_lead, CAST(1.959963984540054 AS DOUBLE) AS z FROM ld GROUP BY 1,2)""", q="""
   SELECT series_id, event, p AS rate, (p+z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS lo, (p+z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS hi, mean_lead FROM sm"""))
 def idx_bootstrap_detection(spark, d):
-    return rs.detection(tb.stored_panel(spark, d), tb.events_dim(spark))
+    return rs.detection(tb.stored_panel(spark, d), tb.events_dim(spark), reps=BANDS)
 
 
 @query("ts_placebo_shuffle", "actual placebo_mean p z", W(PANEL, EVENTS_DIM, f"""
   posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos, count(*) OVER (PARTITION BY series_id) AS n FROM panel),
   nn AS (SELECT series_id, count(*) AS n FROM panel GROUP BY 1),
-  fk AS (SELECT f.series_id, rep, CAST(j AS VARCHAR) AS event, ds AS event_date FROM (SELECT series_id, rep, j, {draw_sql(42, 'rep', 'j')} % n AS pos FROM nn CROSS JOIN range(200) r(rep) CROSS JOIN range(4) q(j)) f JOIN posn v ON f.series_id=v.series_id AND f.pos=v.pos
+  fk AS (SELECT f.series_id, rep, CAST(j AS VARCHAR) AS event, ds AS event_date FROM (SELECT series_id, rep, j, {draw_sql(42, 'rep', 'j')} % n AS pos FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4) q(j)) f JOIN posn v ON f.series_id=v.series_id AND f.pos=v.pos
      UNION ALL SELECT series_id, -1, event, event_date FROM nn CROSS JOIN events_dim),
   al AS (SELECT series_id, ds FROM panel WHERE idx > 70), ta AS (SELECT series_id, count(*) AS alerts FROM al GROUP BY 1),
   ht AS (SELECT f.series_id, rep, count(DISTINCT ds) tp, count(DISTINCT event) fd FROM fk f JOIN al a ON f.series_id=a.series_id AND ds BETWEEN event_date-30 AND event_date-1 GROUP BY 1,2),
   ff AS (SELECT d.series_id, d.rep, coalesce(2*(tp*1.0/alerts)*(fd/4.0)/nullif(tp*1.0/alerts+fd/4.0, 0), 0) AS f1 FROM (SELECT DISTINCT series_id, rep FROM fk) d JOIN ta USING (series_id) LEFT JOIN ht h ON d.series_id=h.series_id AND d.rep=h.rep)""", q="""
   SELECT f.series_id, a.f1 AS actual, avg(f.f1) AS placebo_mean, avg(CAST(f.f1 >= a.f1 AS INT)) AS p, (a.f1-avg(f.f1))/nullif(stddev_pop(f.f1),0) AS z FROM ff f JOIN ff a ON f.series_id=a.series_id AND a.rep=-1 WHERE f.rep >= 0 GROUP BY f.series_id, a.f1"""))
 def ts_placebo_shuffle(spark, d):
-    return rs.placebo_shuffle(tb.stored_panel(spark, d), tb.events_dim(spark))
+    return rs.placebo_shuffle(tb.stored_panel(spark, d), tb.events_dim(spark), reps=REPLICATES)
 
 
 @query("ts_placebo_features", "actual placebo_mean placebo_sd p", W(PANEL, f"""
@@ -331,19 +335,19 @@ def udf_statistic(spark, d):
         lo, hi = v.quantile(0.1), v.quantile(0.9)
         return float(v[(v >= lo) & (v <= hi)].mean())
 
-    return rs.bootstrap_statistic(tb.panel(spark, d), "idx", trimmed, reps=20)
+    return rs.bootstrap_statistic(tb.panel(spark, d), "idx", trimmed, reps=REPLICATES)
 
 
 @query("udf_metrics", "boot_mean se lo hi")
 def udf_metrics(spark, d):
-    r = rs.replicate_metrics(labelled(spark, d), ["idx", "stablecoin_risk"], "label", reps=40, metrics=("auroc", "average_precision"), chunk=10)
+    r = rs.replicate_metrics(labelled(spark, d), ["idx", "stablecoin_risk"], "label", reps=PAIRED, metrics=("auroc", "average_precision"))
     return rs.interval(r, ["series_id", "model", "metric"], "value")
 
 
 @query("udf_objective", "score")
 def udf_objective(spark, d):
     p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
-    parts = [regimes.calibrate(p, tb.events_dim(spark), o, trials=20).select("series_id", F.lit(o).alias("objective"), "trial", "score") for o in ("detection_rate", "lead_time", "f1")]
+    parts = [regimes.calibrate(p, tb.events_dim(spark), o, trials=TRIALS).select("series_id", F.lit(o).alias("objective"), "trial", "score") for o in ("detection_rate", "lead_time", "f1")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -449,7 +453,7 @@ def rg_save_load(spark, d):
 @query("idx_calibrate_regime", "score")
 def idx_calibrate_regime(spark, d):
     p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
-    c = regimes.calibrate(p, tb.events_dim(spark), trials=40)
+    c = regimes.calibrate(p, tb.events_dim(spark), trials=TRIALS)
     return c.select("series_id", "trial", "score", F.to_json("weights").alias("weights"))
 
 
