@@ -1,10 +1,12 @@
 """Gaussian regime models over a panel: fit by expectation-maximisation, decode, filter, weight and select.
 
 The parameters are k means, k covariances and a k x k transition matrix: a few hundred numbers whatever the data size.
-Each iteration is one Spark job: every series runs its own forward-backward pass in a task (a series is bounded by the
-calendar) and returns sufficient statistics, which are summed per model; only those sums reach the driver. All
-restarts and state counts are rows of the same job. No iteration builds on the plan of the previous one, so there is
-no growing lineage; the input of the loop is cut once through the shared checkpoint folder.
+Series are packed once into one row of arrays each (a series is bounded by the calendar) and written through the shared
+checkpoint folder, so an iteration is one job without a shuffle of the panel: a task runs the forward-backward passes of all
+restarts of a state count together, as one more array axis, adds up the sufficient statistics of its series, and only the
+sums per model reach the driver. No iteration builds on the plan of the previous one, so there is no growing lineage.
+A fit has converged when the log-likelihood per observation changes by less than the tolerance, which has the same meaning
+for any number of rows.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ class Model:
     covs: np.ndarray
     loglik: float = float("nan")
     n_obs: int = 0
+    converged: bool = False
+    iterations: int = 0
 
     @property
     def k(self) -> int:
@@ -56,7 +60,7 @@ class Model:
 
     def ordered(self) -> "Model":
         o = np.argsort(self.means.mean(axis=1))
-        return Model(self.pi[o], self.trans[o][:, o], self.means[o], self.covs[o], self.loglik, self.n_obs)
+        return Model(self.pi[o], self.trans[o][:, o], self.means[o], self.covs[o], self.loglik, self.n_obs, self.converged, self.iterations)
 
 
 def log_density(x: np.ndarray, m: Model) -> np.ndarray:
@@ -138,32 +142,70 @@ def _overall(panel: DataFrame, ks: list[int]):
 
 
 STATS = "model int, loglik double, n bigint, pi array<double>, xi array<double>, gamma array<double>, gx array<double>, gxx array<double>"
-
-
-def _estep(panel: DataFrame, models: dict[int, Model]) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("ds")[S.CHANNELS].to_numpy(float)
-        rows = []
-        for key, m in models.items():
-            gamma, xi, ll = smooth(log_density(x, m), m)
-            gx = gamma.T @ x
-            gxx = np.einsum("tk,ti,tj->kij", gamma, x, x)
-            rows.append([key, ll, len(x), gamma[0].tolist(), xi.ravel().tolist(), gamma.sum(axis=0).tolist(), gx.ravel().tolist(), gxx.ravel().tolist()])
-        return pd.DataFrame(rows, columns=["model", "loglik", "n", "pi", "xi", "gamma", "gx", "gxx"])
-
-    return panel.groupBy("series_id").applyInPandas(run, STATS)
+FIELDS = ["pi", "xi", "gamma", "gx", "gxx"]
+
+
+def pack(panel: DataFrame) -> DataFrame:
+    """(series_id, one array per channel in the order of dates), one row per series, spread over the tasks."""
+    day = F.struct("ds", *S.CHANNELS)
+    d = spread(panel.na.drop(subset=S.CHANNELS).select("series_id", "ds", *S.CHANNELS), "series_id")
+    return cut_lineage(d.groupBy("series_id").agg(F.array_sort(F.collect_list(day)).alias("a")).select("series_id", *[F.col(f"a.{c}").alias(c) for c in S.CHANNELS]))
+
+
+def smooth_all(logb: np.ndarray, pi: np.ndarray, trans: np.ndarray):
+    """Forward-backward passes of several models over one series. logb: (model, day, regime). Returns smoothed
+    probabilities, expected transitions and log-likelihoods, a model each."""
+    top = logb.max(axis=2)
+    b = np.exp(logb - top[:, :, None])
+    a, c = np.empty_like(b), np.empty(b.shape[:2])
+    v = pi * b[:, 0]
+    for t in range(b.shape[1]):
+        if t:
+            v = (a[:, t - 1, None, :] @ trans)[:, 0] * b[:, t]
+        c[:, t] = v.sum(axis=1)
+        a[:, t] = v / c[:, t, None]
+    beta = np.ones_like(b)
+    back = trans.transpose(0, 2, 1)
+    for t in range(b.shape[1] - 2, -1, -1):
+        beta[:, t] = ((b[:, t + 1] * beta[:, t + 1] / c[:, t + 1, None])[:, None, :] @ back)[:, 0]
+    ahead = b[:, 1:] * beta[:, 1:] / c[:, 1:, None]
+    xi = trans * (a[:, :-1].transpose(0, 2, 1) @ ahead)
+    gamma = a * beta
+    return gamma / gamma.sum(axis=2, keepdims=True), xi, np.log(c).sum(axis=1) + top.sum(axis=1)
+
+
+def _estep(packs: DataFrame, models: dict[int, Model]) -> DataFrame:
+    by_k: dict[int, list[int]] = {}
+    for key, m in models.items():
+        by_k.setdefault(m.k, []).append(key)
+
+    def run(batches):
+        total: dict[int, list] = {}
+        for pdf in batches:
+            for row in pdf[S.CHANNELS].itertuples(index=False):
+                x = np.stack([np.asarray(c, float) for c in row], axis=1)
+                xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                for keys in by_k.values():
+                    ms = [models[key] for key in keys]
+                    gamma, xi, ll = smooth_all(np.stack([log_density(x, m) for m in ms]), np.stack([m.pi for m in ms]), np.stack([m.trans for m in ms]))
+                    across = gamma.transpose(0, 2, 1)
+                    for r, key in enumerate(keys):
+                        part = [ll[r], len(x), gamma[r, 0], xi[r].ravel(), gamma[r].sum(axis=0), (across[r] @ x).ravel(), (across[r] @ xx).ravel()]
+                        total[key] = [u + v for u, v in zip(total[key], part)] if key in total else part
+        rows = [[key, t[0], t[1], *[list(v) for v in t[2:]]] for key, t in total.items()]
+        yield pd.DataFrame(rows, columns=["model", "loglik", "n", *FIELDS])
+
+    return packs.mapInPandas(run, STATS)
 
 
 def _summed(stats: DataFrame) -> DataFrame:
     """Element-wise sums of the arrays per model: exploded to (model, field, position), so the sum is map-side."""
-    fields = ["pi", "xi", "gamma", "gx", "gxx"]
-
     def tagged(c):
         return F.transform(c, lambda v, i: F.struct(F.lit(c).alias("f"), i.alias("i"), v.alias("v")))
 
     long = stats.select("model", F.inline(F.flatten(F.array(
         F.array(F.struct(F.lit("loglik").alias("f"), F.lit(0).alias("i"), F.col("loglik").alias("v")), F.struct(F.lit("n").alias("f"), F.lit(0).alias("i"), F.col("n").cast("double").alias("v"))),
-        *[tagged(c) for c in fields]))))
+        *[tagged(c) for c in FIELDS]))))
     return long.groupBy("model", "f", "i").agg(F.sum("v").alias("v"))
 
 
@@ -177,24 +219,31 @@ def _mstep(m: Model, s: dict) -> Model:
     return Model(pi / pi.sum(), xi / xi.sum(axis=1, keepdims=True), means, covs, s["loglik"][0], int(s["n"][0]))
 
 
-def fit(panel: DataFrame, ks=(3,), restarts: int = 1, seed: int = 42, iterations: int = 25, tol: float = 1e-4) -> dict[int, Model]:
-    """Best model per state count. Fits by log-likelihood over all restarts; converged models drop out of the job."""
+# Iterations and restarts of a fit.
+ITERATIONS, RESTARTS = 100, 10
+#: Change of the log-likelihood per observation below which a fit has converged.
+TOLERANCE = 1e-6
+
+
+def fit(panel: DataFrame, ks=(3,), restarts: int = RESTARTS, seed: int = 42, iterations: int = ITERATIONS, tol: float = TOLERANCE) -> dict[int, Model]:
+    """Best model per state count by log-likelihood over all restarts, with whether it converged and after how many
+    iterations. Models that have converged drop out of the job."""
     ks = list(ks)
-    data = cut_lineage(spread(panel.na.drop(subset=S.CHANNELS).select("series_id", "ds", *S.CHANNELS), "series_id"))
-    q, cov = _overall(data, ks)
+    q, cov = _overall(panel.na.drop(subset=S.CHANNELS), ks)
+    packs = pack(panel)
     live = {k * 1000 + r: _start(k, seed + r, q[k], cov) for k in ks for r in range(restarts)}
     done: dict[int, Model] = {}
-    for step in range(iterations):
+    for step in range(1, iterations + 1):
         got: dict[int, dict] = {}
-        for r in _summed(_estep(data, live)).collect():  # a few hundred numbers per model
+        for r in _summed(_estep(packs, live)).collect():  # a few hundred numbers per model
             got.setdefault(r["model"], {}).setdefault(r["f"], {})[r["i"]] = r["v"]
         nxt = {}
         for key, m in live.items():
             s = {f: [v[i] for i in sorted(v)] for f, v in got[key].items()}
-            prev = m.loglik
-            ll = s["loglik"][0]
-            if step + 1 == iterations or (np.isfinite(prev) and abs(ll - prev) < tol * max(1.0, abs(ll)) * 1e-2):
-                done[key] = Model(m.pi, m.trans, m.means, m.covs, ll, int(s["n"][0]))
+            ll, n = s["loglik"][0], int(s["n"][0])
+            near = bool(np.isfinite(m.loglik) and abs(ll - m.loglik) < tol * n)
+            if near or step == iterations:
+                done[key] = Model(m.pi, m.trans, m.means, m.covs, ll, n, near, step)
             else:
                 nxt[key] = _mstep(m, s)
         live = nxt
@@ -296,11 +345,15 @@ def calibrate(df: DataFrame, events: DataFrame, objective: str = "detection_rate
     return best.withColumn("weights", grids.literal(grid)[F.col("trial")]["w"])
 
 
-def selection(panel: DataFrame, ks=(2, 3, 4), restarts: int = 2, iterations: int = 15) -> list[dict]:
+def selection(panel: DataFrame, ks=(2, 3, 4), restarts: int = RESTARTS, iterations: int = ITERATIONS) -> list[dict]:
+    return criteria_table(fit(panel, ks, restarts, iterations=iterations))
+
+
+def criteria_table(models: dict[int, Model]) -> list[dict]:
     out = []
-    for k, m in sorted(fit(panel, ks, restarts, iterations=iterations).items()):
+    for k, m in sorted(models.items()):
         aic, bic = m.criteria()
-        out.append(dict(k=k, loglik=m.loglik, aic=aic, bic=bic, n_params=m.n_params(), n_obs=m.n_obs))
+        out.append(dict(k=k, loglik=m.loglik, aic=aic, bic=bic, n_params=m.n_params(), n_obs=m.n_obs, converged=m.converged, iterations=m.iterations))
     return out
 
 
@@ -318,7 +371,7 @@ def to_rows(m: Model) -> list[tuple]:
     rows += [("trans", i, j, 0, float(v)) for i, r in enumerate(m.trans) for j, v in enumerate(r)]
     rows += [("mean", i, j, 0, float(v)) for i, r in enumerate(m.means) for j, v in enumerate(r)]
     rows += [("cov", i, a, b, float(v)) for i, c in enumerate(m.covs) for a, r in enumerate(c) for b, v in enumerate(r)]
-    return rows + [("loglik", 0, 0, 0, float(m.loglik)), ("n_obs", 0, 0, 0, float(m.n_obs))]
+    return rows + [("loglik", 0, 0, 0, float(m.loglik)), ("n_obs", 0, 0, 0, float(m.n_obs)), ("converged", 0, 0, 0, float(m.converged)), ("iterations", 0, 0, 0, float(m.iterations))]
 
 
 def params_frame(spark: SparkSession, m: Model) -> DataFrame:
@@ -345,6 +398,10 @@ def load(spark: SparkSession, path: str) -> Model:
             m.covs[i, j, l] = v
         elif r["name"] == "loglik":
             m.loglik = v
-        else:
+        elif r["name"] == "n_obs":
             m.n_obs = int(v)
+        elif r["name"] == "converged":
+            m.converged = bool(v)
+        else:
+            m.iterations = int(v)
     return m

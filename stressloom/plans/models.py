@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Window
@@ -369,8 +369,14 @@ def udtf_windows(spark, d):
 
 
 # ----------------------------------------------------------------- regimes
-def fitted(spark, d, k=3, iterations=6):
-    return regimes.fit(tb.stored_panel(spark, d), (k,), iterations=iterations)[k]
+@lru_cache(maxsize=4)
+def _fits(app, spark, d):
+    return regimes.fit(tb.stored_panel(spark, d), (2, 3, 4))
+
+
+def fitted(spark, d, k=3):
+    """The full fit of all state counts, shared by the queries of one session on the same tables."""
+    return _fits(spark.sparkContext.applicationId, spark, d)[k]
 
 
 @query("rg_hmm_fit", "v", digits=4)
@@ -416,7 +422,7 @@ def rg_smooth(spark, d):
 
 @query("rg_selection", "loglik aic bic", digits=2)
 def rg_selection(spark, d):
-    rows = regimes.selection(tb.panel(spark, d), (2, 3, 4), restarts=1, iterations=4)
+    rows = regimes.criteria_table({k: fitted(spark, d, k) for k in (2, 3, 4)})
     n = tb.panel(spark, d).groupBy().agg(F.count(F.lit(1)).alias("rows"))
     return spark.createDataFrame(pd.DataFrame(rows)).withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
@@ -444,7 +450,7 @@ def rg_regime_weights(spark, d):
 
 @query("rg_save_load", "v", digits=4)
 def rg_save_load(spark, d):
-    m = fitted(spark, d, 2, 4)
+    m = fitted(spark, d, 2)
     path = scratch_path(spark, "model")
     regimes.save(spark, m, path)
     return regimes.params_frame(spark, regimes.load(spark, path))
