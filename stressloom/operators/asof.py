@@ -1,8 +1,9 @@
 """As-of joins without a range join.
 
 Both sides are stacked and ordered inside (key, time bucket), so a key that holds a large share of all rows is
-spread over its buckets. What a bucket needs from its neighbours is one row per bucket (last and first
-observation), carried over a window whose length is the number of buckets, not of rows.
+spread over its buckets; a bucket with more than BUCKET_ROWS rows is cut into equal parts of its time, as many as its
+count asks for. What a bucket needs from its neighbours is one row per bucket (last and first observation), carried over
+a window whose length is the number of buckets, not of rows. The result does not depend on the buckets.
 """
 
 from __future__ import annotations
@@ -11,6 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one part of a bucket holds on average at most.
+BUCKET_ROWS = 200_000
+PARTS = 1 << 20
+
+
+def _bucketed(u: DataFrame, keys: list[str], seconds: int, rows: int) -> DataFrame:
+    """`_b`: number of the bucket and of the part within it. Counts are summed map-side; only crowded buckets travel on."""
+    width = seconds * 1_000_000
+    u = u.withColumn("_w", F.floor(F.unix_micros("_ts") / F.lit(width)))
+    crowded = u.groupBy(*keys, "_w").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias("_m")).filter("_m > 1")
+    u = u.join(crowded, [*keys, "_w"], "left")
+    part = F.floor(F.pmod(F.unix_micros("_ts"), F.lit(width)) * F.least(F.coalesce("_m", F.lit(1)), F.lit(PARTS)) / F.lit(width))
+    return u.withColumn("_b", F.col("_w") * PARTS + part).drop("_w", "_m")
+
+
 def _carry(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("_b")
     return df.select(
@@ -20,17 +36,16 @@ def _carry(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def neighbours(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, bucket_seconds: int = 86400) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, value: str, bucket_seconds: int = 86400, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Left rows with prev = (ts, value) at or before and next = (ts, value) strictly after. Null values on the right
     are skipped, so a lookup sees through missing observations."""
     cols = [c for c in left.columns if c not in keys]
-    b = F.floor(F.unix_micros("_ts") / F.lit(bucket_seconds * 1_000_000))
     obs = right.filter(F.col(value).isNotNull()).select(
         *keys, F.col(right_ts).cast("timestamp").alias("_ts"), F.lit(None).alias("_l"),
         F.struct(F.col(right_ts).cast("timestamp").alias("ts"), F.col(value).alias("v")).alias("_o"))
     ask = left.select(
         *keys, F.col(left_ts).cast("timestamp").alias("_ts"), F.struct(*cols).alias("_l"), F.lit(None).alias("_o"))
-    u = ask.unionByName(obs).withColumn("_b", b)
+    u = _bucketed(ask.unionByName(obs), keys, bucket_seconds, bucket_rows)
     side = F.when(F.col("_o").isNotNull(), 0).otherwise(1)
     w = Window.partitionBy(*keys, "_b").orderBy("_ts", side)
     near = u.select(
@@ -46,15 +61,15 @@ def neighbours(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     )
 
 
-def backward(left, right, keys, left_ts, right_ts, value, out: str, default: Column | None = None, bucket_seconds: int = 86400) -> DataFrame:
-    n = neighbours(left, right, keys, left_ts, right_ts, value, bucket_seconds)
+def backward(left, right, keys, left_ts, right_ts, value, out: str, default: Column | None = None, bucket_seconds: int = 86400, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    n = neighbours(left, right, keys, left_ts, right_ts, value, bucket_seconds, bucket_rows)
     v = F.col("prev.v")
     return n.withColumn(out, v if default is None else F.coalesce(v, default)).drop("prev", "next")
 
 
-def nearest(left, right, keys, left_ts, right_ts, value, out: str, tolerance_seconds: int | None = None, bucket_seconds: int = 86400) -> DataFrame:
+def nearest(left, right, keys, left_ts, right_ts, value, out: str, tolerance_seconds: int | None = None, bucket_seconds: int = 86400, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Nearest in absolute time; the earlier observation wins a tie."""
-    n = neighbours(left, right, keys, left_ts, right_ts, value, bucket_seconds)
+    n = neighbours(left, right, keys, left_ts, right_ts, value, bucket_seconds, bucket_rows)
     at = F.unix_micros(F.col(left_ts).cast("timestamp"))
     gp, gn = at - F.unix_micros(F.col("prev.ts")), F.unix_micros(F.col("next.ts")) - at
     use_prev = F.col("next").isNull() | (gp <= gn)

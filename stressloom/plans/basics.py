@@ -138,39 +138,46 @@ def src_serving_table(spark, d):
 def src_raw_landing(spark, d):
     raw = tb.points(spark, d).select("source", F.to_date("ts").alias("fetch_date"), F.col("props").alias("payload"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
     path = scratch_path(spark, "landing")
-    raw.repartition("source", "fetch_date").write.partitionBy("source", "fetch_date").parquet(path)
+    raw.repartition("source", "fetch_date", F.pmod(F.xxhash64("payload"), F.lit(8))).write.partitionBy("source", "fetch_date").parquet(path)
     k = F.from_json("payload", "k bigint").getField("k")
     return spark.read.parquet(path).groupBy("source", "fetch_date").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"))
 
 
 # -------------------------------------------------------------------- sinks
+def _table(spark, rows):
+    path = scratch_path(spark, "table")
+    sinks.with_month(rows).write.partitionBy("month").parquet(path)
+    return path
+
+
 def _halves(spark, d):
-    p = tb.panel(spark, d)
+    p = tb.stored_panel(spark, d)
     cut = F.lit("2001-01-01").cast("date")
     return p, p.filter(F.col("ds") < cut), cut
 
 
-@query("sink_parquet_guarded", "", W(PANEL, q="SELECT series_id, count(*) AS n FROM panel GROUP BY 1"))
+@query("sink_parquet_guarded", "idx", W(PANEL, q="SELECT series_id, count(*) AS n, sum(idx) AS idx FROM panel GROUP BY 1"), digits=4)
 def sink_parquet_guarded(spark, d):
     path = scratch_path(spark, "frozen")
     target = sinks.write_new(tb.panel(spark, d), path, frozen=(path,))
-    return spark.read.parquet(target).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(target).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx"))
 
 
-@query("sink_append_csv", "", W(PANEL, q="SELECT series_id, count(*) AS n FROM panel WHERE ds > DATE '2000-12-31' GROUP BY 1"))
+@query("sink_append_csv", "idx", W(PANEL, q="SELECT series_id, count(*) AS n, sum(idx) AS idx FROM panel WHERE ds > DATE '2000-12-31' GROUP BY 1"), digits=4)
 def sink_append_csv(spark, d):
     p, old, cut = _halves(spark, d)
     path = scratch_path(spark, "audit")
     sinks.append_csv(spark, old, p.select("series_id", "ds", "idx"), path)
     t = pl.read_series_csv(spark, path, "series_id string, ds date, idx double, loaded_at timestamp")
-    return t.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx"))
 
 
 @query("sink_insert_or_ignore", "idx", W(PANEL, q="SELECT series_id, ds, CASE WHEN ds < DATE '2001-01-01' THEN idx ELSE idx + 1 END AS idx FROM panel"))
 def sink_insert_or_ignore(spark, d):
     p, old, _ = _halves(spark, d)
-    new = p.withColumn("idx", F.col("idx") + 1)
-    return old.unionByName(sinks.missing_rows(old, new)).select("series_id", "ds", "idx")
+    table = _table(spark, old)
+    sinks.insert_or_ignore(spark, table, p.withColumn("idx", F.col("idx") + 1))
+    return spark.read.parquet(table).select("series_id", "ds", "idx")
 
 
 @query("sink_upsert_daily", "idx", W(PANEL, q="""
@@ -178,14 +185,18 @@ def sink_insert_or_ignore(spark, d):
 def sink_upsert_daily(spark, d):
     p, old, _ = _halves(spark, d)
     new = p.filter(F.col("ds") >= F.lit("2000-07-01").cast("date")).withColumn("idx", F.col("idx") + 1)
-    return sinks.upserted(old, new).select("series_id", "ds", "idx")
+    table = _table(spark, old)
+    sinks.upsert(spark, table, new)
+    return spark.read.parquet(table).select("series_id", "ds", "idx")
 
 
 @query("sink_replace_range", "idx", W(PANEL, q="""
   SELECT series_id, ds, CASE WHEN ds BETWEEN DATE '1999-01-01' AND DATE '1999-06-30' THEN idx + 1 ELSE idx END AS idx FROM panel WHERE ds < DATE '2001-01-01'"""))
 def sink_replace_range(spark, d):
     p, old, _ = _halves(spark, d)
-    return sinks.replaced_range(old, p.withColumn("idx", F.col("idx") + 1), "1999-01-01", "1999-06-30", clear=True).select("series_id", "ds", "idx")
+    table = _table(spark, old)
+    sinks.replace_range(spark, table, p.withColumn("idx", F.col("idx") + 1), "1999-01-01", "1999-06-30", clear=True)
+    return spark.read.parquet(table).select("series_id", "ds", "idx")
 
 
 @query("sink_reconcile", "new_idx new_avg", W(PANEL, q=f"""
@@ -202,16 +213,16 @@ def sink_reconcile(spark, d):
     return sinks.reconciled(stored).select("series_id", "ds", "new_idx", "new_avg", "new_alert", "new_trend")
 
 
-@query("sink_export", "", W(PANEL, q="""
-  SELECT series_id, fmt, count(*) AS n FROM panel CROSS JOIN (VALUES ('json'),('csv'),('parquet')) f(fmt) WHERE ds BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1, 2"""))
+@query("sink_export", "idx", W(PANEL, q="""
+  SELECT series_id, fmt, count(*) AS n, sum(idx) AS idx FROM panel CROSS JOIN (VALUES ('json'),('csv'),('parquet')) f(fmt) WHERE ds BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1, 2"""), digits=4)
 def sink_export(spark, d):
-    p = tb.panel(spark, d).select("series_id", "ds", "idx")
+    p = tb.stored_panel(spark, d).select("series_id", "ds", "idx")
     ddl, parts = "series_id string, ds date, idx double", []
     for fmt in ("json", "csv", "parquet"):
         path = scratch_path(spark, fmt)
         sinks.export_range(p, "1998-01-01", "1998-12-31", fmt, path)
         parts.append(spark.read.format(fmt).schema(ddl).option("header", True).load(path).withColumn("fmt", F.lit(fmt)))
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("series_id", "fmt").agg(F.count(F.lit(1)).alias("n"))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("series_id", "fmt").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx"))
 
 
 # ------------------------------------------------- projections and filters

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stressloom import schema as S
 from stressloom.plans.composition import fixed_model
+from stressloom.plans.joins import LAG_SOURCE
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import PANEL, W
 from stressloom.plans.windowing import EWMA, PROD
@@ -15,24 +17,31 @@ from stressloom.streaming import jobs
 
 
 def landed_points(spark, d, duplicates: bool = False, horizon_row: bool = True):
-    """Points as one file set per day; every tenth row arrives again when duplicates are asked for. A marker row far
-    ahead closes the last windows."""
+    """Points landed by day in two writes, the later days last, and the number of files of the first: a stream that takes so
+    many at a time runs in several batches. Every tenth row arrives again when duplicates are asked for. A marker row
+    far ahead closes the last windows."""
     path = scratch_path(spark, "points")
     p = tb.points(spark, d).select("event_id", "source", "key", "ts", "value")
     day = F.to_date("ts")
     if duplicates:
         p = p.unionByName(p.filter(F.col("event_id") % 10 == 0))
-    p.withColumn("day", day).repartition("day").sortWithinPartitions("ts").write.partitionBy("day").parquet(path)
+    early = p.groupBy().agg(F.expr("timestamp_micros(bigint(avg(unix_micros(ts))))").alias("ts")).first()["ts"]
+    spread = [F.col("day"), F.pmod(F.xxhash64("event_id"), F.lit(4))]  # a crowded day is several tasks and files
+    p = p.withColumn("day", day)
+    p.filter(F.col("day") <= F.lit(early).cast("date")).repartition(*spread).sortWithinPartitions("ts").write.partitionBy("day").parquet(path)
+    n = max(1, len(spark.read.parquet(path).inputFiles()))
+    p.filter(F.col("day") > F.lit(early).cast("date")).repartition(*spread).sortWithinPartitions("ts").write.mode("append").partitionBy("day").parquet(path)
+    p = p.drop("day")
     if horizon_row:
         last = p.groupBy().agg(F.max("ts").alias("ts")).select(
             F.lit(-1).cast("bigint").alias("event_id"), F.lit("flush").alias("source"), F.lit(-1).cast("bigint").alias("key"),
             (F.col("ts") + F.expr("interval 60 days")).alias("ts"), F.lit(None).cast("double").alias("value"), F.lit("2999-01-01").alias("day"))
         last.coalesce(1).write.mode("append").partitionBy("day").parquet(path)
-    return path
+    return path, n
 
 
 def stream_points(spark, d, **kw):
-    return jobs.read_points(spark, landed_points(spark, d, **kw), 1000)
+    return jobs.read_points(spark, *landed_points(spark, d, **kw))
 
 
 def collected(spark, df, mode="append"):
@@ -48,7 +57,7 @@ def str_daily_window(spark, d):
 
 
 @query("str_sliding_avg", "mean", """
-  SELECT event_type AS source, CAST(CAST(ts AS DATE) + CAST(k AS INT) AS DATE) AS ds, count(value) AS n, avg(value) AS mean FROM events CROSS JOIN range(1, 8) r(k) GROUP BY 1, 2""")
+  SELECT event_type AS source, CAST(CAST(ts AS DATE) + CAST(k AS INT) AS DATE) AS ds, count(value) AS n, avg(value) AS mean FROM events CROSS JOIN range(1, 31) r(k) GROUP BY 1, 2""")
 def str_sliding_avg(spark, d):
     return collected(spark, jobs.sliding_average(stream_points(spark, d))).filter("source <> 'flush'")
 
@@ -59,12 +68,17 @@ def str_dedup(spark, d):
     return collected(spark, s).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-@query("str_late_data", "", """
-  SELECT source, count(*) AS rows, count(v) AS visible FROM (SELECT t.event_type AS source, t.event_id, p.ts AS v FROM events t LEFT JOIN events p ON t.event_type = p.event_type AND p.ts <= t.ts - INTERVAL 6 HOUR AND p.ts > t.ts - INTERVAL 12 HOUR) GROUP BY 1""")
+LAGS = {k: S.PUBLICATION_LAG_HOURS[s] for k, s in LAG_SOURCE.items()}
+
+
+@query("str_late_data", "", f"""
+  WITH lags(source, h) AS (VALUES {", ".join(f"('{k}', {h})" for k, h in LAGS.items())})
+  SELECT source, count(*) AS rows, count(v) AS visible FROM (SELECT t.event_type AS source, t.event_id, p.ts AS v FROM events t JOIN lags ON t.event_type = source
+    LEFT JOIN events p ON t.event_type = p.event_type AND p.ts <= t.ts - h * INTERVAL 1 HOUR AND p.ts > t.ts - (h + 24) * INTERVAL 1 HOUR) GROUP BY 1""")
 def str_late_data(spark, d):
-    path = landed_points(spark, d)
-    t, p = jobs.read_points(spark, path, 1000), jobs.read_points(spark, path, 1000)
-    v = collected(spark, jobs.visible_values(t, p, 6, 6)).filter("source <> 'flush'")
+    path, n = landed_points(spark, d)
+    t, p = jobs.read_points(spark, path, n), jobs.read_points(spark, path, n)
+    v = collected(spark, jobs.visible_values(t, p, LAGS)).filter("source <> 'flush'")
     return v.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count("p_ts").alias("visible"))
 
 

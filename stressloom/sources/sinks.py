@@ -42,8 +42,10 @@ def insert_or_ignore(spark: SparkSession, table: str, new: DataFrame) -> int:
     from pyspark.sql import Observation
 
     seen = Observation()
-    rows = missing_rows(spark.read.parquet(table), new).observe(seen, F.count(F.lit(1)).alias("n"))
-    with_month(rows).write.mode("append").partitionBy("month").parquet(table)
+    new = with_month(new)
+    touched = spark.read.parquet(table).join(new.select("month").distinct(), "month", "left_semi")  # prunes partitions
+    rows = missing_rows(touched, new).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("append").partitionBy("month").parquet(table)
     return seen.get["n"]
 
 
@@ -62,13 +64,9 @@ def daily_record(series: DataFrame) -> DataFrame:
 def upsert(spark: SparkSession, table: str, new: DataFrame) -> None:
     """Rewrite only the months that receive rows. The read side is limited to those months by a semi join, which
     prunes partitions; the result is staged before the overwrite because source and target are the same table."""
-    from stressloom.session import scratch_path
-
     new = with_month(new)
     touched = spark.read.parquet(table).join(new.select("month").distinct(), "month", "left_semi")
-    stage = scratch_path(spark, "upsert")
-    upserted(touched, new).write.parquet(stage)
-    spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+    _rewrite(spark, table, upserted(touched, new))
 
 
 def replaced_range(existing: DataFrame, new: DataFrame, start: str, end: str, clear: bool) -> DataFrame:
@@ -78,6 +76,28 @@ def replaced_range(existing: DataFrame, new: DataFrame, start: str, end: str, cl
     return kept.unionByName(missing_rows(kept, new.filter(inside)))
 
 
+def replace_range(spark: SparkSession, table: str, new: DataFrame, start: str, end: str, clear: bool) -> None:
+    """Rewrite the months of [start, end] by `replaced_range`. A month that ends up empty is removed."""
+    months = F.col("month").between(start[:7], end[:7])
+    stored = spark.read.parquet(table).filter(months)
+    before = {r["month"] for r in stored.select("month").distinct().collect()}  # the months of the range
+    after = {r["month"] for r in _rewrite(spark, table, replaced_range(stored, with_month(new).filter(months), start, end, clear)).select("month").distinct().collect()}
+    for month in before - after:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/month={month}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _rewrite(spark: SparkSession, table: str, rows: DataFrame) -> DataFrame:
+    """Overwrite the months of the rows, staged first because they are read from the same table; returns the staged rows."""
+    from stressloom.session import scratch_path
+
+    stage = scratch_path(spark, "stage")
+    rows.write.parquet(stage)
+    staged = spark.read.schema(rows.schema).parquet(stage)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(table)
+    return staged
+
+
 def reconciled(stored: DataFrame) -> DataFrame:
     """Recompute index, 30-row average, alert and trend from the stored channels; rows that differ."""
     r = stored.withColumn("new_idx", F.round(F.round(fn.composite(), 6), 1))

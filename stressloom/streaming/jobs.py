@@ -36,7 +36,7 @@ def daily_bars(points: DataFrame, delay: str = "2 days") -> DataFrame:
         "source", F.to_date("window.start").alias("ds"), "n", "mean", "median")
 
 
-def sliding_average(points: DataFrame, width: str = "7 days", step: str = "1 day", delay: str = "2 days") -> DataFrame:
+def sliding_average(points: DataFrame, width: str = "30 days", step: str = "1 day", delay: str = "2 days") -> DataFrame:
     w = points.withWatermark("ts", delay).groupBy("source", F.window("ts", width, step))
     return w.agg(F.count("value").alias("n"), F.avg("value").alias("mean")).select("source", F.to_date("window.end").alias("ds"), "n", "mean")
 
@@ -46,13 +46,18 @@ def deduplicated(points: DataFrame, keys: list[str], delay: str = "2 days") -> D
     return points.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def visible_values(targets: DataFrame, points: DataFrame, lag_hours: int, look_back_hours: int = 24, delay: str = "2 days") -> DataFrame:
-    """Targets with the points of their source already published at the target time: an interval join of two streams.
-    Both sides carry a watermark and the condition bounds event time, so state is dropped as time passes."""
-    lag, back = F.expr(f"interval {lag_hours} hours"), F.expr(f"interval {lag_hours + look_back_hours} hours")
+def visible_values(targets: DataFrame, points: DataFrame, lag_hours: dict[str, int], look_back_hours: int = 24, delay: str = "2 days") -> DataFrame:
+    """Targets with the points of their source that were published in the `look_back_hours` up to the target time, each source
+    with its own publication lag (a source without one is never visible): an interval join of two streams. Both sides
+    carry a watermark and the condition bounds event time by the longest lag, so state is dropped as time passes."""
+    hours = F.create_map(*[F.lit(x) for kv in lag_hours.items() for x in kv])
+    longest = max(lag_hours.values()) + look_back_hours
     p = points.select(F.col("source").alias("p_source"), F.col("ts").alias("p_ts"), "value").withWatermark("p_ts", delay)
     t = targets.select("source", "key", "ts").withWatermark("ts", delay)
-    on = (F.col("source") == F.col("p_source")) & (F.col("p_ts") <= F.col("ts") - lag) & (F.col("p_ts") > F.col("ts") - back)
+    gap = F.unix_micros("ts") - F.unix_micros("p_ts")
+    lag = hours[F.col("source")] * F.lit(3_600_000_000)
+    bounds = (F.col("p_ts") <= F.col("ts")) & (F.col("p_ts") > F.col("ts") - F.expr(f"interval {longest} hours"))
+    on = (F.col("source") == F.col("p_source")) & bounds & (gap >= lag) & (gap < lag + look_back_hours * 3_600_000_000)
     return t.join(p, on, "leftOuter").select("source", "key", "ts", "p_ts", "value")
 
 
@@ -155,10 +160,11 @@ def _exp(lb):
 
 def refresh(spark: SparkSession, landing: str, table: str, audit: str, checkpoint: str, schema: T.StructType, files_per_trigger: int = 4) -> None:
     """Append exactly the missing rows of the serving table from what has landed, with an audit line per batch. A batch
-    that is replayed finds its keys present and appends nothing."""
+    that is replayed finds its keys present and appends nothing; of rows with one key the least one counts."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["series_id", "ds"])
+        rest = [c for c in batch.columns if c not in ("series_id", "ds")]
+        rows = batch.groupBy("series_id", "ds").agg(F.min(F.struct(*rest)).alias("_r")).select("series_id", "ds", "_r.*").select(*batch.columns)
         n = sinks.insert_or_ignore(batch.sparkSession, table, rows)
         line = batch.sparkSession.createDataFrame([(batch_id, n)], "batch long, appended long")
         line.withColumn("loaded_at", F.current_timestamp()).write.mode("append").parquet(audit)

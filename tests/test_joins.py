@@ -33,13 +33,13 @@ def brute(left, right, how):
 
 
 @pytest.mark.parametrize("how", ["backward", "nearest"])
-@pytest.mark.parametrize("bucket", [3600, 86400])
-def test_asof_equals_brute_force(spark, how, bucket):
+@pytest.mark.parametrize("bucket,rows", [(3600, 10**6), (86400, 10**6), (86400, 7)])
+def test_asof_equals_brute_force(spark, how, bucket, rows):
     left, right = sides(spark)
     l = spark.createDataFrame(left, "i int, k string, t timestamp")
     r = spark.createDataFrame(right, "k string, rt timestamp, v double")
     f = asof.backward if how == "backward" else asof.nearest
-    got = {x["i"]: x["o"] for x in f(l, r, ["k"], "t", "rt", "v", "o", bucket_seconds=bucket).collect()}
+    got = {x["i"]: x["o"] for x in f(l, r, ["k"], "t", "rt", "v", "o", bucket_seconds=bucket, bucket_rows=rows).collect()}
     assert got == brute(left, right, how)
 
 
