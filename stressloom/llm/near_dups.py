@@ -36,7 +36,9 @@ from stressloom.llm.text import chunks, grams, mix, words
 WORDS, LEAST = 5, 85
 CHUNKS, LANES, BITS = 7, 4, 16
 DISTANCE = 2 * CHUNKS - 1
-TURNS = 2
+#: Turns, members that a key draws as centres in each, and the signature distance of pairs that are confirmed there: these only decide
+#: what is left for the last step.
+TURNS, CENTRES, CLOSE = 1, 4, 7
 #: Members of one centre whose texts are compared in one group of rows.
 SALT = 64
 
@@ -120,15 +122,15 @@ def signed(sign: DataFrame, p: str) -> DataFrame:
     return sign.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in _SIGNATURE])
 
 
-def near(a: str, b: str) -> Column:
-    """Within the signature distance, and of set sizes that allow the least similarity."""
+def near(a: str, b: str, most: int = DISTANCE) -> Column:
+    """Within a signature distance, and of set sizes that allow the least similarity."""
     sizes = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * LEAST
-    return sizes & (distance(f"{a}_", f"{b}_") <= DISTANCE)
+    return sizes & (distance(f"{a}_", f"{b}_") <= most)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the least similarity. Texts of b travel once per pair, those of a once per SALT pairs."""
-    texts = by_slot(docs, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_semi")
+    texts = by_slot(docs, "doc_id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", "left_semi")
     salted = pairs.join(pairs.groupBy("a").count(), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT)))
     one = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     other = salted.select("a", "b", "salt").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
@@ -156,7 +158,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def rare_parts(texts: DataFrame) -> DataFrame:
-    """(shingle, doc_id): of each set the n - ceil(n * LEAST / 100) + 1 shingles that the fewest of these documents hold. Two sets that
+    """(shingle, doc_id, size, rank): of each set the n - ceil(n * LEAST / 100) + 1 shingles that the fewest of these documents hold. Two sets that
     link share one of them, since both lists follow one order and the rest is smaller than the common part. Shingles of one
     document take up their places and meet nothing."""
 
@@ -173,7 +175,7 @@ def rare_parts(texts: DataFrame) -> DataFrame:
     mine = Window.partitionBy("doc_id")
     ranked = rows.join(held, "shingle").select("doc_id", "shingle", "n", F.row_number().over(mine.orderBy("docs", "shingle")).alias("rank"), F.count(F.lit(1)).over(mine).alias("common"))
     places = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - (F.col("n") - F.col("common"))
-    return ranked.where(F.col("rank") <= places).select("shingle", "doc_id")
+    return ranked.where(F.col("rank") <= places).select("shingle", "doc_id", F.col("n").alias("size"), (F.col("n") - F.col("common") + F.col("rank")).alias("rank"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,10 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = store(by_slot(texts, "doc_id", ids, "doc_id", "left_semi").join(ids, "doc_id", "left_semi"), "texts")
     links = None
     for turn in range(TURNS):
-        centre = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), "doc_id", "c")).alias("m"))
-        pairs = placed.join(centre, "key").where(F.col("c") != F.col("m.c")).select(F.col("m.doc_id").alias("x"), F.col("doc_id").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        close = pairs.join(signed(sign, "a"), "a").join(signed(sign, "b"), "b").where(near("a", "b")).select("a", "b")
+        draw = [F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn * CENTRES + i)).alias("h"), "doc_id", "c")) for i in range(CENTRES)]
+        centre = placed.groupBy("key").agg(F.array_distinct(F.array(*draw)).alias("m"))
+        pairs = placed.join(centre, "key").select(F.col("doc_id").alias("y"), "c", F.explode("m").alias("m")).where(F.col("c") != F.col("m.c"))
+        pairs = pairs.select(F.least("m.doc_id", "y").alias("a"), F.greatest("m.doc_id", "y").alias("b")).distinct()
+        close = pairs.join(signed(sign, "a"), "a").join(signed(sign, "b"), "b").where(near("a", "b", CLOSE)).select("a", "b")
         found = store(confirmed(store(close, "pairs"), texts), "links")
         links = found if links is None else links.union(found)
         of = components(links, "a", "b")
@@ -207,9 +210,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = store(rare_parts(by_slot(texts, "doc_id", left, "doc_id", "left_semi").join(left, "doc_id", "left_semi")).join(left, "doc_id"), "rare")
     main = rare.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("n"))
     rest = rare.join(main.where("n > 1").drop("n"), "shingle")
-    apart = rest.where("c != main").select("shingle", F.col("doc_id").alias("x"), F.col("c").alias("xc")).join(signed(sign, "x"), "x")
-    others = rest.select(F.col("shingle").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main").join(signed(sign, "y"), "y")
-    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & near("x", "y")
+    apart = rest.where("c != main").select("shingle", F.col("doc_id").alias("x"), F.col("c").alias("xc"), F.col("size").alias("xs"), F.col("rank").alias("xr")).join(signed(sign, "x"), "x")
+    others = rest.select(F.col("shingle").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main", F.col("size").alias("ys"), F.col("rank").alias("yr")).join(signed(sign, "y"), "y")
+    # behind the first shingle that both hold there must be room for the common part
+    room = (100 + LEAST) * (F.least(F.col("xs") - F.col("xr"), F.col("ys") - F.col("yr")) + 1) >= LEAST * (F.col("xs") + F.col("ys"))
+    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & room & near("x", "y")
     pairs = apart.join(others, (F.col("shingle") == F.col("of")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = store(confirmed(store(pairs, "pairs"), texts), "links")
     of = store(components(links.union(more), "a", "b"), "components")
