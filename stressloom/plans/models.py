@@ -396,6 +396,7 @@ def probs(df, k=3):
 
 
 # fixed transition model: the filter recursion written as a recursive query
+TRANS = [[0.90, 0.08, 0.02], [0.05, 0.90, 0.05], [0.02, 0.08, 0.90]]
 FILT = """den AS (SELECT series_id, ds, d0, d1, d2, row_number() OVER (PARTITION BY series_id ORDER BY ds) AS t FROM post)"""
 REC = """WITH RECURSIVE {base}, rec(series_id, t, ds, p0, p1, p2) AS (
   SELECT series_id, t, ds, d0/(d0+d1+d2), d1/(d0+d1+d2), d2/(d0+d1+d2) FROM den WHERE t = 1
@@ -415,11 +416,45 @@ def rg_filter(spark, d):
     return probs(regimes.filtered(tb.panel(spark, d), fixed_model()))
 
 
-@query("rg_smooth", "p0 p1 p2")
+def _smooth_sql():
+    """The filter forwards, then the recursion backwards from the last day; both normalised at each step."""
+    from stressloom.plans.composition import POST
+    step = " + ".join
+    back = [step(f"{a}*d.d{j}*r.b{j}" for j, a in enumerate(row)) for row in TRANS]
+    forward = REC.format(base=",\n".join([PANEL, POST, FILT])).replace("\nSELECT series_id, ds, p0, p1, p2 FROM rec", "")
+    return forward + f""", bk(series_id, t, b0, b1, b2) AS (
+  SELECT series_id, max(t), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE) FROM den GROUP BY 1
+  UNION ALL SELECT series_id, t, u0/(u0+u1+u2), u1/(u0+u1+u2), u2/(u0+u1+u2) FROM (
+    SELECT r.series_id, r.t - 1 AS t, {back[0]} AS u0, {back[1]} AS u1, {back[2]} AS u2 FROM bk r JOIN den d ON d.series_id=r.series_id AND d.t=r.t WHERE r.t > 1))
+SELECT series_id, ds, p0*b0/z AS p0, p1*b1/z AS p1, p2*b2/z AS p2 FROM (SELECT *, p0*b0+p1*b1+p2*b2 AS z FROM rec JOIN bk USING (series_id, t))"""
+
+
+@query("rg_smooth", "p0 p1 p2", _smooth_sql())
 def rg_smooth(spark, d):
     return probs(regimes.smoothed(tb.panel(spark, d), fixed_model()))
 
 
+def _decode_sql():
+    """Best scores forwards with where each came from, then the path backwards from the best last regime."""
+    from stressloom.plans.composition import POST
+    into = [[f"r.s{i} + ln({TRANS[i][j]})" for i in range(3)] for j in range(3)]
+    best = [f"greatest({', '.join(c)})" for c in into]
+    at = [f"CASE WHEN {c[0]} >= {b} THEN 0 WHEN {c[1]} >= {b} THEN 1 ELSE 2 END" for c, b in zip(into, best)]
+    return "WITH RECURSIVE " + ",\n".join([PANEL, POST, FILT]) + f""",
+ sc(series_id, t, ds, s0, s1, s2, k0, k1, k2) AS (
+  SELECT series_id, t, ds, ln(d0), ln(d1), ln(d2), 0, 0, 0 FROM den WHERE t = 1
+  UNION ALL SELECT d.series_id, d.t, d.ds, {best[0]} + ln(d0), {best[1]} + ln(d1), {best[2]} + ln(d2), {at[0]}, {at[1]}, {at[2]} FROM sc r JOIN den d ON d.series_id=r.series_id AND d.t=r.t+1),
+ pt(series_id, t, regime) AS (
+  SELECT series_id, t, CASE WHEN s0 >= greatest(s1, s2) THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END FROM sc WHERE (series_id, t) IN (SELECT series_id, max(t) FROM den GROUP BY 1)
+  UNION ALL SELECT p.series_id, p.t - 1, CASE p.regime WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END FROM pt p JOIN sc s ON s.series_id=p.series_id AND s.t=p.t WHERE p.t > 1)
+SELECT series_id, ds, regime FROM pt JOIN den USING (series_id, t)"""
+
+
+@query("rg_decode_fixed", "", _decode_sql())
+def rg_decode_fixed(spark, d):
+    return regimes.decode(tb.panel(spark, d), fixed_model())
+
+
 @query("rg_selection", "loglik aic bic", digits=2)
 def rg_selection(spark, d):
     rows = regimes.criteria_table({k: fitted(spark, d, k) for k in (2, 3, 4)})
