@@ -70,7 +70,7 @@ def granger(pairs: DataFrame, lags=tuple(LAGS)) -> DataFrame:
     return r.withColumn("p", p_fisher("f_stat", "df1", "df2"))
 
 
-def var_lag(panel: DataFrame, max_lag: int = 10) -> DataFrame:
+def var_lag(panel: DataFrame, max_lag: int = 30) -> DataFrame:
     """Lag order by AIC, BIC and HQIC on the log of the summed squared residuals over all equations."""
 
     def body(d):
@@ -99,7 +99,6 @@ ADF_LARGE = [1.7339, 0.93202, -0.12745, -0.010368]
 ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
 ADF_CRITICAL = {"1%": -3.43, "5%": -2.86, "10%": -2.57}
 KPSS_CRITICAL = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
-EG_CRITICAL = {"1%": -3.90, "5%": -3.34, "10%": -3.04}
 JOHANSEN_TRACE_5 = [47.8545, 29.7961, 15.4943, 3.8415]
 JOHANSEN_EIGEN_5 = [27.5858, 21.1314, 14.2639, 3.8415]
 
@@ -184,8 +183,9 @@ def engle_granger(pairs: DataFrame) -> DataFrame:
         z = np.column_stack([np.ones(len(y)), y])
         e = x - z @ np.linalg.lstsq(z, x, rcond=None)[0]
         t, _ = adf_stat(e)
-        band = next((p for c, p in ((EG_CRITICAL["1%"], 0.005), (EG_CRITICAL["5%"], 0.025), (EG_CRITICAL["10%"], 0.075)) if t < c), None)
-        p = band if band is not None else min(0.999, max(0.001, 0.15 + 0.05 * (t - EG_CRITICAL["10%"])))
+        inside = [p for level, p in S.EG_P_BELOW.items() if t < S.EG_CRITICAL[level]]
+        above = S.EG_P_ABOVE["start"] + S.EG_P_ABOVE["slope"] * (t - S.EG_CRITICAL["10%"])
+        p = min(inside) if inside else min(S.EG_P_ABOVE["most"], max(S.EG_P_ABOVE["least"], above))
         return [(len(x), t, p, p < 0.05)]
 
     return _by(pairs.na.drop(subset=["x", "y"]), ["series_id"], "n bigint, statistic double, p double, cointegrated boolean", body)
@@ -278,7 +278,7 @@ def onset_hazard(df: DataFrame, lag: int = 1) -> DataFrame:
     return r.withColumn("p", p_chi2("lr", F.lit(1.0)))
 
 
-def quantile_regression(x: np.ndarray, y: np.ndarray, q: float, steps: int = 200) -> np.ndarray:
+def quantile_regression(x: np.ndarray, y: np.ndarray, q: float, steps: int = 1000) -> np.ndarray:
     """Iteratively reweighted least squares for the pinball loss."""
     z = np.column_stack([np.ones(len(x)), x])
     b = np.linalg.lstsq(z, y, rcond=None)[0]

@@ -224,7 +224,10 @@ def naive_benchmarks(tvl: DataFrame, vix: DataFrame, seed: int = 42) -> DataFram
     t = tvl.select("series_id", "ds", "tvl")
     mom = F.col("tvl") / F.lag("tvl", 30).over(w) - 1
     # a normal draw from the row key alone, so that it does not depend on partitioning
-    u = lambda salt: (F.pmod(F.xxhash64("series_id", "ds", F.lit(seed), F.lit(salt)), F.lit(2**40)).cast("double") + 0.5) / float(2**40)
+    from stressloom.operators.resample import M, draw as drawn
+
+    row = F.datediff("ds", F.lit("1970-01-01").cast("date")) + F.crc32(F.col("series_id").cast("binary")) % 1000003
+    u = lambda salt: (drawn(seed, row, F.lit(salt)).cast("double") + 0.5) / float(M)
     draw = F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * 3.141592653589793 * u(2))
     t = t.withColumn("drawdown", 100.0 * (1.0 - F.col("tvl") / F.max("tvl").over(e))).withColumn("momentum", 50.0 - 50.0 * F.least(F.greatest(mom, F.lit(-1.0)), F.lit(1.0)))
     t = t.withColumn("_z", draw).withColumn("_walk", F.sum("_z").over(w.rowsBetween(Window.unboundedPreceding, 0)))

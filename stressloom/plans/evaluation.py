@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
 from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, RATIOS, RETS
 from stressloom.plans.registry import query
-from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, OBSERVATIONS, PANEL, W
+from stressloom.plans.sqltext import DAILY_ORDERS, EVENTS_DIM, OBSERVATIONS, PANEL, W, draw_sql
 from stressloom.plans.windowing import BREACH, CUSUM, FWD, SUST, WIN
 from stressloom.sources import tables as tb
 
@@ -147,11 +149,6 @@ def ts_kpss(spark, d):
 
 
 # ----------------------------------------------------------- classification
-def scored(spark, d):
-    lab = ev.lead_label(tb.panel(spark, d), tb.events_dim(spark))
-    return lab.select("series_id", F.round("idx", 1).alias("score"), "label")
-
-
 CURVE = """sc AS (SELECT series_id, round(round(idx, 6), 1) AS score, label FROM labelled),
  cnt AS (SELECT series_id, score, CAST(sum(label) AS BIGINT) AS pos, CAST(count(*) - sum(label) AS BIGINT) AS neg FROM sc GROUP BY 1, 2),
  curve AS (SELECT *, CAST(sum(pos) OVER (PARTITION BY series_id ORDER BY score DESC) AS BIGINT) AS tp, CAST(sum(neg) OVER (PARTITION BY series_id ORDER BY score DESC) AS BIGINT) AS fp,
@@ -413,11 +410,14 @@ def ts_rolling_validation(spark, d):
 @query("ts_naive_benchmarks", "score", W(DAILY_ORDERS, q="""
   SELECT 'orders' AS series_id, ds, 'drawdown' AS model, 100*(1-tvl/max(tvl) OVER ()) AS score FROM daily_orders
   UNION ALL SELECT 'orders', ds, 'momentum', 50-50*least(greatest(tvl/lag(tvl,30) OVER (ORDER BY ds)-1, -1.0), 1.0) FROM daily_orders
-  UNION ALL SELECT 'orders', ds, 'vix', 100.0*(n-min(n) OVER ())/(max(n) OVER () - min(n) OVER ()) FROM daily_orders"""))
+  UNION ALL SELECT 'orders', ds, 'vix', 100.0*(n-min(n) OVER ())/(max(n) OVER () - min(n) OVER ()) FROM daily_orders
+  UNION ALL SELECT 'orders', ds, 'random_walk', 100.0*(w-min(w) OVER ())/(max(w) OVER () - min(w) OVER ()) FROM (
+    SELECT ds, sum(sqrt(-2.0*ln((u1+0.5)/2147483647.0))*cos(2.0*3.141592653589793*(u2+0.5)/2147483647.0)) OVER (ORDER BY ds ROWS UNBOUNDED PRECEDING) AS w FROM (
+      SELECT ds, """ + draw_sql(42, "rep", "1") + """ AS u1, """ + draw_sql(42, "rep", "2") + """ AS u2 FROM (SELECT ds, date_diff('day', DATE '1970-01-01', ds) + """ + str(zlib.crc32(b"orders") % 1000003) + """ AS rep FROM daily_orders)))"""))
 def ts_naive_benchmarks(spark, d):
     t = tb.daily_orders(spark, d).withColumn("series_id", F.lit("orders"))
     v = t.select("series_id", "ds", F.col("n").cast("double").alias("value"))
-    return sn.naive_benchmarks(t, v).filter(F.col("model") != "random_walk").select("series_id", "ds", "model", "score")
+    return sn.naive_benchmarks(t, v).select("series_id", "ds", "model", "score")
 
 
 @query("ts_lead_confirm", "pre_z post_z", W(PANEL, LONG, EVENTS_DIM, """

@@ -19,20 +19,11 @@ from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, _corr_al
 from stressloom.plans.composition import fixed_model
 from stressloom.plans.evaluation import forward_frame, pe
 from stressloom.plans.registry import query
-from stressloom.plans.sqltext import EVENTS_DIM, PANEL, W
+from stressloom.plans.sqltext import draw_sql, EVENTS_DIM, PANEL, W
 from stressloom.session import scratch_path
 from stressloom.sources import tables as tb
 
 
-def draw_sql(seed: int, rep: str, num: str) -> str:
-    h = f"(({seed} + ({rep})::BIGINT*1000003 + ({num})::BIGINT*7919 + 12345) % 2147483647)"
-    h = f"(({h}*48271) % 2147483647)"
-    h = f"(xor({h}, {h} >> 15))"
-    h = f"(({h}*69621) % 2147483647)"
-    h = f"(xor({h}, {h} >> 13))"
-    return f"(({h}*16807) % 2147483647)"
-
-
 def forward_panel(spark, d):
     """Channels with the index 30 rows ahead as the target."""
     p = tb.stored_panel(spark, d).withColumn("target", F.lead("idx", 30).over(win.by_day()))

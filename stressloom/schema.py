@@ -147,6 +147,11 @@ DAILY_SERIES = T.StructType(
     + [T.StructField("idx", T.DoubleType())]
 )
 
+# Cointegration of two series. Critical values, the p-value reported below each of them, and the line above the last.
+EG_CRITICAL = {"1%": -3.90, "5%": -3.34, "10%": -3.04}
+EG_P_BELOW = {"1%": 0.005, "5%": 0.025, "10%": 0.075}
+EG_P_ABOVE = {"start": 0.15, "slope": 0.05, "least": 0.001, "most": 0.999}
+
 SERVING_TABLE = T.StructType(
     [
         T.StructField("series_id", T.StringType()),
