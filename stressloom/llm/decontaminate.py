@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import by_slot, small_batches, store
+from stressloom.llm.staging import by_slot, mapped, small_batches, store
 from stressloom.llm.text import Words, chunks, grams, words
 
 MATCH = 5
@@ -41,7 +41,7 @@ def item_words(items: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(w.hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column("item_id").slice(rows.start, rows.stop - rows.start), lists], ["item_id", "words"])
 
-    return items.mapInArrow(read, "item_id bigint, words array<bigint>").where(F.size("words") >= MATCH)
+    return mapped(items, read, "item_id bigint, words array<bigint>").where(F.size("words") >= MATCH)
 
 
 def seeds_of(h: np.ndarray) -> np.ndarray:
@@ -59,7 +59,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 s = np.unique(seeds_of(h))
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.full(len(s), len(h)))], ["seed", "item", "length"])
 
-    return items.select("item", "words").mapInArrow(read, "seed bigint, item bigint, length bigint")
+    return mapped(items.select("item", "words"), read, "seed bigint, item bigint, length bigint")
 
 
 def seed_map(seeds: DataFrame) -> np.ndarray:
@@ -72,7 +72,7 @@ def seed_map(seeds: DataFrame) -> np.ndarray:
             np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
-    maps = seeds.select("seed").mapInArrow(read, "bits binary").rdd.map(lambda r: np.frombuffer(r["bits"], np.uint8))
+    maps = mapped(seeds.select("seed"), read, "bits binary").rdd.map(lambda r: np.frombuffer(r["bits"], np.uint8))
     return maps.treeReduce(np.bitwise_or) if maps.getNumPartitions() else np.zeros(BITS // 8, np.uint8)
 
 
@@ -101,7 +101,7 @@ def stretches(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         ["doc_id", "at", "words", "seeds"],
                     )
 
-    return docs.mapInArrow(read, "doc_id bigint, at array<int>, words array<bigint>, seeds array<bigint>")
+    return mapped(docs, read, "doc_id bigint, at array<int>, words array<bigint>, seeds array<bigint>")
 
 
 def matches(doc: list[np.ndarray], item: np.ndarray, size: int) -> list[tuple[int, int, int, int]]:
@@ -186,7 +186,7 @@ def coverage(docs: DataFrame, items: DataFrame, least: float = COVERAGE) -> Data
             length = [len(i) for i in b.column("item_words")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(marked, pa.int32()), pa.array(length, pa.int32())], ["doc_id", "item_id", "tiled", "length"])
 
-    made = ready.mapInArrow(tile, "doc_id bigint, item_id bigint, tiled int, length int")
+    made = mapped(ready, tile, "doc_id bigint, item_id bigint, tiled int, length int")
     return made.withColumn("coverage", F.col("tiled") / F.col("length")).where(F.col("coverage") >= least)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stressloom.llm.rounds import averaged
-from stressloom.llm.staging import commonest, partition_number, small_batches, store
+from stressloom.llm.staging import commonest, mapped, partition_number, small_batches, store
 from stressloom.llm.text import chunks, held, mix, words
 
 CLASSES = LEAVES = 32
@@ -113,7 +113,7 @@ def counts(docs: DataFrame) -> DataFrame:
         if parts:
             yield from batch(merged(parts))
 
-    made = docs.select("text").mapInArrow(read, "word bigint, shared int, times bigint")
+    made = mapped(docs.select("text"), read, "word bigint, shared int, times bigint")
     return made.groupBy("word").agg(F.min("shared").alias("shared"), F.sum("times").alias("times"))
 
 
@@ -245,7 +245,8 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([change[i : i + BLOCK].tobytes()], pa.binary())], ["block", "part"])
 
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        flat = averaged(part.coalesce(max(1, sc.defaultParallelism)).mapInArrow(learn, "block int, part binary"), flat)
+        flat = averaged(mapped(part.coalesce(max(1, sc.defaultParallelism)), learn, "block int, part binary"), flat)
+        sent.destroy()
     return flat
 
 
@@ -296,7 +297,7 @@ def score(docs: DataFrame, table: DataFrame, v: Vocabulary, flat: np.ndarray) ->
                 )
                 row += n
 
-    rows = store(docs.select("doc_id", "held_out", "text").mapInArrow(read, ROW), "scored")
+    rows = store(mapped(docs.select("doc_id", "held_out", "text"), read, ROW), "scored")
     rest = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("u")).select("row", F.col("u.rare").alias("word"), F.col("u.times").alias("n"))
     more = rest.join(table.select("word", F.col("times").alias("c")), "word").groupBy("row").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"))
     full = rows.drop("rare", "times").join(more, "row", "left")

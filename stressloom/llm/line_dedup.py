@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stressloom.llm.staging import by_slot, small_batches, store
+from stressloom.llm.staging import by_slot, mapped, small_batches, store
 from stressloom.llm.text import chunks, mix, powers, words
 
 RUN, GRAM = 30, 15
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, run: int, gram: int) -> DataFrame:
                     ["doc_id", "form", "gram", "line", "runs", "ends"],
                 )
 
-    return docs.mapInArrow(read, "doc_id bigint, form bigint, gram bigint, line int, runs array<bigint>, ends array<int>")
+    return mapped(docs, read, "doc_id bigint, form bigint, gram bigint, line int, runs array<bigint>, ends array<int>")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stressloom.llm.components import components
-from stressloom.llm.staging import by_slot, small_batches, store
+from stressloom.llm.staging import by_slot, mapped, small_batches, store
 from stressloom.llm.text import chunks, grams, mix, words
 
 WORDS, LEAST = 5, 85
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 )
 
     kind = ", ".join(f"{c} bigint" for c in ["doc_id", "form", "n_shingles", "k0", "k1", *_SIGNATURE])
-    return docs.select("doc_id", F.xxhash64("text").alias("form"), "text").mapInArrow(read, kind)
+    return mapped(docs.select("doc_id", F.xxhash64("text").alias("form"), "text"), read, kind)
 
 
 def mix_lane(g: np.ndarray, k: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(out))
 
     joined = one.join(other, ["a", "salt"]).select("a", "b", "a_text", "b_text")
-    return joined.mapInArrow(read, "a bigint, b bigint")
+    return mapped(joined, read, "a bigint, b bigint")
 
 
 def rare_parts(texts: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def rare_parts(texts: DataFrame) -> DataFrame:
                     s = np.unique(g[first[i] : first[i + 1]])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column("doc_id")[rows.start + i].as_py())), pa.array(s.view(np.int64)), pa.array(np.full(len(s), len(s)))], ["doc_id", "shingle", "n"])
 
-    rows = store(texts.mapInArrow(read, "doc_id bigint, shingle bigint, n bigint"), "shingles")
+    rows = store(mapped(texts, read, "doc_id bigint, shingle bigint, n bigint"), "shingles")
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     mine = Window.partitionBy("doc_id")
     ranked = rows.join(held, "shingle").select("doc_id", "shingle", "n", F.row_number().over(mine.orderBy("docs", "shingle")).alias("rank"), F.count(F.lit(1)).over(mine).alias("common"))

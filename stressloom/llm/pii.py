@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import small_batches
+from stressloom.llm.staging import mapped, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
@@ -122,7 +122,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             found = [[dict(zip(("kind", "start", "end", "score"), s)) for s in spans(t or "", least)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, item)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, kind)
+    return mapped(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), scan, kind)
 
 
 def joined(col) -> F.Column:

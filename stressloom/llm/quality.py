@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stressloom.llm.rounds import labelled_sample, packed, train
-from stressloom.llm.staging import small_batches
+from stressloom.llm.staging import mapped, small_batches
 from stressloom.llm.text import chunks, held, row_of, words
 
 BUCKETS, BINS, RANK = 1 << 15, 12, 8
@@ -110,7 +110,7 @@ def examples(sample: DataFrame) -> DataFrame:
                 )
 
     kind = "doc_id bigint, shard int, y double, idx array<int>, val array<float>"
-    return sample.select("doc_id", "shard", F.col("y").cast("double").alias("y"), "text").mapInArrow(read, kind)
+    return mapped(sample.select("doc_id", "shard", F.col("y").cast("double").alias("y"), "text"), read, kind)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> np.ndarray | None:
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: np.ndarray | None) -> DataFrame:
                     p = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(rows.start, n), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, "doc_id bigint, score double")
+    return mapped(docs.select("doc_id", "text"), read, "doc_id bigint, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import store
+from stressloom.llm.staging import mapped, store
 from stressloom.llm.text import held
 
 #: Labelled rows that a classifier is fitted on at most, taken by the order of a hash of the id.
@@ -67,7 +67,8 @@ def train(packs: DataFrame, state: np.ndarray, update: Callable[[np.ndarray, Ite
                     parts = [change[i : i + BLOCK].tobytes() for i in range(0, len(change), BLOCK)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
 
-        state = averaged(packs.mapInArrow(local, "block int, part binary"), state)
+        state = averaged(mapped(packs, local, "block int, part binary"), state)
+        sent.destroy()
     return state
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import commonest, partition_number, small_batches, store
+from stressloom.llm.staging import commonest, mapped, partition_number, small_batches, store
 
 #: Entries of the broadcast table: about 5 MB, whatever the corpus.
 FREQUENT = 1 << 17
@@ -93,7 +93,7 @@ def distinct_units(texts: DataFrame, path: str) -> DataFrame:
                     seen.clear()
         yield from slices(["unit", "times"], pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()))
 
-    return texts.select("text").mapInArrow(count, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
+    return mapped(texts.select("text"), count, "unit string, times bigint").groupBy("unit").agg(F.sum("times").alias("times"))
 
 
 def piece_table(units: DataFrame, path: str) -> DataFrame:
@@ -105,7 +105,7 @@ def piece_table(units: DataFrame, path: str) -> DataFrame:
             pieces = [n for i in range(0, len(b), 1024) for n in cut.pieces(b.column("unit").slice(i, 1024).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("times"), pa.array(pieces, pa.int32())], ["unit", "times", "pieces"])
 
-    return units.mapInArrow(encode, "unit string, times bigint, pieces int")
+    return mapped(units, encode, "unit string, times bigint, pieces int")
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             )
             at += len(b)
 
-    rows = store(texts.mapInArrow(take, "row bigint, doc_id bigint, n_bytes bigint, sure bigint, rare array<string>, times array<int>"), "units")
+    rows = store(mapped(texts, take, "row bigint, doc_id bigint, n_bytes bigint, sure bigint, rare array<string>, times array<int>"), "units")
     rest = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("u")).select("row", F.col("u.rare").alias("unit"), F.col("u.times").alias("n"))
     sums = rest.join(table.select("unit", "pieces"), "unit").groupBy("row").agg(F.sum(F.col("n").cast("long") * F.col("pieces")).alias("more"))
     return rows.select("row", "doc_id", "n_bytes", "sure").join(sums, "row", "left").select(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import store
+from stressloom.llm.staging import mapped, store
 
 LISTS, K, EVERY = 4, 5, 50
 #: Rows of a matrix of candidates and of queries: a task holds one of each and their partial scores.
@@ -57,7 +57,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         if len(ids):
             yield matrix(ids, m)
 
-    return store(rows.mapInArrow(pack, "ids array<bigint>, m binary"), name)
+    return store(mapped(rows, pack, "ids array<bigint>, m binary"), name)
 
 
 def matrix(ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
@@ -125,7 +125,7 @@ def gather(both: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield from entries(one(*sides(b, i)) for i in range(len(b)))
 
-    return both.select("ids", "m", "c_ids", "c_m").mapInArrow(read, ENTRY)
+    return mapped(both.select("ids", "m", "c_ids", "c_m"), read, ENTRY)
 
 
 def resolve(both: DataFrame, k: int) -> DataFrame:
@@ -147,7 +147,7 @@ def resolve(both: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield from entries(one(b.column("cutoffs")[i].values.to_numpy(), *sides(b, i)) for i in range(len(b)))
 
-    return both.select("cutoffs", "ids", "m", "c_ids", "c_m").mapInArrow(read, ENTRY)
+    return mapped(both.select("cutoffs", "ids", "m", "c_ids", "c_m"), read, ENTRY)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stressloom.llm.rounds import labelled_sample, packed, train
-from stressloom.llm.staging import small_batches
+from stressloom.llm.staging import mapped, release, small_batches
 from stressloom.llm.text import chunks, held, mix, row_of, words
 
 FAMILIES = (1 << 16, 1 << 16, 1 << 16)  # words, pairs, pairs that skip one word
@@ -76,7 +76,7 @@ def examples(sample: DataFrame) -> DataFrame:
                     ["doc_id", "shard", "y", "idx"],
                 )
 
-    return sample.select("doc_id", "shard", F.col("y").cast("double").alias("y"), "text").mapInArrow(read, "doc_id bigint, shard int, y double, idx array<int>")
+    return mapped(sample.select("doc_id", "shard", F.col("y").cast("double").alias("y"), "text"), read, "doc_id bigint, shard int, y double, idx array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray] | None:
@@ -110,6 +110,7 @@ def toxic_probability(model: tuple[np.ndarray, np.ndarray] | None, spark: SparkS
                 total = dense[SIZE] + np.bincount(found // SIZE, dense[found % SIZE], n)[:n]
                 out.append(np.zeros(n) if sent.value is None else 1 / (1 + np.exp(-np.clip(total, -500, 500))))
             yield pa.array(np.concatenate(out))
+        release()
 
     return score
 
