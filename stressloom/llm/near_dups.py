@@ -132,6 +132,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the least similarity. Texts of b travel once per pair, those of a once per SALT pairs."""
     texts = by_slot(docs, "doc_id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", "left_semi")
     salted = pairs.join(pairs.groupBy("a").count(), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT)))
+    salted = store(salted.select("a", "b", "salt"), "salted")
     one = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     other = salted.select("a", "b", "salt").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
 
