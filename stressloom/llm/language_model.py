@@ -44,6 +44,8 @@ ROWS = (1 << 13, 1 << 15)
 RATE, BATCH, ROUNDS = 0.25, 8192, 2
 #: Words of the broadcast table of counts, and distinct words that a task holds before it passes its counts on.
 FREQUENT, HELD = 1 << 17, 1 << 19
+#: Rows of 32 floats are gathered and added as 16 complex numbers, which takes half the time.
+PAIR = np.complex64
 END = np.uint64(0x5EED0FE0D0000001)
 
 
@@ -176,13 +178,13 @@ def softmax(raw: np.ndarray) -> np.ndarray:
 
 
 def raws(flat: np.ndarray, known: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bias, w, d = views(flat)
-    top, low = bias + w[known[0]], d[deep[0]]
+    bias, w, d = (x.view(PAIR) for x in views(flat))
+    top, low = bias + np.take(w, known[0], axis=0), np.take(d, deep[0], axis=0)
     for k in known[1:]:
-        top += w[k]
+        top += np.take(w, k, axis=0)
     for k in deep[1:]:
-        low += d[k]
-    return top, low
+        low += np.take(d, k, axis=0)
+    return top.view(np.float32), low.view(np.float32)
 
 
 def step(flat: np.ndarray, past: np.ndarray, leaf: np.ndarray, known: np.ndarray, deep: np.ndarray) -> None:
@@ -197,7 +199,7 @@ def step(flat: np.ndarray, past: np.ndarray, leaf: np.ndarray, known: np.ndarray
         order = np.argsort(flat_rows, kind="stable")
         sorted_rows = flat_rows[order]
         new = np.flatnonzero(np.diff(sorted_rows, prepend=-1).astype(bool)) if len(order) else order
-        total = np.add.reduceat(g[order % len(leaf)], new, axis=0)
+        total = np.add.reduceat(np.take(g.view(PAIR), order % len(leaf), axis=0), new, axis=0).view(np.float32)
         move(views(flat)[1 + i], views(past)[1 + i], sorted_rows[new].astype(np.int64), total)
 
 
