@@ -34,8 +34,9 @@ def by_slot(docs: DataFrame, column: str, ids: DataFrame, id_column: str, how: s
     """Rows of docs whose hash slot is one of those of the ids (left_semi), or none of them (left_anti), without a shuffle of docs. A
     first pass before an exact join: the more ids, the less it spares."""
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(SLOTS))
-    found = ids.select(slot(id_column).alias("slot_of_ids")).distinct()
-    return docs.join(F.broadcast(found), slot(column) == F.col("slot_of_ids"), how)
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has
+    found = ids.select(slot(id_column).alias(free)).distinct()
+    return docs.join(F.broadcast(found), slot(column) == F.col(free), how)
 
 
 def release() -> None:
