@@ -7,7 +7,7 @@ frame, so each date is an event without any join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stressloom import schema as S
@@ -148,11 +148,18 @@ def placebo_summary(table: DataFrame) -> DataFrame:
 
 
 def placebo_p(table: DataFrame, observed: DataFrame) -> DataFrame:
-    """Empirical p of each event against all placebo dates of its series: share of placebo t at least as large."""
-    o = observed.select("series_id", "event", F.col("t_hac").alias("_t"))
-    return table.join(o, "series_id").groupBy("series_id", "event").agg(
-        F.avg((F.col("t_hac") >= F.col("_t")).cast("double")).alias("p_one_sided"),
-        F.avg((F.abs("t_hac") >= F.abs("_t")).cast("double")).alias("p_two_sided"))
+    """Empirical p of each event against all placebo dates of its series: share of placebo t at least as large. Both are ranked
+    in one order per series, so dates and events do not meet in pairs."""
+    placebo = table.select("series_id", "t_hac", F.lit(1).alias("_n"), F.lit(None).cast("string").alias("event"))
+    both = placebo.unionByName(observed.select("series_id", "t_hac", F.lit(0).alias("_n"), "event"))
+    every = Window.partitionBy("series_id")
+
+    def share(t):
+        down = every.orderBy(F.desc(t), F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)  # on ties placebo dates count
+        return F.sum("_n").over(down) / F.sum("_n").over(every)
+
+    ranked = both.select("series_id", "event", "_n", share(F.col("t_hac")).alias("p_one_sided"), share(F.abs("t_hac")).alias("p_two_sided"))
+    return ranked.filter((F.col("_n") == 0) & F.col("p_one_sided").isNotNull()).drop("_n")
 
 
 def backtest(series: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:

@@ -102,26 +102,31 @@ def collinearity(df: DataFrame) -> DataFrame:
     return _solve(moments(df, ["series_id"]), "series_id string, channel string, vif double, condition double, first_share double", body)
 
 
-def connectedness_total(cov: np.ndarray, phi: np.ndarray, horizon: int = 10) -> float:
-    """Total connectedness of a VAR(1) from its generalised error-variance shares."""
-    k = len(cov)
-    num, den, a = np.zeros((k, k)), np.zeros(k), np.eye(k)
+def connectedness_total(cov: np.ndarray, phi: np.ndarray, horizon: int = 10) -> np.ndarray:
+    """Total connectedness of VAR(1) models from their generalised error-variance shares; models are stacked in front."""
+    k = cov.shape[-1]
+    num, den, a = np.zeros_like(cov), np.zeros(cov.shape[:-1]), np.broadcast_to(np.eye(k), cov.shape)
     for _ in range(horizon + 1):
-        num += (a @ cov) ** 2
-        den += np.einsum("ij,jl,il->i", a, cov, a)
+        ac = a @ cov
+        num += ac**2
+        den += (ac * a).sum(axis=-1)
         a = a @ phi
-    theta = num / np.diag(cov)[None, :] / den[:, None]
-    theta = theta / theta.sum(axis=1, keepdims=True)
-    return float((theta.sum() - np.trace(theta)) / k * 100.0)
+    theta = num / np.diagonal(cov, axis1=-2, axis2=-1)[..., None, :] / den[..., :, None]
+    theta = theta / theta.sum(axis=-1, keepdims=True)
+    return (theta.sum(axis=(-2, -1)) - np.trace(theta, axis1=-2, axis2=-1)) / k * 100.0
 
 
-def _var1(n, sy, sx, sxx, sxy, syy):
-    """Coefficients and residual covariance of y = c + phi x from centred sums."""
-    xx = sxx - np.outer(sx, sx) / n
-    xy = sxy - np.outer(sx, sy) / n
-    yy = syy - np.outer(sy, sy) / n
-    b = np.linalg.solve(xx, xy)
-    return b.T, (yy - xy.T @ b) / n
+def _var1(n, s):
+    """Coefficients and residual covariances of y = c + phi x from stacked centred sums; rows without a solution are nan."""
+    q = K * K
+    sy, sx = s[:, :K], s[:, K: 2 * K]
+    sxx, sxy, syy = (s[:, 2 * K + i * q: 2 * K + (i + 1) * q].reshape(-1, K, K) for i in range(3))
+    outer = lambda u, v: u[:, :, None] * v[:, None, :] / n[:, None, None]
+    xx, xy, yy = sxx - outer(sx, sx), sxy - outer(sx, sy), syy - outer(sy, sy)
+    solvable = np.linalg.matrix_rank(xx) == K
+    b = np.full_like(xy, np.nan)
+    b[solvable] = np.linalg.solve(xx[solvable], xy[solvable])
+    return b.transpose(0, 2, 1), (yy - xy.transpose(0, 2, 1) @ b) / n[:, None, None]
 
 
 def _lag_products(df: DataFrame) -> DataFrame:
@@ -137,32 +142,32 @@ def _sum_cols():
             + [y[i] * y[j] for i in range(K) for j in range(K)])
 
 
-def _unpack(n, s):
-    s = np.asarray(s, float)
-    q = K * K
-    mats = [s[2 * K + i * q: 2 * K + (i + 1) * q].reshape(K, K) for i in range(3)]
-    return n, s[:K], s[K: 2 * K], *mats
+def _totals(df: DataFrame, keys: str, horizon: int) -> DataFrame:
+    """Connectedness of every row of sums (n, s), a batch of rows in one solve."""
+    names = [p.strip().split(" ")[0] for p in keys.split(",")]
 
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                n = pdf["n"].to_numpy(float)
+                phi, cov = _var1(n, np.stack(pdf["s"].to_list()).astype(float))
+                total = connectedness_total(cov, phi, horizon)
+                yield pdf[names].assign(connectedness=[None if np.isnan(t) else float(t) for t in total])
 
-def _total(n, s, horizon):
-    try:
-        phi, cov = _var1(*_unpack(n, s))
-        return connectedness_total(cov, phi, horizon)
-    except np.linalg.LinAlgError:
-        return None
+    return df.mapInPandas(run, keys + ", connectedness double")
 
 
 def connectedness(df: DataFrame, horizon: int = 10) -> DataFrame:
     g = _lag_products(df).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in _sum_cols()]).alias("s"))
-    return _solve(g, "series_id string, n bigint, connectedness double", lambda r: [(r.series_id, int(r.n), _total(r.n, r.s, horizon))])
+    return _totals(g, "series_id string, n bigint", horizon)
 
 
 def rolling_connectedness(df: DataFrame, width: int = 60, horizon: int = 10) -> DataFrame:
-    """The same over the last `width` rows (width - 1 transitions) at each date: window sums, then one solve per row."""
+    """The same over the last `width` rows (width - 1 transitions) at each date: window sums, then one solve per batch of rows."""
     w = by_day().rowsBetween(-(width - 2), 0)
     d = _lag_products(spread(df, "series_id"))
     d = d.select("series_id", "ds", F.count(F.lit(1)).over(w).alias("n"), F.array(*[F.sum(c).over(w) for c in _sum_cols()]).alias("s"))
-    return _solve(d.filter(F.col("n") == width - 1), "series_id string, ds date, connectedness double", lambda r: [(r.series_id, r.ds, _total(r.n, r.s, horizon))])
+    return _totals(d.filter(F.col("n") == width - 1), "series_id string, ds date", horizon)
 
 
 # Fixed values of the penalised regression search.
