@@ -21,7 +21,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Whole texts go to Python in batches of so many rows, which bounds what a worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 

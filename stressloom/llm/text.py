@@ -15,7 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are hashed at once, and bytes of one piece of running sums: what a worker holds beside its batch.
+CHUNK_BYTES, PIECE = 1 << 19, 1 << 18
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,9 +74,9 @@ def words(data: np.ndarray, bounds: np.ndarray) -> Words:
     hashes = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):  # pieces bound the memory of very long texts
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 20), "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
         lo, hi = starts[i], ends[j - 1]
-        up, down = powers(max(1 << 20, int(hi - lo)))
+        up, down = powers(max(PIECE, int(hi - lo)))
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTES[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         hashes[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo]
