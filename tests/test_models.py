@@ -172,3 +172,14 @@ def test_positional_alignment_truncates(spark):
     a = series(spark, [1, 2, 3, 4]).unionByName(series(spark, [5, 6], sid="B"))
     got = align.positional(a, "B", "idx", from_end=True).orderBy("pos").collect()
     assert [(r["x"], r["y"]) for r in got] == [(4.0, 6.0), (3.0, 5.0)]
+
+
+def test_fit_reports_convergence_and_ignores_partitioning(spark):
+    arrays = {f"S{i}": switching(200, i)[0] for i in range(3)}
+    p = panel(spark, arrays)
+    m = regimes.fit(p, (2,), restarts=2)[2]
+    assert m.converged and 1 < m.iterations <= regimes.ITERATIONS
+    other = regimes.fit(p.repartition(7), (2,), restarts=2)[2]
+    assert np.allclose(m.means, other.means) and m.iterations == other.iterations
+    short = regimes.fit(p, (2,), restarts=1, iterations=2)[2]
+    assert not short.converged and short.iterations == 2

@@ -96,3 +96,21 @@ def test_shared_folder_comes_from_the_session(spark):
     assert folder and (named is None or folder == named)
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a.startswith(folder) and a != b
+
+
+def test_replace_range_clears_and_keeps_the_rest(spark, tmp_path):
+    t = str(tmp_path / "t")
+    sinks.with_month(series(spark, range(90))).write.partitionBy("month").parquet(t)
+    first = spark.read.parquet(t).agg(F.min("ds")).first()[0]
+    new = series(spark, range(1000, 1090)).filter(F.col("ds") >= F.lit(first.replace(day=20)))
+    sinks.replace_range(spark, t, new, str(first), str(first.replace(day=25)), clear=True)
+    got = spark.read.parquet(t)
+    inside = got.filter(F.col("ds").between(F.lit(first), F.lit(first.replace(day=25))))
+    assert inside.count() == 6 and inside.filter("idx < 1000").count() == 0
+    assert got.filter(F.col("ds") > F.lit(first.replace(day=25))).filter("idx >= 1000").count() == 0
+
+
+def test_titles_are_compared_whole(spark):
+    same = "x" * 100
+    df = spark.createDataFrame([(3, same + "a"), (1, same + "b"), (2, same + "a"), (4, ""), (5, None)], "doc_id int, title string")
+    assert sorted((r.doc_id, r.title[-1]) for r in pl.first_titles(df, "doc_id").collect()) == [(1, "b"), (2, "a")]
