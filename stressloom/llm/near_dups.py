@@ -196,11 +196,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = store(by_slot(texts, "doc_id", ids, "doc_id", "left_semi").join(ids, "doc_id", "left_semi"), "texts")
     links = None
     for turn in range(TURNS):
-        draw = [F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn * CENTRES + i)).alias("h"), "doc_id", "c")) for i in range(CENTRES)]
-        centre = placed.groupBy("key").agg(F.array_distinct(F.array(*draw)).alias("m"))
-        pairs = placed.join(centre, "key").select(F.col("doc_id").alias("y"), "c", F.explode("m").alias("m")).where(F.col("c") != F.col("m.c"))
-        pairs = pairs.select(F.least("m.doc_id", "y").alias("a"), F.greatest("m.doc_id", "y").alias("b")).distinct()
-        close = pairs.join(signed(sign, "a"), "a").join(signed(sign, "b"), "b").where(near("a", "b", CLOSE)).select("a", "b")
+        member = placed.join(signed(sign, "y"), placed["doc_id"] == F.col("y")).drop("doc_id")
+        draw = [F.min(F.struct(F.xxhash64("y", "key", F.lit(turn * CENTRES + i)).alias("h"), *member.drop("key").columns)) for i in range(CENTRES)]
+        centre = member.groupBy("key").agg(F.array_distinct(F.array(*draw)).alias("m"))
+        met = member.join(centre, "key").select("*", F.explode("m").alias("x")).where(F.col("c") != F.col("x.c"))
+        met = met.withColumns({f"x_{v}": F.col(f"x.y_{v}") for v in ("n", *_SIGNATURE)}).where(near("x", "y", CLOSE))
+        close = met.select(F.least("x.y", "y").alias("a"), F.greatest("x.y", "y").alias("b")).distinct()
         found = store(confirmed(store(close, "pairs"), texts), "links")
         links = found if links is None else links.union(found)
         of = components(links, "a", "b")
