@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = store(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
     placed = store(keyed.join(shared, "key").select("key", "doc_id", F.col("doc_id").alias("c")), "members")
     ids = placed.select("doc_id").distinct()
-    texts = store(by_slot(texts, "doc_id", ids, "doc_id", "left_semi").join(ids, "doc_id", "left_semi"), "texts")
+    texts = store(by_slot(texts, "doc_id", ids, "doc_id", "left_semi").join(ids, "doc_id", "left_semi"), "texts", "snappy")
     links = None
     for turn in range(TURNS):
         member = placed.join(signed(sign, "y"), placed["doc_id"] == F.col("y")).drop("doc_id")

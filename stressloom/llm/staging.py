@@ -14,18 +14,14 @@ from pyspark.sql import functions as F
 from stressloom.session import scratch_path
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder: read by several branches, and not made anew when an executor is lost."""
+def store(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+    """Written to the shared folder: read by several branches, and not made anew when an executor is lost. Tables of hashes and ids do
+    not shrink, and codecs keep buffers outside the heap until it is collected; texts are worth it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts go to Python in batches of so many rows, which bounds what a worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 #: Hash slots of ids. A set of slots is broadcast whatever the number of ids: it has so many entries at most.
 SLOTS = 1 << 20
 

@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             )
             at += len(b)
 
-    rows = store(mapped(texts, take, "row bigint, doc_id bigint, n_bytes bigint, sure bigint, rare array<string>, times array<int>"), "units")
+    rows = store(mapped(texts, take, "row bigint, doc_id bigint, n_bytes bigint, sure bigint, rare array<string>, times array<int>"), "units", "snappy")
     rest = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("u")).select("row", F.col("u.rare").alias("unit"), F.col("u.times").alias("n"))
     sums = rest.join(table.select("unit", "pieces"), "unit").groupBy("row").agg(F.sum(F.col("n").cast("long") * F.col("pieces")).alias("more"))
     return rows.select("row", "doc_id", "n_bytes", "sure").join(sums, "row", "left").select(
