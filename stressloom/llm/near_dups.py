@@ -7,13 +7,14 @@ fewer words the whole sequence is the one shingle; without words the set is empt
 1. Documents of one word sequence form a class; from here on only its smallest id takes part.
 2. A signature has CHUNKS longs of 4 lanes with 16 bits of a minimum each, 28 lanes in all. Signatures that differ in at most
    DISTANCE = 2 * CHUNKS - 1 = 13 lanes have, by pigeonhole, a chunk with one differing lane or none. So a class has one key per chunk
-   and lane, with that lane blanked, and every such pair shares a key. At the least similarity asked for (0.85) the number of
-   differing lanes is binomial (28, 0.15): a pair lies beyond 13 with probability 1.2e-5, and any closer pair more rarely.
+   and lane, with that lane blanked, and every such pair shares a key. At a similarity of s the number of differing lanes is
+   binomial (28, 1 - s): a pair of exactly 0.85 lies beyond 13 with probability 1.4e-5, one of exactly 0.80 with 3.7e-4, and
+   any closer pair more rarely.
 3. In each of TURNS turns every key draws one of its members by a hash as its centre. Members in another component than the centre
    meet it; pairs that pass the signature distance are confirmed on the texts, and the links found so far give new
    components. A key costs no more pairs than it has members.
 4. What is left are documents of keys whose members still lie in different components, and links between those components. Two sets that
-   link share a shingle among the rarest 15 percent of each (see rare_parts), so these documents join on them: members outside
+   link share a shingle among the rarest 100 - least percent of each (see rare_parts), so these documents join on them: members outside
    the largest component of a shingle meet all members of other components, pairs within the signature distance are
    confirmed. No link between different components is lost. A group of copies that the turns have joined costs no further pair, and
    copies that differ too much have rare shingles of their own and do not meet.
@@ -33,7 +34,8 @@ from stressloom.llm.components import components
 from stressloom.llm.staging import by_slot, mapped, small_batches, store
 from stressloom.llm.text import chunks, grams, mix, words
 
-WORDS, LEAST = 5, 85
+#: Least similarity in percent: of the query, and of the pipeline's stage.
+WORDS, LEAST, STAGE_LEAST = 5, 85, 80
 CHUNKS, LANES, BITS = 7, 4, 16
 DISTANCE = 2 * CHUNKS - 1
 #: Turns, members that a key draws as centres in each, and the signature distance of pairs that are confirmed there: these only decide
@@ -122,13 +124,13 @@ def signed(sign: DataFrame, p: str) -> DataFrame:
     return sign.select(F.col("doc_id").alias(p), F.col("n_shingles").alias(f"{p}_n"), *[F.col(s).alias(f"{p}_{s}") for s in _SIGNATURE])
 
 
-def near(a: str, b: str, most: int = DISTANCE) -> Column:
+def near(a: str, b: str, least: int, most: int = DISTANCE) -> Column:
     """Within a signature distance, and of set sizes that allow the least similarity."""
-    sizes = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * LEAST
+    sizes = F.least(f"{a}_n", f"{b}_n") * 100 >= F.greatest(f"{a}_n", f"{b}_n") * least
     return sizes & (distance(f"{a}_", f"{b}_") <= most)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the least similarity. Texts of b travel once per pair, those of a once per SALT pairs."""
     texts = by_slot(docs, "doc_id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")), "id", "left_semi")
     salted = pairs.join(pairs.groupBy("a").count(), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / SALT)))
@@ -151,15 +153,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     of, held = ids[i], np.unique(x)
                 y = np.unique(y)
                 common = len(np.intersect1d(held, y, assume_unique=True))
-                out[i] = 0 < 100 * common >= LEAST * (len(held) + len(y) - common)
+                out[i] = 0 < 100 * common >= least * (len(held) + len(y) - common)
             yield b.select(["a", "b"]).filter(pa.array(out))
 
     joined = one.join(other, ["a", "salt"]).select("a", "b", "a_text", "b_text")
     return mapped(joined, read, "a bigint, b bigint")
 
 
-def rare_parts(texts: DataFrame) -> DataFrame:
-    """(shingle, doc_id, size, rank): of each set the n - ceil(n * LEAST / 100) + 1 shingles that the fewest of these documents hold. Two sets that
+def rare_parts(texts: DataFrame, least: int) -> DataFrame:
+    """(shingle, doc_id, size, rank): of each set the n - ceil(n * least / 100) + 1 shingles that the fewest of these documents hold. Two sets that
     link share one of them, since both lists follow one order and the rest is smaller than the common part. Shingles of one
     document take up their places and meet nothing."""
 
@@ -175,11 +177,11 @@ def rare_parts(texts: DataFrame) -> DataFrame:
     held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     mine = Window.partitionBy("doc_id")
     ranked = rows.join(held, "shingle").select("doc_id", "shingle", "n", F.row_number().over(mine.orderBy("docs", "shingle")).alias("rank"), F.count(F.lit(1)).over(mine).alias("common"))
-    places = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - (F.col("n") - F.col("common"))
+    places = F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - (F.col("n") - F.col("common"))
     return ranked.where(F.col("rank") <= places).select("shingle", "doc_id", F.col("n").alias("size"), (F.col("n") - F.col("common") + F.col("rank")).alias("rank"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, form (a hash of the text), kept."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -200,25 +202,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         draw = [F.min(F.struct(F.xxhash64("y", "key", F.lit(turn * CENTRES + i)).alias("h"), *member.drop("key").columns)) for i in range(CENTRES)]
         centre = member.groupBy("key").agg(F.array_distinct(F.array(*draw)).alias("m"))
         met = member.join(centre, "key").select("*", F.explode("m").alias("x")).where(F.col("c") != F.col("x.c"))
-        met = met.withColumns({f"x_{v}": F.col(f"x.y_{v}") for v in ("n", *_SIGNATURE)}).where(near("x", "y", CLOSE))
+        met = met.withColumns({f"x_{v}": F.col(f"x.y_{v}") for v in ("n", *_SIGNATURE)}).where(near("x", "y", least, CLOSE))
         close = met.select(F.least("x.y", "y").alias("a"), F.greatest("x.y", "y").alias("b")).distinct()
-        found = store(confirmed(store(close, "pairs"), texts), "links")
+        found = store(confirmed(store(close, "pairs"), texts, least), "links")
         links = found if links is None else links.union(found)
         of = components(links, "a", "b")
         placed = placed.drop("c").join(of.toDF("doc_id", "c"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
         mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
         placed = store(placed.join(mixed, "key"), "members")
     left = store(placed.select("doc_id", "c").distinct(), "left")
-    rare = store(rare_parts(by_slot(texts, "doc_id", left, "doc_id", "left_semi").join(left, "doc_id", "left_semi")).join(left, "doc_id"), "rare")
+    rare = store(rare_parts(by_slot(texts, "doc_id", left, "doc_id", "left_semi").join(left, "doc_id", "left_semi"), least).join(left, "doc_id"), "rare")
     main = rare.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("n"))
     rest = rare.join(main.where("n > 1").drop("n"), "shingle")
     apart = rest.where("c != main").select("shingle", F.col("doc_id").alias("x"), F.col("c").alias("xc"), F.col("size").alias("xs"), F.col("rank").alias("xr")).join(signed(sign, "x"), "x")
     others = rest.select(F.col("shingle").alias("of"), F.col("doc_id").alias("y"), F.col("c").alias("yc"), "main", F.col("size").alias("ys"), F.col("rank").alias("yr")).join(signed(sign, "y"), "y")
     # behind the first shingle that both hold there must be room for the common part
-    room = (100 + LEAST) * (F.least(F.col("xs") - F.col("xr"), F.col("ys") - F.col("yr")) + 1) >= LEAST * (F.col("xs") + F.col("ys"))
-    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & room & near("x", "y")
+    room = (100 + least) * (F.least(F.col("xs") - F.col("xr"), F.col("ys") - F.col("yr")) + 1) >= least * (F.col("xs") + F.col("ys"))
+    fits = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("x") < F.col("y"))) & room & near("x", "y", least)
     pairs = apart.join(others, (F.col("shingle") == F.col("of")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = store(confirmed(store(pairs, "pairs"), texts), "links")
+    more = store(confirmed(store(pairs, "pairs"), texts, least), "links")
     of = store(components(links.union(more), "a", "b"), "components")
 
     final = classes.select("k0", "k1", F.col("doc_id").alias("node")).join(of, "node", "left").select("k0", "k1", F.coalesce("component", "node").alias("component"))
@@ -233,8 +235,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, rows repeated with id and text once, and the rows without an id."""
-    go = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("go"), F.col("form").alias("go_form")).distinct()
+    """One document of each component of links from STAGE_LEAST on, rows repeated with id and text once, and the rows without an id."""
+    go = near_duplicates(docs, least=STAGE_LEAST).where("NOT kept").select(F.col("doc_id").alias("go"), F.col("form").alias("go_form")).distinct()
     go = store(go, "go")
     with_id = docs.where(F.col("doc_id").isNotNull())
     free = "_" * (1 + max(len(c) for c in docs.columns))  # a name that no column has

@@ -105,3 +105,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1200)}}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_stage_links_from_080_on_and_the_query_from_085(spark, sf):
+    rng = random.Random(9)
+    rows, wide = [], []
+    for k in range(12):
+        w = prose(rng, 150).split()
+        rows.append((10 * k, " ".join(w)))
+        for j, n in enumerate((3, 4)):  # so many words far apart are changed, each of which takes five shingles
+            y = list(w)
+            for i in range(n):
+                y[20 + 30 * i] = f"new{k}x{j}x{i}"
+            rows.append((10 * k + 1 + j, " ".join(y)))
+            x, z = sets_of(rows[-1 - j - 1][1]), sets_of(rows[-1][1])
+            wide.append((10 * k, 10 * k + 1 + j, len(x & z) / len(x | z)))
+    near = [b for _, b, s in wide if 0.80 <= s < 0.85]
+    assert len(near) == 12 and all(s < 0.80 for _, b, s in wide if b not in near)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert all(r.kept for r in near_dups.near_duplicates(docs).collect())
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, least=80).collect()}
+    assert all(got[b] == a if b in near else got[b] == b for a, b, _ in wide)
+    assert {i for i, _ in rows} - {r.doc_id for r in near_dups.stage(spark, docs, sf).collect()} == set(near)
