@@ -13,6 +13,10 @@ words or more the first occurrence stays whole and the later ones go.
 3. A shared fingerprint is extended both ways to all runs around it that selected it; these join on their own hash with the
    first position at which they occur, by a grouped minimum. All others are deleted.
 
+With `extend` the unit is the word in place of the line: a word is deleted if it lies in RUN consecutive words that occurred before, in
+the order of (doc_id, word). The union of these windows is the maximal match to both sides, with the half lines at the ends of a
+pasted passage and whatever the length of its lines (see repeated_words). The pipeline's stage works so.
+
 A fingerprint with many positions meets its count and its first position only, never the other positions. Null and empty texts and
 rows without an id are left as they are; rows of the same id and text are treated alike, as one document.
 """
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stressloom.llm.staging import by_slot, mapped, small_batches, store
-from stressloom.llm.text import chunks, mix, powers, words
+from stressloom.llm.text import Words, chunks, mix, powers, words
 
 RUN, GRAM = 30, 15
 
@@ -124,6 +128,97 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     return later.groupBy("place.doc_id", "place.form").agg(F.collect_list(F.struct("place.line", "end")).alias("cuts"))
 
 
+def by_word(w: Words) -> Lines:
+    """Every word as a line of its own."""
+    return Lines(w.starts, w.first, np.ones(len(w.hashes), np.int64), w.hashes)
+
+
+def blocks(docs: DataFrame, run: int, gram: int) -> DataFrame:
+    """(doc_id, form, gram, block, at, n): the n windows of `run` words from word `at` on selected this gram; block is a hash over them."""
+
+    def read(batches):
+        for b in batches:
+            for rows, data, bounds in chunks(b, "text"):
+                x = by_word(words(data, bounds))
+                i, end, _, best, least = selected(x, run, gram)
+                if not len(i):
+                    continue
+                new = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(i, prepend=-2) != 1))
+                last = np.append(new[1:], len(i)) - 1
+                row = np.searchsorted(x.first, i[new], "right") - 1
+                block = mix(_stretch(x.hashes, i[new], end[last]) + (best[new] - i[new]).astype(np.uint64))
+                take = pa.array(rows.start + row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(take), b.column("form").take(take), pa.array(least[new].view(np.int64)), pa.array(block.view(np.int64)), pa.array(i[new] - x.first[row], pa.int32()), pa.array(last - new + 1, pa.int32())],
+                    ["doc_id", "form", "gram", "block", "at", "n"],
+                )
+
+    return mapped(docs, read, "doc_id bigint, form bigint, gram bigint, block bigint, at int, n int")
+
+
+def windows(docs: DataFrame, run: int) -> DataFrame:
+    """(run, doc_id, form, at) of the windows that `spans` array<struct<at, n>> names in each text."""
+
+    def read(batches):
+        for b in batches:
+            for rows, data, bounds in chunks(b, "text"):
+                w = words(data, bounds)
+                for k in range(rows.stop - rows.start):
+                    span = b.column("spans")[rows.start + k].values
+                    at, n = (span.field(c).to_numpy().astype(np.int64) for c in ("at", "n"))
+                    at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    h = _stretch(w.hashes[w.first[k] : w.first[k + 1]], at, at + run)
+                    same = [pa.array(np.full(len(at), b.column(c)[rows.start + k].as_py())) for c in ("doc_id", "form")]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *same, pa.array(at, pa.int32())], ["run", "doc_id", "form", "at"])
+
+    return mapped(docs, read, "run bigint, doc_id bigint, form bigint, at int")
+
+
+def repeated_words(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """As repeated_runs, with positions of words.
+
+    The windows that one fingerprint selects are a block. Of equal blocks all but the first are later occurrences as a whole, so only the
+    first of each takes part further: if its gram has other blocks, its windows meet the first position at which they occur. Copies of
+    a passage, however many, so cost one row a fingerprint and not one a word."""
+    marks = store(blocks(docs, run, gram), "fingerprints")
+    # stored, so that the joins are plain ones between two exchanges, whose hot keys Spark can split
+    shared = store(marks.groupBy("gram").count().where("count > 1").select("gram"), "shared")
+    held = store(marks.join(shared, "gram").select("gram", "block", F.struct("doc_id", "form", "at").alias("place"), "n"), "held")
+    kinds = store(held.groupBy("gram", "block").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times")), "blocks")
+    copies = held.join(kinds.where("times > 1").select("gram", "block", "first"), ["gram", "block"]).where("place != first")
+    several = store(kinds.groupBy("gram").count().where("count > 1").select("gram"), "several")
+    spans = kinds.join(several, "gram").groupBy("first.doc_id", "first.form").agg(F.collect_list(F.struct("first.at", "n")).alias("spans"))
+    spans = store(spans.toDF("i", "f", "spans"), "spans")
+    texts = by_slot(docs, "doc_id", spans, "i", "left_semi").join(spans, (F.col("doc_id") == F.col("i")) & (F.col("form") == F.col("f")))
+    around = store(windows(texts.select("doc_id", "form", "text", "spans"), run), "windows").select("run", F.struct("doc_id", "form", "at").alias("place"))
+    first = store(around.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times"), "first")
+    later = around.join(first, "run").where("place != first")
+    cuts = [x.select("place.doc_id", "place.form", F.struct(F.col("place.at").alias("line"), end.alias("end")).alias("cut")) for x, end in ((copies, F.col("place.at") + F.col("n") - 1 + run), (later, F.col("place.at") + run))]
+    return cuts[0].union(cuts[1]).groupBy("doc_id", "form").agg(F.collect_set("cut").alias("cuts"))
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
+def _without_words(text: pa.Array, cuts: pa.Array) -> pa.Array:
+    out, removed = [], []
+    for (data, bounds), cut in zip(chunks_of_one(text), cuts):
+        if not cut.is_valid:
+            out.append(None)
+            removed.append(0)
+            continue
+        w, line = words(data, bounds), lines(data, bounds).start
+        step = np.zeros(len(w.starts) + 1, np.int64)
+        np.add.at(step, cut.values.field("line").to_numpy(), 1)
+        np.add.at(step, cut.values.field("end").to_numpy(), -1)
+        gone = np.cumsum(step[:-1]) > 0
+        start = w.starts.copy()  # blanks belong to the word before, those at the beginning to the first
+        start[:1] = 0
+        end = np.append(start[1:], bounds[1] - bounds[0])
+        body = data[bounds[0] : bounds[1]]
+        out.append(b"".join(body[a:b].tobytes() for a, b in zip(start[~gone], end[~gone])).decode())
+        removed.append(len(np.unique(np.searchsorted(line, start[gone], "right"))))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(removed, pa.int32())], ["text", "removed"])
+
+
 @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
 def _without(text: pa.Array, cuts: pa.Array) -> pa.Array:
     out, removed = [], []
@@ -150,18 +245,19 @@ def chunks_of_one(text: pa.Array):
         yield data, bounds
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """The rows with repeated lines deleted from the text, and `lines_removed`. All columns stay; a column of that name is replaced."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, gram: int = GRAM, extend: bool = False) -> DataFrame:
+    """The rows with repeated lines deleted from the text, and `lines_removed`: with `extend`, lines that lost words. All columns stay; a column of that name is replaced."""
     small_batches(docs.sparkSession)
     form = F.xxhash64(F.col(text_col))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), form.alias("form"), F.col(text_col).alias("text"))
-    cuts = repeated_runs(texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), run, gram)
+    find, without = (repeated_words, _without_words) if extend else (repeated_runs, _without)
+    cuts = find(texts.where("doc_id IS NOT NULL AND text IS NOT NULL"), run, gram)
     # names of the joined side that no column of the documents has
     free = "_" * (1 + max(len(c) for c in docs.columns))
     cuts = store(cuts.select(F.col("doc_id").alias(free + "i"), F.col("form").alias(free + "f"), F.col("cuts").alias(free + "c")), "cuts")
     joined = by_slot(docs, id_col, cuts, free + "i", "left_semi").join(cuts, (F.col(id_col).cast("bigint") == F.col(free + "i")) & (form == F.col(free + "f")), "left")
     touched = F.col(free + "c").isNotNull()
-    joined = joined.withColumn(free + "r", _without(F.when(touched, F.col(text_col)), F.col(free + "c")))
+    joined = joined.withColumn(free + "r", without(F.when(touched, F.col(text_col)), F.col(free + "c")))
     clean = by_slot(docs, id_col, cuts, free + "i", "left_anti")
     clean = clean.select(*[c for c in docs.columns if c != "lines_removed"], F.lit(0).alias("lines_removed"))
     return clean.union(joined.select(
@@ -174,9 +270,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "text", "lines_removed")
 
 
+def query_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query with matches extended to both sides."""
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), extend=True).select("doc_id", "text", "lines_removed")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; n_chars follows the text; a document that consisted of repeated lines alone is dropped."""
-    found = dedup_lines(docs)
+    """Documents without repeated passages, by maximal matches; n_chars follows the text; a document that consisted of repeated lines alone is dropped."""
+    found = dedup_lines(docs, extend=True)
     emptied = (F.col("lines_removed") > 0) & (F.col("text") == "")
     n_chars = F.when(F.col("lines_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_near_duplicates": near_dups.query,
     "op10_pii": pii.query,
+    "op4_extended_dedup": line_dedup.query_extended,
 }
 
 SQL: dict[str, str] = {"op1_topk_search": topk.sql(), "op8_mixing": mixing.sql()}

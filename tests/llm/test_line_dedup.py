@@ -77,3 +77,42 @@ def test_odd_rows(spark, odd, clash, none, sf):
     assert line_dedup.dedup_lines(none).count() == 0
     staged = line_dedup.stage(spark, clash, sf)
     assert staged.columns == clash.columns and staged.count() == odd.count() - 1
+
+
+def brute_words(rows, run=line_dedup.RUN):
+    """(doc_id, text) -> text: a word goes, with the blanks behind it, if it lies in `run` words that occurred before."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(set(rows)):
+        raw = text.encode()
+        found = list(re.finditer(rb"[^\x20\x09-\x0d]+", raw))
+        w, cuts = [m[0].lower() for m in found], [0, *[m.start() for m in found[1:]], len(raw)]
+        gone = set()
+        for p in range(len(w) - run + 1):
+            if seen.setdefault(tuple(w[p : p + run]), (doc_id, p)) != (doc_id, p):
+                gone.update(range(p, p + run))
+        out[doc_id, text] = text if not gone else b"".join(raw[cuts[k] : cuts[k + 1]] for k in range(len(w)) if k not in gone).decode()
+    return out
+
+
+def test_passages_of_51_to_60_words_pasted_mid_sentence_go_whole(spark):
+    rng = random.Random(8)
+    rows, passages = [], []
+    for k, n in enumerate(range(51, 61)):
+        w = prose(rng, n).split()
+        if k % 3 == 0:  # one line longer than a run
+            w = [x.replace(".", "") for x in w]
+        passages.append(" ".join(w))
+        for j in range(4):  # the passage begins and ends inside a sentence
+            around = [" ".join(x.replace(".", "") for x in prose(rng, 20).split()) for _ in range(2)]
+            rows.append((10 * k + j, f"{prose(rng, 20)} {around[0]} {passages[-1]} {around[1]}. {prose(rng, 20)}"))
+    some = [prose(rng, rng.choice([1, 2, 5, 9, 20, 60])) for _ in range(40)]
+    rows += [(1000 + i, pieces(rng, rng.randint(0, 12), some)) for i in range(80)]
+    rows += [(2000, "a " * 100), (2001, "  " + rows[0][1].upper() + " \n"), (2002, rows[0][1]), (2002, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    want = brute_words(rows)
+    got = line_dedup.dedup_lines(docs, extend=True).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, want[i, t]) for i, t in rows)
+    staged = {r.doc_id: r.text for r in line_dedup.stage(spark, docs, "").collect()}
+    texts = dict(rows)
+    for k, p in enumerate(passages):
+        assert p in staged[10 * k] and all(staged[10 * k + j] == texts[10 * k + j].replace(p + " ", "") for j in (1, 2, 3))
