@@ -68,6 +68,12 @@ def wt_granger(spark, d):
     return wt.granger_weights(linear.granger(linear.granger_pairs(tb.panel(spark, d), "idx"), (1,)))
 
 
+# the SQL of wt_granger is at lag 1; this is the best of linear.LAGS, held against brute force in the tests
+@query("wt_granger_best_lag", "score weight")
+def wt_granger_best_lag(spark, d):
+    return wt.granger_weights(linear.granger(linear.granger_pairs(tb.panel(spark, d), "idx")))
+
+
 @query("wt_pca", "loading share weight")
 def wt_pca(spark, d):
     return gram.pca(tb.panel(spark, d)).drop("vector")

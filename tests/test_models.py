@@ -183,3 +183,45 @@ def test_fit_reports_convergence_and_ignores_partitioning(spark):
     assert np.allclose(m.means, other.means) and m.iterations == other.iterations
     short = regimes.fit(p, (2,), restarts=1, iterations=2)[2]
     assert not short.converged and short.iterations == 2
+
+
+def test_granger_weights_at_the_best_lag_equal_brute_force(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"  # where a lag above 1 is the best of some series
+    from math import lgamma
+
+    from stressloom.sources import tables
+
+    def upper(f, d1, d2):
+        """The upper tail of F, by the trapezoid rule on its beta integral."""
+        top = np.arcsin(np.sqrt(d2 / (d2 + d1 * f)))
+        t = np.linspace(0, top, 20001)[1:]
+        v = 2 * np.exp((d2 - 1) * np.log(np.sin(t)) + lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * np.cos(t) ** (d1 - 1)
+        return float((v.sum() - v[-1] / 2) * top / 20000)
+
+    p = tables.panel(spark, sf).select("series_id", "ds", "idx", *S.CHANNELS).orderBy("series_id", "ds").toPandas()
+    want, later = {}, 0
+    for sid, d in p.groupby("series_id"):
+        score = {}
+        for c in S.CHANNELS:
+            both = d[["idx", c]].dropna().to_numpy(float)
+            y, x, best = both[:, 0], both[:, 1], None
+            for k in (1, 3, 7, 14, 30):
+                n = len(y) - k
+                if n <= 2 * k + 1:
+                    continue
+                own = np.column_stack([np.ones(n)] + [y[k - i : len(y) - i] for i in range(1, k + 1)])
+                full = np.column_stack([own] + [x[k - i : len(x) - i] for i in range(1, k + 1)])
+                a, b = (((y[k:] - m @ np.linalg.lstsq(m, y[k:], rcond=None)[0]) ** 2).sum() for m in (own, full))
+                f = max(0.0, (a - b) / k / (b / (n - 2 * k - 1)))
+                prob = upper(f, k, n - 2 * k - 1)
+                best = min(best or (2, 0, 0), (prob, k, f))
+            if best:
+                score[c] = best[2] if best[0] < 0.10 else 0.0
+                later += best[0] < 0.10 and best[1] > 1
+        for c, v in score.items():
+            want[sid, c] = (v, v / sum(score.values()) if sum(score.values()) else 1 / len(score))
+    got = {(r["series_id"], r["channel"]): (r["score"], r["weight"]) for r in entry.queries()["wt_granger_best_lag"](spark, sf).collect()}
+    assert later and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-4, rel=1e-5) for k in want)
