@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stressloom.llm import decontaminate, language_model, line_dedup, mixing, near_dups, pii, quality, tokens, topk, toxicity
+from stressloom.llm import decontaminate, language_model, line_dedup, manifest, mixing, near_dups, pii, quality, tokens, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_near_duplicates": near_dups.query,
     "op10_pii": pii.query,
+    "op11_merkle_manifest": manifest.query,
     "op4_extended_dedup": line_dedup.query_extended,
 }
 
