@@ -173,8 +173,9 @@ def manifest(rows: DataFrame) -> DataFrame:
     above = None
     for k in range(len(tops) - 1, -1, -1):
         above = opened(tops[k], above, [], ["hash", "name"] if k == 0 else [])
-    root = whole.select(F.col("root").alias("root_"))
-    above = above.crossJoin(F.broadcast(root)).select(F.col("name").alias("grp"), F.lit(0).cast("bigint").alias("pos"), "path", F.col("hash").alias("subroot"), F.col("root_").alias("root"))
+    root = whole.select(F.col("grp").alias("g"), F.col("root").alias("all"))  # one row
+    above = above.join(F.broadcast(root), above["grp"] == root["g"])
+    above = above.select(F.col("name").alias("grp"), F.lit(0).cast("bigint").alias("pos"), "path", F.col("hash").alias("subroot"), F.col("all").alias("root"))
     keep = ["subroot", "root"]
     for k in range(len(steps) - 1, 0, -1):
         above = store(opened(steps[k], above, keep, []), "paths", "snappy")
