@@ -9,8 +9,9 @@ filled from left to right, and the ids are read backwards from its end.
 2. Pair compatibility: the right edge of one piece and the left edge of the other grow by merges in the order of the scores; the pair
    stays apart if no merge across the border ever comes first (the left one at equal scores). Pieces whose merges do not come in the
    order of their scores are tried by plain merging. Answers are kept, as few pairs are common.
-3. No piece holds a blank behind another character, and some characters (digits, line ends) are in no piece but their own. Text is cut
-   there, and a worker fills the table of every distinct part once; ids of a text are gathered by numpy.
+3. No piece holds a blank behind another character, some characters (digits, line ends) are in no piece but their own, and some (commas)
+   follow no letter in any piece. Text is cut there, and a worker fills the table of every distinct part once; ids of a text are gathered
+   by numpy.
 
 Decoding gathers the bytes of the pieces alike. Rows that no encoding gives (unknown or control ids inside, broken byte runs) are decoded
 by the library.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from stressloom.llm.staging import mapped, small_batches
 
 BLANK = "▁"
+LETTER = "[A-Za-zÀ-ɏ]"
 #: Parts and pairs that a worker holds, and characters of text that are taken at once.
 HELD, STRETCH = 1 << 18, 1 << 20
 
@@ -67,19 +69,29 @@ class Pieces:
         long = [p for p in self.ids if len(p) > 1]
         if any(BLANK in p.lstrip(BLANK) for p in long):
             raise ValueError("a piece holds a blank behind another character")
-        held = set("".join(long))
-        loose = re.escape("".join(c for c in map(chr, range(128)) if c not in held))
-        self.parts = re.compile(f"{BLANK}*[^{BLANK}{loose}]+|{BLANK}+|[{loose}]" if loose else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.parts = re.compile(self.pattern(long))
         import ahocorasick
 
         self.left, self.right, self.unordered, self.pairs = {}, {}, set(), {}
-        self.automaton = ahocorasick.Automaton()
-        for p in long:
-            if self.edges(p):
-                self.automaton.add_word(p, len(p))
+        self.names = sorted(self.ids, key=self.ids.get)
+        self.lengths = [len(p) for p in self.names]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, p in enumerate(self.names):
+            if len(p) > 1 and self.edges(p):
+                self.automaton.add_word(p, i)
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    @staticmethod
+    def pattern(long: list[str]) -> str:
+        """Of parts that no merge leaves, given all pieces of several characters."""
+        held = set("".join(long))
+        loose = {c for c in map(chr, range(128)) if c not in held}
+        closing = {c for c in map(chr, range(128)) if c in held and not c.isalnum()} - {c for p in long for x, c in zip(p, p[1:]) if re.match(LETTER, x)}
+        loose, closing = (re.escape("".join(sorted(s))) for s in (loose, closing))
+        word = f"{BLANK}*{LETTER}+(?=[{closing}])|" if closing else ""
+        return f"{word}{BLANK}*[^{BLANK}{loose}]+|{BLANK}+" + (f"|[{loose}]" if loose else "")
+
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, int, int]]]:
         """Pieces by plain merging of the best pair, the leftmost of equal ones, and its steps: (score, place, pieces before the step)."""
         parts, steps = list(text), []
@@ -132,30 +144,40 @@ class Pieces:
             else:
                 j += 1
 
+    def fits(self, key: int) -> bool:
+        """Whether the pair of pieces stays apart; key as made by encode_part."""
+        a, b = key >> 16, key & 0xFFFF
+        known = self.pairs[key] = self.apart(chr(a) if a >= 0 else self.names[~a], self.names[b])
+        return known
+
     def encode_part(self, part: str) -> list[int]:
-        last, pairs, found = bytearray(b"\x01") * (len(part) + 1), self.pairs, -1
-        for at, size in self.automaton.iter(part) if len(self.automaton) else ():
+        """last[i] is the last piece of the first i characters: the code point of a single character, or ~ the number of a longer piece."""
+        last, found = [0, *map(ord, part)], -1
+        pairs, lengths = self.pairs, self.lengths
+        for at, piece in self.automaton.iter(part) if len(self.automaton) else ():
             if at == found:
                 continue
-            start = at + 1 - size
+            start = at + 1 - lengths[piece]
             if start:
-                key = (part[start - last[start] : start], part[start : at + 1])
+                key = (last[start] << 16) + piece
                 fits = pairs.get(key)
-                if fits is None:
-                    fits = pairs[key] = self.apart(*key)
-                if not fits:
+                if not (self.fits(key) if fits is None else fits):
                     continue
-            last[at + 1] = size
+            last[at + 1] = ~piece
             found = at
         out, i = [], len(part)
         while i:
-            piece = part[i - last[i] : i]
-            known = self.ids.get(piece)
-            if known is None:  # a character without a piece
-                out.extend(self.bytes[x] for x in reversed(piece.encode()))
+            piece = last[i]
+            if piece < 0:
+                out.append(self.ids[self.names[~piece]])
+                i -= lengths[~piece]
             else:
-                out.append(known)
-            i -= last[i]
+                known = self.ids.get(part[i - 1])
+                if known is None:  # a character without a piece
+                    out.extend(self.bytes[x] for x in reversed(part[i - 1].encode()))
+                else:
+                    out.append(known)
+                i -= 1
         return out[::-1]
 
     def split(self, text: str) -> Iterable[str]:
@@ -167,26 +189,31 @@ class Pieces:
 
 
 class Parts(dict):
-    """Number of each part met so far; its ids are flat[starts[number]:starts[number + 1]]."""
+    """Number of each part met so far; its ids are flat[starts[number]:starts[number + 1]]. Parts of the generation before are taken over
+    when they are met again."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
-        self.empty()
+        self.flat, self.starts = array("i"), array("q", [0])
+        self.renew()
 
-    def empty(self) -> None:
+    def renew(self) -> None:
+        self.old, self.old_flat, self.old_starts = dict(self), self.flat, self.starts
         self.clear()
         self.flat, self.starts = array("i"), array("q", [0])
-        self.pieces.pairs.clear()
+        if len(self.pieces.pairs) > HELD:
+            self.pieces.pairs.clear()
 
     def __missing__(self, part: str) -> int:
-        self.flat.extend(self.pieces.encode_part(part))
+        before = self.old.get(part)
+        self.flat.extend(self.pieces.encode_part(part) if before is None else self.old_flat[self.old_starts[before] : self.old_starts[before + 1]])
         self.starts.append(len(self.flat))
         number = self[part] = len(self.starts) - 2
         return number
 
     def full(self) -> bool:
-        return len(self) > HELD or len(self.pieces.pairs) > HELD or len(self.flat) > 16 * HELD
+        return len(self) > HELD or len(self.flat) > 16 * HELD
 
 
 def gathered(starts: np.ndarray, index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +230,12 @@ def loaded(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(1)
+def met(path: str) -> Parts:
+    """Of all tasks of a worker."""
+    return Parts(loaded(path))
+
+
 def stretches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Consecutive rows of about STRETCH characters."""
     i = total = 0
@@ -219,12 +252,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, ids array<int>) of every row, with the end id behind each text if asked for."""
 
     def run(batches):
-        parts = Parts(loaded(path))
+        parts = met(path)
         for b in batches:
             texts = b.column("text").to_pylist()
             for i, j in stretches(texts):
                 if parts.full():
-                    parts.empty()
+                    parts.renew()
                 index, sizes = [], [0]
                 for t in texts[i:j]:
                     index.extend(map(parts.__getitem__, parts.pieces.split(t or "")))
