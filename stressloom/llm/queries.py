@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stressloom.llm import decontaminate, language_model, line_dedup, manifest, mixing, near_dups, pieces, pii, quality, tokens, topk, toxicity
+from stressloom.llm import decontaminate, language_model, line_dedup, manifest, mixing, near_dups, pieces, pii, quality, tokens, topk, toxicity, variants
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_duplicates": near_dups.query,
     "op10_pii": pii.query,
     "op11_merkle_manifest": manifest.query,
+    "op12_spelling_variants": variants.query,
     "op13_sentencepiece": pieces.query,
     "op4_extended_dedup": line_dedup.query_extended,
 }
