@@ -13,13 +13,13 @@ from stressloom.plans.windowing import EWMA, PROD
 from stressloom.session import scratch_path
 from stressloom.sources import sinks
 from stressloom.sources import tables as tb
-from stressloom.streaming import jobs
+from stressloom.streaming import jobs, state
 
 
-def landed_points(spark, d, duplicates: bool = False, horizon_row: bool = True):
+def landed_points(spark, d, duplicates: bool = False, horizon_row: bool = True, marked: tuple[str, ...] = ("flush",)):
     """Points landed by day in two writes, the later days last, and the number of files of the first: a stream that takes so
-    many at a time runs in several batches. Every tenth row arrives again when duplicates are asked for. A marker row
-    far ahead closes the last windows."""
+    many at a time runs in several batches. Every tenth row arrives again when duplicates are asked for. A marker row (key -1)
+    far ahead, one for each source in `marked`, closes the last windows."""
     path = scratch_path(spark, "points")
     p = tb.points(spark, d).select("event_id", "source", "key", "ts", "value")
     day = F.to_date("ts")
@@ -34,7 +34,7 @@ def landed_points(spark, d, duplicates: bool = False, horizon_row: bool = True):
     p = p.drop("day")
     if horizon_row:
         last = p.groupBy().agg(F.max("ts").alias("ts")).select(
-            F.lit(-1).cast("bigint").alias("event_id"), F.lit("flush").alias("source"), F.lit(-1).cast("bigint").alias("key"),
+            F.lit(-1).cast("bigint").alias("event_id"), F.explode(F.array(*map(F.lit, marked))).alias("source"), F.lit(-1).cast("bigint").alias("key"),
             (F.col("ts") + F.expr("interval 60 days")).alias("ts"), F.lit(None).cast("double").alias("value"), F.lit("2999-01-01").alias("day"))
         last.coalesce(1).write.mode("append").partitionBy("day").parquet(path)
     return path, n
@@ -76,44 +76,51 @@ LAGS = {k: S.PUBLICATION_LAG_HOURS[s] for k, s in LAG_SOURCE.items()}
   SELECT source, count(*) AS rows, count(v) AS visible FROM (SELECT t.event_type AS source, t.event_id, p.ts AS v FROM events t JOIN lags ON t.event_type = source
     LEFT JOIN events p ON t.event_type = p.event_type AND p.ts <= t.ts - h * INTERVAL 1 HOUR AND p.ts > t.ts - (h + 24) * INTERVAL 1 HOUR) GROUP BY 1""")
 def str_late_data(spark, d):
-    path, n = landed_points(spark, d)
+    path, n = landed_points(spark, d, marked=tuple(LAGS))
     t, p = jobs.read_points(spark, path, n), jobs.read_points(spark, path, n)
-    v = collected(spark, jobs.visible_values(t, p, LAGS)).filter("source <> 'flush'")
+    with jobs.newest_decides(spark):
+        v = collected(spark, jobs.visible_values(t, p, LAGS)).filter("key <> -1")
     return v.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.count("p_ts").alias("visible"))
 
 
-def stream_panel(spark, d):
-    """The daily panel landed in two parts by date and streamed in at least two batches, so state crosses a batch."""
-    path = scratch_path(spark, "panel")
-    p = tb.panel(spark, d)
-    first = F.col("ds") < F.lit("1999-01-01").cast("date")
-    p.filter(first).write.parquet(path)
-    n = spark.read.parquet(path).select(F.input_file_name()).distinct().count()
-    p.filter(~first).write.mode("append").parquet(path)
-    return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", n).parquet(path)
+def over_panel(spark, d, job):
+    """The daily panel landed in three parts, a run of the job after each: it goes on from its checkpoint. Every fifth row is up to 20 days
+    late, so the days around a border arrive out of order; a marker row far ahead releases the last ones."""
+    land, out, ck = (scratch_path(spark, x) for x in ("panel", "stream", "ck"))
+    p = tb.stored_panel(spark, d)
+    slot = F.xxhash64("series_id", "ds")
+    seen = F.date_add("ds", F.when(F.pmod(slot, F.lit(5)) == 0, F.pmod(slot, F.lit(21))).otherwise(0).cast("int"))
+    marker = p.groupBy().agg(F.date_add(F.max("ds"), 400).alias("ds")).select(F.lit("flush").alias("series_id"), "ds", *[F.lit(None).cast("double").alias(c) for c in [*S.CHANNELS, "idx"]])
+    bounds = ["0001-01-01", "1994-06-01", "1997-01-01", "9999-12-31"]
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        part = p.where((seen >= F.lit(a).cast("date")) & (seen < F.lit(b).cast("date")))
+        (part.unionByName(marker) if k == 2 else part).write.mode("append").parquet(land)
+        df = job(spark.readStream.schema(p.schema).parquet(land))
+        jobs.run_available(df, out, ck, keyed=True)
+    return spark.read.schema(df.schema).parquet(out).filter("series_id <> 'flush'")
 
 
 @query("str_alert_changes", "idx", W(PANEL, q="""
-  SELECT series_id, ds, idx, p AS previous, b AS band FROM (SELECT *, lag(b) OVER (PARTITION BY series_id ORDER BY ds) AS p FROM (
+  SELECT series_id, ds, idx, p AS previous, b AS band, false AS late FROM (SELECT *, lag(b) OVER (PARTITION BY series_id ORDER BY ds) AS p FROM (
    SELECT series_id, ds, idx, CASE WHEN idx >= 70 THEN 'high' WHEN idx >= 50 THEN 'elevated' WHEN idx >= 30 THEN 'moderate' ELSE 'low' END AS b FROM panel)) WHERE p IS NULL OR p <> b"""))
 def str_alert_changes(spark, d):
-    return collected(spark, jobs.alert_changes(stream_panel(spark, d)))
+    return over_panel(spark, d, state.alert_changes)
 
 
-@query("str_ewma_state", " ".join(f"c{i}{j}" for i, j in PROD), W(PANEL, EWMA, q="SELECT series_id, ds, " + ", ".join(f"c{i}{j}" for i, j in PROD) + " FROM ewma"))
+@query("str_ewma_state", " ".join(f"c{i}{j}" for i, j in PROD), W(PANEL, EWMA, q="SELECT series_id, ds, " + ", ".join(f"c{i}{j}" for i, j in PROD) + ", false AS late FROM ewma"))
 def str_ewma_state(spark, d):
-    return collected(spark, jobs.ewma_state(stream_panel(spark, d)))
+    return over_panel(spark, d, state.ewma_state)
 
 
 def _filter_check():
     from stressloom.plans.models import _filter_sql
-    return _filter_sql()
+    return f"SELECT *, false AS late FROM ({_filter_sql()})"
 
 
 @query("str_filter_state", "p0 p1 p2", _filter_check())
 def str_filter_state(spark, d):
-    f = collected(spark, jobs.filter_state(stream_panel(spark, d), fixed_model()))
-    return f.select("series_id", "ds", *[F.col("probs")[i].alias(f"p{i}") for i in range(3)])
+    f = over_panel(spark, d, lambda panel: state.filter_state(panel, fixed_model()))
+    return f.select("series_id", "ds", *[F.col("probs")[i].alias(f"p{i}") for i in range(3)], "late")
 
 
 @query("str_refresh", "idx", W(PANEL, q="SELECT series_id, count(*) AS n, count(DISTINCT ds) AS days, sum(CASE WHEN ds < DATE '2000-01-01' THEN idx ELSE idx + 1 END) AS idx FROM panel GROUP BY 1"), digits=4)

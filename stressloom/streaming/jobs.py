@@ -5,13 +5,15 @@ Sources are file streams of landed points (source, key, ts, value); event time i
 
 from __future__ import annotations
 
-import pandas as pd
+from contextlib import contextmanager, nullcontext
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stressloom import schema as S
 from stressloom.sources import sinks
+from stressloom.streaming.state import keyed_store
 
 POINTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("key", T.LongType()),
@@ -23,10 +25,14 @@ def read_points(spark: SparkSession, path: str, files_per_trigger: int = 4, sche
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partition: str | None = None) -> None:
-    """Process everything that has landed and stop; restartable from the checkpoint."""
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", partition: str | None = None, keyed: bool = False) -> list:
+    """Process everything that has landed and stop; restartable from the checkpoint. keyed: the plan holds keyed state with timers.
+    Returns the progress of its batches."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet")
-    (w.partitionBy(partition) if partition else w).start(path).awaitTermination()
+    with keyed_store(df.sparkSession) if keyed else nullcontext():
+        q = (w.partitionBy(partition) if partition else w).start(path)
+        q.awaitTermination()
+    return q.recentProgress
 
 
 def daily_bars(points: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -36,9 +42,12 @@ def daily_bars(points: DataFrame, delay: str = "2 days") -> DataFrame:
         "source", F.to_date("window.start").alias("ds"), "n", "mean", "median")
 
 
-def sliding_average(points: DataFrame, width: str = "30 days", step: str = "1 day", delay: str = "2 days") -> DataFrame:
-    w = points.withWatermark("ts", delay).groupBy("source", F.window("ts", width, step))
-    return w.agg(F.count("value").alias("n"), F.avg("value").alias("mean")).select("source", F.to_date("window.end").alias("ds"), "n", "mean")
+def sliding_average(points: DataFrame, days: int = 30, delay: str = "2 days") -> DataFrame:
+    """Mean of the last `days` days per source, a row for each day it moves on. Two stateful steps: daily panes with sum and count, then
+    sliding windows over the panes, so a raw row is added once and only panes are handed to `days` windows each."""
+    panes = points.withWatermark("ts", delay).groupBy("source", F.window("ts", "1 day").alias("pane")).agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    w = panes.groupBy("source", F.window(F.window_time("pane"), f"{days} days", "1 day").alias("span")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return w.select("source", F.to_date("span.end").alias("ds"), "n", (F.col("total") / F.nullif("n", F.lit(0))).alias("mean"))
 
 
 def deduplicated(points: DataFrame, keys: list[str], delay: str = "2 days") -> DataFrame:
@@ -46,116 +55,36 @@ def deduplicated(points: DataFrame, keys: list[str], delay: str = "2 days") -> D
     return points.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def visible_values(targets: DataFrame, points: DataFrame, lag_hours: dict[str, int], look_back_hours: int = 24, delay: str = "2 days") -> DataFrame:
-    """Targets with the points of their source that were published in the `look_back_hours` up to the target time, each source
-    with its own publication lag (a source without one is never visible): an interval join of two streams. Both sides
-    carry a watermark and the condition bounds event time by the longest lag, so state is dropped as time passes."""
-    hours = F.create_map(*[F.lit(x) for kv in lag_hours.items() for x in kv])
-    longest = max(lag_hours.values()) + look_back_hours
-    p = points.select(F.col("source").alias("p_source"), F.col("ts").alias("p_ts"), "value").withWatermark("p_ts", delay)
-    t = targets.select("source", "key", "ts").withWatermark("ts", delay)
-    gap = F.unix_micros("ts") - F.unix_micros("p_ts")
-    lag = hours[F.col("source")] * F.lit(3_600_000_000)
-    bounds = (F.col("p_ts") <= F.col("ts")) & (F.col("p_ts") > F.col("ts") - F.expr(f"interval {longest} hours"))
-    on = (F.col("source") == F.col("p_source")) & bounds & (gap >= lag) & (gap < lag + look_back_hours * 3_600_000_000)
-    return t.join(p, on, "leftOuter").select("source", "key", "ts", "p_ts", "value")
-
-
-# --------------------------------------------------------------- keyed state
-def _ordered(frames) -> pd.DataFrame:
-    """All rows of one series in this batch by day. Days at or before the stored one are dropped by the callers: a
-    recursion cannot be rewound."""
-    return pd.concat(list(frames)).sort_values("ds")
-
-
-def _band(x: float) -> str:
-    for lower, label in S.FOUR_BANDS:
-        if lower is None or x >= lower:
-            return label
-
-
-ALERTS = "series_id string, ds date, idx double, previous string, band string"
-
-
-def alert_changes(daily: DataFrame) -> DataFrame:
-    """A row whenever the alert band of a series differs from the one before. State: the last date and band."""
-
-    def step(key, frames, state):
-        last = state.get if state.exists else (None, None)
-        last_ds, band = last
-        out = []
-        for r in _ordered(frames).itertuples(index=False):
-            if last_ds is not None and str(r.ds) <= last_ds:
-                continue
-            now = _band(r.idx)
-            if now != band:
-                out.append((key[0], r.ds, r.idx, band, now))
-            last_ds, band = str(r.ds), now
-        state.update((last_ds, band))
-        yield pd.DataFrame(out, columns=["series_id", "ds", "idx", "previous", "band"])
-
-    return daily.groupBy("series_id").applyInPandasWithState(step, ALERTS, "ds string, band string", "append", "NoTimeout")
-
-
-N = len(S.CHANNELS)
-PAIRS = [(i, j) for i in range(N) for j in range(i, N)]
-
-
-def ewma_state(daily: DataFrame, lam: float = 0.94, warmup: int = 30) -> DataFrame:
-    """The covariance recursion per series. State: count, last channels and ten products."""
-    out_cols = ["series_id", "ds"] + [f"c{i}{j}" for i, j in PAIRS]
-    schema = "series_id string, ds date, " + ", ".join(f"c{i}{j} double" for i, j in PAIRS)
-
-    def step(key, frames, state):
-        n, last_ds, last, cov = state.get if state.exists else (0, None, None, None)
-        cov = list(cov) if cov is not None else [0.0] * len(PAIRS)
-        rows = []
-        for r in _ordered(frames).itertuples(index=False):
-            if last_ds is not None and str(r.ds) <= last_ds:
-                continue
-            x = [getattr(r, c) for c in S.CHANNELS]
-            if last is not None:
-                d = [a - b for a, b in zip(x, last)]
-                prod = [d[i] * d[j] for i, j in PAIRS]
-                keep, add = (n / (n + 1), 1 / (n + 1)) if n < warmup else (lam, 1 - lam)
-                cov = [keep * c + add * p for c, p in zip(cov, prod)]
-                n += 1
-                rows.append((key[0], r.ds, *cov))
-            last, last_ds = x, str(r.ds)
-        state.update((n, last_ds, last, cov))
-        yield pd.DataFrame(rows, columns=out_cols)
-
-    return daily.groupBy("series_id").applyInPandasWithState(
-        step, schema, "n long, ds string, last array<double>, cov array<double>", "append", "NoTimeout")
-
-
-def filter_state(daily: DataFrame, model) -> DataFrame:
-    """Forward regime probabilities with fixed parameters. State: the last probabilities."""
-    from stressloom.operators.regimes import log_density
-
-    def step(key, frames, state):
-        last_ds, p = state.get if state.exists else (None, None)
-        rows = []
-        pdf = _ordered(frames)
-        dens = log_density(pdf[S.CHANNELS].to_numpy(float), model)
-        for ds, lb in zip(pdf["ds"], dens):
-            if last_ds is not None and str(ds) <= last_ds:
-                continue
-            v = (model.pi if p is None else (p @ model.trans)) * _exp(lb)
-            p = v / v.sum()
-            last_ds = str(ds)
-            rows.append((key[0], ds, p.tolist()))
-        state.update((last_ds, None if p is None else list(map(float, p))))
-        yield pd.DataFrame(rows, columns=["series_id", "ds", "probs"])
-
-    return daily.groupBy("series_id").applyInPandasWithState(
-        step, "series_id string, ds date, probs array<double>", "ds string, p array<double>", "append", "NoTimeout")
-
-
-def _exp(lb):
-    import numpy as np
-
-    return np.exp(lb - lb.max())
+def visible_values(targets: DataFrame, points: DataFrame, lag_hours: dict[str, int], look_back_hours: int = 24) -> DataFrame:
+    """Targets with the points of their source that were published in the `look_back_hours` up to the target time, each source with its
+    own publication lag (rows of other sources are left out): an outer interval join of two streams per source, under its own watermark,
+    and their union. A source with a short lag keeps its rows for lag + look_back_hours, however long the lags of others are. Under the
+    policy `max` (see `newest_decides`) a source that falls silent does not hold the others back."""
+
+    def of(source: str, hours: int) -> DataFrame:
+        mine = F.col("source") == source
+        delay = f"{max(1, hours)} hours"
+        p = points.where(mine).select(F.col("ts").alias("p_ts"), "value", F.lit(1).alias("p_one")).withWatermark("p_ts", delay)
+        t = targets.where(mine).select("source", "key", "ts", F.lit(1).alias("one")).withWatermark("ts", delay)
+        first, last = F.expr(f"interval {hours + look_back_hours} hours"), F.expr(f"interval {hours} hours")
+        on = (F.col("one") == F.col("p_one")) & (F.col("p_ts") <= F.col("ts") - last) & (F.col("p_ts") > F.col("ts") - first)
+        return t.join(p, on, "leftOuter").select("source", "key", "ts", "p_ts", "value")
+
+    return reduce(DataFrame.unionByName, [of(s, h) for s, h in lag_hours.items()])
+
+
+WATERMARKS = "spark.sql.streaming.multipleWatermarkPolicy"
+
+
+@contextmanager
+def newest_decides(spark: SparkSession):
+    """Queries started inside move on with the newest of their watermarks; the caller's setting comes back."""
+    before = spark.conf.get(WATERMARKS, "min")
+    spark.conf.set(WATERMARKS, "max")
+    try:
+        yield
+    finally:
+        spark.conf.set(WATERMARKS, before)
 
 
 def refresh(spark: SparkSession, landing: str, table: str, audit: str, checkpoint: str, schema: T.StructType, files_per_trigger: int = 4) -> None:
