@@ -8,7 +8,8 @@ an item reaches COVERAGE. Items of fewer than MATCH words have no tile and conta
 1. Seeds are the hashes of MATCH words in a row. Those of the benchmark set bits of a map of BITS bits: its size is fixed, it is
    broadcast whatever the size of the benchmark, and it only decides what is looked at more closely.
 2. Every document is scanned whole; the stretches whose seeds hit the map leave with their word hashes. No tile lies elsewhere.
-3. Seeds of documents and items join by their hash; pairs whose shared seeds could not reach COVERAGE leave.
+3. Seeds of documents and items join by their hash; pairs whose shared seeds, at all their positions in the item, could not reach COVERAGE
+   leave.
 4. Each pair is tiled: running Karp-Rabin with a falling match length finds the longest matches, on word hashes.
 
 Rows without an id are never contaminated. Rows of one id are judged together.
@@ -50,16 +51,16 @@ def seeds_of(h: np.ndarray) -> np.ndarray:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """(seed, item, length): the distinct seeds of every item."""
+    """(seed, item, length, places): the distinct seeds of every item and at how many positions each stands."""
 
     def read(batches):
         for b in batches:
             for item, h in zip(b.column("item").to_pylist(), b.column("words")):
                 h = h.values.to_numpy()
-                s = np.unique(seeds_of(h))
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.full(len(s), len(h)))], ["seed", "item", "length"])
+                s, places = np.unique(seeds_of(h), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), item)), pa.array(np.full(len(s), len(h))), pa.array(places)], ["seed", "item", "length", "places"])
 
-    return mapped(items.select("item", "words"), read, "seed bigint, item bigint, length bigint")
+    return mapped(items.select("item", "words"), read, "seed bigint, item bigint, length bigint, places bigint")
 
 
 def seed_map(seeds: DataFrame) -> np.ndarray:
@@ -172,7 +173,7 @@ def coverage(docs: DataFrame, items: DataFrame, least: float = COVERAGE) -> Data
     seeds = store(item_seeds(known), "seeds")
     found = store(stretches(docs.where("doc_id IS NOT NULL"), seed_map(seeds)).withColumn("form", F.xxhash64("words", "at")), "stretches")
     hits = found.select("doc_id", "form", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    pairs = hits.groupBy("doc_id", "form", "item", "length").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * MATCH >= F.col("length") * least)
+    pairs = hits.groupBy("doc_id", "form", "item", "length").agg(F.sum("places").alias("shared")).where(F.col("shared") * MATCH >= F.col("length") * least)
     ready = (
         pairs.select("doc_id", "form", "item")
         .join(known.select("item", "item_id", F.col("words").alias("item_words")), "item")

@@ -5,8 +5,10 @@ factor that brings its share to the target. Cells are reduced by a partial aggre
 hot source is one value of a small table. The factors of a dimension are a grouped sum over the cells joined with the other factors;
 each step is written to the shared folder, so the plan does not grow.
 
-A document is then kept with probability min(1, budget * total * weight / tokens of its cell), decided by a hash of its id: the same
-decision on every run, whatever the partitioning. Targets not given are the tempered shares share^TEMPER, scaled to one; a target value
+A document is then kept with probability budget * total * weight / tokens of its cell, decided by a hash of its id: the same decision on
+every run, whatever the partitioning. The budget is what is asked for, or, where a cell has too few documents for it, the largest at which
+no probability is above 1: a probability that is cut off would move every share away from its target. `achieved` gives the shares of
+the expected sample beside the targets. Targets not given are the tempered shares share^TEMPER, scaled to one; a target value
 without documents is left out and the others are scaled up. Missing values of a dimension are the value "". Null and empty texts have no
 tokens: they weigh nothing and share the probability of their cell, or 0 if the cell has no token. Rows without an id are kept where the
 probability is above 0.
@@ -74,8 +76,11 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     of = docs.select(value("source").alias("source"), value("lang").alias("lang"), kind.alias("topic"), tokens.alias("tokens"))
     cells = store(of.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate = F.least(F.lit(1.0), F.lit(float(budget * total)) * F.col("weight") / F.col("tokens"))
-    rates = store(rake(cells, targets, steps).where("tokens > 0").select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], rate.alias("rate")), "rates")
+    weighed = store(rake(cells, targets, steps).where("tokens > 0"), "weights")
+    highest = weighed.agg(F.max(F.col("weight") / F.col("tokens"))).first()[0] or 0.0
+    size = min(float(budget * total), 1.0 / highest) if highest else 0.0
+    rate = F.least(F.lit(1.0), F.lit(size) * F.col("weight") / F.col("tokens"))  # least: against the last bit of the division alone
+    rates = weighed.select(*[F.col(d).alias(f"of_{d}") for d in DIMENSIONS], rate.alias("rate"))
     free = "_" * (1 + max(len(c) for c in docs.columns))  # names that no column has
     rates = rates.toDF(*[free + c for c in (*DIMENSIONS, "rate")])
     meets = (value("source") == F.col(free + "source")) & (value("lang") == F.col(free + "lang")) & (kind == F.col(free + "topic"))
@@ -85,6 +90,19 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     return docs.join(rates, meets, "left").select(*kept, kind.alias("topic"), tokens.alias("n_tokens"), p.alias("probability"), (F.coalesce(point, F.lit(0.0)) < p).alias("sampled"))
 
 
+def achieved(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, target, share) of the rows of mix(): the share of each value in the expected tokens of the sample."""
+    value = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    cells = mixed.select(value("source"), value("lang"), "topic", F.col("n_tokens").alias("tokens"), "probability")
+    cells = store(cells.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("kept")), "kept")
+    total = cells.agg(F.sum("kept")).first()[0] or 1.0
+    parts = []
+    for d in DIMENSIONS:
+        share = cells.groupBy(F.col(d).alias("value")).agg((F.sum("kept") / F.lit(float(total))).alias("share"))
+        parts.append(targets_of(cells, d, (targets or {}).get(d)).join(share, "value").select(F.lit(d).alias("dimension"), "value", "target", "share"))
+    return reduce(DataFrame.union, parts)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round(F.col("probability"), 6).alias("probability"), "sampled")
@@ -109,7 +127,7 @@ def sql(steps: int = STEPS) -> str:
         parts.append(f"w{i + 1} AS (SELECT w{i}.* EXCLUDE (w), w * target / sum(w) OVER (PARTITION BY w{i}.{x}) AS w FROM w{i} JOIN g_{x} USING ({x}))")
     last = f"w{3 * steps}"
     return f"""WITH {', '.join(parts)},
-        r AS (SELECT s, l, topic, least(1.0, (SELECT {BUDGET} * sum(tokens) FROM c) * w / tokens) AS rate FROM {last})
+        r AS (SELECT s, l, topic, least(1.0, (SELECT least({BUDGET} * sum(tokens), 1.0 / max(w / tokens)) FROM {last}) * w / tokens) AS rate FROM {last})
         SELECT doc_id, source, lang, d.topic, n_tokens, round(coalesce(rate, 0.0), 6) AS probability,
                coalesce(('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT / 4294967296.0, 0.0) < coalesce(rate, 0.0) AS sampled
         FROM d LEFT JOIN r ON d.s = r.s AND d.l = r.l AND d.topic = r.topic"""

@@ -110,7 +110,7 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.repeat(first[1:], size)
     out = np.repeat(np.minimum(size, k), size).astype(np.uint64)  # the length tells short sequences from whole windows
     at = np.arange(n)
-    for t in range(k):
+    for t in range(min(k, n)):
         part = h[t:] * _LANES[t]
         if t:
             part[at[: n - t] + t >= last[: n - t]] = 0

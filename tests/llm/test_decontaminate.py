@@ -52,6 +52,20 @@ def test_copies_and_reordered_passages_are_caught(spark):
     assert {r.doc_id for r in rows if r.contaminated} == {0, 1, 5} and [r.coverage for r in rows if r.doc_id == 1] == [1.0]
 
 
+def test_items_of_repeated_words_and_tiny_tables(spark):
+    """An item of one word or a short phrase over and over has few seeds, each at many positions; tables may hold a few words in all."""
+    items = [(1, "na " * 20), (2, "ping pong " * 15), (3, "one two three four five six seven"), (4, "na na na na batman " * 6)]
+    rng = random.Random(5)
+    docs = [(0, prose(rng, 30) + " " + "na " * 20 + prose(rng, 30)), (1, "ping pong " * 15), (2, "na na na na"), (3, "na " * 5 + prose(rng, 9)), (4, "na na na na batman " * 6)]
+    made = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.decontaminate(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], DOCS), made).collect()
+    want = {i: [k for k, x in items if 2 * plain_tiles(split(t), split(x)) >= len(split(x))] for i, t in docs}
+    assert {r.doc_id: list(r["items"]) for r in rows} == want and want[0] == [1] and want[1] == [2]
+    for text in ("a", "a b", "a b c", "a b c d"):
+        few = spark.createDataFrame([(1, text, "en", "s", 1)], DOCS).coalesce(1)
+        assert not decontaminate.decontaminate(few, made).first().contaminated
+
+
 def test_query_equals_brute_force(spark, sf):
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     seeds = {}

@@ -36,6 +36,20 @@ def test_one_source_with_most_rows(spark):
     assert abs(got["hot"] / 2700 - 0.5) < 0.05 and abs(got["rare"] / 300 - 0.5) < 0.12
 
 
+def test_shares_of_the_sample_meet_the_targets(spark):
+    """On the given table, and where the wanted values are rare: the budget gives way, not the shares."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = mixing.mix(docs)
+    for r in mixing.achieved(mixed).collect():
+        assert r.share == pytest.approx(r.target, abs=1e-3), r
+    assert mixed.agg(F.max("probability")).first()[0] == pytest.approx(1.0)
+    rare = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("x").alias("lang"), F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("source"))
+    goal = {"source": {"rare": 0.5, "hot": 0.5}}
+    mixed = mixing.mix(rare, goal)
+    assert all(r.share == pytest.approx(r.target, abs=1e-6) for r in mixing.achieved(mixed, goal).collect())
+    assert mixed.where("source = 'rare'").agg(F.sum("probability")).first()[0] == pytest.approx(40)
+
+
 def test_no_python_on_the_main_path(spark, sf):
     plan = mixing.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -127,3 +127,10 @@ def test_stage_links_from_080_on_and_the_query_from_085(spark, sf):
     got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs, least=80).collect()}
     assert all(got[b] == a if b in near else got[b] == b for a, b, _ in wide)
     assert {i for i, _ in rows} - {r.doc_id for r in near_dups.stage(spark, docs, sf).collect()} == set(near)
+
+
+def test_tables_of_a_few_words(spark):
+    for texts in (["a b"], ["a b c"], ["a", "a b"], ["", "a b c d"], ["a b", "A B"]):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).coalesce(1)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(docs).collect()}
+        assert got == {i: (min(1, len(t)), 0 if [x.lower() for x in texts] == ["a b", "a b"] else i) for i, t in enumerate(texts)}

@@ -38,3 +38,16 @@ def test_windows_stay_inside_rows():
     g, first = grams(w, 5)
     assert np.diff(first).tolist() == [2, 1, 0, 1, 1]
     assert g[first[3]] == g[0] and g[first[1]] == g[first[4]] != g[0]
+
+
+def test_pieces_of_one_to_four_words():
+    """Alone, behind a huge text, and as the last row of a piece."""
+    for n in range(1, 5):
+        short = " ".join("abcd"[:n])
+        for texts in ([short], ["", short], [short, ""], ["a", short], ["word " * 200_000, short]):
+            w = taken(texts)
+            g, first = grams(w, 5)
+            size = [len(split(t)) for t in texts]
+            assert np.diff(first).tolist() == [s - 4 if s >= 5 else min(s, 1) for s in size]
+        only = taken([short])
+        assert len(grams(only, 5)[0]) == 1
