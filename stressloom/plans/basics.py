@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Window
@@ -27,16 +28,17 @@ DBL = "idx " + " ".join(S.CHANNELS)
 # ------------------------------------------------------------------ sources
 @query("src_series_parquet", "tvl", W(DAILY_ORDERS, q="SELECT ds, tvl FROM daily_orders"), digits=2)
 def src_series_parquet(spark, d):
-    stored = tb.daily_orders(spark, d).select(F.date_format("ds", "yyyy-MM-dd").alias("date"), "tvl")
-    return pl.series_from(stored)
+    path = scratch_path(spark, "series")
+    tb.daily_orders(spark, d).select(F.date_format("ds", "yyyy-MM-dd").alias("date"), "tvl").write.parquet(path)
+    return pl.series_from(spark.read.schema("date string, tvl double").parquet(path))
 
 
 @query("src_series_csv", "price", W(PEG_POINTS, q="SELECT CAST(ts AS DATE) AS ds, symbol, median(price) AS price FROM peg_points GROUP BY 1, 2"))
 def src_series_csv(spark, d):
     from stressloom.operators.bars import daily_median
-    bars = daily_median(tb.peg_points(spark, d))
-    lines = bars.select(F.to_csv(F.struct("ds", "symbol", "price")).alias("line"))
-    return pl.parse_csv_lines(lines, "line", "ds date, symbol string, price double")
+    path = scratch_path(spark, "series-csv")
+    daily_median(tb.peg_points(spark, d)).select("ds", "symbol", "price").write.option("header", True).csv(path)
+    return pl.read_series_csv(spark, path, "ds date, symbol string, price double")
 
 
 @query("src_observations_json", "value", W(OBSERVATIONS, q="SELECT indicator, ds, TRY_CAST(value AS DOUBLE) AS value FROM observations"))
@@ -106,7 +108,7 @@ def src_news_items(spark, d):
   SELECT series_id, ds, idx, strftime(ds, '%Y-%m') AS as_of, 'pinned' AS mode FROM panel WHERE strftime(ds, '%Y-%m') = '1999-03'
   UNION ALL SELECT series_id, ds, idx, strftime(ds, '%Y-%m'), 'last' FROM panel WHERE strftime(ds, '%Y-%m') = (SELECT max(strftime(ds, '%Y-%m')) FROM panel)"""))
 def src_snapshot_as_of(spark, d):
-    p = tb.panel(spark, d).select("series_id", "ds", "idx", F.date_format("ds", "yyyy-MM").alias("as_of"))
+    p = tb.snapshot_table(spark, d)
     return pl.pinned_snapshot(p, "1999-03").withColumn("mode", F.lit("pinned")).unionByName(
         pl.pinned_snapshot(p, "2050-01").withColumn("mode", F.lit("last")))
 
@@ -216,7 +218,7 @@ def sink_reconcile(spark, d):
 @query("sink_export", "idx", W(PANEL, q="""
   SELECT series_id, fmt, count(*) AS n, sum(idx) AS idx FROM panel CROSS JOIN (VALUES ('json'),('csv'),('parquet')) f(fmt) WHERE ds BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 1, 2"""), digits=4)
 def sink_export(spark, d):
-    p = tb.stored_panel(spark, d).select("series_id", "ds", "idx")
+    p = tb.stored_panel(spark, d, [(dt.date(1998, 1, 1), dt.date(1998, 12, 31))]).select("series_id", "ds", "idx")
     ddl, parts = "series_id string, ds date, idx double", []
     for fmt in ("json", "csv", "parquet"):
         path = scratch_path(spark, fmt)
@@ -251,7 +253,8 @@ def filter_range_preset(spark, d):
   SELECT event, series_id, ds, idx FROM panel JOIN events_dim ON ds BETWEEN event_date - CASE event WHEN 'E1' THEN 45 ELSE 30 END AND event_date + CASE event WHEN 'E1' THEN 20 ELSE 15 END"""))
 def filter_event_window(spark, d):
     e = tb.events_dim(spark).select("event", "event_date", F.when(F.col("event") == "E1", 45).otherwise(30).alias("before"), F.when(F.col("event") == "E1", 20).otherwise(15).alias("after"))
-    return tb.panel(spark, d).join(ev.unfold(e, "before", "after"), "ds").select("event", "series_id", "ds", "idx")
+    days = ev.unfold(e, "before", "after")
+    return tb.panel(spark, d, tb.day_ranges(days)).join(days, "ds").select("event", "series_id", "ds", "idx")
 
 
 @query("filter_positive_tvl", "tvl", W(PROTOCOLS, q="SELECT protocol_id, tvl FROM protocols WHERE coalesce(tvl,0) > 0"))

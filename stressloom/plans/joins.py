@@ -13,6 +13,7 @@ from stressloom.plans.aggregations import CHS, LABELLED, LONG
 from stressloom.plans.registry import query
 from stressloom.plans.scalars import PLAIN_TERMS
 from stressloom.plans.sqltext import EVENTS_DIM, HEADLINES, OBSERVATIONS, PANEL, W
+from stressloom.session import stored
 from stressloom.sources import tables as tb
 
 
@@ -77,17 +78,44 @@ def join_calendar_ffill(spark, d):
     return calendar.fill_calendar(tb.panel(spark, d), ["series_id"], ["idx"])
 
 
-@query("join_snapshot", "current_tvl tvl_peak tvl_cv treasury", W(OBSERVATIONS, """
-  targets AS (SELECT CAST(unnest(generate_series((SELECT min(ds) FROM daily_orders), (SELECT max(ds) FROM daily_orders), INTERVAL 7 DAY)) AS DATE) AS ds),
-  state AS (SELECT ds, tvl, max(tvl) OVER (ORDER BY ds RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW) pk, count(*) OVER m AS n, stddev_pop(tvl) OVER m/avg(tvl) OVER m AS cv FROM daily_orders
-     WINDOW m AS (ORDER BY ds RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)),
-  okobs AS (SELECT ds, TRY_CAST(value AS DOUBLE) AS v FROM observations WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL)""", q="""
-  SELECT t.ds, CASE WHEN n.ds IS NULL OR t.ds - p.ds <= n.ds - t.ds THEN p.tvl ELSE n.tvl END AS current_tvl, s.pk AS tvl_peak, CASE WHEN s.n > 1 THEN s.cv END AS tvl_cv,
-    coalesce(o.v, 3.5) AS treasury, CASE WHEN s.ds IS NULL THEN 'nearest' ELSE 'exact' END AS tvl_quality, CASE WHEN o.v IS NULL THEN 'default' ELSE 'observed' END AS treasury_quality
-  FROM targets t LEFT JOIN state s ON t.ds = s.ds ASOF LEFT JOIN daily_orders p ON t.ds >= p.ds ASOF LEFT JOIN daily_orders n ON t.ds < n.ds ASOF LEFT JOIN okobs o ON t.ds >= o.ds"""), digits=4)
+SNAPSHOT = ["tvl", "tvl_peak", "tvl_cv", "treasury", "index", "coin_price"]
+
+
+def _snapshot_note(x: str, found: str, exact: str, kind: str, none: str) -> str:
+    return f"CASE WHEN {found} IS NULL THEN '{none}' WHEN {exact} THEN 'exact' ELSE '{kind}' END AS {x}_quality"
+
+
+@query("join_snapshot", "tvl tvl_peak tvl_cv treasury index coin_price", W(OBSERVATIONS, PANEL, f"""
+  seg AS (SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS ds, CAST(sum(CAST(round(o_totalprice*100) AS BIGINT)) AS DOUBLE)/100.0 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+  targets AS (SELECT series_id, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 7 DAY)) AS DATE) AS ds FROM seg GROUP BY 1),
+  state AS (SELECT series_id, ds, max(v) OVER (PARTITION BY series_id ORDER BY ds RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW) pk, CASE WHEN count(*) OVER m > 1 THEN stddev_pop(v) OVER m/avg(v) OVER m END AS cv FROM seg
+     WINDOW m AS (PARTITION BY series_id ORDER BY ds RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)),
+  okobs AS (SELECT ds, ds + 2 AS seen, TRY_CAST(value AS DOUBLE) AS v FROM observations WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL),
+  ix AS (SELECT series_id, ds, ds + 1 AS seen, idx AS v FROM panel),
+  cp AS (SELECT CAST(ts AS DATE) AS ds, CAST(ts AS DATE) + 1 AS seen, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1 HAVING avg(value) IS NOT NULL),
+  met AS (SELECT t.series_id, t.ds, CASE WHEN n.ds IS NULL OR t.ds - p.ds <= n.ds - t.ds THEN p.ds ELSE n.ds END AS tds, CASE WHEN n.ds IS NULL OR t.ds - p.ds <= n.ds - t.ds THEN p.v ELSE n.v END AS tv,
+      s.pk, s.cv, o.ds AS ods, o.v AS ov, CASE WHEN t.ds - x.ds <= 7 THEN x.ds END AS xds, CASE WHEN t.ds - x.ds <= 7 THEN x.v END AS xv, c.ds AS cds, c.v AS cv1
+    FROM targets t LEFT JOIN state s ON t.series_id = s.series_id AND t.ds = s.ds ASOF LEFT JOIN seg p ON t.series_id = p.series_id AND t.ds >= p.ds ASOF LEFT JOIN seg n ON t.series_id = n.series_id AND t.ds < n.ds
+      ASOF LEFT JOIN okobs o ON t.ds >= o.seen ASOF LEFT JOIN ix x ON t.series_id = x.series_id AND t.ds >= x.seen ASOF LEFT JOIN cp c ON t.ds >= c.seen)""", q=f"""
+  SELECT series_id, ds, tv AS tvl, pk AS tvl_peak, cv AS tvl_cv, coalesce(ov, 3.5) AS treasury, xv AS "index", coalesce(cv1, 1.0) AS coin_price,
+    {_snapshot_note('tvl', 'tv', 'tds = ds', 'nearest', 'missing')}, {_snapshot_note('tvl_peak', 'pk', 'true', '', 'missing')}, {_snapshot_note('tvl_cv', 'cv', 'true', '', 'missing')},
+    {_snapshot_note('treasury', 'ov', 'ds - ods = 2', 'carried', 'default')}, {_snapshot_note('index', 'xv', 'ds - xds = 1', 'carried', 'missing')}, {_snapshot_note('coin_price', 'cv1', 'ds - cds = 1', 'carried', 'default')} FROM met"""), digits=4)
 def join_snapshot(spark, d):
-    s = snapshot.snapshots(tb.daily_orders(spark, d), tb.observations(spark, d))
-    return s.select("ds", "current_tvl", "tvl_peak", "tvl_cv", "treasury", F.col("data_quality")["tvl"].alias("tvl_quality"), F.col("data_quality")["treasury"].alias("treasury_quality"))
+    daily = stored(tb.segment_orders(spark, d), "orders")
+    state = snapshot.value_state(daily)
+    rate = tb.observations(spark, d).select("ds", F.col("value").try_cast("double").alias("value"))
+    price = tb.points(spark, d).where("source = 'click'").groupBy(F.to_date("ts").alias("ds")).agg(F.avg("value").alias("value"))
+    default = S.MACRO_DEFAULTS["treasury_10y"][0]
+    days = {s: -(-h // 24) for s, h in S.PUBLICATION_LAG_HOURS.items()}
+    s = snapshot.snapshot(snapshot.stepped(daily), {
+        "tvl": snapshot.Source(daily, "nearest"),
+        "tvl_peak": snapshot.Source(state.withColumn("value", F.col("peak")), "exact"),
+        "tvl_cv": snapshot.Source(state.withColumn("value", F.col("cv")), "exact"),
+        "treasury": snapshot.Source(rate, "backward", days["treasury"], default=default, common=True),
+        "index": snapshot.Source(tb.panel(spark, d).withColumn("value", F.col("idx")), "backward", 1, longest=7),
+        "coin_price": snapshot.Source(price, "backward", days["coin_price"], default=1.0, common=True),
+    })
+    return s.select("series_id", "ds", *SNAPSHOT, *[f"{x}_quality" for x in SNAPSHOT])
 
 
 @query("join_lookup_default", "risk", W(OBSERVATIONS, PANEL, q="""

@@ -51,6 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder and read back, for plans that use a table in several branches or rounds: it is made once, and a
+    lost executor does not repeat the work."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys with a fixed count. Small but CPU-heavy groups keep their parallelism, which the
     adaptive merging of small partitions would take away; later windows and groups on the keys reuse the exchange."""

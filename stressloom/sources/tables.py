@@ -9,13 +9,14 @@ value independent of partitioning.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stressloom.functions import scoring as fn
-from stressloom.session import scratch_path
+from stressloom.session import scratch_path, stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +28,32 @@ def whole(c: str, scale: int = 1) -> Column:
     return F.floor(F.col(c) * F.lit(float(scale)) + F.lit(0.5))
 
 
-def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").select(
+Ranges = list[tuple[dt.date, dt.date]]
+
+
+def within(stamp: str, ranges: Ranges) -> Column:
+    """Whether a raw timestamp lies on a day of the ranges (ends included), as comparisons that reach the scan."""
+    bounds = [(F.col(stamp) >= F.lit(a).cast("timestamp_ntz")) & (F.col(stamp) < F.lit(b + dt.timedelta(days=1)).cast("timestamp_ntz")) for a, b in ranges]
+    return reduce(lambda x, y: x | y, bounds, F.lit(False))
+
+
+def day_ranges(days: DataFrame, most: int = 64) -> Ranges:
+    """The months of the days (ds) as ranges of whole months, neighbours merged; the span of all where there are more than `most`. Only
+    distinct months leave the table: as many as its calendar has."""
+    months = sorted(r["m"] for r in days.where(F.col("ds").isNotNull()).select(F.trunc("ds", "month").alias("m")).distinct().collect())
+    out: Ranges = []
+    for m in months:
+        last = (m + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1)
+        if out and out[-1][1] + dt.timedelta(days=1) == m:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((m, last))
+    return out if len(out) <= most else [(out[0][0], out[-1][1])]
+
+
+def daily_sums(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    li = (li if ranges is None else li.where(within("l_shipdate", ranges))).select(
         "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", F.col("l_shipdate").cast("date").alias("ds")
     )
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -60,17 +85,21 @@ def channels_from_sums(sums: DataFrame) -> DataFrame:
     return out.withColumn("idx", fn.composite())
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily channels and composite per market segment."""
-    return channels_from_sums(daily_sums(spark, sf_dir))
+def panel(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
+    """Daily channels and composite per market segment, of all days or of those of the ranges."""
+    return channels_from_sums(daily_sums(spark, sf_dir, ranges))
+
+
+def stored_panel(spark: SparkSession, sf_dir: str, ranges: Ranges | None = None) -> DataFrame:
+    """The panel written once: the raw tables are then scanned and joined once, however many branches read it."""
+    return stored(panel(spark, sf_dir, ranges), "panel")
 
 
-def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel written once to the shared folder and read back, for plans that use it in several branches: the raw
-    tables are then scanned and joined once, and a lost executor does not repeat that work."""
-    p = panel(spark, sf_dir)
-    path = scratch_path(spark, "panel")
-    p.write.parquet(path)
+def snapshot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel as a table of monthly snapshots, partitioned by as_of (yyyy-MM)."""
+    p = panel(spark, sf_dir).select("series_id", "ds", "idx", F.date_format("ds", "yyyy-MM").alias("as_of"))
+    path = scratch_path(spark, "snapshots")
+    p.repartition("as_of").write.partitionBy("as_of").parquet(path)
     return spark.read.schema(p.schema).parquet(path)
 
 
@@ -175,6 +204,14 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def segment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order value per market segment and day: (series_id, ds, value)."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("ds"), whole("o_totalprice", 100).alias("cents"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("series_id"))
+    sums = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("series_id", "ds").agg(F.sum("cents").alias("cents"))
+    return sums.select("series_id", "ds", (F.col("cents") / 100.0).alias("value"))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro observations as text, '.' marking a missing value on every seventh day."""
     d = daily_orders(spark, sf_dir)
