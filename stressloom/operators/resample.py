@@ -8,6 +8,7 @@ per resampled day; ranking metrics run on one array per series and a chunk of re
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -67,24 +68,38 @@ def prefix(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return p.unionByName(zero)
 
 
-def block_sums(df: DataFrame, plan: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """Sums of the columns over each replicate, from prefix differences at the block ends."""
+def block_sums(df: DataFrame, plan: DataFrame, cols: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of the columns over each replicate (and `by`, further columns of the plan), from prefix differences at the block ends."""
     p = prefix(df, cols)
-    ends = plan.select("series_id", "rep", "n", F.inline(F.array(
+    keys = ["series_id", *by, "rep"]
+    ends = plan.select(*keys, "n", F.inline(F.array(
         F.struct((F.col("start") + F.col("len") - 1).alias("pos"), F.lit(1.0).alias("sg")), F.struct((F.col("start") - 1).alias("pos"), F.lit(-1.0).alias("sg")))))
     j = ends.join(p, ["series_id", "pos"])
-    return j.groupBy("series_id", "rep").agg(F.max("n").alias("n"), *[F.sum(F.col("sg") * F.col(c)).alias(c) for c in cols])
+    return j.groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(F.col("sg") * F.col(c)).alias(c) for c in cols])
 
 
-def mean_and_deviation(df: DataFrame, x: str, plan: DataFrame) -> DataFrame:
+def mean_and_deviation(df: DataFrame, x: str, plan: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean and sample deviation per replicate. Values are centred first, which keeps the squares small."""
     e = Window.partitionBy("series_id")
     d = df.select("series_id", "ds", F.avg(x).over(e).alias("_m"), (F.col(x) - F.avg(x).over(e)).alias("_c"))
-    s = block_sums(d, plan, {"s1": F.col("_c"), "s2": F.col("_c") * F.col("_c")})
+    s = block_sums(d, plan, {"s1": F.col("_c"), "s2": F.col("_c") * F.col("_c")}, by)
     mu = df.groupBy("series_id").agg(F.avg(x).alias("_m"))
     n = F.col("n")
     var = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)
-    return s.join(mu, "series_id").select("series_id", "rep", (F.col("_m") + F.col("s1") / n).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    return s.join(mu, "series_id").select("series_id", *by, "rep", (F.col("_m") + F.col("s1") / n).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+
+
+def block_max(df: DataFrame, x: str, plan: DataFrame) -> DataFrame:
+    """Maximum of each replicate from a table of range maxima: the maxima of all stretches of 1, 2, 4, ... rows. A block is covered by the
+    two stretches of the greatest power of two in it, so a replicate reads two rows per block, not one per day."""
+    longest = plan.agg(F.max("len")).first()[0] or 1
+    levels = range(max(1, int(longest).bit_length()))
+    pos = (F.row_number().over(by_day()) - 1).alias("pos")
+    stretch = [F.max(x).over(by_day().rowsBetween(0, 2**k - 1)).alias(f"_{k}") for k in levels]
+    table = df.select("series_id", pos, *stretch).select("series_id", "pos", F.posexplode(F.array(*[F.col(f"_{k}") for k in levels])).alias("k", "top"))
+    k = F.floor(F.log2(F.col("len") + F.lit(0.5))).cast("int")
+    at = plan.withColumn("k", k).select("series_id", "rep", "k", F.explode(F.array("start", F.col("start") + F.col("len") - F.expr("shiftleft(1, k)"))).alias("pos"))
+    return at.join(table, ["series_id", "pos", "k"]).groupBy("series_id", "rep").agg(F.max("top").alias("max"))
 
 
 def interval(reps: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -94,32 +109,36 @@ def interval(reps: DataFrame, keys: list[str], value: str, level: float = 0.95)
         *keys, "reps", "boot_mean", "se", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-def block_bootstrap_mean(df: DataFrame, x: str, reps: int = 500, block: int | None = None, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile and basic intervals of the mean."""
-    r = mean_and_deviation(df, x, block_plan(df, reps, block, seed))
-    i = interval(r, ["series_id"], "mean", level)
+def block_bootstrap_mean(df: DataFrame, x: str, reps: int = 500, blocks: tuple[int | None, ...] = (None,), seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile and basic intervals of the mean, for each block length asked for (None: the cube root of the number of days)."""
+    plans = [block_plan(df, reps, b, seed).withColumn("block", F.lit(b or 0)) for b in blocks]
+    r = mean_and_deviation(df, x, reduce(DataFrame.unionByName, plans), ("block",))
+    i = interval(r, ["series_id", "block"], "mean", level)
     hat = df.groupBy("series_id").agg(F.avg(x).alias("estimate"))
     return i.join(hat, "series_id").withColumn("basic_lo", 2 * F.col("estimate") - F.col("hi")).withColumn("basic_hi", 2 * F.col("estimate") - F.col("lo"))
 
 
 def stationary_plan(df: DataFrame, reps: int, expected: float, seed: int) -> DataFrame:
-    """(series_id, rep, pos): circular walks that restart with probability 1/expected. The walk is a running count since
-    the last restart, so it is a window, not a loop."""
-    s = sizes(df, None).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    s = s.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    u = draw(seed + 1, F.col("rep"), F.col("t")) / float(M)
-    s = s.withColumn("_new", (F.col("t") == 0) | (u < 1.0 / expected))
-    jump = F.when(F.col("_new"), F.struct("t", (draw(seed, F.col("rep"), F.col("t")) % F.col("n")).alias("at")))
-    w = Window.partitionBy("series_id", "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_j", F.last(jump, ignorenulls=True).over(w))
-    return s.select("series_id", "rep", ((F.col("_j.at") + F.col("t") - F.col("_j.t")) % F.col("n")).cast("int").alias("pos"))
+    """(series_id, rep, n, start, len): circular walks that restart with probability 1/expected, as runs. Their lengths are geometric, by
+    the inverse of the distribution, and added up until n days are full; a run over the end of the series is two blocks. The number of
+    runs a walk needs has mean n/expected; so many are drawn that more are needed once in 10^9 walks, and then the last one goes on."""
+    p = 1.0 / expected
+    s = sizes(df, None).select("series_id", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    s = s.withColumn("runs", (F.ceil(F.col("n") * p + 6 * F.sqrt(F.col("n") * p * (1 - p))) + 10).cast("int"))
+    s = s.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    u = (draw(seed + 1, F.col("rep"), F.col("j")) + F.lit(0.5)) / float(M)
+    geometric = F.lit(1) + F.floor(F.ln(u) / F.lit(math.log(1 - p)))
+    s = s.withColumn("len", F.when(F.col("j") == F.col("runs") - 1, F.col("n")).otherwise(F.least(geometric, F.col("n"))).cast("int"))
+    before = F.coalesce(F.sum("len").over(Window.partitionBy("series_id", "rep").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("_b", before).where(F.col("_b") < F.col("n")).withColumn("len", F.least(F.col("len"), F.col("n") - F.col("_b")).cast("int"))
+    s = s.withColumn("start", (draw(seed, F.col("rep"), F.col("j")) % F.col("n")).cast("int"))
+    head = F.least(F.col("len"), F.col("n") - F.col("start"))
+    blocks = F.array(F.struct(F.col("start"), head.alias("len")), F.struct(F.lit(0).alias("start"), (F.col("len") - head).alias("len")))
+    return s.select("series_id", "rep", "n", F.inline(blocks)).where("len > 0")
 
 
 def stationary_mean(df: DataFrame, x: str, reps: int = 200, expected: float = 20.0, seed: int = 42) -> DataFrame:
-    p = stationary_plan(df, reps, expected, seed)
-    v = df.select("series_id", (F.row_number().over(by_day()) - 1).alias("pos"), F.col(x).alias("_v"))
-    r = p.join(v, ["series_id", "pos"]).groupBy("series_id", "rep").agg(F.avg("_v").alias("mean"))
-    return interval(r, ["series_id"], "mean")
+    return interval(mean_and_deviation(df, x, stationary_plan(df, reps, expected, seed)), ["series_id"], "mean")
 
 
 def bca(df: DataFrame, x: str, reps: int = 500, block: int | None = None, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -129,8 +148,13 @@ def bca(df: DataFrame, x: str, reps: int = 500, block: int | None = None, seed:
     e = Window.partitionBy("series_id")
     d = df.select("series_id", (F.col(x) - F.avg(x).over(e)).alias("_d"), F.avg(x).over(e).alias("_m"))
     acc = d.groupBy("series_id").agg(F.first("_m").alias("estimate"), (F.sum(F.pow("_d", F.lit(3.0))) / (6.0 * F.pow(F.sum(F.pow("_d", F.lit(2.0))), F.lit(1.5)))).alias("a"))
-    g = r.join(acc, "series_id").groupBy("series_id", "estimate", "a").agg(
-        F.avg((F.col("mean") < F.col("estimate")).cast("double")).alias("below"), F.array_sort(F.collect_list("mean")).alias("sorted"))
+    return _adjusted(r.select("series_id", F.col("mean").alias("value")).join(acc, "series_id"), ["series_id"], level)
+
+
+def _adjusted(reps: DataFrame, keys: list[str], level: float) -> DataFrame:
+    """BCa intervals of replicates (keys, value, estimate, a)."""
+    g = reps.groupBy(*keys, "estimate", "a").agg(
+        F.avg((F.col("value") < F.col("estimate")).cast("double")).alias("below"), F.array_sort(F.collect_list("value")).alias("sorted"))
     al = (1 - level) / 2
 
     def run(batches):
@@ -144,11 +168,38 @@ def bca(df: DataFrame, x: str, reps: int = 500, block: int | None = None, seed:
                     k = z0 + z
                     pct.append(float(1 - norm_sf(z0 + k / (1 - t.a * k))))
                 v = np.asarray(t.sorted, float)
-                out.append((t.series_id, t.estimate, float(z0), float(t.a), float(np.quantile(v, pct[0])), float(np.quantile(v, pct[1]))))
-            yield pd.DataFrame(out, columns=["series_id", "estimate", "bias", "acceleration", "lo", "hi"])
-
-    return g.select("series_id", "estimate", "a", "below", "sorted").mapInPandas(
-        run, "series_id string, estimate double, bias double, acceleration double, lo double, hi double")
+                out.append((*t[: len(keys)], t.estimate, float(z0), float(t.a), float(np.quantile(v, pct[0])), float(np.quantile(v, pct[1]))))
+            yield pd.DataFrame(out, columns=[*keys, "estimate", "bias", "acceleration", "lo", "hi"])
+
+    texts = ", ".join(f"{k} string" for k in keys)
+    return g.select(*keys, "estimate", "a", "below", "sorted").mapInPandas(
+        run, f"{texts}, estimate double, bias double, acceleration double, lo double, hi double")
+
+
+def auroc_jackknife(df: DataFrame, models: list[str], label: str) -> DataFrame:
+    """(series_id, model, estimate, a): AUROC, and the acceleration of its leave-one-out values, from placement values. Leaving a positive
+    out takes its share of lower negatives from the mean over positives, leaving a negative out its share of higher positives; so all
+    leave-one-out values follow from counts per distinct score. Null where a class has fewer than two rows or nothing varies."""
+    long = df.select("series_id", F.col(label).cast("double").alias("y"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models])).alias("_m"))
+    c = long.groupBy("series_id", "_m.model", "_m.score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    w = Window.partitionBy("series_id", "model")
+    up, down = w.orderBy("score").rowsBetween(Window.unboundedPreceding, -1), w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    low, high = F.coalesce(F.sum("q").over(up), F.lit(0.0)) + F.col("q") / 2, F.coalesce(F.sum("p").over(down), F.lit(0.0)) + F.col("p") / 2
+    c = c.select("*", low.alias("low"), high.alias("high"), F.sum("p").over(w).alias("ones"), F.sum("q").over(w).alias("zeros"))
+    c = c.withColumn("wins", F.sum(F.col("p") * F.col("low")).over(w)).where("ones > 1 AND zeros > 1")
+    less_p = (F.col("wins") - F.col("low")) / ((F.col("ones") - 1) * F.col("zeros"))
+    less_q = (F.col("wins") - F.col("high")) / (F.col("ones") * (F.col("zeros") - 1))
+    c = c.withColumns({"_tp": less_p, "_tq": less_q})
+    c = c.withColumn("_c", F.sum(F.col("p") * F.col("_tp") + F.col("q") * F.col("_tq")).over(w) / (F.col("ones") + F.col("zeros")))
+    power = lambda k: F.sum(F.col("p") * F.pow(F.col("_c") - F.col("_tp"), F.lit(k)) + F.col("q") * F.pow(F.col("_c") - F.col("_tq"), F.lit(k)))
+    a = power(3.0) / F.nullif(6.0 * F.pow(power(2.0), F.lit(1.5)), F.lit(0.0))
+    return c.groupBy("series_id", "model").agg((F.max("wins") / (F.max("ones") * F.max("zeros"))).alias("estimate"), a.alias("a"))
+
+
+def bca_auroc(df: DataFrame, models: list[str], label: str, reps: int = 500, block: int | None = 25, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """BCa interval of the AUROC of every model under the same block draws."""
+    r = replicate_metrics(df, models, label, reps, block, seed).select("series_id", "model", "value")
+    return _adjusted(r.join(auroc_jackknife(df, models, label).where("a IS NOT NULL"), ["series_id", "model"]), ["series_id", "model"], level)
 
 
 def _norm_ppf(p: float) -> float:
@@ -171,14 +222,19 @@ def last_row_index(df: DataFrame, reps: int, block: int | None, seed: int) -> Da
 
 
 def index_distribution(df: DataFrame, x: str = "idx", reps: int = 500, block: int | None = None, seed: int = 42, levels=(0.90, 0.95, 0.99)) -> DataFrame:
-    """Distribution of the last resampled row: intervals at several levels, standard error, bias."""
-    v = df.select("series_id", (F.row_number().over(by_day()) - 1).alias("pos"), F.col(x).alias("_v"))
-    point = df.groupBy("series_id").agg(F.max_by(x, "ds").alias("point"))
-    r = last_row_index(df, reps, block, seed).join(v, ["series_id", "pos"])
+    """Distribution of the last resampled row and of the mean, deviation and maximum of the resampled series: per statistic its value on the
+    data (point), standard error, bias, and intervals at several levels."""
+    v = df.select("series_id", (F.row_number().over(by_day()) - 1).alias("pos"), F.col(x).alias("last"))
+    names = ["last", "mean", "std", "max"]
+    point = df.groupBy("series_id").agg(F.max_by(x, "ds").alias("last"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.max(x).alias("max"))
+    plan = block_plan(df, reps, block, seed)
+    r = mean_and_deviation(df, x, plan).join(block_max(df, x, plan), ["series_id", "rep"])
+    r = r.join(last_row_index(df, reps, block, seed).join(v, ["series_id", "pos"]).drop("pos"), ["series_id", "rep"])
+    r, point = r.unpivot(["series_id", "rep"], names, "statistic", "_v"), point.unpivot(["series_id"], names, "statistic", "point")
     qs = [q for lv in levels for q in ((1 - lv) / 2, (1 + lv) / 2)]
-    g = r.groupBy("series_id").agg(F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("se"), F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias("_q"))
+    g = r.groupBy("series_id", "statistic").agg(F.avg("_v").alias("_m"), F.stddev_samp("_v").alias("se"), F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias("_q"))
     cells = [F.struct(F.lit(lv).alias("level"), F.col("_q")[2 * i].alias("lo"), F.col("_q")[2 * i + 1].alias("hi")) for i, lv in enumerate(levels)]
-    return g.join(point, "series_id").select("series_id", "point", "se", (F.col("_m") - F.col("point")).alias("bias"), F.inline(F.array(*cells)))
+    return g.join(point, ["series_id", "statistic"]).select("series_id", "statistic", "point", "se", (F.col("_m") - F.col("point")).alias("bias"), F.inline(F.array(*cells)))
 
 
 def rolling_bands(df: DataFrame, x: str = "idx", width: int = 90, reps: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
@@ -300,7 +356,8 @@ def row_bands(df: DataFrame, value: str, reps: int = 100, block: int = 20, seed:
 
 def detection(df: DataFrame, events: DataFrame, reps: int = 200, block: int = 10, seed: int = 42, threshold: float = 50.0, before: int = 30, est: int = 60) -> DataFrame:
     """Resample the estimation window of each event; a replicate detects when the pre-event maximum reaches
-    min(threshold, mean + 2 sd). Rate with Wilson interval, mean lead."""
+    min(threshold, mean + 2 sd). Rate with Wilson interval; mean, median and 95 percent
+    interval of the lead over the replicates that detect."""
     w = df.join(ev.unfold(events.select("event", "event_date"), before + est, -1), "ds")
     e = w.filter(F.col("rel") < -before).select(F.concat_ws("|", "series_id", "event").alias("series_id"), "ds", "idx")
     r = mean_and_deviation(e, "idx", block_plan(e, reps, block, seed))
@@ -310,10 +367,10 @@ def detection(df: DataFrame, events: DataFrame, reps: int = 200, block: int = 10
     j = pre.join(cut.withColumnRenamed("series_id", "_k"), "_k")
     first = F.try_element_at(F.filter("_p", lambda p: p["idx"] >= F.col("cut")), F.lit(1))["rel"]
     j = j.select("series_id", "event", "rep", (-first).alias("lead"))
-    g = j.groupBy("series_id", "event").agg(F.count(F.lit(1)).alias("n"), F.count("lead").alias("k"), F.avg("lead").alias("mean_lead"))
+    g = j.groupBy("series_id", "event").agg(F.count(F.lit(1)).alias("n"), F.count("lead").alias("k"), F.avg("lead").alias("mean_lead"), F.percentile("lead", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("_l"))
     z, n, p = 1.959963984540054, F.col("n"), F.col("k") / F.col("n")
     mid, half, den = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
-    return g.select("series_id", "event", p.alias("rate"), ((mid - half) / den).alias("lo"), ((mid + half) / den).alias("hi"), "mean_lead")
+    return g.select("series_id", "event", p.alias("rate"), ((mid - half) / den).alias("lo"), ((mid + half) / den).alias("hi"), "mean_lead", *[F.col("_l")[i].alias(c) for i, c in enumerate(("lead_lo", "lead_median", "lead_hi"))])
 
 
 def placebo_shuffle(df: DataFrame, events: DataFrame, reps: int = 200, seed: int = 42, threshold: float = 70.0, days: int = 30) -> DataFrame:

@@ -20,7 +20,7 @@ from stressloom.plans.composition import fixed_model
 from stressloom.plans.evaluation import forward_frame, pe
 from stressloom.plans.registry import query
 from stressloom.plans.sqltext import draw_sql, EVENTS_DIM, PANEL, W
-from stressloom.session import scratch_path
+from stressloom.session import scratch_path, stored
 from stressloom.sources import tables as tb
 
 
@@ -214,27 +214,48 @@ def plan_sql(reps, block, seed=42, name="plan", src="panel"):
  posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM {src})"""
 
 
-@query("ts_bootstrap_mbb", "boot_mean se lo hi estimate basic_lo basic_hi", W(PANEL, plan_sql(REPLICATES, None), """
-  rm AS (SELECT p.series_id, rep, avg(idx) AS m FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1 GROUP BY 1,2),
-  bs AS (SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1)""", q="""
+#: Block lengths of the sensitivity to the block; 0 stands for the cube root of the number of days.
+BLOCKS = (20, 25, 30)
+
+
+def plans_sql(reps, blocks, seed=42, src="panel"):
+    """The plans of several block lengths as one table, with `block`."""
+    cube = "CAST(floor(pow(count(*), 1.0/3) + 1e-9) AS INT)"
+    each = " UNION ALL ".join(f"SELECT series_id, CAST(count(*) AS INT) AS n, {b or cube} AS width, {b} AS block FROM {src} GROUP BY 1" for b in blocks)
+    return f"""nn AS ({each}),
+ plan AS (SELECT series_id, block, rep, b, n, {draw_sql(seed, 'rep', 'b')} % (n-width+1) AS start, least(width, n-b*width) AS len FROM nn CROSS JOIN range({reps}) r(rep) CROSS JOIN range(4000) q(b) WHERE b < ceil(n*1.0/width)),
+ posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM {src})"""
+
+
+@query("ts_bootstrap_mbb", "boot_mean se lo hi estimate basic_lo basic_hi", W(PANEL, plans_sql(REPLICATES, (0, *BLOCKS)), """
+  run AS (SELECT *, sum(idx) OVER (PARTITION BY series_id ORDER BY pos) AS upto FROM posn),
+  rm AS (SELECT p.series_id, p.block, rep, sum(z.upto - a.upto + a.idx)/any_value(n) AS m FROM plan p JOIN run a ON p.series_id=a.series_id AND a.pos = start JOIN run z ON p.series_id=z.series_id AND z.pos = start+len-1 GROUP BY 1,2,3),
+  bs AS (SELECT series_id, block, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1,2)""", q="""
   SELECT b.*, e AS estimate, 2*e-hi AS basic_lo, 2*e-lo AS basic_hi FROM bs b JOIN (SELECT series_id, avg(idx) AS e FROM panel GROUP BY 1) USING (series_id)"""))
 def ts_bootstrap_mbb(spark, d):
-    return rs.block_bootstrap_mean(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
+    return rs.block_bootstrap_mean(tb.stored_panel(spark, d), "idx", REPLICATES, (None, *BLOCKS))
 
 
 @query("ts_bootstrap_stationary", "boot_mean se lo hi", W(PANEL, f"""
-  nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM panel GROUP BY 1),
-  st AS (SELECT series_id, rep, t, n, t = 0 OR {draw_sql(43, 'rep', 't')}/2147483647.0 < 0.05 AS fresh, {draw_sql(42, 'rep', 't')} % n AS spot FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n),
-  wk AS (SELECT series_id, rep, (last_value(CASE WHEN fresh THEN spot - t END IGNORE NULLS) OVER (PARTITION BY series_id, rep ORDER BY t ROWS UNBOUNDED PRECEDING) + t + 4*n) % n AS pos FROM st),
-  rm AS (SELECT w.series_id, rep, avg(idx) AS m FROM wk w JOIN (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM panel) v ON w.series_id=v.series_id AND w.pos=v.pos GROUP BY 1,2)""", q="""
+  nn AS (SELECT series_id, CAST(count(*) AS INT) AS n, CAST(ceil(count(*)*0.05 + 6*sqrt(count(*)*0.05*0.95)) AS INT) + 10 AS runs FROM panel GROUP BY 1),
+  dr AS (SELECT series_id, rep, j, n, CASE WHEN j = runs-1 THEN n ELSE least(1 + CAST(floor(ln(({draw_sql(43, 'rep', 'j')}+0.5)/2147483647.0)/ln(0.95::DOUBLE)) AS INT), n) END AS len, {draw_sql(42, 'rep', 'j')} % n AS start FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4000) q(j) WHERE j < runs),
+  cu AS (SELECT *, sum(len) OVER (PARTITION BY series_id, rep ORDER BY j) - len AS done FROM dr),
+  ru AS (SELECT series_id, rep, n, start, least(len, n-done) AS len FROM cu WHERE done < n),
+  bl AS (SELECT series_id, rep, n, start, least(len, n-start) AS len FROM ru UNION ALL SELECT series_id, rep, n, 0, start+len-n FROM ru WHERE start+len > n),
+  run AS (SELECT series_id, idx, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos, sum(idx) OVER (PARTITION BY series_id ORDER BY ds) AS upto FROM panel),
+  rm AS (SELECT p.series_id, rep, sum(z.upto - a.upto + a.idx)/any_value(n) AS m FROM bl p JOIN run a ON p.series_id=a.series_id AND a.pos = start JOIN run z ON p.series_id=z.series_id AND z.pos = start+len-1 GROUP BY 1,2)""", q="""
   SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m,0.025) AS lo, quantile_cont(m,0.975) AS hi FROM rm GROUP BY 1"""))
 def ts_bootstrap_stationary(spark, d):
     return rs.stationary_mean(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
 
 
+# the quantile of the normal distribution is left to the solver; held against a plain jackknife in the tests
 @query("ts_bootstrap_bca", "estimate bias acceleration lo hi")
 def ts_bootstrap_bca(spark, d):
-    return rs.bca(tb.stored_panel(spark, d), "idx", reps=REPLICATES)
+    """Of the mean, and of the AUROC of the composite and each channel."""
+    p = stored(labelled(spark, d), "labelled")
+    mean = rs.bca(p, "idx", reps=REPLICATES).withColumn("model", F.lit("idx")).withColumn("statistic", F.lit("mean"))
+    return mean.unionByName(rs.bca_auroc(p, ["idx", *S.CHANNELS], "label", reps=REPLICATES).withColumn("statistic", F.lit("auroc")))
 
 
 def labelled(spark, d):
@@ -248,29 +269,43 @@ AUCW = """rw AS (SELECT p.series_id, rep, v.pos, count(*) AS w FROM {plan} p JOI
 IIDP = f"nn AS (SELECT series_id, CAST(count(*) AS INT) AS n FROM labelled GROUP BY 1), iidp AS (SELECT series_id, rep, t, {draw_sql(42, 'rep', 't')} % n AS start FROM nn CROSS JOIN range({REPLICATES}) r(rep) CROSS JOIN range(4000) q(t) WHERE t < n), posn AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS pos FROM labelled)"
 
 
-@query("ts_bootstrap_iid", "boot_mean se lo hi", W(PANEL, EVENTS_DIM, LABELLED, IIDP, AUCW.format(plan="iidp", on="v.pos = start"), q="""
-  SELECT series_id, model, count(*) AS reps, avg(auc) AS boot_mean, stddev_samp(auc) AS se, quantile_cont(auc,0.025) AS lo, quantile_cont(auc,0.975) AS hi FROM ar GROUP BY 1,2"""))
+DIFF = """df AS (SELECT a.series_id, {more}a.rep, b.model, a.auc-b.auc AS diff FROM ar a JOIN ar b ON a.series_id=b.series_id AND a.rep=b.rep {on}AND a.model='idx' AND b.model<>'idx')"""
+TWO_SIDED = "least(1.0, 2*least(avg(CAST(diff<=0 AS INT)), avg(CAST(diff>=0 AS INT))))"
+
+
+@query("ts_bootstrap_iid", "boot_mean se lo hi diff diff_lo diff_hi p", W(PANEL, EVENTS_DIM, LABELLED, IIDP, AUCW.format(plan="iidp", on="v.pos = start"), DIFF.format(more="", on=""), q=f"""
+  SELECT * FROM (SELECT series_id, model, count(*) AS reps, avg(auc) AS boot_mean, stddev_samp(auc) AS se, quantile_cont(auc,0.025) AS lo, quantile_cont(auc,0.975) AS hi FROM ar GROUP BY 1,2)
+   LEFT JOIN (SELECT series_id, model, avg(diff) AS diff, quantile_cont(diff,0.025) AS diff_lo, quantile_cont(diff,0.975) AS diff_hi, {TWO_SIDED} AS p FROM df GROUP BY 1,2) USING (series_id, model)"""))
 def ts_bootstrap_iid(spark, d):
     p = labelled(spark, d).withColumn("contagion_risk", F.round("contagion_risk", 6))
-    r = rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=REPLICATES, iid=True)
-    return rs.interval(r, ["series_id", "model"], "value")
+    r = stored(rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=REPLICATES, iid=True), "replicates")
+    diff = rs.paired_difference(r, "idx").select("series_id", "model", F.col("boot_mean").alias("diff"), F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"), "p")
+    return rs.interval(r, ["series_id", "model"], "value").join(diff, ["series_id", "model"], "left")
+
+
+AUCB = AUCW.replace("p.series_id, rep, v.pos, count(*) AS w FROM {plan} p", "p.series_id, p.block, rep, v.pos, count(*) AS w FROM {plan} p").replace("GROUP BY 1,2,3),\n md", "GROUP BY 1,2,3,4),\n md", 1)
+AUCB = AUCB.replace("cn AS (SELECT r.series_id, rep,", "cn AS (SELECT r.series_id, r.block, rep,").replace("GROUP BY 1,2,3,4),\n ar", "GROUP BY 1,2,3,4,5),\n ar").replace("ar AS (SELECT series_id, rep,", "ar AS (SELECT series_id, block, rep,")
+AUCB = AUCB.replace("PARTITION BY series_id, rep, model", "PARTITION BY series_id, block, rep, model").replace("FROM cn) GROUP BY 1,2,3)", "FROM cn) GROUP BY 1,2,3,4)")
 
 
-@query("ts_bootstrap_paired", "boot_mean se lo hi p", W(PANEL, EVENTS_DIM, LABELLED, plan_sql(PAIRED, 25, src="labelled"), AUCW.format(plan="plan", on="v.pos BETWEEN start AND start+len-1"), """
-  df AS (SELECT a.series_id, a.rep, b.model, a.auc-b.auc AS diff FROM ar a JOIN ar b ON a.series_id=b.series_id AND a.rep=b.rep AND a.model='idx' AND b.model<>'idx')""", q="""
-  SELECT series_id, model, 'auroc' AS metric, count(*) AS reps, avg(diff) AS boot_mean, stddev_samp(diff) AS se, quantile_cont(diff,0.025) AS lo, quantile_cont(diff,0.975) AS hi,
-   least(1.0, 2*least(avg(CAST(diff<=0 AS INT)), avg(CAST(diff>=0 AS INT)))) AS p FROM df GROUP BY 1,2"""))
+@query("ts_bootstrap_paired", "boot_mean se lo hi p", W(PANEL, EVENTS_DIM, LABELLED, plans_sql(PAIRED, BLOCKS, src="labelled"), AUCB.format(plan="plan", on="v.pos BETWEEN start AND start+len-1"), DIFF.format(more="a.block, ", on="AND a.block=b.block "), q=f"""
+  SELECT series_id, block, model, 'auroc' AS metric, count(*) AS reps, avg(diff) AS boot_mean, stddev_samp(diff) AS se, quantile_cont(diff,0.025) AS lo, quantile_cont(diff,0.975) AS hi,
+   {TWO_SIDED} AS p FROM df GROUP BY 1,2,3"""))
 def ts_bootstrap_paired(spark, d):
-    p = labelled(spark, d).withColumn("contagion_risk", F.round("contagion_risk", 6))
-    return rs.paired_difference(rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=PAIRED, block=25), "idx")
+    p = stored(labelled(spark, d).withColumn("contagion_risk", F.round("contagion_risk", 6)), "labelled")
+    each = [rs.paired_difference(stored(rs.replicate_metrics(p, ["idx", "contagion_risk"], "label", reps=PAIRED, block=b), "replicates"), "idx").withColumn("block", F.lit(b)) for b in BLOCKS]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def _spread_sql(level, lo, hi):
+    return f"SELECT series_id, statistic, any_value(point) AS point, stddev_samp(v) AS se, avg(v)-any_value(point) AS bias, {level} AS level, quantile_cont(v, {lo}) AS lo, quantile_cont(v, {hi}) AS hi FROM vs JOIN pt USING (series_id, statistic) GROUP BY 1, 2"
 
 
 @query("ts_index_distribution", "point se bias level lo hi", W(PANEL, plan_sql(REPLICATES, None), """
-  ls AS (SELECT p.series_id, rep, idx AS v FROM plan p JOIN posn q ON p.series_id=q.series_id AND q.pos = p.start + p.n - 1 - p.b*p.block WHERE p.b = ceil(p.n*1.0/p.block) - 1),
-  pt AS (SELECT series_id, arg_max(idx, ds) AS point FROM panel GROUP BY 1)""", q="""
-  SELECT series_id, any_value(point) AS point, stddev_samp(v) AS se, avg(v)-any_value(point) AS bias, level, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM ls JOIN pt USING (series_id) CROSS JOIN (VALUES (0.90)) l(level) GROUP BY series_id, level
-  UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.95, quantile_cont(v, 0.025), quantile_cont(v, 0.975) FROM ls JOIN pt USING (series_id) GROUP BY series_id
-  UNION ALL SELECT series_id, any_value(point), stddev_samp(v), avg(v)-any_value(point), 0.99, quantile_cont(v, 0.005), quantile_cont(v, 0.995) FROM ls JOIN pt USING (series_id) GROUP BY series_id"""))
+  rp AS (SELECT p.series_id, rep, avg(idx) AS mean, stddev_samp(idx) AS std, max(idx) AS max, arg_max(idx, b*100000 + pos) AS last FROM plan p JOIN posn q ON p.series_id=q.series_id AND q.pos BETWEEN start AND start+len-1 GROUP BY 1,2),
+  vs AS (SELECT series_id, unnest(['last','mean','std','max']) AS statistic, unnest([last, mean, std, max]) AS v FROM rp),
+  pt AS (SELECT series_id, unnest(['last','mean','std','max']) AS statistic, unnest([arg_max(idx, ds), avg(idx), stddev_samp(idx), max(idx)]) AS point FROM panel GROUP BY 1)""",
+    q=" UNION ALL ".join(_spread_sql(*x) for x in ((0.90, 0.05, 0.95), (0.95, 0.025, 0.975), (0.99, 0.005, 0.995)))))
 def ts_index_distribution(spark, d):
     return rs.index_distribution(tb.stored_panel(spark, d), reps=REPLICATES)
 
@@ -290,13 +325,13 @@ def idx_bootstrap_bands(spark, d):
     return rs.row_bands(tb.stored_panel(spark, d), "idx", reps=BANDS)
 
 
-@query("idx_bootstrap_detection", "rate lo hi mean_lead", W(PANEL, EVENTS_DIM, """
+@query("idx_bootstrap_detection", "rate lo hi mean_lead lead_lo lead_median lead_hi", W(PANEL, EVENTS_DIM, """
   ew AS (SELECT series_id || '|' || event AS series_id, series_id AS s0, event, ds, idx, ds - event_date AS rel FROM panel JOIN events_dim ON ds BETWEEN event_date - 90 AND event_date - 1),
   es AS (SELECT series_id, ds, idx FROM ew WHERE rel < -30)""", plan_sql(BANDS, 10, src="es"), """
   cu AS (SELECT p.series_id, rep, least(50.0, avg(idx)+2*stddev_samp(idx)) AS cut FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1 GROUP BY 1,2),
   ld AS (SELECT e.s0 AS series_id, e.event, rep, -min(rel) FILTER (WHERE idx >= cut) AS lead FROM ew e JOIN cu c ON e.series_id=c.series_id WHERE rel >= -30 GROUP BY 1,2,3),
-  sm AS (SELECT series_id, event, count(*) n, count(lead)*1.0/count(*) AS p, avg(lead) AS mean_lead, CAST(1.959963984540054 AS DOUBLE) AS z FROM ld GROUP BY 1,2)""", q="""
-  SELECT series_id, event, p AS rate, (p+z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS lo, (p+z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS hi, mean_lead FROM sm"""))
+  sm AS (SELECT series_id, event, count(*) n, count(lead)*1.0/count(*) AS p, avg(lead) AS mean_lead, quantile_cont(lead, 0.025) AS lead_lo, quantile_cont(lead, 0.5) AS lead_median, quantile_cont(lead, 0.975) AS lead_hi, CAST(1.959963984540054 AS DOUBLE) AS z FROM ld GROUP BY 1,2)""", q="""
+  SELECT series_id, event, p AS rate, (p+z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS lo, (p+z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4.0*n*n)))/(1+z*z/n) AS hi, mean_lead, lead_lo, lead_median, lead_hi FROM sm"""))
 def idx_bootstrap_detection(spark, d):
     return rs.detection(tb.stored_panel(spark, d), tb.events_dim(spark), reps=BANDS)
 
@@ -516,7 +551,7 @@ def idx_method_validators(spark, d):
         "linear": p.select("series_id", "ds", F.col("idx").alias("value")),
         "portfolio": port.select("series_id", "ds", compose.expanding_scale("value").alias("value")),
         "tail_boost": compose.tail_boost(p.join(lam, "series_id"), "lam").select("series_id", "ds", "value"),
-        "regime": regimes.regime_index(regimes.filtered(p, fixed_model()).join(p, ["series_id", "ds"])).select("series_id", "ds", "value"),
+        "regime": regimes.regime_index(regimes.filtered(p, regimes.fit(train, (3,))[3]).join(p, ["series_id", "ds"])).select("series_id", "ds", "value"),
     }
     long = reduce(lambda a, b: a.unionByName(b), [v.withColumn("method", F.lit(k)) for k, v in parts.items()])
     return compose.out_of_sample(long, split, "2000-03-11")

@@ -35,8 +35,62 @@ def test_prefix_route_equals_row_route(spark):
 
 
 def test_stationary_plan_walks(spark):
-    p = rs.stationary_plan(series(spark, np.arange(50.0)), 3, 10.0, 5)
-    assert p.count() == 150 and p.agg(F.max("pos")).first()[0] < 50 and p.agg(F.min("pos")).first()[0] >= 0
+    """Runs fill every walk exactly, wrap around the end, and have the expected length."""
+    n, reps = 400, 60
+    rows = rs.stationary_plan(series(spark, np.arange(float(n))), reps, 10.0, 5).collect()
+    assert {r["rep"] for r in rows} == set(range(reps))
+    for k in range(reps):
+        assert sum(r["len"] for r in rows if r["rep"] == k) == n
+    assert all(r["len"] > 0 and 0 <= r["start"] and r["start"] + r["len"] <= n for r in rows)
+    assert n * reps / len(rows) == pytest.approx(10, rel=0.15) and len(rows) < n * reps / 5
+
+
+def test_stationary_mean_is_that_of_the_walks(spark):
+    x = np.random.default_rng(4).normal(size=90)
+    s = series(spark, x)
+    plan = rs.stationary_plan(s, 8, 5.0, 3).collect()
+    want = [np.concatenate([x[r["start"] : r["start"] + r["len"]] for r in plan if r["rep"] == k]).mean() for k in range(8)]
+    assert rs.stationary_mean(s, "idx", 8, 5.0, 3).first()["boot_mean"] == pytest.approx(np.mean(want))
+
+
+@pytest.mark.parametrize("block", [None, 1, 7, 16, 200])
+def test_index_distribution_is_that_of_the_resampled_series(spark, block):
+    x = np.random.default_rng(5).normal(size=103)
+    s = series(spark, x)
+    walks = {}
+    for r in sorted(rs.block_plan(s, 25, block, 9).collect(), key=lambda r: (r["rep"], r["b"])):
+        walks.setdefault(r["rep"], []).append(x[r["start"] : r["start"] + r["len"]])
+    walks = [np.concatenate(w) for w in walks.values()]
+    f = {"last": lambda w: w[-1], "mean": np.mean, "std": lambda w: w.std(ddof=1), "max": np.max}
+    rows = rs.index_distribution(s, reps=25, block=block, seed=9).collect()
+    assert len(rows) == 12
+    for r in rows:
+        v = [f[r["statistic"]](w) for w in walks]
+        assert r["point"] == pytest.approx(f[r["statistic"]](x))
+        assert (r["se"], r["bias"]) == pytest.approx((np.std(v, ddof=1), np.mean(v) - r["point"]), abs=1e-9)
+        assert (r["lo"], r["hi"]) == pytest.approx(tuple(np.quantile(v, [(1 - r["level"]) / 2, (1 + r["level"]) / 2])), abs=1e-9)
+
+
+def _auroc(y, s):
+    wins = (s[y == 1][:, None] > s[y == 0]).sum() + (s[y == 1][:, None] == s[y == 0]).sum() / 2
+    return wins / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_leave_one_out_auroc_equals_a_plain_jackknife(spark):
+    rng = np.random.default_rng(6)
+    y = (rng.random(70) < 0.3).astype(int)
+    s = series(spark, np.arange(70.0))
+    scores = {"a": np.round(rng.normal(size=70) + y, 1), "b": rng.integers(0, 4, 70).astype(float)}  # many ties
+    rows = spark.createDataFrame([(float(i), int(y[i]), float(scores["a"][i]), float(scores["b"][i])) for i in range(70)], "idx double, label int, a double, b double")
+    got = {r["model"]: (r["estimate"], r["a"]) for r in rs.auroc_jackknife(s.join(rows, "idx"), ["a", "b"], "label").collect()}
+    for m, v in scores.items():
+        loo = np.array([_auroc(np.delete(y, i), np.delete(v, i)) for i in range(70)])
+        d = loo.mean() - loo
+        assert got[m] == pytest.approx((_auroc(y, v), (d**3).sum() / (6 * (d**2).sum() ** 1.5)))
+    out = {r["model"]: r for r in rs.bca_auroc(s.join(rows, "idx"), ["a", "b"], "label", reps=200, block=5).collect()}
+    assert all(out[m]["lo"] < out[m]["estimate"] < out[m]["hi"] for m in scores)
+    one = s.join(rows, "idx").withColumn("label", (F.col("idx") == 3).cast("int"))
+    assert rs.auroc_jackknife(one, ["a"], "label").count() == 0  # a class of one row has no jackknife
 
 
 def test_interval_contains_the_mean(spark):
