@@ -81,7 +81,7 @@ def pinned_snapshot(df: DataFrame, as_of: str | None) -> DataFrame:
     subquery prunes partitions."""
     last = df.groupBy().agg(
         F.coalesce(F.max(F.when(F.col("as_of") == F.lit(as_of), F.col("as_of"))), F.max("as_of")).alias("as_of"))
-    return df.join(last, "as_of", "left_semi")
+    return df.where(F.col("as_of") == last.scalar())
 
 
 def frozen_else(frozen: DataFrame, other: DataFrame, keys: list[str], value: str, source: str) -> DataFrame:
