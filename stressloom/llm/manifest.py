@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stressloom.llm.staging import store
-from stressloom.llm.text import LOWER, UPPER
+from stressloom.llm.text import CRC_SQL, LOWER, UPPER, crc_sql
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Nodes of one parent, and slots of one keyed array: two levels.
@@ -201,3 +201,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", digest(proof_text()).alias("proof_sha256"), fold.alias("folded_root")
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def sql(levels: int = 6, top: int = 4) -> str:
+    """The same in DuckDB, with so many levels per group and above the groups."""
+    field = lambda x: f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if f == "text" else f) for f in FIELDS) + ")"
+    checksum = crc_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: unicode(x)::BIGINT)")
+    parts = [CRC_SQL, f"""leaves AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {checksum} % 5 = 0
+        THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed FROM documents CROSS JOIN crc_table)""",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS m FROM leaves)",
+        "n0 AS (SELECT source AS g, pos, leaf AS h, m FROM placed)"]
+    # nodes n, siblings s, and the fold f from the leaves on; then the same above the group roots
+    def tree(n: str, k: int) -> None:
+        w = "PARTITION BY g, pos // 16 ORDER BY pos ROWS BETWEEN"
+        parts.append(f"s{n}{k} AS (SELECT g, pos, m, coalesce(string_agg(h, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z FROM {n}{k})")
+        parts.append(f"{n}{k + 1} AS (SELECT g, pos // 16 AS pos, CASE WHEN any_value(m) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h, (any_value(m) + 15) // 16 AS m FROM {n}{k} GROUP BY g, pos // 16)")
+
+    def fold(f: str, n: str, k: int) -> None:
+        parts.append(f"{f}{k + 1} AS (SELECT f.* EXCLUDE (node, proof), CASE WHEN s.m = 1 THEN node ELSE sha256(a || node || z) END AS node, proof || a || z AS proof FROM {f}{k} f JOIN s{n}{k} s ON f.g IS NOT DISTINCT FROM s.g AND f.pos // {16**k} = s.pos)")
+
+    for k in range(levels):
+        tree("n", k)
+    parts.append("f0 AS (SELECT doc_id, source, leaf, source AS g, pos, coalesce(changed, leaf) AS node, '' AS proof FROM placed)")
+    for k in range(levels):
+        fold("f", "n", k)
+    parts.append(f"t0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, count(*) OVER () AS m, g AS source FROM n{levels})")
+    for k in range(top):
+        tree("t", k)
+    parts.append(f"u0 AS (SELECT doc_id, leaf, t.h AS subroot, 0 AS g, t.pos, node, proof FROM f{levels} f JOIN t0 t ON f.source IS NOT DISTINCT FROM t.source)")
+    for k in range(top):
+        fold("u", "t", k)
+    return f"""WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+        FROM u{top} CROSS JOIN t{top} r"""

@@ -21,4 +21,4 @@ QUERIES = {
     "op4_extended_dedup": line_dedup.query_extended,
 }
 
-SQL: dict[str, str] = {"op1_topk_search": topk.sql(), "op8_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op1_topk_search": topk.sql(), "op8_mixing": mixing.sql(), "op11_merkle_manifest": manifest.sql(), "op12_spelling_variants": variants.sql()}

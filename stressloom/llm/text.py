@@ -126,3 +126,11 @@ def lower_ascii(text: Column) -> Column:
 def held(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls into the fold; ids that are null do not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+#: For SQL checks: the table of the checksum as a list t, and the unsigned crc32 of a list of bytes given t.
+CRC_SQL = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def crc_sql(data: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"

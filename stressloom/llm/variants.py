@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stressloom.llm.staging import mapped, small_batches, store
-from stressloom.llm.text import mix, powers
+from stressloom.llm.text import CRC_SQL, LOWER, UPPER, crc_sql, mix, powers
 
 LETTERS = "A-Za-zÀ-ÿ"
 LENGTH, TIMES, FACTOR = 6, 5, 5
@@ -233,3 +233,21 @@ def variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(vocabulary(spark.read.parquet(f"{sf_dir}/documents.parquet"), noise=NOISE))
+
+
+def sql() -> str:
+    """The same in DuckDB: near words share a word with one code point deleted, at the same place for replacements."""
+    code = "flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))"
+    return f"""WITH RECURSIVE {CRC_SQL},
+        runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), '{UPPER}', '{LOWER}') AS run FROM documents WHERE text IS NOT NULL) WHERE length(run) >= {LENGTH} GROUP BY 1, 2),
+        sums AS (SELECT run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {crc_sql(code)} END AS h FROM runs CROSS JOIN crc_table),
+        met AS (SELECT CASE WHEN h % {NOISE} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM sums),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM met GROUP BY 1 HAVING length(word) >= {LENGTH} AND sum(n) >= {TIMES}),
+        less AS (SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS part FROM (SELECT word, unnest(range(length(word)))::BIGINT AS k FROM words)),
+        one AS (SELECT DISTINCT w.word AS a, l.word AS b FROM less l JOIN words w ON w.word = l.part),
+        near AS (SELECT a AS word, b AS other FROM one UNION SELECT b, a FROM one UNION SELECT x.word, y.word FROM less x JOIN less y ON x.part = y.part AND x.k = y.k AND x.word <> y.word),
+        ranked AS (SELECT near.word, other, w.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY w.n DESC, other) AS i FROM near JOIN words w ON other = w.word),
+        formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {FACTOR} * w.n THEN other END AS form, CASE WHEN other_n >= {FACTOR} * w.n THEN other_n END AS form_n FROM words w LEFT JOIN ranked r ON w.word = r.word AND i = 1),
+        chain AS (SELECT word, form AS goal FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.goal = f.word WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(goal, n) AS root FROM chain JOIN (SELECT word AS w2, n FROM words) ON goal = w2 GROUP BY word)
+        SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM formed f LEFT JOIN ends e ON f.word = e.word"""
