@@ -266,3 +266,15 @@ def anomaly_probe(panel: DataFrame, events: DataFrame) -> DataFrame:
     g = g.withColumn("peak_z", (F.col("peak") - F.col("_mu")) / F.col("est_std"))
     marks = F.array_compact(F.array(F.when(F.col("std_ratio") < 0.7, "low variance"), F.when(F.col("peak_z") > 5, "extreme signal"), F.when(F.col("channel_peak") > 80, "one channel")))
     return g.select("series_id", "event", "points", "missing_percent", "est_std", "std_ratio", "peak", "peak_z", "channel_peak", F.array_join(marks, ",").alias("hypotheses"))
+
+
+def best_lead(df: DataFrame, keys: list[str], x: str, y: str, longest: int) -> DataFrame:
+    """(keys, abs_spearman, lead, lead_spearman): |rank correlation| of x with y of the same day, and the number of rows (0 to longest) that x
+    leads y by where it is highest; of equal ones the shortest."""
+    w = Window.partitionBy(*keys).orderBy("ds")
+    ahead = F.array(*[F.struct(F.lit(k).alias("lead"), F.lead(y, k).over(w).alias("ahead")) for k in range(longest + 1)])
+    long = df.select(*keys, x, ahead.alias("_a")).select(*keys, x, F.inline("_a")).where(F.col("ahead").isNotNull())
+    rho = rank_correlation(long, [*keys, "lead"], x, "ahead").select(*keys, "lead", F.round(F.abs("spearman"), 12).alias("rho"))
+    best = F.max(F.struct("rho", (-F.col("lead")).alias("less")))
+    g = rho.groupBy(*keys).agg(F.max(F.when(F.col("lead") == 0, F.col("rho"))).alias("abs_spearman"), best.alias("_b"))
+    return g.select(*keys, "abs_spearman", (-F.col("_b.less")).alias("lead"), F.col("_b.rho").alias("lead_spearman"))

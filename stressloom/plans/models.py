@@ -12,7 +12,7 @@ from stressloom.functions.stats import corr
 from stressloom import schema as S
 from stressloom.functions import special as sp
 from stressloom.operators import aggregates as ag
-from stressloom.operators import align, breaks, classify, compose, eventjoin as ev, gram, linear, paths, regimes, resample as rs, sensitivity as sn, weights as wt
+from stressloom.operators import align, breaks, classify, compose, eventjoin as ev, gram, linear, paths, regimes, resample as rs, sensitivity as sn, snapshot, weights as wt
 from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
 from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, _corr_all, pair_returns
@@ -558,7 +558,20 @@ def idx_method_validators(spark, d):
 
 
 # -------------------------------------------------------------- composites
-def model_frame(spark, d):
+def external_models(spark, d):
+    """(ds, sentiment, rate, variation, macro): models that know nothing of the index. Sentiment is an external daily gauge, turned round;
+    rate the last published one and variation that of 30 days of order value; macro the mean of the two after scaling."""
+    daily = tb.daily_orders(spark, d).select(F.lit("").alias("series_id"), "ds", F.col("tvl").alias("value"))
+    rate = tb.observations(spark, d).select("ds", F.col("value").try_cast("double").alias("value"))
+    known = snapshot.snapshot(daily.select("series_id", "ds"), {"rate": snapshot.Source(rate, "backward", 2, common=True)}).select("ds", "rate")
+    both = known.join(snapshot.value_state(daily).select("ds", F.col("cv").alias("variation")), "ds").na.drop()
+    scale = both.agg(*[f(c).alias(f"{c}_{n}") for c in ("rate", "variation") for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = lambda c: (F.col(c) - F.lit(scale[f"{c}_m"])) / F.nullif(F.lit(scale[f"{c}_s"]), F.lit(0.0))
+    macro = both.select("ds", "rate", "variation", ((z("rate") + z("variation")) / 2).alias("macro"))
+    return macro.join(tb.sentiment(spark, d).select("ds", (-F.col("sentiment")).alias("sentiment")), "ds")
+
+
+def model_frame(spark, d, external: bool = False):
     """Long (series_id, ds, label, model, score) on the dates common to all models."""
     p = tb.stored_panel(spark, d)
     lab = ev.lead_label(p, tb.events_dim(spark)).select("series_id", "ds", "label")
@@ -566,15 +579,19 @@ def model_frame(spark, d):
     wide = wide.join(gram.pca_scores(p, "vector").withColumnRenamed("score", "first_component"), ["series_id", "ds"])
     wide = wide.join(gram.rolling_connectedness(p), ["series_id", "ds"])
     det = paths.detrend(p.select("series_id", "ds", "contagion_risk"), "contagion_risk", "linear").select("series_id", "ds", F.col("out").alias("detrended"))
-    wide = wide.join(det, ["series_id", "ds"]).na.drop()
+    wide = wide.join(det, ["series_id", "ds"])
     names = ["composite", *S.CHANNELS, "fall_30", "first_component", "connectedness", "detrended"]
+    if external:
+        wide = wide.join(external_models(spark, d), "ds")
+        names += ["sentiment", "rate", "variation", "macro"]
+    wide = wide.na.drop()
     return wide.join(lab, ["series_id", "ds"]).unpivot(["series_id", "ds", "label"], names, "model", "score")
 
 
 @query("ts_fair_baselines", "auroc auroc_oriented average_precision")
 def ts_fair_baselines(spark, d):
     keys = ["series_id", "model"]
-    a = classify.areas(classify.curve(model_frame(spark, d).withColumn("score", F.round("score", 6)), keys), keys)
+    a = classify.areas(classify.curve(model_frame(spark, d, external=True).withColumn("score", F.round("score", 6)), keys), keys)
     return classify.oriented(a).select(*keys, "n_pos", "n_neg", "auroc", "sign", "auroc_oriented", "average_precision")
 
 
@@ -586,21 +603,26 @@ def ts_labelled_sample(spark, d):
     return ev.lead_label(s, tb.events_dim(spark)).select("series_id", "ds", "label", "composite", "connectedness")
 
 
-@query("ts_benchmark", "auroc auprc abs_spearman")
+@query("ts_benchmark", "auroc auprc abs_spearman lead_spearman diff diff_lo diff_hi p")
 def ts_benchmark(spark, d):
-    """Index and naive benchmarks against the forward fall label: areas, rank correlation, lag-1 causality, rank."""
+    """Index and naive benchmarks against the forward fall label: areas, rank correlation, the lead of up to 30 days at which it is highest,
+    causality at a week, rank, and the difference of the area to that of the index with its interval and p under equal draws."""
     p = tb.stored_panel(spark, d)
     w = win.by_day()
     e = Window.partitionBy("series_id")
     r = p.withColumn("target", -(F.lead("idx", 30).over(w) / F.col("idx") - 1)).withColumn("label", (F.col("target") > 0.2).cast("int")).filter(F.col("target").isNotNull())
     r = r.withColumn("drawdown", 100.0 * (1.0 - F.col("stablecoin_risk") / F.max("stablecoin_risk").over(e)))
-    long = r.unpivot(["series_id", "ds", "target", "label"], ["idx", "drawdown", "contagion_risk"], "model", "score").withColumn("score", F.round("score", 6))
+    models = ["idx", "drawdown", "contagion_risk"]
+    r = stored(r.select("series_id", "ds", "target", "label", *[F.round(m, 6).alias(m) for m in models]), "benchmarks")
+    long = r.unpivot(["series_id", "ds", "target", "label"], models, "model", "score")
     keys = ["series_id", "model"]
     a = classify.areas(classify.curve(long, keys), keys).select(*keys, "auroc", "auprc")
-    rho = sn.rank_correlation(long, keys, "score", "target").select(*keys, F.abs("spearman").alias("abs_spearman"))
-    g = linear.granger(long.select("series_id", "ds", F.col("model").alias("cause"), F.lit("target").alias("effect"), F.col("score").alias("x"), F.col("target").alias("y")), (1,))
+    lead = sn.best_lead(long, keys, "score", "target", 30)
+    g = linear.granger(long.select("series_id", "ds", F.col("model").alias("cause"), F.lit("target").alias("effect"), F.col("score").alias("x"), F.col("target").alias("y")), (7,))
     g = g.select("series_id", F.col("cause").alias("model"), (F.col("p") < 0.05).alias("causal"))
-    return a.join(rho, keys).join(g, keys).withColumn("place", F.rank().over(e.orderBy(F.desc(F.round("auroc", 12)))))
+    reps = stored(rs.replicate_metrics(r, models, "label", reps=REPLICATES, iid=True), "replicates")
+    diff = rs.paired_difference(reps, "idx").select(*keys, F.col("boot_mean").alias("diff"), F.col("lo").alias("diff_lo"), F.col("hi").alias("diff_hi"), "p")
+    return a.join(lead, keys).join(g, keys).join(diff, keys, "left").withColumn("place", F.rank().over(e.orderBy(F.desc(F.round("auroc", 12)))))
 
 
 @query("ts_walk_forward_opt", "test_r2 test_mse stability")

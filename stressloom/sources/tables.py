@@ -224,6 +224,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An external daily gauge of 0 to 100, high when calm: the share of orders that are not urgent."""
+    o = read(spark, sf_dir, "orders")
+    urgent = F.count_if(F.col("o_orderpriority") == "1-URGENT")
+    return o.groupBy(F.col("o_orderdate").cast("date").alias("ds")).agg((100.0 * (1.0 - urgent / F.count(F.lit(1)))).alias("sentiment"))
+
+
 def peg_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday price points per symbol, scaled around 1."""
     e = points(spark, sf_dir).filter(F.col("value").isNotNull())

@@ -225,3 +225,39 @@ def test_granger_weights_at_the_best_lag_equal_brute_force(spark):
     got = {(r["series_id"], r["channel"]): (r["score"], r["weight"]) for r in entry.queries()["wt_granger_best_lag"](spark, sf).collect()}
     assert later and set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-4, rel=1e-5) for k in want)
+
+
+def test_best_lead_is_found_by_plain_search(spark):
+    import numpy as np
+    import pandas as pd
+
+    from stressloom.operators import sensitivity as sn
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=160)
+    y = np.concatenate([rng.normal(size=6), x[:-6]]) + 0.3 * rng.normal(size=160)  # x leads by 6 rows
+    z = rng.normal(size=160)
+    rows = [("A", m, d, float(a), float(b)) for m, a_ in (("lead", x), ("noise", z)) for d, a, b in zip(days(160), a_, y)]
+    df = spark.createDataFrame(rows, "series_id string, model string, ds date, score double, target double")
+    got = {r["model"]: r for r in sn.best_lead(df, ["series_id", "model"], "score", "target", 10).collect()}
+    for m, a in (("lead", x), ("noise", z)):
+        rho = [abs(pd.Series(a[: 160 - k]).rank().corr(pd.Series(y[k:]).rank())) for k in range(11)]
+        assert got[m]["lead"] == int(np.argmax(rho)) and abs(got[m]["lead_spearman"] - max(rho)) < 1e-9 and abs(got[m]["abs_spearman"] - rho[0]) < 1e-9
+    assert got["lead"]["lead"] == 6
+
+
+def test_validator_learns_from_training_days_alone(spark):
+    """The regime model of the training part does not move with the days behind the split."""
+    import numpy as np
+    from helpers import panel
+
+    from stressloom.operators import regimes
+
+    rng = np.random.default_rng(12)
+    first = np.concatenate([rng.normal(30, 4, (60, 4)), rng.normal(70, 4, (60, 4))])
+    fits = []
+    for shift in (0, 25):
+        p = panel(spark, {"A": np.concatenate([first, rng.normal(50 + shift, 5, (40, 4))])})
+        train = p.where(F.col("ds") < F.lit(days(121)[-1]))
+        fits.append(regimes.fit(train, (2,), restarts=2)[2])
+    assert np.allclose(fits[0].means, fits[1].means) and np.allclose(fits[0].trans, fits[1].trans)
