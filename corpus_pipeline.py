@@ -19,7 +19,7 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: Learned and iterative stages have no SQL; tests hold run() against brute force.
+#: Learned and iterative stages have no SQL; tests hold each operator against brute force, and run() against its stages one by one.
 ORACLE_SQL = None
 
 
