@@ -43,24 +43,24 @@ def cusum_test(df: DataFrame, x: str = "idx", critical: float = 1.36) -> DataFra
         "series_id", "max_cusum", F.coalesce("n_breaks", F.lit(0)).alias("n_breaks"), (F.col("max_cusum") < critical).alias("stable"), score.alias("stability"))
 
 
-def kpss(df: DataFrame, x: str = "idx", trend: bool = False) -> DataFrame:
+def kpss(df: DataFrame, x: str = "idx", trend: bool = False, keys=("series_id",)) -> DataFrame:
     """Level or trend statistic with Bartlett variance, lag 4*(n/100)^0.25. Lag products come from one ordered array per
-    series; a series is bounded by the calendar."""
-    w, e = by_day(), Window.partitionBy("series_id")
-    d = df.select("series_id", "ds", F.col(x).alias("_x"), F.row_number().over(w).cast("double").alias("_t"))
+    series; a series is bounded by the calendar. A constant series has a null statistic."""
+    w, e = by_day(keys), Window.partitionBy(*keys)
+    d = df.select(*keys, "ds", F.col(x).alias("_x"), F.row_number().over(w).cast("double").alias("_t"))
     if trend:
         fit = F.regr_intercept("_x", "_t").over(e) + F.regr_slope("_x", "_t").over(e) * F.col("_t")
     else:
         fit = F.avg("_x").over(e)
     d = d.withColumn("_r", F.col("_x") - fit)
     d = d.withColumn("_s", F.sum("_r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = d.groupBy("series_id").agg(
+    g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.array_sort(F.collect_list(F.struct("_t", "_r"))).alias("_p"))
     g = g.withColumn("_e", F.transform("_p", lambda p: p["_r"])).withColumn("lags", F.floor(4.0 * F.pow(F.col("n") / 100.0, F.lit(0.25))).cast("int"))
     ks = F.sequence(F.lit(1), F.col("lags"))
     tail = F.aggregate(ks, F.lit(0.0), lambda s, k: s + (1.0 - k / (F.col("lags") + 1.0)) * A.autocov_sum(F.col("_e"), k))
     s2 = (A.autocov_sum(F.col("_e"), F.lit(0)) + 2.0 * tail) / F.col("n")
-    return g.select("series_id", "n", "lags", (F.col("_ss") / (F.col("n") * F.col("n") * s2)).alias("kpss"))
+    return g.select(*keys, "n", "lags", (F.col("_ss") / F.nullif(F.col("n") * F.col("n") * s2, F.lit(0.0))).alias("kpss"))
 
 
 def circular_shift(df: DataFrame, onset: str, x: str, lag: int = 1, lead_window: int | None = None) -> DataFrame:

@@ -1,18 +1,22 @@
 """Per-series regressions and tests: lagged F tests, unit roots, cointegration, discrete-outcome models.
 
-Each function shuffles by series (and pair), so a task holds one calendar-bounded series, and numpy does the least
-squares. Result rows are small; p-values are added on them.
+Regressions on a series' own past read lagged second moments that Spark sums (lagsums); only matrices of the size of the regression
+are solved, one row per key. Models without such sums are fitted per series, bounded by the calendar. p-values are added on
+result rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stressloom import schema as S
 from stressloom.functions.special import norm_sf, p_chi2, p_fisher
+from stressloom.operators.breaks import kpss
+from stressloom.operators.lagsums import Lagged, lag_sums, partial, solve_by
+from stressloom.operators.windows import by_day
 from stressloom.session import spread
 
 LAGS = [1, 3, 7, 14, 30]
@@ -34,12 +38,6 @@ def lags_of(v: np.ndarray, p: int) -> np.ndarray:
     return np.column_stack([v[p - i: len(v) - i] for i in range(1, p + 1)])
 
 
-def ssr(y: np.ndarray, x: np.ndarray) -> float:
-    b = np.linalg.lstsq(x, y, rcond=None)[0]
-    e = y - x @ b
-    return float(e @ e)
-
-
 def granger_pairs(panel: DataFrame, target: str | None = None) -> DataFrame:
     """Rows (series_id, cause, effect, ds, x, y) for ordered channel pairs, or all channels against one target column."""
     if target:
@@ -50,47 +48,50 @@ def granger_pairs(panel: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def granger(pairs: DataFrame, lags=tuple(LAGS)) -> DataFrame:
-    """F test that p lags of x add to p lags of y."""
+    """F test that p lags of x add to p lags of y; lags that leave too few rows give none."""
 
-    def body(d):
-        x, y = d["x"].to_numpy(float), d["y"].to_numpy(float)
+    def body(s: Lagged):
         out = []
         for p in lags:
-            n = len(y) - p
+            n = s.n - p
             if n <= 2 * p + 1:
                 continue
-            ly = np.column_stack([np.ones(n), lags_of(y, p)])
-            full = np.column_stack([ly, lags_of(x, p)])
-            a, b = ssr(y[p:], ly), ssr(y[p:], full)
-            f = max(0.0, ((a - b) / p) / (b / (n - full.shape[1]))) if b > 0 else 0.0
-            out.append((p, f, p, n - full.shape[1]))
+            m = s.moments([(0, 0), *[(1, i) for i in range(1, p + 1)], *[(2, i) for i in range(1, p + 1)], (1, 0)], p)
+            own = np.r_[: p + 1, 2 * p + 1]
+            a, b = (max(0.0, partial(x, len(x) - 1)[1][0, 0]) for x in (m[np.ix_(own, own)], m))
+            df2 = n - (2 * p + 1)
+            out.append((p, max(0.0, ((a - b) / p) / (b / df2)) if b > 0 else 0.0, p, df2))
         return out
 
-    r = _by(pairs.na.drop(subset=["x", "y"]), ["series_id", "cause", "effect"], "lag int, f_stat double, df1 int, df2 int", body)
-    return r.withColumn("p", p_fisher("f_stat", "df1", "df2"))
+    keys = ["series_id", "cause", "effect"]
+    sums = lag_sums(pairs.na.drop(subset=["x", "y"]), keys, [F.col("y"), F.col("x")], max(lags))
+    return solve_by(sums, keys, "lag int, f_stat double, df1 int, df2 int", body).withColumn("p", p_fisher("f_stat", "df1", "df2"))
 
 
 def var_lag(panel: DataFrame, max_lag: int = 30) -> DataFrame:
     """Lag order by AIC, BIC and HQIC on the log of the summed squared residuals over all equations."""
+    k = len(S.CHANNELS)
 
-    def body(d):
-        v = d[S.CHANNELS].to_numpy(float)
-        n, k = v.shape
+    def body(s: Lagged):
         best = {}
-        for p in range(1, min(max_lag + 1, n // (k + 2))):
-            t = n - p
+        for p in range(1, min(max_lag + 1, s.n // (k + 2))):
+            t = s.n - p
             if t < k * p + 10:
                 continue
-            x = np.column_stack([np.ones(t)] + [v[p - i: n - i] for i in range(1, p + 1)])
-            e = v[p:] - x @ np.linalg.lstsq(x, v[p:], rcond=None)[0]
-            base, m = np.log((e * e).sum() / t), k * (1 + k * p)
+            cols = range(1, k + 1)
+            m = s.moments([(0, 0), *[(c, i) for i in range(1, p + 1) for c in cols], *[(c, 0) for c in cols]], p)
+            left = np.trace(partial(m, 1 + k * p)[1])
+            if left <= 0:
+                continue
+            base, size = np.log(left / t), k * (1 + k * p)
             for name, pen in (("aic", 2.0), ("bic", np.log(t)), ("hqic", 2 * np.log(np.log(t)))):
-                ic = base + pen * m / t
+                ic = base + pen * size / t
                 if name not in best or ic < best[name][1]:
                     best[name] = (p, float(ic))
         return [(name, p, ic) for name, (p, ic) in best.items()]
 
-    return _by(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), ["series_id"], "criterion string, lag int, value double", body)
+    sums = lag_sums(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), ["series_id"], [F.col(c) for c in S.CHANNELS], max_lag)
+    return solve_by(sums, ["series_id"], "criterion string, lag int, value double", body)
 
 
 # Response-surface coefficients of the unit-root p-value (constant, one series) and critical values.
@@ -103,22 +104,31 @@ JOHANSEN_TRACE_5 = [47.8545, 29.7961, 15.4943, 3.8415]
 JOHANSEN_EIGEN_5 = [27.5858, 21.1314, 14.2639, 3.8415]
 
 
-def adf_stat(v: np.ndarray) -> tuple[float, int]:
-    """t of the lagged level with the lag count chosen by AIC on a common sample, then refitted."""
-    dv = np.diff(v)
-    top = min(int(np.ceil(12.0 * (len(v) / 100.0) ** 0.25)), len(v) // 2 - 2)
+def adf_lags(n: int) -> int:
+    """Most lags tried; negative where the series is too short."""
+    return min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
+
+
+def adf_sums(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Lagged moments of the level (column 1) and its difference (column 2)."""
+    d = long.select(*keys, "ds", F.col(value).alias("v")).na.drop(subset=["v"])
+    d = spread(d, *keys).withColumn("dv", F.col("v") - F.lag("v").over(by_day(tuple(keys))))
+    top = F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25)))
+    return lag_sums(d, keys, [F.col("v"), F.col("dv")], F.greatest(F.least(top, F.floor(F.col("n") / 2) - 2), F.lit(0)) + 1)
+
+
+def adf_stat(s: Lagged) -> tuple[float, int]:
+    """t of the lagged level with the lag count chosen by AIC on a common sample, then refitted; nan for a series without variation."""
+    top = adf_lags(s.n)
 
     def fit(p, skip):
-        y = dv[skip:]
-        cols = [v[skip:-1], *[dv[skip - i: len(dv) - i] for i in range(1, p + 1)], np.ones(len(y))]
-        x = np.column_stack(cols)
-        inv = np.linalg.pinv(x.T @ x)
-        b = inv @ x.T @ y
-        e = y - x @ b
-        s2 = float(e @ e)
-        n, k = x.shape
-        aic = n * (np.log(2 * np.pi) + np.log(s2 / n) + 1) + 2 * k
-        return b[0] / np.sqrt(s2 / (n - k) * inv[0, 0]), aic
+        m = s.moments([(1, 1), *[(2, i) for i in range(1, p + 1)], (0, 0), (2, 0)], skip + 1)
+        n, k = s.n - 1 - skip, p + 2
+        b, left, inv = partial(m, k)
+        if n <= k or left[0, 0] <= 1e-14 * m[-1, -1]:
+            return np.nan, np.inf
+        s2 = float(left[0, 0])
+        return b[0, 0] / np.sqrt(s2 / (n - k) * inv[0, 0]), n * (np.log(2 * np.pi) + np.log(s2 / n) + 1) + 2 * k
 
     best = min(range(top + 1), key=lambda p: fit(p, top)[1])
     return float(fit(best, best)[0]), best
@@ -133,88 +143,79 @@ def adf_p(t: float) -> float:
     return float(1.0 - norm_sf(z))
 
 
-def kpss_stat(v: np.ndarray) -> float:
-    n = len(v)
-    e = v - v.mean()
-    lag = int(4 * (n / 100.0) ** 0.25)
-    s2 = (e @ e) / n + 2 * sum((1 - j / (lag + 1)) * (e[j:] @ e[:-j]) / n for j in range(1, lag + 1))
-    c = np.cumsum(e)
-    return float((c @ c) / (n * n * s2))
-
-
-def kpss_p(s: float) -> float:
-    return float(np.interp(s, [c for c, _ in KPSS_CRITICAL], [p for _, p in KPSS_CRITICAL]))
+def kpss_p(c) -> Column:
+    """Linear between the critical values, constant beyond them."""
+    x, out = F.col(c), F.lit(KPSS_CRITICAL[-1][1])
+    for (a, p), (b, q) in reversed(list(zip(KPSS_CRITICAL, KPSS_CRITICAL[1:]))):
+        out = F.when(x < b, F.lit(p) + (x - a) * ((q - p) / (b - a))).otherwise(out)
+    return F.when(x < KPSS_CRITICAL[0][0], F.lit(KPSS_CRITICAL[0][1])).when(x.isNotNull(), out)
 
 
 def adf(long: DataFrame, least: int = 20) -> DataFrame:
-    def body(d):
-        v = d["value"].to_numpy(float)
-        if len(v) < least:
+    """Unit-root statistic per series and channel; series shorter than `least` give no row, constant ones a null."""
+
+    def body(s: Lagged):
+        if s.n < least or adf_lags(s.n) < 0:
             return []
-        t, p = adf_stat(v)
-        return [(len(v), t, adf_p(t), p)]
+        t, p = adf_stat(s)
+        return [(s.n, t, adf_p(t), p)]
 
-    return _by(long.na.drop(subset=["value"]), ["series_id", "channel"], "n bigint, adf double, p double, lags int", body)
+    keys = ["series_id", "channel"]
+    return solve_by(adf_sums(long, keys), keys, "n bigint, adf double, p double, lags int", body)
 
 
 def stationarity(long: DataFrame, alpha: float = 0.05, least: int = 20) -> DataFrame:
     """Unit-root and level tests together, with the recommended transformation."""
-
-    def body(d):
-        v = d["value"].to_numpy(float)
-        if len(v) < least:
-            return []
-        t, _ = adf_stat(v)
-        k = kpss_stat(v)
-        a, b = adf_p(t) < alpha, kpss_p(k) < alpha
-        verdict = {(True, False): ("stationary", None), (False, True): ("non-stationary", "first_difference"),
-                   (True, True): ("trend-stationary", "detrend"), (False, False): ("inconclusive", "first_difference")}[(a, b)]
-        return [(len(v), t, adf_p(t), k, kpss_p(k), *verdict)]
-
-    return _by(long.na.drop(subset=["value"]), ["series_id", "channel"],
-               "n bigint, adf double, adf_p double, kpss double, kpss_p double, verdict string, transformation string", body)
+    keys = ["series_id", "channel"]
+    level = kpss(long.na.drop(subset=["value"]), "value", keys=keys).select(*keys, "kpss")
+    both = adf(long, least).select(*keys, "n", "adf", F.col("p").alias("adf_p")).join(level, keys).withColumn("kpss_p", kpss_p("kpss"))
+    root, drift = F.coalesce(F.col("adf_p") < alpha, F.lit(False)), F.coalesce(F.col("kpss_p") < alpha, F.lit(False))
+    verdict = F.when(root & ~drift, "stationary").when(~root & drift, "non-stationary").when(root, "trend-stationary").otherwise("inconclusive")
+    change = F.when(root & ~drift, F.lit(None)).when(root, "detrend").otherwise("first_difference")
+    return both.withColumns({"verdict": verdict, "transformation": change})
 
 
 def engle_granger(pairs: DataFrame) -> DataFrame:
-    """Unit-root statistic of the residual of x on y against the fixed critical values."""
+    """Unit-root statistic of the residual of x on y against the fixed critical values; fewer than ten rows give none."""
 
-    def body(d):
-        x, y = d["x"].to_numpy(float), d["y"].to_numpy(float)
-        z = np.column_stack([np.ones(len(y)), y])
-        e = x - z @ np.linalg.lstsq(z, x, rcond=None)[0]
-        t, _ = adf_stat(e)
+    def body(s: Lagged):
+        if s.n < 10:
+            return []
+        t, _ = adf_stat(s)
         inside = [p for level, p in S.EG_P_BELOW.items() if t < S.EG_CRITICAL[level]]
         above = S.EG_P_ABOVE["start"] + S.EG_P_ABOVE["slope"] * (t - S.EG_CRITICAL["10%"])
         p = min(inside) if inside else min(S.EG_P_ABOVE["most"], max(S.EG_P_ABOVE["least"], above))
-        return [(len(x), t, p, p < 0.05)]
+        return [(s.n, t, p, p < 0.05)]
 
-    return _by(pairs.na.drop(subset=["x", "y"]), ["series_id"], "n bigint, statistic double, p double, cointegrated boolean", body)
+    e = Window.partitionBy("series_id")
+    d = spread(pairs.na.drop(subset=["x", "y"]), "series_id")
+    d = d.select("series_id", "ds", "x", "y", F.coalesce(F.regr_slope("x", "y").over(e), F.lit(0.0)).alias("b"), F.avg("x").over(e).alias("mx"), F.avg("y").over(e).alias("my"))
+    d = d.withColumn("e", F.col("x") - F.col("mx") - F.col("b") * (F.col("y") - F.col("my")))
+    return solve_by(adf_sums(d, ["series_id"], "e"), ["series_id"], "n bigint, statistic double, p double, cointegrated boolean", body)
 
 
 def johansen(panel: DataFrame, diffs: int = 1) -> DataFrame:
-    """Trace and maximum-eigenvalue statistics with a constant, rank at 5 percent."""
-
-    def resid(a, z):
-        return a - z @ np.linalg.lstsq(z, a, rcond=None)[0]
+    """Trace and maximum-eigenvalue statistics with a constant, rank at 5 percent; series too short for it give no row."""
+    k = len(S.CHANNELS)
+    level, change = range(1, k + 1), range(k + 1, 2 * k + 1)
 
-    def body(d):
-        v = d[S.CHANNELS].to_numpy(float)
-        v = v - v.mean(axis=0)
-        dv = np.diff(v, axis=0)
-        t = len(dv) - diffs
-        z = np.column_stack([dv[diffs - i: len(dv) - i] for i in range(1, diffs + 1)])
-        center = lambda a: a - a.mean(axis=0)
-        z = center(z)
-        r0, rk = resid(center(dv[diffs:]), z), resid(center(v[1: len(v) - diffs]), z)
-        skk, sk0, s00 = rk.T @ rk / t, rk.T @ r0 / t, r0.T @ r0 / t
-        val = np.sort(np.linalg.eigvals(np.linalg.solve(skk, sk0 @ np.linalg.solve(s00, sk0.T))).real)[::-1]
+    def body(s: Lagged):
+        t = s.n - 1 - diffs
+        if t <= k * (diffs + 2) + 1:
+            return []
+        m = s.moments([(0, 0), *[(c, i) for i in range(1, diffs + 1) for c in change], *[(c, 0) for c in change], *[(c, diffs) for c in level]], diffs + 1)
+        left = partial(m, 1 + k * diffs)[1] / t
+        s00, s0k, skk = left[:k, :k], left[:k, k:], left[k:, k:]
+        val = np.sort(np.linalg.eigvals(np.linalg.pinv(skk) @ s0k.T @ np.linalg.pinv(s00) @ s0k).real)[::-1]
         lg = -t * np.log(1 - val)
         trace = [float(lg[i:].sum()) for i in range(len(lg))]
         rank = sum(a > c for a, c in zip(trace, JOHANSEN_TRACE_5))
         return [(i, float(val[i]), trace[i], float(lg[i]), JOHANSEN_TRACE_5[i], JOHANSEN_EIGEN_5[i], rank) for i in range(len(lg))]
 
-    return _by(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), ["series_id"],
-               "r int, eigenvalue double, trace double, max_eigen double, trace_5 double, eigen_5 double, rank int", body)
+    d = spread(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), "series_id")
+    d = d.withColumns({f"d{i}": F.col(c) - F.lag(c).over(by_day()) for i, c in enumerate(S.CHANNELS)})
+    sums = lag_sums(d, ["series_id"], [F.col(c) for c in S.CHANNELS] + [F.col(f"d{i}") for i in range(k)], diffs + 1)
+    return solve_by(sums, ["series_id"], "r int, eigenvalue double, trace double, max_eigen double, trace_5 double, eigen_5 double, rank int", body)
 
 
 def logit(y: np.ndarray, x: np.ndarray, steps: int = 100):
