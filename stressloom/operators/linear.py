@@ -47,25 +47,39 @@ def granger_pairs(panel: DataFrame, target: str | None = None) -> DataFrame:
     return panel.select("series_id", "ds", F.inline(F.array(*cells)))
 
 
-def granger(pairs: DataFrame, lags=tuple(LAGS)) -> DataFrame:
-    """F test that p lags of x add to p lags of y; lags that leave too few rows give none."""
+def lagged_f(s: Lagged, x: int, y: int, lags) -> list[tuple]:
+    """(lag, F, df1, df2) of the test that p lags of column x add to p lags of column y; lags that leave too few rows give none."""
+    out = []
+    for p in lags:
+        n = s.n - p
+        if n <= 2 * p + 1:
+            continue
+        m = s.moments([(0, 0), *[(y, i) for i in range(1, p + 1)], *[(x, i) for i in range(1, p + 1)], (y, 0)], p)
+        own = np.r_[: p + 1, 2 * p + 1]
+        a, b = (max(0.0, partial(z, len(z) - 1)[1][0, 0]) for z in (m[np.ix_(own, own)], m))
+        df2 = n - (2 * p + 1)
+        out.append((p, max(0.0, ((a - b) / p) / (b / df2)) if b > 0 else 0.0, p, df2))
+    return out
 
-    def body(s: Lagged):
-        out = []
-        for p in lags:
-            n = s.n - p
-            if n <= 2 * p + 1:
-                continue
-            m = s.moments([(0, 0), *[(1, i) for i in range(1, p + 1)], *[(2, i) for i in range(1, p + 1)], (1, 0)], p)
-            own = np.r_[: p + 1, 2 * p + 1]
-            a, b = (max(0.0, partial(x, len(x) - 1)[1][0, 0]) for x in (m[np.ix_(own, own)], m))
-            df2 = n - (2 * p + 1)
-            out.append((p, max(0.0, ((a - b) / p) / (b / df2)) if b > 0 else 0.0, p, df2))
-        return out
 
+GRANGER = "lag int, f_stat double, df1 int, df2 int"
+
+
+def granger(pairs: DataFrame, lags=tuple(LAGS)) -> DataFrame:
+    """F test of x on y for rows (series_id, cause, effect, ds, x, y); rows without one of both are left out."""
     keys = ["series_id", "cause", "effect"]
     sums = lag_sums(pairs.na.drop(subset=["x", "y"]), keys, [F.col("y"), F.col("x")], max(lags))
-    return solve_by(sums, keys, "lag int, f_stat double, df1 int, df2 int", body).withColumn("p", p_fisher("f_stat", "df1", "df2"))
+    return solve_by(sums, keys, GRANGER, lambda s: lagged_f(s, 2, 1, lags)).withColumn("p", p_fisher("f_stat", "df1", "df2"))
+
+
+def granger_panel(panel: DataFrame, target: str | None = None, lags=tuple(LAGS)) -> DataFrame:
+    """The same for ordered channel pairs, or all channels against one target column, from one set of sums over the panel; rows with
+    a null in any of these columns are left out."""
+    cols = S.CHANNELS + ([target] if target else [])
+    pairs = [(a, b) for a in S.CHANNELS for b in ([target] if target else S.CHANNELS) if a != b]
+    body = lambda s: [(a, b, *t) for a, b in pairs for t in lagged_f(s, cols.index(a) + 1, cols.index(b) + 1, lags)]
+    sums = lag_sums(panel.select("series_id", "ds", *cols).na.drop(), ["series_id"], [F.col(c) for c in cols], max(lags))
+    return solve_by(sums, ["series_id"], "cause string, effect string, " + GRANGER, body).withColumn("p", p_fisher("f_stat", "df1", "df2"))
 
 
 def var_lag(panel: DataFrame, max_lag: int = 30) -> DataFrame:

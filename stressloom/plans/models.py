@@ -58,20 +58,55 @@ def wt_sensitivity(spark, d):
     return wt.sensitivity_grid(forward_panel(spark, d), "target")
 
 
-@query("wt_granger", "score weight", W(PANEL, LONG, """
+# Ordered, centred values of every channel and the index as lists, in place of the lagged rows.
+GRANGER_LONG = """ser AS (SELECT series_id, ch, list(x - mu ORDER BY ds) AS v, count(*) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY series_id, ch) AS mu
+  FROM (UNPIVOT (SELECT series_id, ds, stablecoin_risk, defi_liquidity_risk, contagion_risk, arbitrage_opacity, idx FROM panel) ON stablecoin_risk, defi_liquidity_risk, contagion_risk, arbitrage_opacity, idx INTO NAME ch VALUE x)) GROUP BY 1, 2)"""
+# Gaussian elimination of the cross-products of `cols`, one column a step: what is left is the residual cross-products.
+ELIMINATED = """cr AS (SELECT a.series_id, a.cause, a.effect, a.p, a.j, b.j AS i, list_inner_product(a.vec, b.vec) AS s FROM cols a JOIN cols b ON a.series_id = b.series_id AND a.cause = b.cause AND a.effect = b.effect AND a.p = b.p AND a.j <= b.j),
+  mat AS (SELECT series_id, cause, effect, p, list(s ORDER BY j, i) AS m, max(i) + 1 AS k FROM (SELECT * FROM cr UNION ALL SELECT series_id, cause, effect, p, i, j, s FROM cr WHERE i <> j) GROUP BY 1, 2, 3, 4),
+  rec AS (WITH RECURSIVE w AS (SELECT series_id, cause, effect, p, 0 AS step, k, m FROM mat
+    UNION ALL SELECT series_id, cause, effect, p, step + 1, k - 1, list_transform(range(CAST((k-1)*(k-1) AS BIGINT)), lambda z: m[(z//(k-1)+1)*k + z%(k-1) + 2] - m[(z//(k-1)+1)*k + 1] * m[z%(k-1) + 2] / m[1]) FROM w WHERE step < {most}) SELECT * FROM w),
+  el AS (SELECT * FROM rec)"""
+# F at the five lags; its tail is the beta integral in t = asin(sqrt(.)), by Simpson's rule.
+GRANGER_SQL = """cols AS (SELECT series_id, cause, effect, p, 0 AS j, list_transform(range(CAST(n-p AS BIGINT)), lambda i: 1.0::DOUBLE) AS vec FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p) WHERE n-p > 2*p+1
+    UNION ALL SELECT series_id, cause, effect, p, i, ys[p-i+1 : n-i] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p), range(1, 31) h(i) WHERE i <= p AND n-p > 2*p+1
+    UNION ALL SELECT series_id, cause, effect, p, p+i, xs[p-i+1 : n-i] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p), range(1, 31) h(i) WHERE i <= p AND n-p > 2*p+1
+    UNION ALL SELECT series_id, cause, effect, p, 2*p+1, ys[p+1 : n] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p) WHERE n-p > 2*p+1),
+  """ + ELIMINATED.format(most="2*p + 1") + """,
+  ss AS (SELECT series_id, cause, effect, p, max(m[k*k]) FILTER (WHERE step = p+1) AS a, max(m[k*k]) FILTER (WHERE step = 2*p+1) AS b FROM el GROUP BY 1, 2, 3, 4),
+  fs AS (SELECT series_id, cause, effect, CAST(p AS INTEGER) AS lag, greatest(0.0, (a-b)/p/(b/(n-3*p-1))) AS f_stat, CAST(p AS INTEGER) AS df1, CAST(n-3*p-1 AS INTEGER) AS df2 FROM ss JOIN pr USING (series_id, cause, effect)),
+  tail AS (SELECT series_id, cause, effect, lag, any_value(f_stat) AS f_stat, any_value(df1) AS df1, any_value(df2) AS df2,
+      sum(CASE WHEN z IN (0, 4000) THEN 1 WHEN z % 2 = 1 THEN 4 ELSE 2 END * CASE WHEN z = 0 THEN 0.0 ELSE 2*exp((df2-1)*ln(sin(top*z/4000)) + lgamma((df1+df2)/2.0) - lgamma(df1/2.0) - lgamma(df2/2.0)) * cos(top*z/4000)^(df1-1) END) * any_value(top)/12000 AS p
+    FROM (SELECT *, asin(sqrt(df2/(df2 + df1*f_stat))) AS top FROM fs), range(0, 4001) g(z) GROUP BY 1, 2, 3, 4),
+  gr AS (SELECT * FROM tail)"""
+
+
+@query("wt_granger_lag1", "score weight", W(PANEL, LONG, """
   lg AS (SELECT * FROM (SELECT l.series_id, channel, p.idx AS y, lag(p.idx) OVER w AS y1, lag(value) OVER w AS x1 FROM long l JOIN panel p USING (series_id, ds) WINDOW w AS (PARTITION BY l.series_id, channel ORDER BY l.ds)) WHERE y1 IS NOT NULL),
   m AS (SELECT series_id, channel, count(*) n, regr_syy(y,y1) syy, regr_sxx(y,y1) s11, regr_sxx(y,x1) s22, regr_sxy(y,y1) sy1, regr_sxy(y,x1) sy2, regr_sxy(y1,x1) s12 FROM lg GROUP BY 1,2),
   f AS (SELECT *, syy - sy1*sy1/s11 AS a, syy - (sy1*sy1*s22 - 2*sy1*sy2*s12 + sy2*sy2*s11)/(s11*s22-s12*s12) AS b FROM m),
   sc AS (SELECT series_id, channel, CASE WHEN (a-b)/(b/(n-3)) > 2.7077 THEN (a-b)/(b/(n-3)) ELSE 0 END AS score FROM f)""", q="""
   SELECT series_id, channel, score, CASE WHEN sum(score) OVER (PARTITION BY series_id) = 0 THEN 0.25 ELSE score/sum(score) OVER (PARTITION BY series_id) END AS weight FROM sc"""))
+def wt_granger_lag1(spark, d):
+    """The weights at lag 1 alone."""
+    return wt.granger_weights(linear.granger_panel(tb.panel(spark, d), "idx", (1,)))
+
+
+BEST_LAG = W(PANEL, GRANGER_LONG, """
+  pr AS (SELECT a.series_id, a.ch AS cause, 'idx' AS effect, a.v AS xs, b.v AS ys, a.n FROM ser a JOIN ser b ON a.series_id = b.series_id AND a.ch <> 'idx' AND b.ch = 'idx')""", GRANGER_SQL, """
+  bl AS (SELECT series_id, cause AS channel, CASE WHEN p < 0.10 THEN f_stat ELSE 0 END AS score FROM gr QUALIFY row_number() OVER (PARTITION BY series_id, cause ORDER BY p, lag) = 1)""",
+  q="SELECT series_id, channel, score, CASE WHEN sum(score) OVER (PARTITION BY series_id) = 0 THEN 0.25 ELSE score/sum(score) OVER (PARTITION BY series_id) END AS weight FROM bl")
+
+
+@query("wt_granger", "score weight", BEST_LAG)
 def wt_granger(spark, d):
-    return wt.granger_weights(linear.granger(linear.granger_pairs(tb.panel(spark, d), "idx"), (1,)))
+    return wt.granger_weights(linear.granger_panel(tb.panel(spark, d), "idx"))
 
 
-# the SQL of wt_granger is at lag 1; this is the best of linear.LAGS, held against brute force in the tests
-@query("wt_granger_best_lag", "score weight")
+@query("wt_granger_best_lag", "score weight", BEST_LAG)
 def wt_granger_best_lag(spark, d):
-    return wt.granger_weights(linear.granger(linear.granger_pairs(tb.panel(spark, d), "idx")))
+    """The same as wt_granger, under its former name."""
+    return wt_granger(spark, d)
 
 
 @query("wt_pca", "loading share weight")
@@ -98,7 +133,7 @@ def wt_elastic_net(spark, d):
 @query("wt_compare", "r")
 def wt_compare(spark, d):
     p = forward_panel(spark, d)
-    return wt.method_correlations(wt.compare(p, "target", linear.granger(linear.granger_pairs(p, "idx"))))
+    return wt.method_correlations(wt.compare(p, "target", linear.granger_panel(p, "idx")))
 
 
 # ------------------------------------------------------- tests, regressions
@@ -114,12 +149,21 @@ def agg_covar_quantreg(spark, d):
     return linear.covar_quantreg(pair_returns(spark, d))
 
 
-@query("ts_granger", "f_stat p")
+@query("ts_granger", "f_stat p", W(PANEL, GRANGER_LONG, """
+  pr AS (SELECT a.series_id, a.ch AS cause, b.ch AS effect, a.v AS xs, b.v AS ys, a.n FROM ser a JOIN ser b ON a.series_id = b.series_id AND a.ch <> b.ch AND a.ch <> 'idx' AND b.ch <> 'idx')""",
+  GRANGER_SQL, q="SELECT series_id, cause, effect, lag, f_stat, df1, df2, p FROM gr"))
 def ts_granger(spark, d):
-    return linear.granger(linear.granger_pairs(tb.panel(spark, d)))
+    return linear.granger_panel(tb.panel(spark, d))
 
 
-@query("ts_var_lag", "value")
+@query("ts_var_lag", "value", W(PANEL, GRANGER_LONG, """
+  chs AS (SELECT series_id, ch, row_number() OVER (PARTITION BY series_id ORDER BY ch) AS c, v, n FROM ser WHERE ch <> 'idx'),
+  cols AS (SELECT series_id, '' AS cause, '' AS effect, p, 0 AS j, list_transform(range(CAST(n-p AS BIGINT)), lambda i: 1.0::DOUBLE) AS vec FROM (SELECT DISTINCT series_id, n FROM chs), range(1, 31) g(p) WHERE p < n // 6 AND n-p >= 4*p+10
+    UNION ALL SELECT series_id, '', '', p, CASE WHEN i = 0 THEN 4*p + c ELSE 4*(i-1) + c END, v[p-i+1 : n-i] FROM chs, range(1, 31) g(p), range(0, 31) h(i) WHERE i <= p AND p < n // 6 AND n-p >= 4*p+10)""",
+  ELIMINATED.format(most="4*p + 1"), """
+  ic AS (SELECT e.series_id, e.p, ln((m[1]+m[6]+m[11]+m[16]) / (n-e.p)) AS base, n-e.p AS t, 4.0*(1+4*e.p) AS size FROM el e JOIN (SELECT DISTINCT series_id, n FROM chs) s USING (series_id) WHERE e.step = 4*e.p + 1),
+  crit AS (SELECT series_id, unnest(['aic', 'bic', 'hqic']) AS criterion, p, unnest([base + 2*size/t, base + ln(t)*size/t, base + 2*ln(ln(t))*size/t]) AS value FROM ic)""",
+  q="SELECT series_id, criterion, CAST(arg_min(p, value) AS INTEGER) AS lag, min(value) AS value FROM crit GROUP BY 1, 2"))
 def ts_var_lag(spark, d):
     return linear.var_lag(tb.panel(spark, d))
 

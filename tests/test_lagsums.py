@@ -50,6 +50,8 @@ def test_granger_equals_rows(spark):
         own = np.column_stack([np.ones(120 - k), past(y, k)])
         a, b = ((left(y[k:], z) ** 2).sum() for z in (own, np.column_stack([own, past(x, k)])))
         assert r["f_stat"] == pytest.approx((a - b) / k / (b / (120 - 3 * k - 1)), rel=1e-7) and r["df2"] == 120 - 3 * k - 1
+    shared = {(r["cause"], r["effect"], r["lag"]): r["f_stat"] for r in linear.granger_panel(p).where("series_id = 'A'").collect()}
+    assert shared == pytest.approx({k: r["f_stat"] for k, r in got.items()})
     short = linear.granger(linear.granger_pairs(p)).where("series_id = 'B'").collect()
     assert {r["lag"] for r in short} == {1}  # five rows allow one lag alone
 
