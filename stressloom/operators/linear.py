@@ -16,6 +16,7 @@ from stressloom import schema as S
 from stressloom.functions.special import norm_sf, p_chi2, p_fisher
 from stressloom.operators.breaks import kpss
 from stressloom.operators.lagsums import Lagged, lag_sums, partial, solve_by
+from stressloom.operators.newton import chance, dot, logit_fits
 from stressloom.operators.windows import by_day
 from stressloom.session import spread
 
@@ -232,65 +233,64 @@ def johansen(panel: DataFrame, diffs: int = 1) -> DataFrame:
     return solve_by(sums, ["series_id"], "r int, eigenvalue double, trace double, max_eigen double, trace_5 double, eigen_5 double, rank int", body)
 
 
-def logit(y: np.ndarray, x: np.ndarray, steps: int = 100):
-    """Newton fit: coefficients, log-likelihood, inverse Hessian, convergence."""
-    b = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x
-        move = np.linalg.pinv(h) @ (x.T @ (y - p))
-        b = b + move
-        if np.abs(move).max() < 1e-8:
-            break
-    eta = np.clip(x @ b, -35, 35)
-    p = 1.0 / (1.0 + np.exp(-eta))
-    ll = float((y * eta - np.log1p(np.exp(eta))).sum())
-    return b, ll, np.linalg.pinv((x * (p * (1 - p))[:, None]).T @ x), p, np.abs(move).max() < 1e-6
+def lagged_columns(df: DataFrame, keys: list[str], cols: list[str], lag: int) -> DataFrame:
+    """c_1..c_lag beside every column; the first `lag` rows of a key leave."""
+    w = Window.partitionBy(*keys).orderBy("ds")
+    d = spread(df, *keys).withColumns({f"{c}_{i}": F.lag(F.col(c).cast("double"), i).over(w) for c in cols for i in range(1, lag + 1)})
+    return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > lag).drop("_r")
 
 
 def state_logit(df: DataFrame, lag: int = 1) -> DataFrame:
-    """Lagged-state logit with and without lagged x: likelihood ratio, and a Wald test with errors clustered by run."""
-
-    def body(d):
-        y, x = d["y"].to_numpy(float), d["x"].to_numpy(float)
-        n = len(y) - lag
-        yt = y[lag:]
-        if yt.min() == yt.max():
-            return []
-        xr = np.column_stack([np.ones(n), lags_of(y, lag)])
-        xu = np.column_stack([xr, lags_of(x, lag)])
-        _, l0, *_ = logit(yt, xr)
-        b, l1, inv, p, ok = logit(yt, xu)
-        run = np.concatenate([[0], np.cumsum(yt[1:] != yt[:-1])])
-        score = xu * (yt - p)[:, None]
-        g = np.zeros((run[-1] + 1, xu.shape[1]))
-        np.add.at(g, run, score)
-        m = len(g)
-        cov = inv @ (g.T @ g) @ inv * (m / (m - 1) if m > 1 else 1.0)
-        i = slice(xu.shape[1] - lag, None)
-        wald = float(b[i] @ np.linalg.pinv(cov[i, i]) @ b[i])
-        return [(n, max(0.0, 2 * (l1 - l0)), lag, wald, m, bool(ok))]
-
-    r = _by(df, ["series_id", "channel"], "n bigint, lr double, df int, wald double, n_clusters int, converged boolean", body)
-    return r.withColumn("p_lr", p_chi2("lr", "df")).withColumn("p_wald", p_chi2("wald", "df"))
+    """Lagged-state logit with and without lagged x: likelihood ratio, and a Wald test with errors clustered by run. A series whose
+    state never changes gives no row."""
+    keys = ["series_id", "channel"]
+    d = lagged_columns(df.select(*keys, "ds", F.col("y").cast("double"), F.col("x").cast("double")), keys, ["y", "x"], lag)
+    w = by_day(tuple(keys))
+    change = F.coalesce((F.col("y") != F.lag("y").over(w)).cast("int"), F.lit(0))
+    e = Window.partitionBy(*keys)
+    d = d.withColumns({"run": F.sum(change).over(w), "lo": F.min("y").over(e), "hi": F.max("y").over(e)}).where("lo < hi")
+    own = [F.lit(1.0), *[F.col(f"y_{i}") for i in range(1, lag + 1)]]
+    more = [F.col(f"x_{i}") for i in range(1, lag + 1)]
+    none = [F.lit(0.0)] * lag
+    fits, rows = logit_fits(d, keys, "y", {"own": own + none, "full": own + more}, ["run"])
+    k = 1 + 2 * lag
+    full = fits.where("model = 'full'")
+    # scores add up within a run before their outer products do
+    at = rows.where("model = 'full'").join(full.select(*keys, "b"), keys).withColumn("e", F.col("y") - chance(dot("x", "b", k)))
+    runs = at.groupBy(*keys, "run").agg(F.array(*[F.sum(F.col("x")[i] * F.col("e")) for i in range(k)]).alias("g"))
+    meat = runs.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n_clusters"), F.array(*[F.sum(F.col("g")[i] * F.col("g")[j]) for i in range(k) for j in range(k)]).alias("meat"))
+    both = full.join(fits.where("model = 'own'").select(*keys, F.col("ll").alias("ll_own")), keys).join(meat, keys)
+
+    def wald(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                inv, m = np.linalg.pinv(np.reshape(r.h, (k, k))), r.n_clusters
+                cov = inv @ np.reshape(r.meat, (k, k)) @ inv * (m / (m - 1) if m > 1 else 1.0)
+                b, v = np.array(r.b)[k - lag:], cov[k - lag:, k - lag:]
+                out.append((r.series_id, r.channel, r.n, max(0.0, 2 * (r.ll - r.ll_own)), lag, float(b @ np.linalg.pinv(v) @ b), m, bool(r.moved < 1e-6)))
+            yield pd.DataFrame(out, columns=["series_id", "channel", "n", "lr", "df", "wald", "n_clusters", "converged"])
+
+    types = "series_id string, channel string, n bigint, lr double, df int, wald double, n_clusters int, converged boolean"
+    return both.mapInPandas(wald, types).withColumn("p_lr", p_chi2("lr", "df")).withColumn("p_wald", p_chi2("wald", "df"))
 
 
 def onset_hazard(df: DataFrame, lag: int = 1) -> DataFrame:
-    """Onset on lagged x over the days at risk: likelihood ratio, coefficient, separation flag."""
-
-    def body(d):
-        on, x, risk = d["onset"].to_numpy(float)[lag:], d["x"].to_numpy(float)[:-lag], d["at_risk"].to_numpy(bool)[lag:]
-        y, v = on[risk], x[risk]
-        if y.sum() == 0:
-            return []
-        one = np.ones((len(y), 1))
-        _, l0, *_ = logit(y, one)
-        b, l1, inv, _, ok = logit(y, np.column_stack([one, v]))
-        sep = bool((np.abs(b) > 25).any() or (np.sqrt(np.diag(inv)) > 25).any())
-        return [(len(y), int(y.sum()), max(0.0, 2 * (l1 - l0)), float(b[1]), bool(ok), sep)]
-
-    r = _by(df, ["series_id", "channel"], "n_riskset bigint, n_events bigint, lr double, coef double, converged boolean, separation boolean", body)
-    return r.withColumn("p", p_chi2("lr", F.lit(1.0)))
+    """Onset on lagged x over the days at risk: likelihood ratio, coefficient, separation flag. A series without an onset gives no row."""
+    keys = ["series_id", "channel"]
+    w, e = by_day(tuple(keys)), Window.partitionBy(*keys)
+    d = spread(df, *keys).select(*keys, "ds", F.col("onset").cast("double").alias("y"), "at_risk", F.lag(F.col("x").cast("double"), lag).over(w).alias("v"), F.row_number().over(w).alias("_r"))
+    d = d.where((F.col("_r") > lag) & F.col("at_risk")).withColumn("n_events", F.sum("y").over(e)).where("n_events > 0")
+    fits, _ = logit_fits(d, keys, "y", {"own": [F.lit(1.0), F.lit(0.0)], "full": [F.lit(1.0), F.col("v")]})
+    own = fits.where("model = 'own'").select(*keys, F.col("ll").alias("ll_own"))
+    f = fits.where("model = 'full'").join(own, keys)
+    h = lambda i: F.col("h")[i]
+    det = h(0) * h(3) - h(1) * h(2)
+    var = F.greatest(F.try_divide(h(0), det), F.try_divide(h(3), det))
+    apart = (F.abs(F.col("b")[0]) > 25) | (F.abs(F.col("b")[1]) > 25) | F.coalesce(var > 25.0 * 25.0, F.lit(True))
+    out = f.select(*keys, F.col("n").alias("n_riskset"), F.col("events").alias("n_events"), F.greatest(F.lit(0.0), 2 * (F.col("ll") - F.col("ll_own"))).alias("lr"),
+                   F.col("b")[1].alias("coef"), (F.col("moved") < 1e-6).alias("converged"), apart.alias("separation"))
+    return out.withColumn("p", p_chi2("lr", F.lit(1.0)))
 
 
 def quantile_regression(x: np.ndarray, y: np.ndarray, q: float, steps: int = 1000) -> np.ndarray:
@@ -322,29 +322,26 @@ def covar_quantreg(paired: DataFrame, alpha: float = 0.05, least: int = 50) -> D
 
 
 def rolling_tail(panel: DataFrame, width: int = 252, least: int = 100) -> DataFrame:
-    """Mean tau over the previous rows (at most `width`, at least `least`) with the lower-tail coefficient it implies.
-    A step adds one row and drops one, so the concordance sums change by one row against the window."""
+    """Mean tau over the previous rows (at most `width`, at least `least`) with the lower-tail coefficient it implies; null where a channel
+    is constant in them.
 
-    def body(d):
-        v, ds = d[S.CHANNELS].to_numpy(float), d["ds"].to_list()
-        k = v.shape[1]
-        s = np.zeros((k, k))
-        out = []
-        for t in range(len(v)):
-            lo = max(0, t - width)
-            n = t - lo
-            if n >= least:
-                iu = np.triu_indices(k, 1)
-                dg = np.diag(s)
-                tau = float(np.mean(s[iu] / np.sqrt(dg[iu[0]] * dg[iu[1]])))
-                c = min(max(tau, 0.01) if tau < 0 else tau, 0.99)
-                th = max(0.01, 2 * c / (1 - c))
-                out.append((ds[t], n, tau, th, float(2 ** (-1 / th))))
-            sg = np.sign(v[t] - v[lo:t])
-            s += sg.T @ sg
-            if t - lo == width:
-                sg = np.sign(v[lo] - v[lo + 1: t + 1])
-                s -= sg.T @ sg
-        return out
-
-    return _by(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), ["series_id"], "at date, n int, tau double, theta double, lambda_l double", body)
+    Two rows less than `width` apart enter the window after the later one and leave it once the earlier one drops out, so a window's
+    concordance is a running sum of what enters and leaves, added up per row before it is chained."""
+    k = len(S.CHANNELS)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    w = by_day()
+    d = spread(panel.select("series_id", "ds", *S.CHANNELS).na.drop(), "series_id")
+    d = d.select("series_id", "ds", (F.row_number().over(w) - 1).alias("r"), F.array(*[F.col(c).cast("double") for c in S.CHANNELS]).alias("v"))
+    before = F.collect_list(F.struct(F.col("r").alias("q"), F.col("v").alias("u"))).over(w.rowsBetween(1 - width, -1))
+    both = d.withColumn("before", before).select("series_id", "r", "v", F.inline("before"))
+    signs = both.select("series_id", "r", "q", *[F.signum(F.col("v")[i] - F.col("u")[i]).cast("long").alias(f"s{i}") for i in range(k)])
+    turns = F.inline(F.array(F.struct((F.col("r") + 1).alias("t"), F.lit(1).alias("way")), F.struct((F.col("q") + width + 1).alias("t"), F.lit(-1).alias("way"))))
+    moves = signs.select("series_id", *[f"s{i}" for i in range(k)], turns).groupBy("series_id", "t").agg(*[F.sum(F.col("way") * F.col(f"s{i}") * F.col(f"s{j}")).alias(f"g{i}{j}") for i, j in pairs])
+    rows = d.select("series_id", F.col("r").alias("t"), F.col("ds").alias("at")).join(moves, ["series_id", "t"], "left")
+    past = by_day(order="t").rowsBetween(Window.unboundedPreceding, 0)
+    g = rows.select("series_id", "at", F.least("t", F.lit(width)).alias("n"), *[F.coalesce(F.sum(f"g{i}{j}").over(past), F.lit(0)).cast("double").alias(f"g{i}{j}") for i, j in pairs]).where(F.col("n") >= least)
+    parts = [F.try_divide(F.col(f"g{i}{j}"), F.sqrt(F.col(f"g{i}{i}") * F.col(f"g{j}{j}"))) for i, j in pairs if i < j]
+    g = g.withColumn("tau", sum(parts, F.lit(0.0)) / len(parts))
+    c = F.when(F.col("tau") < 0, 0.01).when(F.col("tau").isNotNull(), F.least("tau", F.lit(0.99)))
+    g = g.withColumn("theta", F.when(F.col("tau").isNotNull(), F.greatest(F.lit(0.01), 2 * c / (1 - c))))
+    return g.select("series_id", "at", "n", "tau", "theta", F.pow(F.lit(2.0), -1 / F.col("theta")).alias("lambda_l"))

@@ -61,18 +61,41 @@ def wt_sensitivity(spark, d):
 # Ordered, centred values of every channel and the index as lists, in place of the lagged rows.
 GRANGER_LONG = """ser AS (SELECT series_id, ch, list(x - mu ORDER BY ds) AS v, count(*) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY series_id, ch) AS mu
   FROM (UNPIVOT (SELECT series_id, ds, stablecoin_risk, defi_liquidity_risk, contagion_risk, arbitrage_opacity, idx FROM panel) ON stablecoin_risk, defi_liquidity_risk, contagion_risk, arbitrage_opacity, idx INTO NAME ch VALUE x)) GROUP BY 1, 2)"""
-# Gaussian elimination of the cross-products of `cols`, one column a step: what is left is the residual cross-products.
-ELIMINATED = """cr AS (SELECT a.series_id, a.cause, a.effect, a.p, a.j, b.j AS i, list_inner_product(a.vec, b.vec) AS s FROM cols a JOIN cols b ON a.series_id = b.series_id AND a.cause = b.cause AND a.effect = b.effect AND a.p = b.p AND a.j <= b.j),
-  mat AS (SELECT series_id, cause, effect, p, list(s ORDER BY j, i) AS m, max(i) + 1 AS k FROM (SELECT * FROM cr UNION ALL SELECT series_id, cause, effect, p, i, j, s FROM cr WHERE i <> j) GROUP BY 1, 2, 3, 4),
-  rec AS (WITH RECURSIVE w AS (SELECT series_id, cause, effect, p, 0 AS step, k, m FROM mat
-    UNION ALL SELECT series_id, cause, effect, p, step + 1, k - 1, list_transform(range(CAST((k-1)*(k-1) AS BIGINT)), lambda z: m[(z//(k-1)+1)*k + z%(k-1) + 2] - m[(z//(k-1)+1)*k + 1] * m[z%(k-1) + 2] / m[1]) FROM w WHERE step < {most}) SELECT * FROM w),
-  el AS (SELECT * FROM rec)"""
+
+
+def eliminated(cols: str, out: str, most: str) -> str:
+    """Gaussian elimination of the cross-products of the columns in `cols`, one a step: what is left are the residual cross-products."""
+    return f"""{out}_c AS (SELECT a.series_id, a.cause, a.effect, a.p, a.j, b.j AS i, list_inner_product(a.vec, b.vec) AS s FROM {cols} a JOIN {cols} b ON a.series_id = b.series_id AND a.cause = b.cause AND a.effect = b.effect AND a.p = b.p AND a.j <= b.j),
+  {out}_m AS (SELECT series_id, cause, effect, p, list(s ORDER BY j, i) AS m, max(i) + 1 AS k FROM (SELECT * FROM {out}_c UNION ALL SELECT series_id, cause, effect, p, i, j, s FROM {out}_c WHERE i <> j) GROUP BY 1, 2, 3, 4),
+  {out} AS (WITH RECURSIVE w AS (SELECT series_id, cause, effect, p, 0 AS step, k, m FROM {out}_m
+    UNION ALL SELECT series_id, cause, effect, p, step + 1, k - 1, list_transform(range(CAST((k-1)*(k-1) AS BIGINT)), lambda z: m[(z//(k-1)+1)*k + z%(k-1) + 2] - m[(z//(k-1)+1)*k + 1] * m[z%(k-1) + 2] / m[1]) FROM w WHERE step < {most}) SELECT * FROM w)"""
+
+
+# The unit-root statistic of every list in `ser`: orders by AIC on a common sample, then the chosen one on its own.
+ADF_SQL = """dif AS (SELECT series_id, ch, n, v, list_transform(range(CAST(n-1 AS BIGINT)), lambda i: v[i+2] - v[i+1]) AS dv, CAST(least(ceil(12*(n/100.0)^0.25), n//2 - 2) AS BIGINT) AS top FROM ser),
+  common AS (SELECT series_id, ch AS cause, '' AS effect, top AS p, 0 AS j, list_transform(range(n-1-top), lambda i: 1.0::DOUBLE) AS vec FROM dif
+    UNION ALL SELECT series_id, ch, '', top, 1, v[top+1 : n-1] FROM dif
+    UNION ALL SELECT series_id, ch, '', top, 1 + i, dv[top+1-i : n-1-i] FROM dif, range(1, 129) h(i) WHERE i <= top
+    UNION ALL SELECT series_id, ch, '', top, 2 + top, dv[top+1 : n-1] FROM dif),
+  """ + eliminated("common", "eo", "p + 2") + """,
+  od AS (SELECT e.series_id, ch, step - 2 AS p, (n-1-top)*(ln(2*pi()) + ln(m[k*k]/(n-1-top)) + 1) + 2*step AS aic FROM eo e JOIN dif d ON e.series_id = d.series_id AND e.cause = d.ch WHERE step >= 2),
+  ch AS (SELECT series_id, ch, arg_min(p, aic) AS p FROM od GROUP BY 1, 2),
+  own AS (SELECT series_id, ch AS cause, '' AS effect, p, 0 AS j, list_transform(range(n-1-p), lambda i: 1.0::DOUBLE) AS vec FROM dif JOIN ch USING (series_id, ch)
+    UNION ALL SELECT series_id, ch, '', p, i, dv[p+1-i : n-1-i] FROM dif JOIN ch USING (series_id, ch), range(1, 129) h(i) WHERE i <= p
+    UNION ALL SELECT series_id, ch, '', p, 1 + p, v[p+1 : n-1] FROM dif JOIN ch USING (series_id, ch)
+    UNION ALL SELECT series_id, ch, '', p, 2 + p, dv[p+1 : n-1] FROM dif JOIN ch USING (series_id, ch)),
+  """ + eliminated("own", "ew", "p + 1") + """,
+  ad AS (SELECT e.series_id, e.cause AS ch, n, CAST(e.p AS INTEGER) AS lags, (m[2]/m[1]) / sqrt((m[4] - m[2]*m[2]/m[1]) / (n-1-e.p-e.p-2) / m[1]) AS adf FROM ew e JOIN dif d ON e.series_id = d.series_id AND e.cause = d.ch WHERE step = e.p + 1),
+  az AS (SELECT *, CASE WHEN adf <= -1.61 THEN 2.1659 + 1.4412*adf + 0.038269*adf*adf ELSE 1.7339 + 0.93202*adf - 0.12745*adf*adf - 0.010368*adf*adf*adf END AS z FROM ad),
+  ap AS (SELECT series_id, ch, any_value(n) AS n, any_value(lags) AS lags, any_value(adf) AS adf,
+      CASE WHEN any_value(adf) > 2.74 THEN 1.0 WHEN any_value(adf) < -18.83 THEN 0.0 ELSE 0.5 + any_value(z)/6000/sqrt(2*pi()) * sum(CASE WHEN g IN (0, 2000) THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5*(z*g/2000)^2)) END AS p
+    FROM az, range(0, 2001) r(g) GROUP BY 1, 2)"""
 # F at the five lags; its tail is the beta integral in t = asin(sqrt(.)), by Simpson's rule.
 GRANGER_SQL = """cols AS (SELECT series_id, cause, effect, p, 0 AS j, list_transform(range(CAST(n-p AS BIGINT)), lambda i: 1.0::DOUBLE) AS vec FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p) WHERE n-p > 2*p+1
     UNION ALL SELECT series_id, cause, effect, p, i, ys[p-i+1 : n-i] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p), range(1, 31) h(i) WHERE i <= p AND n-p > 2*p+1
     UNION ALL SELECT series_id, cause, effect, p, p+i, xs[p-i+1 : n-i] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p), range(1, 31) h(i) WHERE i <= p AND n-p > 2*p+1
     UNION ALL SELECT series_id, cause, effect, p, 2*p+1, ys[p+1 : n] FROM pr, (VALUES (1), (3), (7), (14), (30)) g(p) WHERE n-p > 2*p+1),
-  """ + ELIMINATED.format(most="2*p + 1") + """,
+  """ + eliminated("cols", "el", "2*p + 1") + """,
   ss AS (SELECT series_id, cause, effect, p, max(m[k*k]) FILTER (WHERE step = p+1) AS a, max(m[k*k]) FILTER (WHERE step = 2*p+1) AS b FROM el GROUP BY 1, 2, 3, 4),
   fs AS (SELECT series_id, cause, effect, CAST(p AS INTEGER) AS lag, greatest(0.0, (a-b)/p/(b/(n-3*p-1))) AS f_stat, CAST(p AS INTEGER) AS df1, CAST(n-3*p-1 AS INTEGER) AS df2 FROM ss JOIN pr USING (series_id, cause, effect)),
   tail AS (SELECT series_id, cause, effect, lag, any_value(f_stat) AS f_stat, any_value(df1) AS df1, any_value(df2) AS df2,
@@ -160,7 +183,7 @@ def ts_granger(spark, d):
   chs AS (SELECT series_id, ch, row_number() OVER (PARTITION BY series_id ORDER BY ch) AS c, v, n FROM ser WHERE ch <> 'idx'),
   cols AS (SELECT series_id, '' AS cause, '' AS effect, p, 0 AS j, list_transform(range(CAST(n-p AS BIGINT)), lambda i: 1.0::DOUBLE) AS vec FROM (SELECT DISTINCT series_id, n FROM chs), range(1, 31) g(p) WHERE p < n // 6 AND n-p >= 4*p+10
     UNION ALL SELECT series_id, '', '', p, CASE WHEN i = 0 THEN 4*p + c ELSE 4*(i-1) + c END, v[p-i+1 : n-i] FROM chs, range(1, 31) g(p), range(0, 31) h(i) WHERE i <= p AND p < n // 6 AND n-p >= 4*p+10)""",
-  ELIMINATED.format(most="4*p + 1"), """
+  eliminated("cols", "el", "4*p + 1"), """
   ic AS (SELECT e.series_id, e.p, ln((m[1]+m[6]+m[11]+m[16]) / (n-e.p)) AS base, n-e.p AS t, 4.0*(1+4*e.p) AS size FROM el e JOIN (SELECT DISTINCT series_id, n FROM chs) s USING (series_id) WHERE e.step = 4*e.p + 1),
   crit AS (SELECT series_id, unnest(['aic', 'bic', 'hqic']) AS criterion, p, unnest([base + 2*size/t, base + ln(t)*size/t, base + 2*ln(ln(t))*size/t]) AS value FROM ic)""",
   q="SELECT series_id, criterion, CAST(arg_min(p, value) AS INTEGER) AS lag, min(value) AS value FROM crit GROUP BY 1, 2"))
@@ -172,17 +195,29 @@ def _long(spark, d):
     return ag.unpivot(tb.panel(spark, d), ["series_id", "ds"], ["idx", *S.CHANNELS])
 
 
-@query("ts_adf", "adf p")
+@query("ts_adf", "adf p", W(PANEL, GRANGER_LONG, ADF_SQL, q="SELECT series_id, ch AS channel, n, adf, p, lags FROM ap WHERE n >= 20"))
 def ts_adf(spark, d):
     return linear.adf(_long(spark, d))
 
 
-@query("ts_stationarity", "adf adf_p kpss kpss_p")
+@query("ts_stationarity", "adf adf_p kpss kpss_p", W(PANEL, GRANGER_LONG, ADF_SQL, """
+  cu AS (SELECT series_id, ch, sum(c*c) AS q FROM (SELECT series_id, ch, sum(x) OVER (PARTITION BY series_id, ch ORDER BY i) AS c FROM (SELECT series_id, ch, unnest(v) AS x, unnest(range(n)) AS i FROM ser)) GROUP BY 1, 2),
+  ac AS (SELECT series_id, ch, any_value(n) AS n, sum(CASE WHEN j = 0 THEN 1 ELSE 2*(1 - j/(floor(4*(n/100.0)^0.25) + 1)) END * list_inner_product(v[j+1 : n], v[1 : n-j])) AS s FROM ser, range(0, 64) h(j) WHERE j <= floor(4*(n/100.0)^0.25) GROUP BY 1, 2),
+  ks AS (SELECT series_id, ch, q/(n*s) AS kpss FROM cu JOIN ac USING (series_id, ch)),
+  kp AS (SELECT *, CASE WHEN kpss < 0.347 THEN 0.10 WHEN kpss < 0.463 THEN 0.10 - 0.05*(kpss-0.347)/0.116 WHEN kpss < 0.574 THEN 0.05 - 0.025*(kpss-0.463)/0.111 WHEN kpss < 0.739 THEN 0.025 - 0.015*(kpss-0.574)/0.165 ELSE 0.01 END AS kpss_p FROM ks)""", q="""
+  SELECT series_id, ch AS channel, n, adf, p AS adf_p, kpss, kpss_p, CASE WHEN p < 0.05 AND kpss_p < 0.05 THEN 'trend-stationary' WHEN p < 0.05 THEN 'stationary' WHEN kpss_p < 0.05 THEN 'non-stationary' ELSE 'inconclusive' END AS verdict,
+    CASE WHEN p < 0.05 AND kpss_p < 0.05 THEN 'detrend' WHEN p < 0.05 THEN NULL ELSE 'first_difference' END AS transformation FROM ap JOIN kp USING (series_id, ch) WHERE n >= 20"""))
 def ts_stationarity(spark, d):
     return linear.stationarity(_long(spark, d))
 
 
-@query("ts_engle_granger", "statistic p")
+@query("ts_engle_granger", "statistic p", W(PANEL, """
+  xy AS (SELECT a.series_id, a.ds, a.idx AS x, b.idx AS y FROM panel a JOIN panel b ON a.ds = b.ds AND b.series_id = 'MACHINERY' AND a.series_id <> 'MACHINERY'),
+  li AS (SELECT series_id, regr_slope(x, y) AS b, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY 1),
+  ser AS (SELECT series_id, 'e' AS ch, list(x - mx - b*(y - my) ORDER BY ds) AS v, count(*) AS n FROM xy JOIN li USING (series_id) GROUP BY 1)""", ADF_SQL, f"""
+  eg AS (SELECT series_id, n, adf AS statistic, CASE {" ".join(f"WHEN adf < {S.EG_CRITICAL[k]} THEN {v}" for k, v in sorted(S.EG_P_BELOW.items(), key=lambda kv: kv[1]))}
+    ELSE least({S.EG_P_ABOVE["most"]}, greatest({S.EG_P_ABOVE["least"]}, {S.EG_P_ABOVE["start"]} + {S.EG_P_ABOVE["slope"]}*(adf - ({S.EG_CRITICAL["10%"]})))) END AS p FROM ap)""",
+  q="SELECT *, p < 0.05 AS cointegrated FROM eg"))
 def ts_engle_granger(spark, d):
     return linear.engle_granger(align.against(tb.panel(spark, d), "MACHINERY", "idx"))
 
@@ -202,7 +237,18 @@ def win_rolling_connectedness(spark, d):
     return gram.rolling_connectedness(tb.panel(spark, d))
 
 
-@query("win_rolling_tail_dep", "tau theta lambda_l")
+_PAIRS4 = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+@query("win_rolling_tail_dep", "tau theta lambda_l", W(PANEL, f"""
+  rw AS (SELECT series_id, ds, row_number() OVER (PARTITION BY series_id ORDER BY ds) - 1 AS r, {", ".join(f"{c} AS v{i}" for i, c in enumerate(S.CHANNELS))} FROM panel),
+  pw AS (SELECT a.series_id, a.r AS ar, b.r AS br, {", ".join(f"CAST(sign(b.v{i}-a.v{i})*sign(b.v{j}-a.v{j}) AS INT) AS g{i}{j}" for i, j in _PAIRS4)} FROM rw a JOIN rw b ON a.series_id = b.series_id AND b.r > a.r AND b.r < a.r + 252),
+  ch AS (SELECT series_id, br + 1 AS t, {", ".join(f"sum(g{i}{j}) AS g{i}{j}" for i, j in _PAIRS4)} FROM pw GROUP BY 1, 2 UNION ALL SELECT series_id, ar + 253, {", ".join(f"-sum(g{i}{j})" for i, j in _PAIRS4)} FROM pw GROUP BY 1, 2),
+  al AS (SELECT series_id, r AS t, ds, {", ".join(f"0 AS g{i}{j}" for i, j in _PAIRS4)} FROM rw UNION ALL SELECT series_id, t, NULL, {", ".join(f"g{i}{j}" for i, j in _PAIRS4)} FROM ch),
+  run AS (SELECT series_id, t, ds, {", ".join(f"sum(g{i}{j}) OVER w AS g{i}{j}" for i, j in _PAIRS4)} FROM al WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+  ta AS (SELECT series_id, ds AS "at", CAST(least(t, 252) AS INTEGER) AS n, ({" + ".join(f"g{i}{j}/sqrt(CAST(g{i}{i} AS DOUBLE)*g{j}{j})" for i, j in _PAIRS4 if i < j)})/6 AS tau FROM run WHERE ds IS NOT NULL AND t >= 100),
+  th AS (SELECT *, CASE WHEN tau < 0 THEN 0.01 ELSE least(tau, 0.99) END AS c FROM ta)""", q="""
+  SELECT series_id, "at", n, tau, greatest(0.01, 2*c/(1-c)) AS theta, 2.0^(-1/greatest(0.01, 2*c/(1-c))) AS lambda_l FROM th"""))
 def win_rolling_tail_dep(spark, d):
     return linear.rolling_tail(tb.panel(spark, d))
 

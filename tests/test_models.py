@@ -113,12 +113,42 @@ def test_rolling_tail_equals_pairs(spark):
         assert r["tau"] == pytest.approx(np.mean(s[iu] / np.sqrt(np.diag(s)[iu[0]] * np.diag(s)[iu[1]])))
 
 
-def test_logit_recovers_coefficients():
+def test_logit_equals_direct_steps(spark):
+    """Two keys and two nested designs at once, one of the keys separated."""
+    from stressloom.operators.newton import logit_fits
+
     rng = np.random.default_rng(7)
-    x = np.column_stack([np.ones(20000), rng.normal(size=20000)])
-    y = (rng.random(20000) < 1 / (1 + np.exp(-(x @ [-0.5, 1.2])))).astype(float)
-    b, *_, ok = linear.logit(y, x)
-    assert ok and np.allclose(b, [-0.5, 1.2], atol=0.06)
+    x = rng.normal(size=6000)
+    y = (rng.random(6000) < 1 / (1 + np.exp(-(-0.5 + 1.2 * x)))).astype(float)
+    rows = [("A", float(a), float(b)) for a, b in zip(x, y)] + [("S", float(a), float(a > 0)) for a in x[:200]]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    fits, _ = logit_fits(df, ["k"], "y", {"own": [F.lit(1.0), F.lit(0.0)], "full": [F.lit(1.0), F.col("x")]})
+    got = {(r["k"], r["model"]): r for r in fits.collect()}
+    b, z = np.zeros(2), np.column_stack([np.ones(6000), x])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z, z.T @ (y - p))
+    r = got["A", "full"]
+    assert r["moved"] < 1e-8 and np.allclose(r["b"], b, atol=1e-7) and np.allclose(b, [-0.5, 1.2], atol=0.1)
+    assert r["ll"] == pytest.approx((y * (z @ b) - np.log1p(np.exp(z @ b))).sum())
+    m = y.mean()
+    assert np.allclose(got["A", "own"]["b"], [np.log(m / (1 - m)), 0], atol=1e-7)
+    assert got["S", "full"]["moved"] > 0.1 and got["S", "full"]["ll"] == pytest.approx(0, abs=1e-6)
+
+
+def test_state_and_onset_of_odd_series(spark):
+    """No onset, no change of state, one row and no rows give nothing; the others are not touched by them."""
+    rng = np.random.default_rng(13)
+    cols = "series_id string, channel string, ds date, y double, x double, onset double, at_risk boolean"
+    x = rng.normal(size=120)
+    y = [float(i % 20 < 6) for i in range(120)]
+    good = [("A", "c", d, a, float(b), float(i % 20 == 0), i % 20 == 0 or i % 20 > 5) for i, (d, a, b) in enumerate(zip(days(120), y, x))]
+    still = [("B", "c", d, 0.0, float(b), 0.0, True) for d, b in zip(days(40), x)]
+    df = spark.createDataFrame(good + still + [("C", "c", days(1)[0], 1.0, 1.0, 1.0, True)], cols)
+    state, hazard = linear.state_logit(df).collect(), linear.onset_hazard(df).collect()
+    assert [r["series_id"] for r in state] == ["A"] == [r["series_id"] for r in hazard]
+    assert state[0]["n"] == 119 and state[0]["n_clusters"] == 12 and hazard[0]["n_events"] == 5
+    assert linear.state_logit(df.limit(0)).count() == 0 and linear.onset_hazard(df.limit(0)).count() == 0
 
 
 def test_quantile_line():
@@ -222,7 +252,7 @@ def test_granger_weights_at_the_best_lag_equal_brute_force(spark):
                 later += best[0] < 0.10 and best[1] > 1
         for c, v in score.items():
             want[sid, c] = (v, v / sum(score.values()) if sum(score.values()) else 1 / len(score))
-    got = {(r["series_id"], r["channel"]): (r["score"], r["weight"]) for r in entry.queries()["wt_granger_best_lag"](spark, sf).collect()}
+    got = {(r["series_id"], r["channel"]): (r["score"], r["weight"]) for r in entry.queries()["wt_granger"](spark, sf).collect()}
     assert later and set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-4, rel=1e-5) for k in want)
 
