@@ -321,13 +321,16 @@ def transitions_around(df: DataFrame, events: DataFrame, before: int = 30, after
     return g.withColumn("rise", F.col("during") - F.col("pre"))
 
 
+def candidates(trials: int, seed: int = 42) -> list[list[list[float]]]:
+    """Random weights per regime and channel, each between 0.05 and 0.60 before they are scaled to a sum of 1."""
+    cands = np.clip(np.random.default_rng(seed).dirichlet(np.ones(D), size=(trials, len(REGIME_WEIGHTS))), 0.05, 0.60)
+    return (cands / cands.sum(axis=2, keepdims=True)).tolist()
+
+
 def calibrate(df: DataFrame, events: DataFrame, objective: str = "detection_rate", trials: int = 100, seed: int = 42, days: int = 30, threshold: float = 70.0) -> DataFrame:
     """Random search over Dirichlet weight matrices. Only event-window rows meet the candidates, except for the F1
     objective, which also counts alerts elsewhere."""
-    rng = np.random.default_rng(seed)
-    cands = np.clip(rng.dirichlet(np.ones(D), size=(trials, len(REGIME_WEIGHTS))), 0.05, 0.60)
-    cands = cands / cands.sum(axis=2, keepdims=True)
-    grid = [dict(trial=i, w=[[float(x) for x in row] for row in c]) for i, c in enumerate(cands)]
+    grid = [dict(trial=i, w=w) for i, w in enumerate(candidates(trials, seed))]
     value = sum((F.col("probs")[k] * F.col("w")[k][i] * F.col(c) for k in range(len(REGIME_WEIGHTS)) for i, c in enumerate(S.CHANNELS)), F.lit(0.0))
     look = 60 if objective == "lead_time" else days
     near = df.join(ev.unfold(events.select("event", "event_date"), look, -1), "ds")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -15,11 +16,11 @@ from stressloom.operators import aggregates as ag
 from stressloom.operators import align, breaks, classify, compose, eventjoin as ev, gram, linear, paths, regimes, resample as rs, sensitivity as sn, snapshot, weights as wt
 from stressloom.operators import event_study as es
 from stressloom.operators import windows as win
-from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, _corr_all, pair_returns
-from stressloom.plans.composition import fixed_model
-from stressloom.plans.evaluation import forward_frame, pe
-from stressloom.plans.registry import query
-from stressloom.plans.sqltext import draw_sql, EVENTS_DIM, PANEL, W
+from stressloom.plans.aggregations import AVGRANK, CHS, LABELLED, LONG, PAIRS, TAU, _corr_all, pair_returns
+from stressloom.plans.composition import POST, RV, fixed_model
+from stressloom.plans.evaluation import CASB, WIN, WSENS, forward_frame, pe
+from stressloom.plans.registry import CATALOGUE, query
+from stressloom.plans.sqltext import cofactor_sql, CORRELATIONS, draw_sql, EVENTS_DIM, LOADINGS, normal_tail_sql, PANEL, SPECTRUM, student_tail_sql, W
 from stressloom.session import scratch_path, stored
 from stressloom.sources import tables as tb
 
@@ -132,18 +133,26 @@ def wt_granger_best_lag(spark, d):
     return wt_granger(spark, d)
 
 
-@query("wt_pca", "loading share weight")
+@query("wt_pca", "loading share weight", W(PANEL, LOADINGS, q="""
+  SELECT series_id, CAST(component AS INTEGER) AS component, channel, loading, share, weight FROM lo JOIN (SELECT series_id, channel, abs(loading)/sum(abs(loading)) OVER (PARTITION BY series_id) AS weight FROM lo WHERE component = 1) USING (series_id, channel) WHERE n >= 14"""))
 def wt_pca(spark, d):
     return gram.pca(tb.panel(spark, d)).drop("vector")
 
 
-# the determinant and the inverse of a 4 x 4 correlation matrix are left to the solver
-@query("wt_pca_tests", "kmo chi2 p")
+# Squared partial correlations from the cofactors; the tail of chi-square with six degrees has a closed form.
+PARTIAL = " + ".join(f"2*pow({cofactor_sql(i, j, '1')}, 2)/(({cofactor_sql(i, i, '1')})*({cofactor_sql(j, j, '1')}))" for i in range(1, 5) for j in range(i + 1, 5))
+
+
+@query("wt_pca_tests", "kmo chi2 p", W(PANEL, CORRELATIONS, q=f"""
+  SELECT series_id, n, 2*sq/(2*sq + pp) AS kmo, chi2, CAST(6 AS INTEGER) AS df, exp(-greatest(chi2, 0.0)/2)*(1 + greatest(chi2, 0.0)/2 + pow(greatest(chi2, 0.0), 2)/8) AS p
+  FROM (SELECT *, {PARTIAL} AS pp, -((n-1) - 13/6.0)*ln(det) AS chi2 FROM cd)"""))
 def wt_pca_tests(spark, d):
     return gram.pca_tests(tb.panel(spark, d)).withColumn("p", sp.p_chi2("chi2", "df"))
 
 
-@query("wt_pca_transform", "score")
+@query("wt_pca_transform", "score", W(PANEL, LONG, LOADINGS, """
+  zs AS (SELECT series_id, ds, channel, (value - avg(value) OVER (PARTITION BY series_id, channel))/stddev_samp(value) OVER (PARTITION BY series_id, channel) AS z FROM long)""", q="""
+  SELECT series_id, ds, sum(z*loading) AS score FROM zs JOIN lo USING (series_id, channel) WHERE component = 1 GROUP BY 1, 2"""))
 def wt_pca_transform(spark, d):
     return gram.pca_scores(tb.panel(spark, d))
 
@@ -160,7 +169,11 @@ def wt_compare(spark, d):
 
 
 # ------------------------------------------------------- tests, regressions
-@query("agg_correlation_p_values", "r p")
+@query("agg_correlation_p_values", "r p", W(PANEL, LONG, PAIRS, TAU, f"""ranked AS (SELECT series_id, ch_a, ch_b,
+    {AVGRANK.format(k='series_id, ch_a, ch_b', x='x')} AS x, {AVGRANK.format(k='series_id, ch_a, ch_b', x='y')} AS y FROM pairs),
+  cs AS (SELECT series_id, ch_a, ch_b, 'pearson' AS method, count(*) AS n, corr(x,y) AS r FROM pairs GROUP BY 1,2,3 UNION ALL SELECT series_id, ch_a, ch_b, 'spearman', count(*), corr(x,y) FROM ranked GROUP BY 1,2,3)""", q=f"""
+  SELECT * EXCLUDE (t), {student_tail_sql('t', '(n-2)')} AS p FROM (SELECT *, r*sqrt((n-2)/(1-r*r)) AS t FROM cs)
+  UNION ALL SELECT series_id, ch_a, ch_b, 'kendall', n, tau, {normal_tail_sql('t')} FROM (SELECT *, tau/sqrt(2*(2*n+5)/(9.0*n*(n-1))) AS t FROM taus)"""))
 def agg_correlation_p_values(spark, d):
     c = _corr_all(spark, d)
     p = F.when(F.col("method") == "kendall", sp.p_normal("t")).otherwise(sp.p_student("t", F.col("n") - 2))
@@ -253,7 +266,8 @@ def win_rolling_tail_dep(spark, d):
     return linear.rolling_tail(tb.panel(spark, d))
 
 
-@query("ts_collinearity", "vif condition first_share")
+@query("ts_collinearity", "vif condition first_share", W(PANEL, SPECTRUM, q=" UNION ALL ".join(f"""
+  SELECT series_id, '{c}' AS channel, ({cofactor_sql(i, i, "1")})/det AS vif, (1+a)/(1+b) AS condition, (1+a)/4 AS first_share FROM cd JOIN nw USING (series_id)""" for i, c in enumerate(S.CHANNELS, 1))))
 def ts_collinearity(spark, d):
     return gram.collinearity(tb.panel(spark, d))
 
@@ -279,7 +293,15 @@ def ts_onset_hazard(spark, d):
     return linear.onset_hazard(_state(spark, d))
 
 
-@query("ts_proxy", "pearson spearman r2 rmse")
+@query("ts_proxy", "pearson spearman r2 rmse", W(PANEL, f"""
+  ab AS (SELECT a.series_id, a.ds, b.idx AS y, a.idx AS x FROM panel a JOIN panel b ON a.ds = b.ds AND b.series_id = 'MACHINERY' AND a.series_id <> 'MACHINERY'),
+  rk AS (SELECT *, {AVGRANK.format(k='series_id', x='x')} AS rx, {AVGRANK.format(k='series_id', x='y')} AS ry FROM ab),
+  ft AS (SELECT series_id, corr(x, y) AS pearson, corr(rx, ry) AS spearman, regr_r2(y, x) AS r2, sqrt((regr_syy(y, x) - regr_sxy(y, x)^2/regr_sxx(y, x))/count(*)) AS rmse FROM rk GROUP BY 1),
+  ls AS (SELECT series_id, list(x - mx ORDER BY ds) AS xs, list(y - my ORDER BY ds) AS ys, count(*) AS n FROM (SELECT *, avg(x) OVER (PARTITION BY series_id) AS mx, avg(y) OVER (PARTITION BY series_id) AS my FROM ab) GROUP BY 1),
+  pr AS (SELECT series_id, 'x' AS cause, 'y' AS effect, xs, ys, n FROM ls UNION ALL SELECT series_id, 'y', 'x', ys, xs, n FROM ls)""",
+  GRANGER_SQL.replace("(1), (3), (7), (14), (30)", "(4)"), """
+  wy AS (SELECT series_id, bool_or(cause = 'x' AND p < 0.05) AS a, bool_or(cause = 'y' AND p < 0.05) AS b FROM gr GROUP BY 1)""", q="""
+  SELECT ft.*, CASE WHEN a AND b THEN 'both' WHEN a THEN 'proxy leads' WHEN b THEN 'target leads' ELSE 'none' END AS direction FROM ft JOIN wy USING (series_id)"""))
 def ts_proxy(spark, d):
     p = align.against(tb.stored_panel(spark, d), "MACHINERY", "idx")
     fit = p.groupBy("series_id").agg(corr("x", "y").alias("pearson"), F.regr_r2("y", "x").alias("r2"),
@@ -450,30 +472,54 @@ def ts_placebo_features(spark, d):
     return rs.placebo_features(forward_panel(spark, d), "target")
 
 
-@query("udf_statistic", "boot_mean se lo hi")
+@query("udf_statistic", "boot_mean se lo hi", W(PANEL, plan_sql(REPLICATES, 20), """
+  sq AS (SELECT p.series_id, rep, idx FROM plan p JOIN posn v ON p.series_id=v.series_id AND v.pos BETWEEN start AND start+len-1),
+  qt AS (SELECT series_id, rep, quantile_cont(idx, 0.1) AS a, quantile_cont(idx, 0.9) AS b FROM sq GROUP BY 1,2),
+  tm AS (SELECT series_id, rep, avg(idx) AS m FROM sq JOIN qt USING (series_id, rep) WHERE idx BETWEEN a - 1e-9 AND b + 1e-9 GROUP BY 1,2)""", q="""
+  SELECT series_id, count(*) AS reps, avg(m) AS boot_mean, stddev_samp(m) AS se, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM tm GROUP BY 1"""))
 def udf_statistic(spark, d):
     @F.pandas_udf("double")
     def trimmed(v: pd.Series) -> float:
         lo, hi = v.quantile(0.1), v.quantile(0.9)
-        return float(v[(v >= lo) & (v <= hi)].mean())
+        return float(v[(v >= lo - 1e-9) & (v <= hi + 1e-9)].mean())  # a value that is the quantile stays, however that is rounded
 
     return rs.bootstrap_statistic(tb.panel(spark, d), "idx", trimmed, reps=REPLICATES)
 
 
-@query("udf_metrics", "boot_mean se lo hi")
+@query("udf_metrics", "boot_mean se lo hi", W(PANEL, EVENTS_DIM, LABELLED, plan_sql(PAIRED, 25, src="labelled"), AUCW.replace("contagion_risk", "stablecoin_risk").format(plan="plan", on="v.pos BETWEEN start AND start+len-1"), """
+  cu AS (SELECT *, sum(pos_) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos_) OVER (PARTITION BY series_id, rep, model) AS np FROM cn WINDOW w AS (PARTITION BY series_id, rep, model ORDER BY score DESC)),
+  mv AS (SELECT series_id, rep, model, 'auroc' AS metric, auc AS v FROM ar UNION ALL SELECT series_id, rep, model, 'average_precision', coalesce(sum(CAST(pos_ AS DOUBLE)/nullif(np, 0)*tp/(tp+fp)), 0) FROM cu GROUP BY 1,2,3)""", q="""
+  SELECT series_id, model, metric, count(*) AS reps, avg(v) AS boot_mean, stddev_samp(v) AS se, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM mv GROUP BY 1,2,3"""))
 def udf_metrics(spark, d):
     r = rs.replicate_metrics(labelled(spark, d), ["idx", "stablecoin_risk"], "label", reps=PAIRED, metrics=("auroc", "average_precision"))
     return rs.interval(r, ["series_id", "model", "metric"], "value")
 
 
-@query("udf_objective", "score")
+def calibrate_sql(objective: str) -> str:
+    """Best score and candidate of a series: the candidates of the search as rows, each met with the days before the events."""
+    cands = ", ".join(f"({i}, [{', '.join(f'{x!r}::DOUBLE' for row in w for x in row)}], '{json.dumps(w, separators=(',', ':'))}')" for i, w in enumerate(regimes.candidates(TRIALS)))
+    value = " + ".join(f"p{k}*(" + " + ".join(f"w[{4 * k + i + 1}]*{c}" for i, c in enumerate(S.CHANNELS)) + ")" for k in range(3))
+    look = 60 if objective == "lead_time" else 30
+    score = {"detection_rate": "rate", "lead_time": "lead", "f1": "coalesce(2*p*rate/nullif(p+rate, 0), 0)"}[objective]
+    return W(PANEL, POST, EVENTS_DIM, f"""
+  cand AS (SELECT * FROM (VALUES {cands}) v(trial, w, weights)),
+  pe AS (SELECT series_id, trial, event, bool_or(value > 70) AS hit, max(CASE WHEN value > 70 THEN event_date - ds END) AS ahead FROM (SELECT *, {value} AS value FROM post JOIN events_dim ON ds BETWEEN event_date - {look} AND event_date - 1 CROSS JOIN cand) GROUP BY 1, 2, 3),
+  al AS (SELECT series_id, trial, count(*) FILTER (WHERE value > 70) AS alerts FROM (SELECT *, {value} AS value FROM post CROSS JOIN cand) GROUP BY 1, 2),
+  gs AS (SELECT series_id, trial, avg(CAST(hit AS INT)) AS rate, coalesce(avg(ahead), 0) AS lead, coalesce(count(*) FILTER (WHERE hit)*1.0/nullif(any_value(alerts), 0), 0) AS p FROM pe JOIN al USING (series_id, trial) GROUP BY 1, 2),
+  sc AS (SELECT series_id, trial, {score} AS score FROM gs)""", q=f"""
+  SELECT series_id, '{objective}' AS objective, CAST(trial AS INTEGER) AS trial, score, weights FROM sc JOIN cand USING (trial) QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY score DESC, trial) = 1""")
+
+
+@query("udf_objective", "score", " UNION ALL ".join(f"SELECT series_id, objective, trial, score FROM ({calibrate_sql(o)})" for o in ("detection_rate", "lead_time", "f1")))
 def udf_objective(spark, d):
     p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
     parts = [regimes.calibrate(p, tb.events_dim(spark), o, trials=TRIALS).select("series_id", F.lit(o).alias("objective"), "trial", "score") for o in ("detection_rate", "lead_time", "f1")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("udf_special", "p_normal p_student p_fisher p_chi2")
+@query("udf_special", "p_normal p_student p_fisher p_chi2", W(PANEL, EVENTS_DIM, WIN, CASB, f"""
+  tl AS (SELECT series_id, event, {normal_tail_sql('t_stat')} AS pn, {student_tail_sql('t_stat', '(n-1)')} AS ps FROM cas)""", q="""
+  SELECT series_id, event, pn AS p_normal, ps AS p_student, ps AS p_fisher, pn AS p_chi2 FROM tl"""))
 def udf_special(spark, d):
     r = es.study(*pe(spark, d))
     t = F.col("t_stat")
@@ -613,14 +659,24 @@ def rg_save_load(spark, d):
     return regimes.params_frame(spark, regimes.load(spark, path))
 
 
-@query("idx_calibrate_regime", "score")
+@query("idx_calibrate_regime", "score", f"SELECT series_id, trial, score, weights FROM ({calibrate_sql('detection_rate')})")
 def idx_calibrate_regime(spark, d):
     p = regimes.static_probabilities(tb.stored_panel(spark, d), fixed_model())
     c = regimes.calibrate(p, tb.events_dim(spark), trials=TRIALS)
     return c.select("series_id", "trial", "score", F.to_json("weights").alias("weights"))
 
 
-@query("idx_regime_full", "frequency level mean_idx persistence distance")
+def _regime_full_sql():
+    """The decoded path beside the filtered probabilities, described per regime."""
+    recursion = REC.split("{base}, ")[1].rsplit("\nSELECT", 1)[0]
+    return _decode_sql().rsplit("\nSELECT", 1)[0] + ",\n " + recursion + f""",
+ vl AS (SELECT p.*, regime, {RV} AS value FROM rec JOIN pt USING (series_id, t) JOIN panel p ON p.series_id=rec.series_id AND p.ds=rec.ds),
+ nx AS (SELECT *, lead(regime) OVER (PARTITION BY series_id ORDER BY ds) AS nxt FROM vl)
+SELECT series_id, CAST(regime AS INTEGER) AS regime, count(*)*1.0/any_value(days) AS frequency, avg(({' + '.join(S.CHANNELS)})/4) AS level, avg(value) AS mean_idx, count(*) FILTER (WHERE nxt = regime)*1.0/nullif(count(nxt), 0) AS persistence, any_value(gap) AS distance
+FROM nx JOIN (SELECT series_id, count(*) AS days, avg(abs(value - idx)) AS gap FROM vl GROUP BY 1) USING (series_id) GROUP BY 1, 2"""
+
+
+@query("idx_regime_full", "frequency level mean_idx persistence distance", _regime_full_sql())
 def idx_regime_full(spark, d):
     from stressloom.operators.regime_stats import regime_profile
     p, m = tb.stored_panel(spark, d), fixed_model()
@@ -731,7 +787,16 @@ def ts_walk_forward_opt(spark, d):
     return s.join(cor.groupBy("series_id").agg(F.avg("r").alias("stability")), "series_id", "left")
 
 
-@query("ts_validation_run", "value", digits=5)
+@query("ts_validation_run", "value", W(PANEL, EVENTS_DIM, WIN, CASB, WSENS, """
+  hold AS (SELECT series_id, ds > DATE '1999-12-31' AS test, idx AS pred, lead(idx, 30) OVER (PARTITION BY series_id ORDER BY ds) AS target FROM panel),
+  rb AS (SELECT series_id, channel, max(rate) - min(rate) < 0.15 AS robust FROM wdet GROUP BY 1, 2)""", f"""
+  tidy AS (SELECT series_id, 'significant_events' AS study, CAST(count(*) FILTER (WHERE abs(t_stat) > 2.0211) AS DOUBLE) AS value FROM cas GROUP BY 1
+    UNION ALL SELECT series_id, 'holdout_r2', 1-sum((target-pred)^2)/(var_pop(target)*count(*)) FROM hold WHERE target IS NOT NULL AND test GROUP BY 1
+    UNION ALL SELECT series_id, 'robust_channels', count(*) FILTER (WHERE robust) FROM rb GROUP BY 1
+    UNION ALL SELECT series_id, 'kpss', level FROM ({CATALOGUE["ts_kpss"].sql})
+    UNION ALL SELECT series_id, 'chow', chow FROM ({CATALOGUE["ts_chow"].sql})
+    UNION ALL SELECT series_id, 'cusum', max_cusum FROM ({CATALOGUE["ts_cusum"].sql}))""", q="""
+  SELECT * FROM tidy UNION ALL SELECT series_id, 'passed', CAST(max(value) FILTER (WHERE study = 'significant_events') >= 3 AND max(value) FILTER (WHERE study = 'holdout_r2') > 0 AND max(value) FILTER (WHERE study = 'robust_channels') >= 2 AS INT) FROM tidy GROUP BY 1"""), digits=5)
 def ts_validation_run(spark, d):
     """The suite as one tidy table, with a pass flag per series: at least three significant events, positive
     out-of-sample R2 of the refitted index, at least two robust channels."""

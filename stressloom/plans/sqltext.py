@@ -77,3 +77,64 @@ def draw_sql(seed: int, rep: str, num: str) -> str:
     h = f"(({h}*69621) % 2147483647)"
     h = f"(xor({h}, {h} >> 13))"
     return f"(({h}*16807) % 2147483647)"
+
+
+def normal_tail_sql(z: str) -> str:
+    """Two-sided normal tail of |z|, by Simpson's rule over the density from 0 to |z|."""
+    y = f"least(abs({z}), 40.0)"
+    return f"""greatest(0.0, 1 - 2*{y}/12000/sqrt(2*pi()) * list_sum(list_transform(range(0, 4001), lambda g: CASE WHEN g = 0 OR g = 4000 THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5*({y}*g/4000)^2))))"""
+
+
+def student_tail_sql(t: str, df: str) -> str:
+    """Two-sided Student tail, the beta integral in asin(sqrt(.)) by Simpson's rule."""
+    top = f"asin(sqrt({df}/({df} + ({t})*({t}))))"
+    return f"""{top}/12000 * list_sum(list_transform(range(1, 4001), lambda g: CASE WHEN g = 4000 THEN 1 WHEN g % 2 = 1 THEN 4 ELSE 2 END * 2*exp(({df}-1)*ln(sin({top}*g/4000)) + lgamma(({df}+1)/2.0) - lgamma(0.5::DOUBLE) - lgamma({df}/2.0))))"""
+
+
+def _entry(i: int, j: int, diagonal: str) -> str:
+    return diagonal if i == j else f"r{min(i, j)}{max(i, j)}"
+
+
+def cofactor_sql(i: int, j: int, diagonal: str) -> str:
+    """Cofactor of the symmetric 4 x 4 matrix with `diagonal` and the correlations r12 .. r34."""
+    a, b = ([k for k in range(1, 5) if k != x] for x in (i, j))
+    m = [[_entry(x, y, diagonal) for y in b] for x in a]
+    det = " + ".join(f"{m[0][k]}*({m[1][(k + 1) % 3]}*{m[2][(k + 2) % 3]} - {m[1][(k + 2) % 3]}*{m[2][(k + 1) % 3]})" for k in range(3))
+    return f"{'-' if (i + j) % 2 else ''}({det})"
+
+
+_CHANNELS = ("stablecoin_risk", "defi_liquidity_risk", "contagion_risk", "arbitrage_opacity")
+_SIX = [(i, j) for i in range(1, 5) for j in range(i + 1, 5)]
+_SQUARES = " + ".join(f"r{i}{j}*r{i}{j}" for i, j in _SIX)
+_TRIPLES = "r12*r13*r23 + r12*r14*r24 + r13*r14*r34 + r23*r24*r34"
+_FOURS = "r12*r12*r34*r34 + r13*r13*r24*r24 + r14*r14*r23*r23 - 2*(r12*r34*r13*r24 + r12*r34*r14*r23 + r13*r24*r14*r23)"
+
+# Correlations of the channels, the determinant, and the four eigenvalues less 1: the outer ones by Newton's steps from outside on the
+# characteristic polynomial of the matrix without its diagonal, the inner ones from the quadratic that is left.
+CORRELATIONS = (
+    "cm AS (SELECT series_id, count(*) AS n, "
+    + ", ".join(f"corr({_CHANNELS[i - 1]}, {_CHANNELS[j - 1]}) AS r{i}{j}" for i, j in _SIX)
+    + f""" FROM panel GROUP BY 1),
+ cd AS (SELECT *, {_SQUARES} AS sq, 1 - ({_SQUARES}) + 2*({_TRIPLES}) + {_FOURS} AS det, 2*({_TRIPLES}) AS s3, {_FOURS} AS s4 FROM cm)"""
+)
+_STEP = "{x} - CASE WHEN 4*{x}*{x}*{x} - 2*sq*{x} - s3 = 0 THEN 0 ELSE ({x}*{x}*{x}*{x} - sq*{x}*{x} - s3*{x} + s4)/(4*{x}*{x}*{x} - 2*sq*{x} - s3) END"
+SPECTRUM = (
+    CORRELATIONS
+    + f""",
+ nw AS (WITH RECURSIVE w AS (SELECT series_id, sq, s3, s4, 0 AS step, CAST(3 AS DOUBLE) AS a, CAST(-1 AS DOUBLE) AS b FROM cd
+   UNION ALL SELECT series_id, sq, s3, s4, step + 1, {_STEP.format(x="a")}, {_STEP.format(x="b")} FROM w WHERE step < 120) SELECT series_id, a, b, sq FROM w WHERE step = 120),
+ ev AS (SELECT series_id, unnest([1, 2, 3, 4]) AS component, unnest([a, (-(a+b) + gap)/2, (-(a+b) - gap)/2, b]) AS mu FROM (SELECT *, sqrt(greatest(0.0, (a+b)*(a+b) - 4*(-sq - a*b + (a+b)*(a+b)))) AS gap FROM nw))"""
+)
+
+# Loadings: the column of the adjugate of R - (1 + mu) I with the largest diagonal entry, of unit length, times the root of the eigenvalue.
+_ADJUGATE = [[cofactor_sql(i, j, "(-mu)") for j in range(1, 5)] for i in range(1, 5)]
+LOADINGS = (
+    SPECTRUM
+    + ",\n aj AS (SELECT *, "
+    + ", ".join(f"[{', '.join(row)}] AS k{i}" for i, row in enumerate(_ADJUGATE, 1))
+    + """ FROM ev JOIN cd USING (series_id)),
+ co AS (SELECT series_id, n, component, mu, CASE greatest(abs(k1[1]), abs(k2[2]), abs(k3[3]), abs(k4[4])) WHEN abs(k1[1]) THEN k1 WHEN abs(k2[2]) THEN k2 WHEN abs(k3[3]) THEN k3 ELSE k4 END AS v FROM aj),
+ ld AS (SELECT series_id, n, component, (1+mu)/4 AS share, list_transform(v, lambda x: x * CASE WHEN list_sum(v) < 0 THEN -1 ELSE 1 END * sqrt(greatest(0.0, 1+mu)) / sqrt(list_inner_product(v, v))) AS l FROM co),
+ """
+    + "lo AS (" + " UNION ALL ".join(f"SELECT series_id, n, component, '{c}' AS channel, l[{i}] AS loading, share FROM ld" for i, c in enumerate(_CHANNELS, 1)) + ")"
+)

@@ -9,6 +9,7 @@ NAMES = [
     "idx_daily_board", "agg_top10_hhi", "agg_confusion", "agg_kpi", "fn_scenario", "fn_classify_coin", "fn_is_regulatory", "fn_transform_liquidity",
     "join_asof_nearest", "join_asof_lagged", "join_snapshot", "win_peg_volatility", "win_ewma_cov", "win_rolling_stats", "src_observations_json",
     "sink_reconcile", "ts_auroc_documents", "ts_naive_benchmarks", "topk_headlines", "set_distinct_first", "str_daily_window", "str_dedup", "wt_critic",
+    "wt_pca", "wt_pca_tests", "wt_pca_transform", "ts_collinearity", "udf_special", "agg_correlation_p_values", "idx_calibrate_regime", "idx_regime_full", "ts_proxy", "ts_validation_run",
 ]
 
 
