@@ -215,7 +215,8 @@ def win_spaced_breaks(spark, d):
 
 WIN = """evw AS (SELECT p.series_id, e.event, p.ds - e.event_date AS rel, p.idx AS x FROM panel p JOIN events_dim e ON p.ds BETWEEN e.event_date - 90 AND e.event_date + 10),
  base AS (SELECT series_id, event, avg(x) FILTER (WHERE rel <= -31) AS mu, stddev_samp(x) FILTER (WHERE rel <= -31) AS sd, avg(x) FILTER (WHERE rel >= -30) AS ma,
-   count(*) FILTER (WHERE rel >= -30) AS n, max(x) FILTER (WHERE rel >= -30) AS peak FROM evw GROUP BY 1, 2)"""
+   count(*) FILTER (WHERE rel >= -30) AS n, max(x) FILTER (WHERE rel >= -30) AS peak FROM evw GROUP BY 1, 2
+   HAVING count(*) FILTER (WHERE rel <= -31) >= 20 AND count(*) FILTER (WHERE rel >= -30) >= 5)"""
 BREACH = """breach AS (SELECT series_id, event, coalesce(-min(rel) FILTER (WHERE rel BETWEEN -{k} AND 0 AND x > mu+1.5*sd), 0) AS s, coalesce(-min(rel) FILTER (WHERE rel BETWEEN -{k} AND 0 AND x >= 50), 0) AS l
   FROM evw JOIN base USING (series_id, event) GROUP BY 1, 2)"""
 SUST = """sust AS (SELECT b.series_id, b.event, coalesce(-min(rel) FILTER (WHERE rel > low), 0) AS u FROM (SELECT series_id, event, rel, max(rel) FILTER (WHERE x < 50) OVER (PARTITION BY series_id, event) AS low FROM evw WHERE rel BETWEEN -{k} AND 0) b GROUP BY 1, 2)"""
