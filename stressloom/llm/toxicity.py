@@ -1,6 +1,7 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed words, word pairs and skip pairs.
 
-Each family has its own range of buckets; a feature is present or not. Per-coordinate rates and the L1 term leave few weights,
+Words end at ASCII characters other than letters and digits, so that marks around a word do not hide it. Each family has its own
+range of buckets; a feature is present or not. Per-coordinate rates and the L1 term leave few weights,
 which are broadcast as (bucket, weight). The fit uses at most `rounds.SAMPLE` labelled rows; scoring takes every whole text.
 
 Null and empty texts have no features and get the score of the intercept; with no labelled rows every score is 0. Repeated rows give
@@ -18,16 +19,23 @@ from pyspark.sql import functions as F
 
 from stressloom.llm.rounds import labelled_sample, packed, train
 from stressloom.llm.staging import mapped, release, small_batches
-from stressloom.llm.text import chunks, held, mix, row_of, words
+from stressloom.llm.text import Words, chunks, held, mix, row_of, words
 
 FAMILIES = (1 << 16, 1 << 16, 1 << 16)  # words, pairs, pairs that skip one word
 SIZE = sum(FAMILIES)
-ALPHA, BETA, L1, PAIR_L1, L2 = 1.0, 1.0, 6.0, 24.0, 0.1
+ALPHA, BETA, L1, PAIR_L1, L2 = 1.0, 1.0, 12.0, 48.0, 0.1
 ROUNDS = 8
 THRESHOLD = 0.5
 #: Gradient factor of toxic examples, which are about a tenth of all.
 WEIGHT = 3.0
 
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
+
+
+def plain_words(data: np.ndarray, bounds: np.ndarray) -> Words:
+    return words(_PLAIN[data[bounds[0] : bounds[-1]]], bounds - bounds[0])
+
 
 def buckets(w) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row, bucket) of each family's features, with repeats."""
@@ -67,7 +75,7 @@ def examples(sample: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for rows, data, bounds in chunks(b, "text"):
-                w = words(data, bounds)
+                w = plain_words(data, bounds)
                 pairs = np.unique(np.concatenate([r * SIZE + i for r, i in buckets(w)]))
                 cut = np.searchsorted(pairs, np.arange(len(bounds)) * SIZE)
                 n = rows.stop - rows.start
@@ -103,7 +111,7 @@ def toxic_probability(model: tuple[np.ndarray, np.ndarray] | None, spark: SparkS
             for rows, data, bounds in chunks(pa.RecordBatch.from_arrays([part], ["text"]), "text"):
                 n = rows.stop - rows.start
                 hit = []
-                for r, i in buckets(words(data, bounds)):
+                for r, i in buckets(plain_words(data, bounds)):
                     on = dense[i] != 0
                     hit.append(r[on] * SIZE + i[on])
                 found = np.unique(np.concatenate(hit))

@@ -53,6 +53,52 @@ def test_toxic_words_are_learned(spark):
     assert held_out(spark, toxicity, make) >= 0.95
 
 
+def test_marks_do_not_hide_a_word(spark):
+    def make(rng, bad):
+        words = prose(rng, 80).split()
+        for _ in range(6 if bad else 0):
+            words[rng.randrange(80)] = rng.choice(["zork", "blarg", "fnord"]) + rng.choice(["***", "###", "!", ",", "&%$"])
+        return " ".join(w + rng.choice(["", "", "***", "###"]) for w in words)
+
+    assert held_out(spark, toxicity, make) >= 0.95
+
+
+def test_scores_equal_a_plain_sum_over_features(spark, sf):
+    """Every row's score from the fitted weights, word by word."""
+    import math
+    import re
+    import zlib
+
+    import numpy as np
+
+    from stressloom.llm.text import mix, words
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    weight = dict(zip(*(a.tolist() for a in toxicity.fit(docs.select("doc_id", "text"), labels))))
+    size = toxicity.FAMILIES[0]
+    one = {}
+
+    def of(word):
+        if word not in one:
+            b = np.frombuffer(word.encode(), np.uint8)
+            one[word] = words(b, np.array([0, len(b)])).hashes[0]
+        return one[word]
+
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert len(got) == docs.count()
+    for d in docs.collect():
+        h = [of(w) for w in re.findall("[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), d.text or ""))]
+        found = set()
+        with np.errstate(over="ignore"):
+            for gap in range(3):
+                keys = h if not gap else [mix(np.array([a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(gap)]))[0] for a, b in zip(h, h[gap:])]
+                found |= {gap * size + int(k >> np.uint64(40)) % size for k in keys}
+        total = weight.get(toxicity.SIZE, 0.0) + sum(weight.get(i, 0.0) for i in found)
+        r = got[d.doc_id]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), rel_tol=1e-9, abs_tol=1e-12)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
 def test_structure_is_learned(spark):
     def make(rng, bad):
         words = prose(rng, 80).split()
