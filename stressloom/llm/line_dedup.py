@@ -4,14 +4,15 @@ A line ends at a line break or after a sentence (".", "!" or "?" and a blank), s
 lines. Its hash is taken over its words (A-Z folded, white space ignored); what holds no word belongs to the line before.
 
 A run is the shortest stretch of lines from a given one that holds RUN words; a gram the shortest that holds GRAM words.
-A line is deleted if it lies in a run that occurred before, in the order of (doc_id, line). Of each repeated stretch of lines with RUN
-words or more the first occurrence stays whole and the later ones go.
+A line is deleted if it lies in a stretch of whole lines with RUN words or more that occurred before, in the order of (doc_id, line).
+Of each such stretch the first occurrence stays whole and the later ones go, up to the last line that matches on either side.
 
 1. Of the grams inside each run the one of the least hash is selected. Equal runs select equal grams, so the selected grams
    (fingerprints) of every repeated run occur twice at least: the guarantee of winnowing.
 2. Fingerprints are counted by their hash; those that occur once leave.
-3. A shared fingerprint is extended both ways to all runs around it that selected it; these join on their own hash with the
-   first position at which they occur, by a grouped minimum. All others are deleted.
+3. A shared fingerprint is extended both ways: backwards to all runs around it that selected it, forwards by the lines behind a run that
+   hold fewer words than its first line. (With more, the run from the next line reaches as far, so no match is lost.) These stretches join
+   on their own hash with the first position at which they occur, by a grouped minimum. All others are deleted.
 
 With `extend` the unit is the word in place of the line: a word is deleted if it lies in RUN consecutive words that occurred before, in
 the order of (doc_id, word). The union of these windows is the maximal match to both sides, with the half lines at the ends of a
@@ -94,8 +95,22 @@ def selected(x: Lines, run: int = RUN, gram: int = GRAM) -> tuple[np.ndarray, ..
     return i, run_end[i], _stretch(x.hashes, i, run_end[i]), best, least
 
 
+def extended(x: Lines, i: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(run, end of the stretch, its hash): every run, and with it each longer stretch whose further lines hold fewer words than the run's
+    first line, by run."""
+    total = np.concatenate([[0], np.cumsum(x.count)])
+    last = x.first[np.searchsorted(x.first, i, "right")]
+    most = np.minimum(last, np.searchsorted(total, total[end] + x.count[i], "left") - 1)
+    more = most - end
+    k = np.repeat(np.arange(len(i)), more + 1)
+    step = np.arange(len(k)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+    out, to = h[k], end[k] + step
+    out[step > 0] = _stretch(x.hashes, i[k[step > 0]], to[step > 0])
+    return k, to, out
+
+
 def fingerprints(docs: DataFrame, run: int, gram: int) -> DataFrame:
-    """(doc_id, form, gram, line, runs, ends): the runs that selected a gram begin at consecutive lines from `line` on."""
+    """(doc_id, form, gram, starts, ends, runs): the stretches around a selected gram, lines counted within the text."""
 
     def read(batches):
         for b in batches:
@@ -104,16 +119,18 @@ def fingerprints(docs: DataFrame, run: int, gram: int) -> DataFrame:
                 i, end, h, best, least = selected(x, run, gram)
                 if not len(i):
                     continue
+                k, to, h = extended(x, i, end, h)
                 new = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(i, prepend=-2) != 1))
                 row = np.searchsorted(x.first, i[new], "right") - 1
-                base = np.repeat(x.first[row], np.diff(np.append(new, len(i))))
-                cut, take = pa.array(np.append(new, len(i)), pa.int32()), pa.array(rows.start + row)
+                base = np.repeat(x.first[row], np.diff(np.append(new, len(i))))[k]
+                cut, take = pa.array(np.append(np.searchsorted(k, new), len(k)), pa.int32()), pa.array(rows.start + row)
+                lists = [pa.ListArray.from_arrays(cut, v) for v in (pa.array(i[k] - base, pa.int32()), pa.array(to - base, pa.int32()), pa.array(h.view(np.int64)))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(take), b.column("form").take(take), pa.array(least[new].view(np.int64)), pa.array(i[new] - x.first[row], pa.int32()), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(end - base, pa.int32()))],
-                    ["doc_id", "form", "gram", "line", "runs", "ends"],
+                    [b.column("doc_id").take(take), b.column("form").take(take), pa.array(least[new].view(np.int64)), *lists],
+                    ["doc_id", "form", "gram", "starts", "ends", "runs"],
                 )
 
-    return mapped(docs, read, "doc_id bigint, form bigint, gram bigint, line int, runs array<bigint>, ends array<int>")
+    return mapped(docs, read, "doc_id bigint, form bigint, gram bigint, starts array<int>, ends array<int>, runs array<bigint>")
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
@@ -121,8 +138,8 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     marks = store(fingerprints(docs, run, gram), "fingerprints")
     # stored, so that the joins are plain ones between two exchanges, whose hot keys Spark can split
     shared = store(marks.groupBy("gram").count().where("count > 1").select("gram"), "shared")
-    around = marks.join(shared, "gram").select("doc_id", "form", "line", F.posexplode(F.arrays_zip("runs", "ends")).alias("at", "r"))
-    around = store(around.select(F.col("r.runs").alias("run"), F.struct("doc_id", "form", (F.col("line") + F.col("at")).alias("line")).alias("place"), F.col("r.ends").alias("end")), "runs")
+    around = marks.join(shared, "gram").select("doc_id", "form", F.inline(F.arrays_zip(F.col("starts").alias("line"), F.col("ends").alias("end"), F.col("runs").alias("run"))))
+    around = store(around.select("run", F.struct("doc_id", "form", "line").alias("place"), "end"), "runs")
     first = store(around.groupBy("run").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     later = around.join(first, "run").where("place != first")
     return later.groupBy("place.doc_id", "place.form").agg(F.collect_list(F.struct("place.line", "end")).alias("cuts"))

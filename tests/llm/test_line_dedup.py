@@ -7,7 +7,7 @@ from stressloom.llm import line_dedup
 
 
 def brute(rows, run=line_dedup.RUN):
-    """(doc_id, text) -> (text, lines removed): a line goes if it lies in a shortest run of `run` words that occurred before."""
+    """(doc_id, text) -> (text, lines removed): a line goes if it lies in a stretch of lines with `run` words or more that occurred before."""
     seen, out = {}, {}
     for doc_id, text in sorted(set(rows)):
         raw = text.encode()
@@ -28,8 +28,13 @@ def brute(rows, run=line_dedup.RUN):
                 n, q = n + len(lines[q][1]), q + 1
             if n < run:
                 break
-            if seen.setdefault(tuple(x[1] for x in lines[p:q]), (doc_id, p)) != (doc_id, p):
-                gone.update(range(p, q))
+            before = seen.setdefault(tuple(x[1] for x in lines[p:q]), [])
+            for other, at in before:  # as far as the match goes
+                k = q
+                while k < len(lines) and at + k - p < len(other) and other[at + k - p][1] == lines[k][1]:
+                    k += 1
+                gone.update(range(p, k))
+            before.append((lines, p))
         out[doc_id, text] = (b"".join(x[0] for k, x in enumerate(lines) if k not in gone).decode(), len(gone))
     return out
 
@@ -51,6 +56,16 @@ def test_equals_brute_force(spark):
         assert (r.text, r.lines_removed) == want[r.doc_id, original]
 
 
+def test_matches_reach_the_last_line_that_matches(spark):
+    """A run ends inside a line that is longer than the lines left behind it; a longer match with a later occurrence counts too."""
+    rng = random.Random(8)
+    start, long, tail = prose(rng, 3), prose(rng, 40).replace(".", ""), [prose(rng, n).replace(".", "") for n in (5, 7, 1)]
+    rows = [(1, "\n".join([start, long])), (2, "\n".join([long, *tail])), (3, "\n".join(["own words", long, *tail, "more"])), (4, "\n".join([long, *tail[:2], "other", tail[2]]))]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)).collect()}
+    assert got == {i: brute(rows)[i, t] for i, t in rows}
+    assert got[3] == ("own words\nmore", 4) and got[4] == ("other\n" + tail[2], 3) and got[2][1] == 1
+
+
 def test_passages_go_and_clean_documents_stay(spark):
     rng = random.Random(7)
     passage = ". ".join(prose(rng, 8).replace(".", "") for _ in range(7)) + "."
