@@ -1,7 +1,8 @@
 """Resampling plans: moving blocks, stationary, row-wise, permutations; intervals and paired differences.
 
 A draw is a function of (seed, replicate, number) alone, so results do not depend on partitioning or retries. Only the
-plan is expanded. Additive statistics take each block from prefix sums, which needs one row per block instead of one
+plan is expanded; its rows are made from one row per series, which the size estimates of Spark do not see, so its joins ask for a merge
+lest the expanded plan is broadcast. Additive statistics take each block from prefix sums, which needs one row per block instead of one
 per resampled day; ranking metrics run on one array per series and a chunk of replicates.
 """
 
@@ -45,19 +46,28 @@ def draw_np(seed: int, rep, num) -> np.ndarray:
 
 def sizes(df: DataFrame, block: int | None) -> DataFrame:
     """n, block length (n^(1/3) by default) and number of blocks per series."""
-    n = df.groupBy("series_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return block_sizes(df.groupBy("series_id").agg(F.count(F.lit(1)).cast("int").alias("n")), block)
+
+
+def block_sizes(n: DataFrame, block: int | None) -> DataFrame:
     b = F.lit(block) if block else F.greatest(F.lit(1), F.floor(F.pow(F.col("n").cast("double"), F.lit(1 / 3)) + 1e-9).cast("int"))
     n = n.withColumn("block", F.least(b, F.col("n")))
     return n.withColumn("blocks", F.ceil(F.col("n") / F.col("block")).cast("int"))
 
 
+def block_start(seed: int, b: Column) -> Column:
+    return (draw(seed, F.col("rep"), b) % (F.col("n") - F.col("block") + 1)).cast("int")
+
+
+def block_length(b: Column) -> Column:
+    return F.least(F.col("block"), F.col("n") - b * F.col("block"))
+
+
 def block_plan(df: DataFrame, reps: int, block: int | None, seed: int) -> DataFrame:
     """(series_id, rep, b, start, len): overlapping blocks, the last one cut so that lengths add up to n."""
     s = sizes(df, block).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     s = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    start = (draw(seed, F.col("rep"), F.col("b")) % (F.col("n") - F.col("block") + 1)).cast("int")
-    length = F.least(F.col("block"), F.col("n") - F.col("b") * F.col("block"))
-    return s.select("series_id", "rep", "b", start.alias("start"), length.alias("len"), "n")
+    return s.select("series_id", "rep", "b", block_start(seed, F.col("b")).alias("start"), block_length(F.col("b")).alias("len"), "n")
 
 
 def prefix(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -74,7 +84,7 @@ def block_sums(df: DataFrame, plan: DataFrame, cols: dict[str, Column], by: tupl
     keys = ["series_id", *by, "rep"]
     ends = plan.select(*keys, "n", F.inline(F.array(
         F.struct((F.col("start") + F.col("len") - 1).alias("pos"), F.lit(1.0).alias("sg")), F.struct((F.col("start") - 1).alias("pos"), F.lit(-1.0).alias("sg")))))
-    j = ends.join(p, ["series_id", "pos"])
+    j = ends.hint("merge").join(p, ["series_id", "pos"])
     return j.groupBy(*keys).agg(F.max("n").alias("n"), *[F.sum(F.col("sg") * F.col(c)).alias(c) for c in cols])
 
 
@@ -99,7 +109,7 @@ def block_max(df: DataFrame, x: str, plan: DataFrame) -> DataFrame:
     table = df.select("series_id", pos, *stretch).select("series_id", "pos", F.posexplode(F.array(*[F.col(f"_{k}") for k in levels])).alias("k", "top"))
     k = F.floor(F.log2(F.col("len") + F.lit(0.5))).cast("int")
     at = plan.withColumn("k", k).select("series_id", "rep", "k", F.explode(F.array("start", F.col("start") + F.col("len") - F.expr("shiftleft(1, k)"))).alias("pos"))
-    return at.join(table, ["series_id", "pos", "k"]).groupBy("series_id", "rep").agg(F.max("top").alias("max"))
+    return at.hint("merge").join(table, ["series_id", "pos", "k"]).groupBy("series_id", "rep").agg(F.max("top").alias("max"))
 
 
 def interval(reps: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
@@ -348,7 +358,7 @@ def row_bands(df: DataFrame, value: str, reps: int = 100, block: int = 20, seed:
     p = block_plan(df, reps, block, seed)
     p = p.select("series_id", "rep", "b", "start", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("k"))
     v = df.select("series_id", "ds", (F.row_number().over(by_day()) - 1).alias("pos"), F.col(value).alias("_v"))
-    src = p.select("series_id", "rep", (F.col("b") * block + F.col("k")).alias("at"), (F.col("start") + F.col("k")).alias("pos")).join(v.drop("ds"), ["series_id", "pos"])
+    src = p.select("series_id", "rep", (F.col("b") * block + F.col("k")).alias("at"), (F.col("start") + F.col("k")).alias("pos")).hint("merge").join(v.drop("ds"), ["series_id", "pos"])
     a = (1 - level) / 2
     g = src.groupBy("series_id", "at").agg(F.avg("_v").alias("mean"), F.percentile("_v", F.array(F.lit(a), F.lit(1 - a))).alias("_q"))
     return g.join(v.select("series_id", "ds", F.col("pos").alias("at")), ["series_id", "at"]).select("series_id", "ds", "mean", F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
@@ -383,7 +393,7 @@ def placebo_shuffle(df: DataFrame, events: DataFrame, reps: int = 200, seed: int
     alerts = df.filter(F.col("idx") > threshold).select("series_id", "ds")
     total = alerts.groupBy("series_id").agg(F.count(F.lit(1)).alias("_alerts"))
     score = [F.countDistinct("ds").alias("_tp"), F.countDistinct("event").alias("_found")]
-    hit = ev.unfold(fake, days, -1).join(alerts, ["series_id", "ds"]).groupBy("series_id", "rep").agg(*score)
+    hit = ev.unfold(fake, days, -1).hint("merge").join(alerts, ["series_id", "ds"]).groupBy("series_id", "rep").agg(*score)
     true = ev.unfold(events.select("event", "event_date"), days, -1).join(alerts, "ds").groupBy("series_id").agg(*score)
     reps_of = total.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
     every = reps_of.join(hit.unionByName(true.withColumn("rep", F.lit(-1))), ["series_id", "rep"], "left")
@@ -409,10 +419,15 @@ def placebo_features(df: DataFrame, target: str) -> DataFrame:
         F.avg("v").alias("placebo_mean"), F.stddev_pop("v").alias("placebo_sd"), F.avg((F.col("v") >= F.col("actual")).cast("double")).alias("p"))
 
 
-def bootstrap_statistic(df: DataFrame, x: str, statistic, reps: int = 100, block: int | None = 20, seed: int = 42) -> DataFrame:
-    """Any Spark aggregate (a function of a column, grouped pandas UDFs included) over each replicate."""
-    p = block_plan(df, reps, block, seed)
-    p = p.select("series_id", "rep", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
-    v = df.select("series_id", (F.row_number().over(by_day()) - 1).alias("pos"), F.col(x).alias("_v"))
-    r = p.join(v, ["series_id", "pos"]).groupBy("series_id", "rep").agg(statistic(F.col("_v")).alias("value"))
+def bootstrap_statistic(df: DataFrame, x: str, statistic, reps: int = 100, block: int | None = 20, seed: int = 42, chunk: int = 50) -> DataFrame:
+    """Any Spark aggregate (a function of a column, grouped pandas UDFs included) over each replicate. One row per series carries its values
+    (calendar-bounded) and is copied once per chunk of replicates; the resampled rows are cut from it where they are grouped, so they
+    are neither joined nor shuffled."""
+    days = F.array_sort(F.collect_list(F.struct("ds", F.col(x).alias("_v"))))
+    packed = block_sizes(df.where("series_id IS NOT NULL").groupBy("series_id").agg(days.alias("_a")).select("series_id", F.col("_a._v").alias("_a"), F.size("_a").alias("n")), block)
+    work = packed.withColumn("_from", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(chunk))))
+    work = work.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "_from")
+    work = work.withColumn("rep", F.explode(F.sequence("_from", F.least(F.col("_from") + chunk, F.lit(reps)) - 1)))
+    cut = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.slice("_a", block_start(seed, b) + 1, block_length(b)))
+    r = work.select("series_id", "_from", "rep", F.explode(F.flatten(cut)).alias("_v")).groupBy("series_id", "_from", "rep").agg(statistic(F.col("_v")).alias("value"))
     return interval(r, ["series_id"], "value")

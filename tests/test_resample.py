@@ -1,3 +1,6 @@
+import datetime as dt
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +111,31 @@ def test_results_do_not_depend_on_partitioning(spark):
     both = f(s.repartition(7))
     assert both == f(s.coalesce(1))
     assert [r for r in both if r[0] == "B"] == f(s.filter("series_id = 'B'"))
+
+
+def test_any_statistic_is_that_of_the_resampled_rows_and_no_plan_is_broadcast(spark):
+    """Whole replicates against numpy; rows with a null value or day take part, a null series does not."""
+    rng = np.random.default_rng(5)
+    values = {"A": [None, *rng.normal(size=69)], "B": [*rng.normal(size=7)], None: [1.0, 2.0]}
+    rows = [(s, None if i == 3 else dt.date(2020, 1, 1) + dt.timedelta(days=i), None if v is None else float(v)) for s, vs in values.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "series_id string, ds date, idx double").repartition(3).groupBy("series_id", "ds").agg(F.max("idx").alias("idx"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        out = rs.bootstrap_statistic(df, "idx", F.max, reps=120, block=20)
+        got = {r["series_id"]: r for r in out.collect()}
+        r = rs.mean_and_deviation(df.where("idx IS NOT NULL"), "idx", rs.block_plan(df, 120, 5, 42))
+        r.collect()
+        plans = out._jdf.queryExecution().executedPlan().toString() + r._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert set(got) == {"A", "B"}
+    for s, r in got.items():
+        v = [x for _, x in sorted(((d or dt.date.min, x) for k, d, x in rows if k == s), key=lambda t: t[0])]
+        n, b = len(v), min(20, len(v))
+        tops = []
+        for rep in range(120):
+            at = [int(rs.draw_np(42, rep, j)) % (n - b + 1) + k for j in range(-(-n // b)) for k in range(min(b, n - j * b))]
+            tops.append(max(v[i] for i in at if v[i] is not None))
+        assert r["reps"] == 120 and r["boot_mean"] == pytest.approx(np.mean(tops)) and r["hi"] == pytest.approx(np.quantile(tops, 0.975))
+    assert not re.search(r"BroadcastHashJoin \[series_id#\d+, pos", plans)
