@@ -3,7 +3,7 @@
 The parameters are k means, k covariances and a k x k transition matrix: a few hundred numbers whatever the data size.
 Series are packed once into one row of arrays each (a series is bounded by the calendar) and written through the shared
 checkpoint folder, so an iteration is one job without a shuffle of the panel: a task runs the forward-backward passes of all
-restarts of a state count together, as one more array axis, adds up the sufficient statistics of its series, and only the
+restarts of a state count over many of its series together, as two more array axes, adds up the sufficient statistics, and only the
 sums per model reach the driver. No iteration builds on the plan of the previous one, so there is no growing lineage.
 A fit has converged when the log-likelihood per observation changes by less than the tolerance, which has the same meaning
 for any number of rows.
@@ -146,32 +146,81 @@ FIELDS = ["pi", "xi", "gamma", "gx", "gxx"]
 
 
 def pack(panel: DataFrame) -> DataFrame:
-    """(series_id, one array per channel in the order of dates), one row per series, spread over the tasks."""
+    """(series_id, one array per channel in the order of dates), one row per series, in as many parts as the cluster has cores: the steps of
+    a pass over time cost the same for one series and for dozens, so a task takes all of its series together."""
     day = F.struct("ds", *S.CHANNELS)
-    d = spread(panel.na.drop(subset=S.CHANNELS).select("series_id", "ds", *S.CHANNELS), "series_id")
+    d = panel.na.drop(subset=S.CHANNELS).select("series_id", "ds", *S.CHANNELS)
+    d = d.repartition(max(1, d.sparkSession.sparkContext.defaultParallelism), "series_id")
     return cut_lineage(d.groupBy("series_id").agg(F.array_sort(F.collect_list(day)).alias("a")).select("series_id", *[F.col(f"a.{c}").alias(c) for c in S.CHANNELS]))
 
 
-def smooth_all(logb: np.ndarray, pi: np.ndarray, trans: np.ndarray):
-    """Forward-backward passes of several models over one series. logb: (model, day, regime). Returns smoothed
-    probabilities, expected transitions and log-likelihoods, a model each."""
-    top = logb.max(axis=2)
-    b = np.exp(logb - top[:, :, None])
-    a, c = np.empty_like(b), np.empty(b.shape[:2])
-    v = pi * b[:, 0]
-    for t in range(b.shape[1]):
+def densities(x: np.ndarray, models: list[Model]) -> np.ndarray:
+    """Log-densities (row, model * regime): products of the rows' squares and cross products with the coefficients of all models. Rows and
+    means are centred first, which keeps the squares small."""
+    mid = x.mean(axis=0)
+    coefs = []
+    for m in models:
+        for mean, cov in zip(m.means - mid, m.covs):
+            low = np.linalg.inv(np.linalg.cholesky(cov))
+            prec = low.T @ low
+            coefs.append(np.concatenate([[np.log(np.diag(low)).sum() - 0.5 * (D * np.log(2 * np.pi) + mean @ prec @ mean)], prec @ mean, -0.5 * prec.ravel()]))
+    return squares(x - mid) @ np.array(coefs).T
+
+
+def squares(x: np.ndarray) -> np.ndarray:
+    """(row, 1 + D + D * D): one, the channels and their products."""
+    return np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], axis=1)
+
+
+def blocks(parts: np.ndarray) -> np.ndarray:
+    """Matrices (model, k, k) along the diagonal of one."""
+    n, k, _ = parts.shape
+    out = np.zeros((n, k, n, k))
+    out[np.arange(n), :, np.arange(n)] = parts
+    return out.reshape(n * k, n * k)
+
+
+def smooth_all(logb: np.ndarray, pi: np.ndarray, trans: np.ndarray, sizes: np.ndarray):
+    """Forward-backward passes of several models over several series at once. logb: (day, series, model * regime), overwritten; series s has
+    sizes[s] days, and what lies behind them does not matter. A step over time is a product with all models' transitions along the
+    diagonal of one matrix. Returns smoothed probabilities (0 behind the end), and per model expected transitions and the
+    log-likelihood, summed over the series."""
+    n, k = pi.shape
+    gone = np.arange(len(logb))[:, None] >= sizes  # (day, series)
+    each = logb.reshape(*logb.shape[:2], n, k)
+    top = each[..., 0].copy()
+    for j in range(1, k):
+        np.maximum(top, each[..., j], out=top)
+    each -= top[..., None]
+    b = np.exp(logb, out=logb)
+    b[gone] = 1.0  # a day that tells nothing: its sum is 1 and beta stays 1
+    ahead, back, total = blocks(trans), blocks(trans.transpose(0, 2, 1)), blocks(np.ones((n, k, k)))
+    a, c, v = np.empty_like(b), np.empty_like(b), pi.ravel() * b[0]
+    for t in range(len(b)):
         if t:
-            v = (a[:, t - 1, None, :] @ trans)[:, 0] * b[:, t]
-        c[:, t] = v.sum(axis=1)
-        a[:, t] = v / c[:, t, None]
-    beta = np.ones_like(b)
-    back = trans.transpose(0, 2, 1)
-    for t in range(b.shape[1] - 2, -1, -1):
-        beta[:, t] = ((b[:, t + 1] * beta[:, t + 1] / c[:, t + 1, None])[:, None, :] @ back)[:, 0]
-    ahead = b[:, 1:] * beta[:, 1:] / c[:, 1:, None]
-    xi = trans * (a[:, :-1].transpose(0, 2, 1) @ ahead)
-    gamma = a * beta
-    return gamma / gamma.sum(axis=2, keepdims=True), xi, np.log(c).sum(axis=1) + top.sum(axis=1)
+            np.matmul(a[t - 1], ahead, out=v)
+            v *= b[t]
+        np.matmul(v, total, out=c[t])
+        np.divide(v, c[t], out=a[t])
+    loglik = np.where(gone[..., None], 0.0, np.log(c[..., ::k]) + top).sum(axis=(0, 1))
+    b /= c
+    beta = c
+    beta[-1] = 1.0
+    for t in range(len(b) - 2, -1, -1):
+        np.multiply(b[t + 1], beta[t + 1], out=v)
+        np.matmul(v, back, out=beta[t])
+    b *= beta
+    b[gone] = 0.0
+    flat = lambda x: x.reshape(-1, n * k)
+    xi = (flat(a[:-1]).T @ flat(b[1:])).reshape(n, k, n, k)[np.arange(n), :, np.arange(n)] * trans
+    a *= beta
+    a /= (flat(a) @ total).reshape(a.shape)
+    a[gone] = 0.0
+    return a, xi, loglik
+
+
+#: Numbers in an array of one pass, which bounds the series that are taken together.
+AT_ONCE = 1 << 21
 
 
 def _estep(packs: DataFrame, models: dict[int, Model]) -> DataFrame:
@@ -179,19 +228,32 @@ def _estep(packs: DataFrame, models: dict[int, Model]) -> DataFrame:
     for key, m in models.items():
         by_k.setdefault(m.k, []).append(key)
 
+    def part(series: list[np.ndarray], keys: list[int]):
+        """The statistics of the models, all with one number of regimes, over the series."""
+        ms, sizes = [models[key] for key in keys], np.array([len(x) for x in series])
+        x = np.zeros((sizes.max(), len(series), D))
+        for i, one in enumerate(series):
+            x[: len(one), i] = one
+        rows, k = x.reshape(-1, D), ms[0].k
+        logb = densities(rows, ms).reshape(*x.shape[:2], -1)
+        gamma, xi, ll = smooth_all(logb, np.stack([m.pi for m in ms]), np.stack([m.trans for m in ms]), sizes)
+        sums = (gamma.reshape(len(rows), -1).T @ squares(rows)).reshape(len(ms), k, -1)
+        first = gamma[0].sum(axis=0).reshape(len(ms), k)
+        for r, key in enumerate(keys):
+            yield key, [ll[r], sizes.sum(), first[r], xi[r].ravel(), sums[r, :, 0], sums[r, :, 1 : 1 + D].ravel(), sums[r, :, 1 + D :].ravel()]
+
     def run(batches):
         total: dict[int, list] = {}
         for pdf in batches:
-            for row in pdf[S.CHANNELS].itertuples(index=False):
-                x = np.stack([np.asarray(c, float) for c in row], axis=1)
-                xx = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-                for keys in by_k.values():
-                    ms = [models[key] for key in keys]
-                    gamma, xi, ll = smooth_all(np.stack([log_density(x, m) for m in ms]), np.stack([m.pi for m in ms]), np.stack([m.trans for m in ms]))
-                    across = gamma.transpose(0, 2, 1)
-                    for r, key in enumerate(keys):
-                        part = [ll[r], len(x), gamma[r, 0], xi[r].ravel(), gamma[r].sum(axis=0), (across[r] @ x).ravel(), (across[r] @ xx).ravel()]
-                        total[key] = [u + v for u, v in zip(total[key], part)] if key in total else part
+            series = [np.stack([np.asarray(c, float) for c in row], axis=1) for row in pdf[S.CHANNELS].itertuples(index=False)]
+            series.sort(key=len, reverse=True)  # series of similar length together
+            for k, keys in by_k.items():
+                i = 0
+                while i < len(series):
+                    j = i + max(1, AT_ONCE // (len(series[i]) * k * len(keys)))
+                    for key, found in part(series[i:j], keys):
+                        total[key] = [u + v for u, v in zip(total[key], found)] if key in total else found
+                    i = j
         rows = [[key, t[0], t[1], *[list(v) for v in t[2:]]] for key, t in total.items()]
         yield pd.DataFrame(rows, columns=["model", "loglik", "n", *FIELDS])
 

@@ -537,9 +537,19 @@ def udtf_windows(spark, d):
 
 
 # ----------------------------------------------------------------- regimes
+@lru_cache(maxsize=4)
+def _panel(app, spark, d):
+    return tb.stored_panel(spark, d)
+
+
 @lru_cache(maxsize=4)
 def _fits(app, spark, d):
-    return regimes.fit(tb.stored_panel(spark, d), (2, 3, 4))
+    return regimes.fit(_panel(app, spark, d), (2, 3, 4))
+
+
+def fitted_panel(spark, d):
+    """The panel of the fits, written once."""
+    return _panel(spark.sparkContext.applicationId, spark, d)
 
 
 def fitted(spark, d, k=3):
@@ -550,13 +560,13 @@ def fitted(spark, d, k=3):
 @query("rg_hmm_fit", "v", digits=4)
 def rg_hmm_fit(spark, d):
     m = fitted(spark, d)
-    panel = tb.panel(spark, d)
+    panel = fitted_panel(spark, d)
     return regimes.params_frame(spark, m).join(panel.groupBy().agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit("n_obs")), "name", "left")
 
 
 @query("rg_viterbi")
 def rg_viterbi(spark, d):
-    return regimes.decode(tb.panel(spark, d), fitted(spark, d))
+    return regimes.decode(fitted_panel(spark, d), fitted(spark, d))
 
 
 def probs(df, k=3):
@@ -626,7 +636,7 @@ def rg_decode_fixed(spark, d):
 @query("rg_selection", "loglik aic bic", digits=2)
 def rg_selection(spark, d):
     rows = regimes.criteria_table({k: fitted(spark, d, k) for k in (2, 3, 4)})
-    n = tb.panel(spark, d).groupBy().agg(F.count(F.lit(1)).alias("rows"))
+    n = fitted_panel(spark, d).groupBy().agg(F.count(F.lit(1)).alias("rows"))
     return spark.createDataFrame(pd.DataFrame(rows)).withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
@@ -634,7 +644,7 @@ def rg_selection(spark, d):
 def rg_ergodic(spark, d):
     m = fitted(spark, d)
     e = regimes.ergodic(m.trans)
-    freq = regimes.decode(tb.panel(spark, d), m).groupBy("regime").agg(F.count(F.lit(1)).alias("days"))
+    freq = regimes.decode(fitted_panel(spark, d), m).groupBy("regime").agg(F.count(F.lit(1)).alias("days"))
     table = spark.createDataFrame([(i, float(v)) for i, v in enumerate(e)], "regime int, probability double")
     return table.join(freq, "regime", "left")
 

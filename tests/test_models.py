@@ -215,6 +215,31 @@ def test_fit_reports_convergence_and_ignores_partitioning(spark):
     assert not short.converged and short.iterations == 2
 
 
+def test_series_taken_together_have_the_sums_of_each_alone(spark, monkeypatch):
+    """Series of several lengths (one of a single day), two models, passes over few and over many series."""
+    rng = np.random.default_rng(4)
+    arrays = {f"S{i}": switching(n, i)[0] for i, n in enumerate((150, 1, 60, 150, 2, 90))}
+    p = panel(spark, arrays)
+    models = {3000 + r: regimes._start(3, r, np.array([[25.0] * 4, [50.0] * 4, [75.0] * 4]) + rng.normal(size=(3, 4)), 50 * np.eye(4)) for r in range(2)}
+    packs = regimes.pack(p)
+    assert packs.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    for at_once in (1, 2000, regimes.AT_ONCE):
+        monkeypatch.setattr(regimes, "AT_ONCE", at_once)
+        got = {}
+        for r in regimes._summed(regimes._estep(packs.coalesce(1), models)).collect():
+            got.setdefault((r["model"], r["f"]), {})[r["i"]] = r["v"]
+        for key, m in models.items():
+            alone = [(x, *regimes.smooth(regimes.log_density(x, m), m)) for x in map(np.asarray, arrays.values())]
+            want = {
+                "loglik": [sum(ll for *_, ll in alone)], "n": [sum(map(len, arrays.values()))], "pi": sum(g[0] for _, g, _, _ in alone), "xi": sum(xi for _, _, xi, _ in alone).ravel(),
+                "gamma": sum(g.sum(axis=0) for _, g, _, _ in alone), "gx": sum(g.T @ x for x, g, _, _ in alone).ravel(), "gxx": sum(np.einsum("tk,ti,tj->kij", g, x, x) for x, g, _, _ in alone).ravel(),
+            }
+            for f, w in want.items():
+                assert np.allclose([got[key, f][i] for i in range(len(w))], w, rtol=1e-9, atol=1e-9), f
+    gamma, _, _ = regimes.smooth_all(np.zeros((5, 3, 6)), np.full((2, 3), 1 / 3), np.full((2, 3, 3), 1 / 3), np.array([5, 2, 1]))
+    assert (gamma.sum(axis=(0, 2)).round(12) == [10, 4, 2]).all()  # two models
+
+
 def test_granger_weights_at_the_best_lag_equal_brute_force(spark):
     import __spark_entry__ as entry
 
