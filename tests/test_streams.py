@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from stressloom import schema as S
 from stressloom.streaming import jobs, state
@@ -93,6 +94,26 @@ def test_each_source_has_its_own_watermark(spark, tmp_path):
     assert max(kept) < len(rows) and kept[-1] <= 4  # what the bounds allow, not all that was read
 
 
+def test_visible_points_are_counted_without_pairs(spark, tmp_path):
+    """Crowded, repeated and bordering times, null keys, a source that falls silent; what is written and held grows with the rows."""
+    rng, lags = random.Random(6), {"slow": 48, "fast": 1}
+    minute = lambda m: dt.datetime(2020, 1, 1) + dt.timedelta(minutes=m)
+    rows = [(i, s, rng.choice([None, i]), minute(rng.choice([30 * rng.randrange(400), rng.randrange(12000) + 0.25])), 1.0) for s in lags for i in range(400 if s == "fast" else 150)]
+    rows = [r for r in rows if r[1] == "fast" or r[3] < minute(6000)]
+    rows += [(9000, "fast", -1, stamp(2000), None)]
+    parts = [[r for r in rows if minute(4000 * k) <= r[3] < minute(4000 * (k + 1)) or (k == 2 and r[2] == -1)] for k in range(3)]
+    with jobs.newest_decides(spark):
+        panes, seen = runs(spark, tmp_path, parts, jobs.POINTS, lambda s: jobs.visible_values(s, s, lags, counted=True))
+    got = jobs.visible_counts(spark.read.parquet(f"{tmp_path}/out")).collect()
+    want = []
+    for _, s, key, ts, _ in rows:
+        n = sum(p[1] == s and dt.timedelta(0) <= ts - dt.timedelta(hours=lags[s]) - p[3] < dt.timedelta(hours=24) for p in rows)
+        want.append((s, key, ts, n))
+    assert sorted(((r.source, r.key, r.ts, r.visible) for r in got if r.key != -1), key=repr) == sorted((w for w in want if w[1] != -1), key=repr)
+    assert len(panes) <= 3 * len(rows) < sum(w[3] for w in want)
+    assert seen[-1]["stateOperators"][0]["numRowsTotal"] <= 3  # only what lies ahead of the last row
+
+
 def test_sliding_mean_adds_each_row_once(spark, tmp_path):
     rng = random.Random(4)
     rows = [(i, s, i, stamp(rng.randrange(24 * 60)), rng.choice([None, float(rng.randrange(50))])) for i in range(400) for s in "ab"]
