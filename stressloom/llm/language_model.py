@@ -199,14 +199,44 @@ def step(flat: np.ndarray, past: np.ndarray, leaf: np.ndarray, known: np.ndarray
         order = np.argsort(flat_rows, kind="stable")
         sorted_rows = flat_rows[order]
         new = np.flatnonzero(np.diff(sorted_rows, prepend=-1).astype(bool)) if len(order) else order
-        total = np.add.reduceat(np.take(g.view(PAIR), order % len(leaf), axis=0), new, axis=0).view(np.float32)
-        move(views(flat)[1 + i], views(past)[1 + i], sorted_rows[new].astype(np.int64), total)
+        move(views(flat)[1 + i], views(past)[1 + i], sorted_rows[new].astype(np.int64), sums(g.view(PAIR), order % len(leaf), new).view(np.float32))
+
+
+#: Rows of a group up to which groups are added side by side; a call of reduceat costs more than so many additions.
+FEW = 4
+
+
+def sums(g: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Sums of the rows g[at] in groups that begin at `new`."""
+    size = np.diff(new, append=len(at))
+    total = np.take(g, at[new], axis=0)
+    large = size > FEW
+    if large.any():
+        long = size[large]
+        total[large] = np.add.reduceat(np.take(g, at[np.repeat(large, size)], axis=0), np.cumsum(long) - long, axis=0)
+    some = np.flatnonzero(~large & (size > 1))
+    some = some[np.argsort(-size[some], kind="stable")]
+    if len(some):
+        start, longer = new[some], [int(np.count_nonzero(size[some] > k)) for k in range(1, FEW)]
+        rest = np.take(g, at[start + 1], axis=0)
+        for k, n in enumerate(longer[1:], 2):
+            rest[:n] += np.take(g, at[start[:n] + k], axis=0)
+        total[some] += rest
+    return total
 
 
 def move(w: np.ndarray, past: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    p = past[rows] + g * g
+    """An AdaGrad step in place; g is overwritten."""
+    p = np.take(past, rows, axis=0)
+    p += g * g
     past[rows] = p
-    w[rows] -= RATE * g / np.sqrt(p + 1e-3)
+    p += np.float32(1e-3)
+    np.sqrt(p, out=p)
+    g *= np.float32(RATE)
+    g /= p
+    now = np.take(w, rows, axis=0)
+    now -= g
+    w[rows] = now
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:

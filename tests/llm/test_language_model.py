@@ -66,3 +66,18 @@ def test_a_step_goes_down_the_gradient():
     for _ in range(3):
         lm.step(flat, past, leaf, known, deep)
     assert lm.log_probability(flat, v, leaf, known, deep).sum() > before + 100
+
+
+def test_sums_of_groups_are_those_of_reduceat_to_the_bit(monkeypatch):
+    """Groups of one row, of a few, of many; only rows of large groups go through reduceat."""
+    rng = np.random.RandomState(3)
+    sizes = rng.choice([1, 1, 1, 2, 3, 4, 5, 9, 40], 300)
+    new = np.cumsum(sizes) - sizes
+    g = rng.normal(size=(500, 32)).astype(np.float32).view(lm.PAIR)
+    at = rng.randint(0, 500, sizes.sum())
+    want = np.add.reduceat(g[at], new, axis=0)
+    for few in (sizes > 1, sizes > 9, np.ones(300, bool)):
+        keep = np.repeat(few, sizes)
+        begin = np.cumsum(sizes[few]) - sizes[few]
+        assert (lm.sums(g, at[keep], begin).view(np.float32) == want[few].view(np.float32)).all()
+    assert lm.sums(g, at[:0], np.empty(0, np.int64)).shape == (0, 16)
