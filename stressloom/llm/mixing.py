@@ -2,7 +2,8 @@
 
 Documents fall into cells (source, lang, topic). The tokens of the cells are raked: in turn for each dimension, every value gets the
 factor that brings its share to the target. Cells are reduced by a partial aggregation before anything is shuffled, and a
-hot source is one value of a small table. The factors of a dimension are a grouped sum over the cells joined with the other factors;
+hot source is one value of a small table. The cells carry the targets and the factors of their values. A step is a grouped sum over them and
+one join with the new factors, since the driver holds what every join broadcasts until its garbage is collected;
 each step is written to the shared folder, so the plan does not grow.
 
 A document is then kept with probability budget * total * weight / tokens of its cell, decided by a hash of its id: the same decision on
@@ -51,20 +52,19 @@ def targets_of(cells: DataFrame, dimension: str, given: dict[str, float] | None)
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, steps: int = STEPS) -> DataFrame:
     """cells (source, lang, topic, tokens) with `weight`: shares that sum to one and meet the targets."""
     targets = targets or {}
-    goal = {d: targets_of(cells, d, targets.get(d)) for d in DIMENSIONS}
-    factor: dict[str, DataFrame] = {}
+    goals = {d: targets_of(cells, d, targets.get(d)).toDF(d, f"{d}_target") for d in DIMENSIONS}
+    table = store(reduce(lambda t, d: t.join(goals[d], d), DIMENSIONS, cells), "raked")
 
-    def weighed(but: str | None = None) -> DataFrame:
-        others = [d for d in factor if d != but]
-        table = reduce(lambda t, d: t.join(factor[d], d), others, cells)
-        return table.withColumn("weight", reduce(lambda x, d: x * F.col(f"{d}_factor"), others, F.col("tokens").cast("double")))
+    def weight(but: str | None = None) -> Column:
+        others = [f"{d}_factor" for d in DIMENSIONS if d != but and f"{d}_factor" in table.columns]
+        return reduce(lambda x, c: x * F.col(c), others, F.col("tokens").cast("double"))
 
     for _ in range(steps):
         for d in DIMENSIONS:
-            margin = weighed(d).groupBy(d).agg(F.sum("weight").alias("m")).where("m > 0")
-            made = margin.join(goal[d], F.col(d) == F.col("value")).select(d, (F.col("target") / F.col("m")).alias(f"{d}_factor"))
-            factor[d] = store(made, f"factor-{d}")
-    return weighed().select(*DIMENSIONS, "tokens", "weight")
+            margin = table.groupBy(d, f"{d}_target").agg(F.sum(weight(d)).alias("m")).where("m > 0")
+            made = margin.select(d, (F.col(f"{d}_target") / F.col("m")).alias(f"{d}_factor"))
+            table = store(table.drop(f"{d}_factor").join(made, d), "raked")
+    return table.select(*DIMENSIONS, "tokens", weight().alias("weight"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, steps: int = STEPS, topic_col: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

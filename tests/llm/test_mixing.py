@@ -60,3 +60,24 @@ def test_sql_gives_the_same_rows(spark, sf):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, topic, n_tokens, probability, sampled FROM ({mixing.sql()})").fetchall()}
     assert {r.doc_id: (r.topic, r.n_tokens, r.probability, r.sampled) for r in mixing.query(spark, sf).collect()} == want
+
+
+def test_a_raking_step_has_one_join(spark, monkeypatch):
+    """What a join broadcasts stays in the driver's memory until its garbage is collected."""
+    cells = spark.createDataFrame([(s, l, t, 10 * i + 7) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
+    joins, store = [], mixing.store
+
+    def counted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return store(df, name)
+
+    monkeypatch.setattr(mixing, "store", counted)
+    found = mixing.rake(cells, steps=3)
+    assert sum(joins) <= 3 + 3 * 3  # the targets join the cells, then each step the factors
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_targets_of_zero_weigh_nothing(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 5), ("a", "y", "q", 3), ("b", "x", "p", 7), ("b", "z", "q", 2), ("c", "x", "q", 0)], "source string, lang string, topic string, tokens long")
+    found = {(r.source, r.lang, r.topic): r.weight for r in mixing.rake(cells, {"source": {"a": 1.0}, "lang": {"x": 0.25, "y": 0.75}, "topic": {"p": 0.25, "q": 0.75}}).collect()}
+    assert {k: v for k, v in found.items() if v} == pytest.approx({("a", "x", "p"): 0.25, ("a", "y", "q"): 0.75})
