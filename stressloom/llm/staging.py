@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from stressloom.session import scratch_path
 
 
-def store(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "none", rows: int = 0) -> DataFrame:
     """Written to the shared folder: read by several branches, and not made anew when an executor is lost. Tables of hashes and ids do
-    not shrink, and codecs keep buffers outside the heap until it is collected; texts are worth it."""
+    not shrink, and codecs keep buffers outside the heap until it is collected; texts are worth it. Where rows are large, a file holds `rows`
+    of them at most, since readers take whole files at a time."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -49,3 +49,27 @@ def test_large_components_stay_exact(spark):
     rows = [(i, [float(300_000 + i), float(-20_000 * i)] * 3) for i in range(12)]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, KIND), 3, 4).collect())
     assert got == brute(rows, 3, 4)
+
+
+def test_nothing_is_repeated_or_broadcast_where_queries_meet_candidates(spark):
+    some = topk.whole_vectors(spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], KIND).coalesce(1))
+    queries, candidates = topk.packed(some.where("vec_id % 5 = 0"), 8, "queries"), topk.packed(some, 16, "candidates")
+    both = topk.pairs(queries, candidates)
+    plan = both._jdf.queryExecution().executedPlan().toString()  # repeated queries used to be broadcast: the driver held all pairs
+    assert "Broadcast" not in plan and "Generate" not in plan
+    assert both.count() == 5 * 13
+    assert topk.gather(both, 3).count() == 40 * 3 * both.rdd.getNumPartitions()  # k of each query leave a task, not a chunk
+
+
+@pytest.mark.parametrize("scale", [1, 300, 300_000])
+def test_entries_are_kept_over_chunks_at_any_size_of_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(topk, "CHUNK", 13)
+    monkeypatch.setattr(topk, "GROUP", 5)
+    monkeypatch.setattr(topk, "FILE", 2)
+    rng = random.Random(5)
+    f = lambda: round(rng.uniform(-1, 1) * 16) / 16 * scale
+    rows = [(i, [f() for _ in range(5)]) for i in range(90)]
+    rows += [(0, [scale * 1.0] * 5), (7, [scale * 1.0] * 5), (7, [scale * 1.0] * 5), (8, rows[8][1])]
+    rows[0] = (0, [-scale * 1.0] * 5)  # the query is the least of its id
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, KIND).coalesce(1), 4, 10).collect())
+    assert got == brute(rows, 4, 10)
