@@ -28,6 +28,12 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def small_buffers(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Rows that are large and of any number go to Python in batches of about so many bytes: each running task has Arrow buffers of a few
+    times that size outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 #: Hash slots of ids. A set of slots is broadcast whatever the number of ids: it has so many entries at most.
 SLOTS = 1 << 20
 

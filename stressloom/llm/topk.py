@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stressloom.llm.staging import mapped, store
+from stressloom.llm.staging import mapped, small_buffers, store
 
 LISTS, K, EVERY = 4, 5, 50
 #: Rows of a matrix of candidates and of queries: a task holds one of each and their partial scores.
@@ -238,6 +238,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the vectors whose id is divisible by `every`; candidates all others."""
+    small_buffers(vectors.sparkSession)
     some = store(whole_vectors(vectors), "vectors")
     queries = packed(some.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), GROUP, "queries")
     candidates = packed(some, CHUNK, "candidates")
